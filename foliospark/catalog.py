@@ -1,6 +1,444 @@
-"""The queries of the library and their SQL."""
+"""The queries of the library and their SQL.
+
+Tables stand in for the rows that the operators were made for: a document is a hit (its source, its first
+line as title, its language as author), an order is a store's entry, a customer a rule source.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as fx
+from .functions import values as fv
+from .operators import dom, extract, paginate, registry, search, sequences, shelf, tagged
+from .sources import pages as sources_pages
+from .streaming import limits
+
+KEYWORD = "the and"
+_D = "'" + fx.DECORATION.replace("'", "''") + "'"
+_W = "'" + fx.WHITE.replace("'", "''") + "'"
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "documents")
+    first = F.substring_index("text", "\n", 1)
+    return d.select(F.col("source").alias("source_id"), F.col("doc_id").alias("arrival"), F.left(first, F.lit(40)).alias("title"), F.when(F.col("doc_id") % 7 != 0, F.col("lang")).alias("author"), F.concat(F.lit("/"), (F.col("doc_id") % 50).cast("string")).alias("url"), F.concat("lang", F.lit(","), "source").alias("kind"))
+
+
+_HITS = f"""hits AS (SELECT source AS source_id, doc_id AS arrival, left(string_split(text, chr(10))[1], 40) AS title,
+  CASE WHEN doc_id % 7 <> 0 THEN lang END AS author, '/' || (doc_id % 50) AS url, lang || ',' || source AS kind FROM documents),
+keyed AS (SELECT *, translate(lower(coalesce(title, '')), {_D}, '') AS t, translate(lower(coalesce(author, '')), {_D}, '') AS a, translate(lower(kind), {_D}, '') AS k FROM hits),
+ranked AS (SELECT *, CASE WHEN t = 'theand' OR a = 'theand' THEN 0
+  WHEN contains(t, 'theand') OR contains(a, 'theand') OR contains(k, 'theand') OR contains(t, 'the') OR contains(t, 'and') THEN 1 ELSE 2 END AS rank FROM keyed)"""
+
+
+def rule_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _t(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    return c.select(k.alias("source_id"), F.col("c_name").alias("name"), F.concat(F.lit("http://s"), (k % 97).cast("string"), F.when(k % 3 == 0, "/").otherwise("")).alias("base_url"), (k % 5 != 0).alias("enabled"), F.when(k % 11 == 0, "audio").otherwise("text").alias("type"), F.when(k % 4 == 0, True).when(k % 4 == 1, False).alias("ai_search"), F.when(k % 6 == 0, "verified").when(k % 6 == 1, "broken").otherwise("unverified").alias("status"), fx.groups(F.when(k % 8 == 0, "").otherwise(F.concat("c_mktsegment", F.lit(", "), F.when(k % 2 == 0, "even").otherwise(F.col("c_mktsegment"))))).alias("groups"), k.alias("ord"))
+
+
+_SOURCES = """sources AS (SELECT c_custkey AS source_id, c_name AS name, 'http://s' || (c_custkey % 97) || CASE WHEN c_custkey % 3 = 0 THEN '/' ELSE '' END AS base_url,
+  c_custkey % 5 <> 0 AS enabled, CASE WHEN c_custkey % 11 = 0 THEN 'audio' ELSE 'text' END AS type,
+  CASE WHEN c_custkey % 4 = 0 THEN true WHEN c_custkey % 4 = 1 THEN false END AS ai_search,
+  CASE WHEN c_custkey % 6 = 0 THEN 'verified' WHEN c_custkey % 6 = 1 THEN 'broken' ELSE 'unverified' END AS status,
+  CASE WHEN c_custkey % 8 = 0 THEN [] WHEN c_custkey % 2 = 0 THEN [c_mktsegment, 'even'] ELSE [c_mktsegment] END AS groups, c_custkey AS ord FROM customer)"""
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function of (spark, sf_dir) by its name, with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+# --- extraction
+
+
+@query("""SELECT href, count(*)::BIGINT AS pages FROM (SELECT page_id, unnest(list_distinct(list_filter(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="([^"]*)"', 1), lambda x: x <> ''))) AS href FROM pages) GROUP BY href""")
+def nav_links(spark, d):
+    """Distinct links of each page's navigation, counted."""
+    return extract.links(_t(spark, d, "pages")).groupBy("href").agg(F.count("*").alias("pages"))
+
+
+@query("""SELECT value AS href, count(*)::BIGINT AS pages FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="([^"]+)"', 1))) AS value FROM pages) GROUP BY value""")
+def dom_nav_links(spark, d):
+    """SC4, D1, D10, V6: the same from the table of nodes."""
+    nodes = sources_pages.nodes(_t(spark, d, "pages"))
+    found = dom.within(dom.elements(nodes, "a"), dom.elements(nodes, "nav"))
+    return dom.attribute(found, "href").groupBy(F.col("value").alias("href")).agg(F.count("*").alias("pages"))
+
+
+@query("""SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<nav>.*?<a href="[^"]*">([^<]*)</a>', 1), '\\s+', ' ', 'g')) AS text FROM pages WHERE html LIKE '%<nav>%<a %'""")
+def dom_first_link_text(spark, d):
+    """The own text of the first link in the navigation's list."""
+    nodes = sources_pages.nodes(_t(spark, d, "pages"))
+    found = dom.at(dom.within(dom.elements(nodes, "a"), dom.elements(nodes, "nav")), [0])
+    return dom.own_text(nodes, found).select("page_id", "text")
+
+
+@query("""SELECT page_id, i::BIGINT AS place, links[i] AS href FROM (SELECT page_id, links, unnest(range(1, len(links) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="([^"]*)"', 1) AS links FROM pages)) WHERE i >= len(links) - 1""")
+def dom_last_items(spark, d):
+    """The last two links of each list, by position and last() among all li."""
+    nodes = sources_pages.nodes(_t(spark, d, "pages"))
+    items = dom.within(dom.elements(nodes, "li"), dom.elements(nodes, "nav"))
+    kept = dom.placed(items).filter("place >= last - 1").select("page_id", F.col("node_id").alias("parent_id"), "place")
+    a = dom.elements(nodes, "a").join(kept, ["page_id", "parent_id"])
+    return a.select("page_id", F.col("place").cast("long").alias("place"), F.col("attrs")["href"].alias("href"))
+
+
+@query()
+def dom_article_text(spark, d):
+    """V1, F2: the block-aware text of each article (no SQL for trees; a test has literal vectors)."""
+    nodes = sources_pages.nodes(_t(spark, d, "pages"))
+    return dom.text(nodes, dom.elements(nodes, "article")).select("page_id", "text")
+
+
+@query("""SELECT page_id, (m.i - 1)::BIGINT AS ord, m.h AS g1, m.x AS g2, 'to ' || m.h || ' as ' || m.x AS label FROM (SELECT page_id, unnest(list_transform(range(1, len(h) + 1), lambda i: {'i': i, 'h': h[i], 'x': x[i]})) AS m FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS x FROM pages))""")
+def regex_rows(spark, d):
+    """Rows of a whole-page pattern and a field template bound to them."""
+    rows = extract.regex_rows(_t(spark, d, "pages").select("page_id", "html"), "html", '<a href="([^"]*)">([^<]*)</a>', 2)
+    return rows.select("page_id", "ord", "g1", "g2", extract.bound("to $1 as $2", 2).alias("label"))
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS k, 'event ' || event_type || '/' || json_extract_string(props, '$.k') AS label FROM events""")
+def json_fields(spark, d):
+    """SC5, V10, V11, V14: a JSON path and a template that is null where a part is."""
+    e = _t(spark, d, "events")
+    k = extract.json_path(F.col("props"), "k")
+    return e.select("event_id", k.alias("k"), extract.literal("event {{type}}/{{k}}", {"type": F.col("event_type"), "k": k}).alias("label"))
+
+
+@query("""WITH p AS (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l, regexp_extract_all(html, '<p>([A-Za-z]+)', 1) AS w FROM pages)
+SELECT page_id, CASE WHEN len(w) > 0 THEN array_to_string(w, chr(10)) ELSE h END AS first_text,
+ array_to_string(list_concat([h], l), chr(10)) AS both_text,
+ array_to_string(flatten(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN i <= len(w) THEN [l[i], w[i]] ELSE [l[i]] END)), chr(10)) AS zip_text,
+ array_to_string(list_transform(list_reverse(l), lambda x: replace(x, '/', '')), chr(10)) AS back FROM p WHERE len(l) > 0 AND h <> ''""")
+def combinators(spark, d):
+    """Fallback, ordered union, interleaving, reversal with a replacement, on tagged values."""
+    p = _t(spark, d, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("h"), F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)).alias("l"), F.regexp_extract_all("html", F.lit("<p>([A-Za-z]+)"), F.lit(1)).alias("w"))
+    p = p.filter((F.size("l") > 0) & (F.col("h") != ""))
+    h, links, w = tagged.value(F.col("h")), tagged.listed(F.col("l")), tagged.listed(F.col("w"))
+    return p.select("page_id", tagged.text_of(tagged.first(w, h)).alias("first_text"), tagged.text_of(tagged.both(h, links)).alias("both_text"), tagged.text_of(tagged.interleaved(links, w)).alias("zip_text"), tagged.text_of(tagged.replaced(tagged.reversed_(links), "/", "")).alias("back"))
+
+
+@query("""WITH p AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages)
+SELECT page_id, CASE WHEN len(l) > 2 THEN array_to_string([l[1], l[3]], ',') WHEN len(l) > 0 THEN l[1] END AS listed,
+ CASE WHEN len(l) > 1 THEN array_to_string(list_reverse(l[2:]), ',') WHEN len(l) = 1 THEN l[1] END AS ranged,
+ CASE WHEN len(l) > 2 THEN array_to_string(l[2:-2], ',') END AS excluded FROM p""")
+def index_forms(spark, d):
+    """List of places, closed range with a direction, exclusion."""
+    p = _t(spark, d, "pages").select("page_id", F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)).alias("l"))
+    own = lambda v: F.array_join(v["items"], ",")
+    return p.select("page_id", own(tagged.picked(F.col("l"), [0, 2])).alias("listed"), own(tagged.picked(F.col("l"), [(-1, 1)])).alias("ranged"), own(tagged.picked(F.col("l"), None, [0, -1])).alias("excluded"))
+
+
+# --- functions
+
+
+@query(f"""SELECT doc_id, trim(regexp_replace(replace(text, chr(12288), ' '), '[ \\t\\r\\n]+', ' ', 'g'), ' ') AS cleaned,
+ trim(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(x, {_W})), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10)) AS chapter,
+ translate(lower(left(text, 60)), {_D}, '') AS relevance_key, rtrim(trim(source || '//', {_W}), '/') AS dedup_key FROM documents""")
+def text_functions(spark, d):
+    """F1, F6, F19, F20."""
+    x = F.col("text")
+    return _t(spark, d, "documents").select("doc_id", fx.clean_text(x).alias("cleaned"), fx.chapter_text(x).alias("chapter"), fx.relevance_key(F.left(x, F.lit(60))).alias("relevance_key"), fx.dedup_key(F.concat("source", F.lit("//"))).alias("dedup_key"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN n <= 0 THEN '' WHEN n <= 10000 THEN n || '字' ELSE NULL END AS label, md5_mid, left(sha1(o_orderpriority || chr(0) || o_orderkey), 10) AS epoch, strftime(o_orderdate, '%Y/%m/%d %H:%M') AS at, regexp_matches(lower(o_orderpriority), '^[0-9]') AS truthy
+FROM (SELECT *, o_orderkey % 10000 AS n, substr(md5(o_orderpriority), 9, 16) AS md5_mid FROM orders) WHERE n <= 10000""")
+def value_functions(spark, d):
+    """F30 (whole numbers to 10,000), F33, F34, F44, V21."""
+    o = _t(spark, d, "orders")
+    n = (F.col("o_orderkey") % 10000).cast("string")
+    return o.select("o_orderkey", fx.word_count_label(n).alias("label"), fv.md5_middle(F.col("o_orderpriority")).alias("md5_mid"), fv.epoch_key(F.col("o_orderpriority"), F.col("o_orderkey").cast("string")).alias("epoch"), fv.format_time(F.unix_millis(F.col("o_orderdate").cast("timestamp"))).alias("at"), fx.is_true(F.col("o_orderpriority")).alias("truthy"))
+
+
+@query()
+def word_counts(spark, d):
+    """Labels over 10,000 (half-even) and numerals; literal vectors in the tests."""
+    p = _t(spark, d, "part")
+    return p.select("p_partkey", fx.word_count_label((F.col("p_partkey") * 997).cast("string")).alias("label"), fv.numeral_value(F.translate(F.col("p_size").cast("string"), "0123456789", "零一二三四五六七八九")).alias("number"))
+
+
+# --- search
+
+
+@query(f"WITH {_HITS} SELECT source_id, arrival, rank FROM ranked WHERE rank < 2")
+def relevant_hits(spark, d):
+    """Hits that aren't suspect, with their rank."""
+    return search.kept(hits(spark, d), KEYWORD).select("source_id", "arrival", "rank")
+
+
+@query(f"""WITH {_HITS} SELECT arg_min(title, arrival) AS title, arg_min(author, arrival) AS author, min(rank) AS rank, min(arrival) AS arrival, count(DISTINCT source_id)::BIGINT AS source_count, count(*)::BIGINT AS hits,
+ array_to_string(list(source_id ORDER BY arrival), ',') AS source_list FROM ranked WHERE rank < 2 GROUP BY t, a""".replace("arg_min(author, arrival)", "list(author ORDER BY arrival)[1]"))
+def merged_books(spark, d):
+    """A1: one row for each compared title and author, with its sources in order of arrival."""
+    out = search.merge_books(hits(spark, d), KEYWORD)
+    return out.withColumn("source_list", F.array_join(F.transform("sources", lambda s: s["source_id"]), ",")).drop("sources")
+
+
+@query(f"""WITH {_HITS}, m AS (SELECT list(title ORDER BY arrival)[1] AS title, min(rank) AS rank, min(arrival) AS arrival, count(DISTINCT source_id)::BIGINT AS source_count FROM ranked WHERE rank < 2 GROUP BY t, a)
+SELECT title, rank, arrival, source_count, (SELECT count(*) FROM m)::BIGINT AS total FROM m ORDER BY rank, source_count DESC, arrival LIMIT 200""")
+def top_books(spark, d):
+    """The first 200 books, with the total before the cut."""
+    books = search.merge_books(hits(spark, d), KEYWORD).select("title", "rank", "arrival", "source_count")
+    total = books.agg(F.count("*").alias("total"))
+    return search.top_books(books).join(F.broadcast(total), F.lit(True))
+
+
+@query(f"""WITH {_HITS}, e AS (SELECT DISTINCT source_id FROM hits WHERE source_id IN ('src3', 'src8'))
+SELECT (SELECT count(DISTINCT source_id) FROM hits)::BIGINT AS searched, (SELECT count(DISTINCT source_id) FROM hits WHERE source_id NOT IN (SELECT source_id FROM e))::BIGINT AS answered, (SELECT count(*) FROM e)::BIGINT AS failed,
+ count(*)::BIGINT AS hits, count_if(rank < 2)::BIGINT AS kept, count_if(rank = 2)::BIGINT AS suspect FROM ranked WHERE source_id NOT IN (SELECT source_id FROM e)""")
+def round_summary(spark, d):
+    """Counts of a round in which two sources failed."""
+    h = hits(spark, d)
+    sources = h.select("source_id").distinct()
+    errors = sources.filter(F.col("source_id").isin("src3", "src8"))
+    return search.round_summary(h, sources, errors, KEYWORD)
+
+
+@query(f"WITH {_HITS} SELECT source_id, arrival FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY arrival) AS n FROM hits) WHERE n <= 50")
+def capped_hits(spark, d):
+    """The first 50 hits of each source."""
+    return search.first_hits(hits(spark, d)).select("source_id", "arrival")
+
+
+@query(f"WITH {_HITS} SELECT source_id, arrival, row_number() OVER (PARTITION BY source_id, url ORDER BY arrival) - 1 AS occurrence FROM hits")
+def row_keys(spark, d):
+    """How many equal rows came before."""
+    return search.occurrence(hits(spark, d), ["source_id", "url"], "arrival").select("source_id", "arrival", "occurrence")
+
+
+@query(f"WITH {_HITS} SELECT h.source_id, h.arrival, m.kind AS meta_kind FROM hits h LEFT JOIN (SELECT source_id, url, arg_min(kind, arrival) AS kind FROM hits GROUP BY source_id, url) m USING (source_id, url)")
+def hit_meta(spark, d):
+    """Each row with the first hit's field at its address."""
+    h = hits(spark, d)
+    return search.with_meta(h.drop("kind"), h).select("source_id", "arrival", "meta_kind")
+
+
+@query("""SELECT source AS source_id, CASE WHEN k IS NULL THEN 'broken' ELSE 'verified' END AS status, k AS keyword FROM (SELECT source, arg_min(lang, doc_id) FILTER (n_chars >= 3000) AS k FROM documents GROUP BY source)""")
+def probe_verdicts(spark, d):
+    """A10: the first try that brought something, else broken."""
+    t = _t(spark, d, "documents").select(F.col("source").alias("source_id"), F.col("doc_id").alias("ord"), F.col("lang").alias("keyword"), F.floor(F.col("n_chars") / 3000).alias("items"), F.lit("t").alias("first_title"))
+    return search.probe_verdicts(t)
+
+
+# --- registry
+
+
+@query(f"""WITH {_SOURCES} SELECT source_id, type = 'text' AND enabled AS p1, (type = 'text' AND enabled AND coalesce(ai_search, false)) AS p2 FROM sources
+ WHERE status = 'unverified' AND (contains(lower(name), '00') OR contains(lower(base_url), '00') OR len(list_filter(groups, lambda g: contains(lower(g), '00'))) > 0) AND list_contains(groups, 'even')""")
+def source_filters(spark, d):
+    """Participation and the list's filters."""
+    s = rule_sources(spark, d).filter(registry.matches("00", "unverified", "even"))
+    return s.select("source_id", registry.participates().alias("p1"), registry.ai_participates().alias("p2"))
+
+
+@query(f'WITH {_SOURCES} SELECT g AS "group", count(*)::BIGINT AS sources FROM (SELECT unnest(CASE WHEN len(groups) = 0 THEN [NULL] ELSE list_distinct(groups) END) AS g FROM sources) GROUP BY g')
+def facet_counts(spark, d):
+    """Sources of each group, and without any."""
+    return registry.facet_counts(rule_sources(spark, d))
+
+
+@query(f"""WITH {_SOURCES} SELECT count(*)::BIGINT AS total, count_if(enabled)::BIGINT AS enabled, count_if(NOT enabled)::BIGINT AS disabled, count_if(type = 'text' AND enabled AND coalesce(ai_search, false))::BIGINT AS ai, count_if(status = 'unverified')::BIGINT AS unverified, count_if(status = 'broken')::BIGINT AS broken FROM sources""")
+def source_statistics(spark, d):
+    """A4."""
+    return registry.statistics(rule_sources(spark, d))
+
+
+_INTAKE = f"""WITH {_SOURCES}, known AS (SELECT *, rtrim(base_url, '/') AS key FROM sources WHERE source_id % 97 < 60 AND source_id % 2 = 0),
+batch AS (SELECT ord, name, base_url, rtrim(base_url, '/') AS key, row_number() OVER (PARTITION BY rtrim(base_url, '/') ORDER BY ord) AS n FROM sources WHERE source_id % 2 = 1),
+held AS (SELECT key, list(source_id ORDER BY status <> 'verified', ord)[1] AS existing, bool_or(status = 'verified') AS v, count(*) - 1 AS rest FROM known GROUP BY key),
+outcomes AS (SELECT ord, name, base_url, CASE WHEN n > 1 THEN 'skipped-batch' WHEN existing IS NULL THEN 'added' WHEN v THEN 'skipped-verified' ELSE 'replaced' END AS outcome, existing, rest FROM batch LEFT JOIN held USING (key))"""
+
+
+def _intake(spark, d):
+    s = rule_sources(spark, d)
+    known = s.filter("source_id % 97 < 60 AND source_id % 2 = 0").select("source_id", "base_url", "status", "ord")
+    return registry.intake(known, s.filter("source_id % 2 = 1").select("ord", "name", "base_url"))
+
+
+@query(_INTAKE + " SELECT ord, name, base_url, outcome, existing, (CASE WHEN outcome = 'replaced' THEN rest ELSE 0 END)::BIGINT AS cleared FROM outcomes")
+def source_intake(spark, d):
+    """J4, SC9: outcomes of an import."""
+    return _intake(spark, d)
+
+
+@query(_INTAKE + " SELECT count_if(outcome IN ('added', 'replaced'))::BIGINT AS ok, count_if(outcome = 'failed')::BIGINT AS failed, count_if(outcome LIKE 'skipped%')::BIGINT AS dup_skipped, count_if(outcome = 'replaced')::BIGINT AS replaced FROM outcomes")
+def import_counts(spark, d):
+    """A5."""
+    return registry.job_counts(_intake(spark, d))
+
+
+@query("""WITH o AS (SELECT c_custkey AS key, c_name AS name, c_acctbal AS bal FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN 'new' || c_name END AS name, CASE WHEN c_custkey % 4 = 0 THEN 0.0 END AS bal FROM customer WHERE c_custkey % 5 <> 0)
+SELECT coalesce(o.key, n.key) AS key, coalesce(n.name, o.name) AS name, coalesce(n.bal, o.bal) AS bal FROM o FULL JOIN n ON o.key = n.key""")
+def upsert(spark, d):
+    """New values win, nulls keep the old ones."""
+    c = _t(spark, d, "customer")
+    k = F.col("c_custkey")
+    old = c.filter("c_custkey % 3 <> 0").select(k.alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"))
+    new = c.filter("c_custkey % 5 <> 0").select(k.alias("key"), F.when(k % 2 == 0, F.concat(F.lit("new"), "c_name")).alias("name"), F.when(k % 4 == 0, 0.0).alias("bal"))
+    return registry.upsert(old, new, "key")
+
+
+@query("SELECT o_custkey, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 200000")
+def lookups(spark, d):
+    """Rows with the names of what they refer to."""
+    o = _t(spark, d, "orders").filter("o_totalprice > 200000").select("o_custkey")
+    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
+    return registry.lookup(registry.lookup(o, c, "o_custkey", "n_nationkey"), _t(spark, d, "nation"), "n_nationkey", "n_name").select("o_custkey", "n_name")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def set_logic(spark, d):
+    """What is not in one set and is in another."""
+    lab = _t(spark, d, "labels")
+    docs = _t(spark, d, "documents").select("doc_id")
+    return registry.among(registry.subtract(docs, lab.filter("toxic = 1"), "doc_id"), lab.filter("quality = 1"), "doc_id")
+
+
+@query("SELECT source, list(doc_id ORDER BY doc_id)[1:3] AS first_docs, count(*)::BIGINT AS n FROM documents GROUP BY source")
+def finding_log(spark, d):
+    """Counts with the first three examples."""
+    rows = _t(spark, d, "documents").select(F.col("source").alias("key"), F.col("doc_id").alias("ord"), F.col("doc_id").alias("example"))
+    return registry.findings(rows).select(F.col("key").alias("source"), F.col("examples").alias("first_docs"), "n")
+
+
+@query("SELECT n_regionkey, string_agg(n_nationkey::VARCHAR, '|' ORDER BY n_nationkey::VARCHAR) AS signature FROM nation GROUP BY n_regionkey")
+def signatures(spark, d):
+    """A group's sorted keys as one text."""
+    return registry.signature(_t(spark, d, "nation"), "n_regionkey", "n_nationkey")
+
+
+# --- sequences
+
+
+@query("""WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
+SELECT doc_id, line_no, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM l""")
+def line_starts(spark, d):
+    """The characters before each line."""
+    return sequences.lines(_t(spark, d, "documents")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "start")
+
+
+@query("""WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS n, unnest(ls) AS line, length(text) AS total FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents)),
+p AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, length(line) < 60 AND line <> '' AS head FROM l),
+h AS (SELECT *, lead(start) OVER (PARTITION BY doc_id ORDER BY n) AS next, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM p WHERE head),
+prose AS (SELECT h.doc_id FROM h JOIN p ON p.doc_id = h.doc_id AND p.n < h.n AND trim(p.line) <> '' WHERE h.k = 1 GROUP BY h.doc_id),
+s AS (SELECT doc_id, n, trim(line) AS name, start + length(line) + 1 AS start, coalesce(next - 1, total) AS "end" FROM h
+ UNION ALL SELECT doc_id, 0, '正文', 0, start - 1 FROM h WHERE k = 1 AND doc_id IN (SELECT doc_id FROM prose)
+ UNION ALL SELECT doc_id, 1, '正文', 0, total FROM l WHERE n = 1 AND doc_id NOT IN (SELECT doc_id FROM h))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS idx, name, start::BIGINT AS start, "end"::BIGINT AS "end" FROM s""")
+def chapters(spark, d):
+    """Chapters between heading lines (here: short lines)."""
+    return sequences.chapters(_t(spark, d, "documents"), heading=r"^.{1,59}$")
+
+
+@query("""SELECT o_custkey, o_orderkey FROM (SELECT *, sum(sz) OVER (PARTITION BY o_custkey) AS total FROM (SELECT o_custkey, o_orderkey, o_orderdate, o_orderstatus = 'O' AND o_orderkey % 5 = 0 AS reserved, (o_totalprice::BIGINT) AS sz FROM orders)) t
+ WHERE NOT reserved AND total - coalesce((SELECT sum(u.sz) FROM (SELECT o_custkey AS c, o_orderkey AS k, o_orderdate AS dt, o_totalprice::BIGINT AS sz FROM orders WHERE NOT (o_orderstatus = 'O' AND o_orderkey % 5 = 0)) u WHERE u.c = t.o_custkey AND (u.dt < t.o_orderdate OR (u.dt = t.o_orderdate AND u.k < t.o_orderkey))), 0) > 1000000""")
+def prune_by_age(spark, d):
+    """What a store of each customer drops, oldest first, passing over reserved entries."""
+    o = _t(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("entry"), F.col("o_orderdate").alias("mtime"), F.round("o_totalprice").cast("long").alias("size"), ((F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 5 == 0)).alias("reserved"))
+    return sequences.pruned(o, "o_custkey", 1_000_000).select("o_custkey", F.col("entry").alias("o_orderkey"))
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 18 ORDER BY event_id DESC LIMIT 330")
+def newest_rows(spark, d):
+    """The newest of each user, and of these the newest overall."""
+    return sequences.newest(_t(spark, d, "events"), "user_id", "event_id", 18, 330).select("user_id", "event_id")
+
+
+@query("""SELECT user_id, event_id, "offset"::BIGINT AS "offset" FROM (SELECT *, coalesce(sum(sz) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset", sum(sz) OVER (PARTITION BY user_id ORDER BY event_id DESC ROWS UNBOUNDED PRECEDING) AS after, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM (SELECT user_id, event_id, length(props) + length(event_type) AS sz FROM events)) WHERE after <= 100 OR n = 1""")
+def kept_tail(spark, d):
+    """W9, ST4: the last rows within a number of bytes."""
+    e = _t(spark, d, "events").select("user_id", "event_id", (F.length("props") + F.length("event_type")).alias("sz"))
+    return sequences.tail(e, "user_id", "event_id", "sz", 100).select("user_id", "event_id", "offset")
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def joined_turns(spark, d):
+    """T5, V9: texts joined in order."""
+    return sequences.joined_in_order(_t(spark, d, "conversations"), "conv_id", "turn", "text")
+
+
+@query("""SELECT conv_id, string_agg(role || chr(10) || chr(10) || coalesce(t, '[missing]'), chr(10) || chr(10) ORDER BY turn) AS text FROM (SELECT *, count_if(t IS NULL) OVER (PARTITION BY conv_id ORDER BY turn) AS miss FROM (SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 4 <> 3 THEN text END AS t FROM conversations WHERE turn BETWEEN 0 AND 4)) WHERE miss = 0 OR (miss = 1 AND t IS NULL) GROUP BY conv_id""")
+def export_range(spark, d):
+    """SK3: a range of chapters as one text, up to the first that is missing."""
+    c = _t(spark, d, "conversations").select("conv_id", F.col("turn").alias("idx"), F.col("role").alias("name"), F.when((F.col("conv_id") + F.col("turn")) % 4 != 3, F.col("text")).alias("text"))
+    return sequences.export_range(c, "conv_id", 0, 4)
+
+
+@query("""SELECT l_orderkey, pos::DOUBLE AS pos, coalesce((SELECT max(i.l_linenumber) FROM lineitem i WHERE i.l_orderkey = p.l_orderkey AND i.l_quantity::INT % 7 <> 0 AND i.l_quantity * i.l_linenumber <= p.pos), (SELECT min(i.l_linenumber) FROM lineitem i WHERE i.l_orderkey = p.l_orderkey AND i.l_quantity::INT % 7 <> 0)) AS item
+FROM (SELECT l_orderkey, max(l_quantity) AS pos FROM lineitem GROUP BY l_orderkey) p""")
+def current_items(spark, d):
+    """The last item that starts at or before a position."""
+    li = _t(spark, d, "lineitem")
+    items = li.select("l_orderkey", F.col("l_linenumber").alias("ord"), F.when(F.col("l_quantity").cast("int") % 7 != 0, F.col("l_quantity") * F.col("l_linenumber")).alias("start"))
+    return shelf.current_item(li.groupBy("l_orderkey").agg(F.max("l_quantity").alias("pos")), items, "l_orderkey")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 9 > 0 THEN least(100, floor((o_orderkey % 10 + 0.5) / (o_custkey % 9) * 100 + 0.5)) END::BIGINT AS percent FROM orders")
+def progress(spark, d):
+    """Percent read."""
+    o = _t(spark, d, "orders")
+    return o.select("o_orderkey", fv.progress_percent(F.col("o_orderkey") % 10, F.lit(0.5), F.col("o_custkey") % 9).alias("percent"))
+
+
+@query("SELECT conv_id, min(turn) FILTER (turn >= 1 AND (conv_id + turn) % 3 = 0) AS next FROM conversations GROUP BY conv_id")
+def next_missing(spark, d):
+    """The first slot without a text."""
+    c = _t(spark, d, "conversations").select("conv_id", F.col("turn").alias("idx"), F.when((F.col("conv_id") + F.col("turn")) % 3 != 0, F.col("text")).alias("text"))
+    return shelf.next_missing(c, "conv_id", 1)
+
+
+# --- iteration and state
+
+
+@query("""WITH RECURSIVE n AS (SELECT DISTINCT 'p' || page_id AS url, 'p' || ((page_id * 7 + 3) % 40) AS next FROM pages WHERE page_id < 40), r(start, url, step) AS (SELECT 'p' || page_id, 'p' || page_id, 0 FROM pages WHERE page_id < 10 UNION ALL SELECT start, next, step + 1 FROM r JOIN n ON r.url = n.url WHERE step < 12)
+SELECT start, url, min(step)::INT AS step FROM r GROUP BY start, url""")
+def page_closure(spark, d):
+    """Pages reached from each start in 12 steps, with a cycle."""
+    p = _t(spark, d, "pages").filter("page_id < 40")
+    name = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    links = p.select(name(F.col("page_id")).alias("url"), name((F.col("page_id") * 7 + 3) % 40).alias("next"))
+    return paginate.closure(p.filter("page_id < 10").select(name(F.col("page_id")).alias("url")), links, 12)
+
+
+@query()
+def rate_limit(spark, d):
+    """ST3: when a limiter lets each user's events through (sequential by key; a test has a brute-force version)."""
+    e = _t(spark, d, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    return limits.admitted(e, "user_id", "at", "event_id", 3, 3_600_000)
+
+
+@query()
+def lru(spark, d):
+    """ST6: hits of a store of ten keys for each customer segment of users (sequential; brute force in a test)."""
+    e = _t(spark, d, "events").select((F.col("user_id") % 16).alias("store"), F.col("user_id").alias("key"), "event_id")
+    return limits.lru_hits(e, "store", "key", "event_id", 5)
+
+
+@query()
+def ttl(spark, d):
+    """ST5: hits of a cache that keeps results fifteen minutes."""
+    e = _t(spark, d, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    return limits.ttl_hits(e, "user_id", "at", 900_000, "event_id")
+
+
+@query("SELECT event_id FROM events WHERE event_id >= 500")
+def cursor_delta(spark, d):
+    """ST1: rows that a cursor hasn't seen."""
+    return limits.delta(_t(spark, d, "events"), "event_id", 500).select("event_id")
