@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .functions import text as fx
 from .functions import values as fv
-from .operators import dom, extract, paginate, registry, search, sequences, shelf, tagged
+from .operators import dom, extract, paginate, registry, search, sequences, shelf, tagged, units
+from .plans import federated
 from .sources import pages as sources_pages
 from .streaming import limits
 
@@ -442,3 +443,51 @@ def ttl(spark, d):
 def cursor_delta(spark, d):
     """ST1: rows that a cursor hasn't seen."""
     return limits.delta(_t(spark, d, "events"), "event_id", 500).select("event_id")
+
+
+# --- over many sources
+
+
+@query("""WITH s AS (SELECT DISTINCT lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)) AS host FROM pages), m AS (SELECT host, page_id, unnest(list_transform(range(1, len(h) + 1), lambda i: {'i': i, 't': trim(t[i])})) AS e FROM (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)) AS host, regexp_extract_all(html, '<a href="(/[^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="(/[^"]*)">([^<]*)</a>', 2) AS t FROM pages)),
+r AS (SELECT host, page_id * 100000 + e.i - 1 AS arrival, e.t AS title, row_number() OVER (PARTITION BY host ORDER BY page_id, e.i) AS n FROM m WHERE e.t <> ''),
+k AS (SELECT *, translate(lower(title), """ + _D + """, '') AS key FROM r WHERE n <= 50)
+SELECT list(title ORDER BY arrival)[1] AS title, CASE WHEN key = 'the' THEN 0 ELSE 1 END AS rank, count(DISTINCT host)::BIGINT AS source_count, count(*)::BIGINT AS hits FROM k WHERE contains(key, 'the') GROUP BY key
+ORDER BY rank, source_count DESC, min(arrival) LIMIT 200""")
+def federated_search(spark, d):
+    """Pages of all hosts, rows by each source's pattern, merged and ranked."""
+    pages = _t(spark, d, "pages")
+    sources = pages.select(federated.host(F.col("url")).alias("host")).distinct().select(F.col("host").alias("source_id"), "host", F.lit('<a href="(/[^"]*)">([^<]*)</a>').alias("pattern"))
+    return federated.search(sources, pages, "the").select("title", "rank", "source_count", "hits")
+
+
+@query("""WITH r AS (SELECT source AS source_id, n_chars % 40 AS key, lang, (doc_id // 100)::INT AS page, doc_id AS ord FROM documents WHERE doc_id < 1200),
+k AS (SELECT *, row_number() OVER (PARTITION BY source_id, key ORDER BY page, ord) AS n FROM r), f AS (SELECT * FROM k WHERE n = 1)
+SELECT f.source_id, f.ord, (x.new = x.last AND x.last < 10) AS more FROM f JOIN (SELECT r.source_id, max(r.page) AS last, (SELECT max(page) FROM f WHERE f.source_id = r.source_id) AS new FROM r GROUP BY r.source_id) x ON x.source_id = f.source_id""")
+def explore_pages(spark, d):
+    """O8, ST2, T3: first rows over pages, and whether more may follow."""
+    r = _t(spark, d, "documents").filter("doc_id < 1200").select(F.col("source").alias("source_id"), (F.col("n_chars") % 40).alias("key"), F.floor(F.col("doc_id") / 100).cast("int").alias("page"), F.col("doc_id").alias("ord"))
+    return federated.distinct_over_pages(r, F.col("key")).select("source_id", "ord", "more")
+
+
+@query("""WITH e AS (SELECT conv_id AS book, turn AS ord, role AS name, CASE WHEN conv_id % 5 <> 0 AND turn % 3 <> 1 THEN '/' || (turn % 4) END AS u FROM conversations),
+a AS (SELECT *, bool_or(u IS NOT NULL) OVER (PARTITION BY book) AS has, coalesce(u, '/page') AS url FROM e),
+f AS (SELECT *, row_number() OVER (PARTITION BY book, url ORDER BY ord) AS n FROM a)
+SELECT book, row_number() OVER (PARTITION BY book ORDER BY ord) - 1 AS idx, name, url, CASE WHEN NOT has THEN 'NO_URL' END AS error FROM f WHERE n = 1 OR NOT has""")
+def contents(spark, d):
+    """T4: chapters with the page's address where one is missing, and books without any."""
+    c = _t(spark, d, "conversations")
+    e = c.select(F.col("conv_id").alias("book"), F.lit("/page").alias("page_url"), F.col("turn").alias("ord"), F.col("role").alias("name"), F.when((F.col("conv_id") % 5 != 0) & (F.col("turn") % 3 != 1), F.concat(F.lit("/"), (F.col("turn") % 4).cast("string"))).alias("url"))
+    return federated.contents(e)
+
+
+@query("SELECT source AS source_id, list_distinct(list(lang ORDER BY doc_id))::VARCHAR IS NOT NULL AS present, len(list_distinct(list(lang)))::INT AS n FROM documents GROUP BY source")
+def declared_kinds(spark, d):
+    """Distinct titles of each source (their number, as DuckDB doesn't keep their order)."""
+    k = _t(spark, d, "documents").select(F.col("source").alias("source_id"), F.col("doc_id").alias("ord"), F.col("lang").alias("title"))
+    return federated.declared_kinds(k).select("source_id", F.col("titles").isNotNull().alias("present"), F.size("titles").alias("n"))
+
+
+@query()
+def play_units(spark, d):
+    """Units of a text and their order (literal vectors in the tests)."""
+    return units.units(_t(spark, d, "documents"))
