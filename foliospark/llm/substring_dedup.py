@@ -127,6 +127,16 @@ class FingerprintIndex:
         self.runs: list[str] = []
         small_batches(spark)
 
+    @classmethod
+    def reopen(cls, spark: SparkSession, root: str, runs: list[str], buckets: int, **options) -> FingerprintIndex:
+        """The index below root (its root, runs and buckets as they were), in another session."""
+        index = cls(spark, buckets, **options)
+        index.root, index.runs = root, list(runs)
+        for name in runs:
+            if not spark.catalog.tableExists(name):
+                spark.sql(f"CREATE TABLE {name} (h BIGINT, doc_id BIGINT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {buckets} BUCKETS LOCATION '{root}/{name}'")
+        return index
+
     def _write(self, rows: DataFrame) -> str:
         name = f"fingerprint_run_{uuid.uuid4().hex}"
         rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.root}/{name}").saveAsTable(name)

@@ -89,6 +89,20 @@ def test_substrings(odd, given, batches, max_runs):
     assert substring_dedup.dedup(docs).count() == docs.count()
 
 
+def test_index_over_sessions(spark, given):
+    """Two days: the index is opened again, and only the second day's candidates are asked for."""
+    early, late = given.filter("doc_id < 120"), given.filter("doc_id >= 120")
+    first = substring_dedup.FingerprintIndex(spark)
+    first.add(early.select("doc_id", "text"))
+    for name in first.runs:
+        spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
+    again = substring_dedup.FingerprintIndex.reopen(spark, first.root, first.runs, first.buckets)
+    hits = again.add(late.select("doc_id", "text"))
+    found = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in again.verify(given, hits).filter("doc_id >= 120").collect()}
+    expected = brute_substrings(distinct(given))
+    assert found == {i: expected[i] for i in found} and len(found) == late.count() and sum(v[1] for v in found.values()) > 0
+
+
 def test_substrings_of_nothing(none):
     assert substring_dedup.dedup(none).count() == 0
 
