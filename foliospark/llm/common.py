@@ -40,8 +40,9 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows, so that a batch of long texts stays small."""
+    """Arrow batches of few rows and 16 MB, so that a batch of long texts stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left") -> DataFrame:
