@@ -156,3 +156,17 @@ def containing(nodes: DataFrame, of: DataFrame, words: str, own: bool = False) -
     texts = own_text(nodes, of) if own else all_text(nodes, of)
     hit = texts.filter(F.contains(F.lower("text"), F.lit(words.lower()))).select("page_id", "node_id")
     return of.join(hit, ["page_id", "node_id"], "left_semi")
+
+
+def attribute_or_below(nodes: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """page_id, ord, value: each node's own attribute, or that of the first element below that has it (not for html and body).
+
+    Empty values are dropped, each value of a page stands once, in document order of the selected nodes.
+    """
+    has = nodes.select("page_id", F.col("node_id").alias("at"), "path", F.btrim(F.col("attrs")[name]).alias("value")).filter("value <> ''")
+    below = has.select("page_id", F.explode("path").alias("node_id"), "at", "value").groupBy("page_id", "node_id").agg(F.min_by("value", "at").alias("below"))
+    rows = found.select("page_id", "node_id", "tag", F.nullif(F.btrim(F.col("attrs")[name]), F.lit("")).alias("own")).join(below, ["page_id", "node_id"], "left")
+    value = F.coalesce("own", F.when(~F.coalesce("tag", F.lit("")).isin("html", "body"), F.col("below")))
+    rows = rows.select("page_id", "node_id", value.alias("value")).filter("value IS NOT NULL")
+    first = rows.groupBy("page_id", "value").agg(F.min("node_id").alias("at"))
+    return first.select("page_id", (F.row_number().over(Window.partitionBy("page_id").orderBy("at")) - 1).cast("long").alias("ord"), "value")

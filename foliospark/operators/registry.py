@@ -114,3 +114,15 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, *fields: str) -> DataFra
 def signature(ids: DataFrame, group: str, key: str) -> DataFrame:
     """A group's sorted keys as one text."""
     return ids.groupBy(group).agg(F.array_join(F.sort_array(F.collect_list(F.col(key).cast("string"))), "|").alias("signature"))
+
+
+def validated(sources: DataFrame) -> DataFrame:
+    """sources with missing: the reasons why a source (name, base_url, type, content_rule) is refused; empty for a good one."""
+    blank = lambda c: F.coalesce(F.btrim(c), F.lit("")) == ""
+    reasons = F.array(F.when(blank("name"), "name"), F.when(blank("base_url"), "base_url"), F.when(F.coalesce("type", F.lit("")) != "text", "type"), F.when(blank("content_rule"), "content_rule"))
+    return sources.withColumn("missing", F.array_compact(reasons))
+
+
+def hidden_cards(cards: DataFrame, muted: DataFrame) -> DataFrame:
+    """Cards (card, signature) without those muted (card, signature) since they last changed."""
+    return cards.join(muted.select("card", "signature"), ["card", "signature"], "left_anti")

@@ -39,3 +39,16 @@ def test_rest(spark):
     assert [one(spark, fm.paragraph_at(F.lit(r), F.lit(5))) for r in (0.0, 0.125, 0.5, 1.0)] == [0, 1, 2, 4] and one(spark, fm.ratio_of(F.lit(4), F.lit(5))) == 1
     wanted = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "url string")
     assert tuple(fm.receipts(wanted, spark.createDataFrame([("a",), ("z",)], "url string")).first()) == (2, 1, 1, 1)
+
+
+def test_attributes_below_and_validation(spark):
+    from foliospark.operators import dom, registry
+    from foliospark.sources import pages
+
+    nodes = pages.nodes(spark.createDataFrame([(1, '<body><li><a href="/1">x</a><a href="/2">y</a></li><li href="/0"><a href="/3">z</a></li><li>none</li></body>')], "page_id long, html string"))
+    got = lambda tag: [r.value for r in dom.attribute_or_below(nodes, dom.elements(nodes, tag), "href").orderBy("ord").collect()]
+    assert got("li") == ["/1", "/0"] and got("body") == []
+    rows = spark.createDataFrame([("a", "u", "text", "r"), (" ", None, "audio", "")], "name string, base_url string, type string, content_rule string")
+    assert [r.missing for r in registry.validated(rows).collect()] == [[], ["name", "base_url", "type", "content_rule"]]
+    cards = spark.createDataFrame([("c", "1|2"), ("d", "3")], "card string, signature string")
+    assert [r.card for r in registry.hidden_cards(cards, cards.filter("card = 'c'")).collect()] == ["d"]
