@@ -54,7 +54,8 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left") -
     """
     if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), key, how)
-    salt = F.pmod(F.xxhash64(*[c for c in big.columns if dict(big.dtypes)[c] in ("bigint", "int", "string")]), F.lit(SALTS)).cast("int")
+    spread = [name for name, kind in big.dtypes if kind in ("bigint", "int", "string")]
+    salt = F.pmod(F.xxhash64(F.lit(SALTS), *[F.col(f"`{name}`") for name in spread]), F.lit(SALTS)).cast("int")
     repeated = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return big.withColumn("__salt", salt).join(repeated, [key, "__salt"], how).drop("__salt")
 

@@ -11,6 +11,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from hypothesis import given as given_
+from hypothesis import settings
+from hypothesis import strategies as st
 
 from foliospark.llm import byte_bpe, fingerprints, line_dedup, mixing, quality, simhash, substring_dedup, token_counts, token_file, warc
 
@@ -434,6 +437,42 @@ def test_mixing(odd, given, none, kind, monkeypatch):
     assert mixing.mix(none, **kind).count() == 0
 
 
+def test_salted_lookups(odd, monkeypatch):
+    """Where lookup tables are too large to broadcast, the results are the same."""
+    from foliospark.llm import common
+
+    runs = (lambda: line_dedup.dedup(odd), lambda: quality.judge(odd), lambda: mixing.mix(odd, max_repeats=3.0))
+    broadcast = [Counter(map(str, run().collect())) for run in runs]
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    for run, expected in zip(runs, broadcast, strict=True):
+        out = run()
+        assert "__salt" not in out.columns and Counter(map(str, out.collect())) == expected
+
+
+@settings(deadline=None, max_examples=60)
+@given_(st.lists(st.one_of(st.integers(0, 70_000), st.integers(0, 2**64 - 1)), max_size=300))
+def test_pack_any(ids):
+    ids = np.array(ids, np.uint64)
+    assert (token_file.unpack(token_file.pack(ids)) == ids).all()
+
+
+@settings(deadline=None, max_examples=60)
+@given_(st.binary(max_size=5000), st.integers(1, 600))
+def test_chunks_of_any(payload, size):
+    assert warc.dechunked(warc._HTTP + warc.chunked(payload, size)) == payload
+
+
+@settings(deadline=None, max_examples=60)
+@given_(st.text(alphabet=" ab▁\n", max_size=40))
+def test_pre_tokens_of_any(text):
+    counts = token_counts.Counts(open(token_counts.default_model(), "rb").read(), {}) if not MODEL else MODEL[0]
+    MODEL[:] = [counts]
+    assert counts.counts([text]) == [len(counts.model.encode(text))]
+
+
+MODEL = []
+
+
 def test_crc_and_digests(spark):
     import __spark_entry__ as e
 
