@@ -143,7 +143,8 @@ def links(distinct: DataFrame, bits: int = MAX_BITS, shard_rows: int = SHARD_ROW
     n = distinct.count()
     depth = max(0, min(MAX_SHARDS, n // shard_rows)).bit_length()
     wanted = SAMPLE << depth
-    rows = distinct.filter(F.pmod(F.xxhash64(F.lit(5), "fp"), F.lit(1_000_003)) < int(min(1.0, 2 * wanted / max(n, 1)) * 1_000_003)).select("fp").limit(4 * wanted).collect() if depth else []
+    share = F.pmod(F.xxhash64(F.lit(5), "fp"), F.lit(2**40)) < int(min(1.0, 2 * wanted / max(n, 1)) * 2**40)
+    rows = distinct.filter(share).select("fp").limit(4 * wanted).collect() if depth else []
     tree = top_tree(np.unique(np.array([r["fp"] for r in rows], np.int64)).view(np.uint64), depth) if depth else [(0, 0)]
 
     def send(batch: pa.RecordBatch) -> pa.RecordBatch:
