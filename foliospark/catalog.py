@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import more
 from .functions import text as fx
 from .functions import values as fv
 from .operators import dom, extract, paginate, registry, search, sequences, shelf, tagged, units
@@ -491,3 +492,85 @@ def declared_kinds(spark, d):
 def play_units(spark, d):
     """Units of a text and their order (literal vectors in the tests)."""
     return units.units(_t(spark, d, "documents"))
+
+
+# --- shelf, requests and small computations
+
+
+@query("SELECT o_orderkey AS book_key, updated_at FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate END AS updated_at, o_custkey AS added_at, o_orderstatus <> 'O' AS reading FROM orders) WHERE reading ORDER BY updated_at DESC NULLS LAST, added_at DESC, book_key LIMIT 100")
+def shelf_view(spark, d):
+    """Books being read, newest first, the first page of them."""
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("book_key"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate")).alias("updated_at"), F.col("o_custkey").alias("added_at"), F.when(F.col("o_orderstatus") != "O", 0.5).alias("progress"), F.lit("s").alias("source_id"))
+    return shelf.shelf_sort(o.filter(shelf.shelf_filter("reading"))).limit(100).select("book_key", "updated_at")
+
+
+@query("""SELECT n_nationkey, 'http://h/' || replace(n_name, ' ', '%20') || '?p=' || CASE WHEN n_regionkey = 0 THEN '1' ELSE n_regionkey::VARCHAR END || '&z={{z}}' AS url, CASE WHEN n_nationkey % 2 = 0 THEN 'POST' ELSE 'GET' END AS method,
+ CASE WHEN n_nationkey % 2 = 0 THEN 'b' || n_nationkey END AS body, list_extract(['/l1', '/l2', '/l3'], least(n_regionkey + 1, 3)::BIGINT) || '.html' AS page FROM nation""")
+def request_plans(spark, d):
+    """Addresses with values filled in, and their option objects."""
+    n = _t(spark, d, "nation")
+    region = F.when(F.col("n_regionkey") != 0, F.col("n_regionkey").cast("string"))
+    option = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit(',{"body":"b'), F.col("n_nationkey").cast("string"), F.lit('"}'))).otherwise("")
+    plain = federated.request("http://h/{{name}}?p={{p||1}}&z={{z}}", {"name": F.col("n_name"), "p": region})
+    full = F.concat(plain["url"], option)
+    body = F.get_json_object(fx.url_option(full), "$.body")
+    page = fx.page_choice(F.lit("/l<1, 2,3>.html"), F.col("n_regionkey") + 1)
+    return n.select("n_nationkey", fx.without_option(full).alias("url"), F.when(body.isNotNull(), "POST").otherwise(plain["method"]).alias("method"), body.alias("body"), page.alias("page"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'second' ELSE c_name END AS name, 'x=y' AS other, CASE WHEN c_custkey % 3 = 0 THEN 3 ELSE 2 END AS kinds, 'k' || c_custkey AS first_kind FROM customer""")
+def header_algebra(spark, d):
+    """cookies as maps (the last of a name wins) and kinds of a text."""
+    k = F.col("c_custkey")
+    text = F.concat(F.lit("n="), F.col("c_name"), F.lit("; bad; o = x=y"), F.when(k % 2 == 0, "; n=second").otherwise(""))
+    kinds = federated.explore_kinds(F.concat(F.lit("k"), k.cast("string"), F.lit("::/1&&"), F.when(k % 3 == 0, "b\n").otherwise(""), F.lit(" ::/x\nc::/2")))
+    return _t(spark, d, "customer").select("c_custkey", fv.cookies(text)["n"].alias("name"), fv.cookies(text)["o"].alias("other"), F.size(kinds).alias("kinds"), F.get(kinds, F.lit(0))["title"].alias("first_kind"))
+
+
+@query("""SELECT page_id, page_id % 5 IN (0, 1, 3) AS same FROM pages""")
+def chapter_pages(spark, d):
+    """Whether a next page is still the chapter's."""
+    base = F.concat(F.lit("http://h/c/"), F.col("page_id").cast("string"))
+    url = F.when(F.col("page_id") % 5 == 0, F.concat(base, F.lit("_2.html"))).when(F.col("page_id") % 5 == 1, F.concat(base, F.lit(".html?page=2"))).when(F.col("page_id") % 5 == 2, F.concat(base, F.lit(".html?cid=2"))).when(F.col("page_id") % 5 == 3, F.concat(base, F.lit(".html"))).otherwise(F.lit("http://g/c/1.html"))
+    return _t(spark, d, "pages").select("page_id", fv.same_chapter(url, F.concat(base, F.lit(".html"))).alias("same"))
+
+
+@query("""WITH w AS (SELECT CASE WHEN doc_id % 6 <> 0 THEN '/' || (doc_id % 50) END AS url FROM documents), l AS (SELECT DISTINCT '/' || (doc_id % 50) AS url FROM labels WHERE quality = 0)
+SELECT count(DISTINCT url)::BIGINT AS seats, (SELECT count(DISTINCT w.url) FROM w JOIN l ON w.url = l.url)::BIGINT AS landed, (SELECT count(DISTINCT url) FROM w WHERE url IS NOT NULL AND url NOT IN (SELECT url FROM l))::BIGINT AS missing, count_if(url IS NULL)::BIGINT AS unaddressed FROM w""")
+def receipts(spark, d):
+    """Seats, what landed, what is missing."""
+    name = F.concat(F.lit("/"), (F.col("doc_id") % 50).cast("string"))
+    wanted = _t(spark, d, "documents").select(F.when(F.col("doc_id") % 6 != 0, name).alias("url"))
+    return more.receipts(wanted, _t(spark, d, "labels").filter("quality = 0").select(name.alias("url")))
+
+
+@query("""SELECT s_suppkey, list_filter([CASE WHEN s_suppkey % 7 = 0 THEN 'base_url' END, CASE WHEN s_suppkey % 5 = 0 THEN 'type' END, CASE WHEN s_suppkey % 3 = 0 THEN 'content_rule' END], lambda x: x IS NOT NULL) AS missing FROM supplier""")
+def source_validation(spark, d):
+    """Why a source is refused."""
+    k = F.col("s_suppkey")
+    s = _t(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("name"), F.when(k % 7 != 0, "u").alias("base_url"), F.when(k % 5 == 0, "audio").otherwise("text").alias("type"), F.when(k % 3 == 0, " ").otherwise("r").alias("content_rule"))
+    return registry.validated(s).select("s_suppkey", "missing")
+
+
+@query("""SELECT l_orderkey, l_linenumber, least(greatest((l_quantity - 10) / 20, 0.0::DOUBLE), 1.0::DOUBLE) AS ratio, floor(least(greatest((l_quantity - 10) / 20, 0.0::DOUBLE), 1.0::DOUBLE) * 8 + 0.5)::BIGINT AS paragraph FROM lineitem""")
+def reading_ratios(spark, d):
+    """Ratios within an item and the paragraph at one."""
+    ratio = more.ratio_within(F.col("l_quantity"), F.lit(10.0), F.lit(20.0))
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", ratio.alias("ratio"), more.paragraph_at(ratio, F.lit(9)).alias("paragraph"))
+
+
+@query("""WITH t AS (SELECT user_id, event_id, sz, coalesce(sum(sz) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o, sum(sz) OVER (PARTITION BY user_id ORDER BY event_id DESC ROWS UNBOUNDED PRECEDING) AS after, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM (SELECT user_id, event_id, length(props) + length(event_type) AS sz FROM events)),
+k AS (SELECT *, min(o) OVER (PARTITION BY user_id) AS head FROM t WHERE after <= 200 OR n = 1) SELECT user_id, event_id, 150 < head AS lossy FROM k WHERE o + sz > 150""")
+def tail_reads(spark, d):
+    """ST4: what a reader at byte 150 of each tail gets, and whether earlier bytes are gone."""
+    e = _t(spark, d, "events").select("user_id", "event_id", (F.length("props") + F.length("event_type")).alias("sz"))
+    return sequences.read_tail(sequences.tail(e, "user_id", "event_id", "sz", 200), "user_id", "sz", 150).select("user_id", "event_id", "lossy")
+
+
+@query("""SELECT event_id, CASE WHEN json_extract_string(props, '$.k')::INT % 2 = 0 THEN 'new' ELSE 'old' END AS v, json_extract_string(props, '$.k') AS k FROM events""")
+def rule_variables(spark, d):
+    """Variables put over others (nulls aren't stored) and read through scopes."""
+    e = _t(spark, d, "events")
+    k = extract.json_path(F.col("props"), "$.k")
+    variables = more.put(F.create_map(F.lit("v"), F.lit("old")), F.create_map(F.lit("v"), F.when(k.cast("int") % 2 == 0, "new"), F.lit("k"), k))
+    return e.select("event_id", more.got("v", F.create_map(F.lit("v"), F.lit("")), variables).alias("v"), more.got("k", variables).alias("k"))
