@@ -8,13 +8,17 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Lookup tables of up to this many rows (with bounded rows) are broadcast.
 BROADCAST_ROWS = 100_000
+#: Rows that hold arrays: up to this many elements in all.
+BROADCAST_ELEMENTS = 500_000
 #: Beyond it a lookup join is salted: each lookup row is repeated this many times.
 SALTS = 16
+#: A key of more rows than 1 / HOT_KEYS of all, and than HOT_ROWS, is hot; there are fewer than HOT_KEYS of them.
+HOT_KEYS, HOT_ROWS = 50_000, 1_000
 #: Stands for a null document id inside the operators; the results have null again.
 NO_ID = -(2**63)
 
@@ -45,14 +49,17 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left") -> DataFrame:
+def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", elements: Column | None = None) -> DataFrame:
     """Joins a lookup table with one row for each key to rows of which one key may have a third.
 
     The lookup table must be cheap to count (a written table). It is broadcast if it has
-    BROADCAST_ROWS rows at most; else both sides get a salt, so that a hot key goes to SALTS tasks.
-    A null key finds nothing.
+    BROADCAST_ROWS rows at most, and BROADCAST_ELEMENTS elements where its rows hold arrays; else both
+    sides get a salt, so that a hot key goes to SALTS tasks. A null key finds nothing.
     """
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    fits = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if fits and elements is not None:
+        fits = (small.agg(F.sum(elements)).first()[0] or 0) <= BROADCAST_ELEMENTS
+    if fits:
         return big.join(F.broadcast(small), key, how)
     spread = [name for name, kind in big.dtypes if kind in ("bigint", "int", "string")]
     salt = F.pmod(F.xxhash64(F.lit(SALTS), *[F.col(f"`{name}`") for name in spread]), F.lit(SALTS)).cast("int")
@@ -60,6 +67,21 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left") -
     return big.withColumn("__salt", salt).join(repeated, [key, "__salt"], how).drop("__salt")
 
 
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of two written tables, small with one row for each key, big with any number.
+
+    Hot keys are counted first; their rows in small, fewer than HOT_KEYS, are broadcast, all other keys
+    are shuffled, so that no task gets a hot key's rows.
+    """
+    most = max(HOT_ROWS, big.count() // HOT_KEYS)
+    hot = big.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > most).drop("__n")
+    hot = written(small.join(F.broadcast(hot), keys, "left_semi"))
+    if hot.isEmpty():
+        return big.join(small, keys)
+    rest = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(small, keys)
+    return big.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 

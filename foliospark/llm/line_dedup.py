@@ -47,7 +47,7 @@ def dedup(docs: DataFrame, host: str = "source", text: str = "text", max_ratio:
     clash = {"__host", "__keys", "__kept", "n_lines", "n_dropped"} & set(docs.columns)
     docs = docs.drop(*clash)
     often = boilerplate(docs, host, text, max_ratio, min_pages)
-    joined = lookup_join(docs.withColumn("__host", F.coalesce(F.col(host), F.lit(""))), often, "__host")
+    joined = lookup_join(docs.withColumn("__host", F.coalesce(F.col(host), F.lit(""))), often, "__host", elements=F.size("__keys"))
     kept = F.when(F.col("__keys").isNull(), _lines(text)).otherwise(F.filter(_lines(text), lambda x: ~F.array_contains(F.col("__keys"), _key(x))))
     joined = joined.withColumn("__kept", kept)
     n = F.size(_lines(text)).cast("long")

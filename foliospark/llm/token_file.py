@@ -4,8 +4,8 @@ A 64-bit word has a selector in its upper 4 bits and ids in its lower 60: as man
 fit. Selector 15 is the escape: the next whole word is one id of 60 bits or more. A block holds the ids of
 some documents in a row: a header (magic, range, place of its first id in the range, counts), each
 document's doc_id, number of ids and word offset, then the words; documents begin at words of their own.
-Blocks of one range of doc_id stand in one file, one after another, in ascending order, and end with the
-mark that Spark's text writer puts there. All words of a block are decoded at once, selector by selector.
+Blocks of one range of doc_id stand one after another, in ascending order, in files of FILE_BLOCKS blocks at
+most, and end with the mark that Spark's text writer puts there. All words of a block are decoded at once, selector by selector.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 ESCAPE = 15
 MARK, MAGIC = "S8BLOCK\n", b"SIMPLE8B"
 BLOCK_IDS, KEEP, END_ID = 262_144, 200_000, 2
+#: A file has at most as many blocks, so that a reader holds some 100 MB.
+FILE_BLOCKS = 128
 _HEAD = struct.Struct("<8sqqqq")  # magic, range, first id's place in the range, documents, words
 
 
@@ -197,7 +199,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int | None = E
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int | None = END_ID, block_ids: int = BLOCK_IDS) -> None:
     """Writes the ids of docs (doc_id, text) below path, in ascending order of doc_id (null first; equal ones by their ids).
 
-    Every range of doc_id is one sorted part of one file; its blocks have block_ids ids, or one longer document.
+    Every range of doc_id is a sorted part of one file, or of some in a row; its blocks have block_ids ids, or one longer document.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     n = partitions(docs.sparkSession)
@@ -227,7 +229,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             yield pa.RecordBatch.from_arrays([pa.array([write_block(part, first, ids, docs_)], pa.binary())], ["block"])
 
     blocks = rows.mapInArrow(run, "block binary").select(F.col("block").cast("string"))
-    blocks.write.option("lineSep", MARK).text(path)
+    blocks.write.option("lineSep", MARK).option("maxRecordsPerFile", FILE_BLOCKS).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -4,8 +4,8 @@ A page is a response record with its HTTP message (chunked transfer coding), or
 response with an equal payload stands elsewhere. A block of more than SEGMENT bytes is cut: the record has
 segment number 1, continuation records name it as their origin, and the last one has the total length.
 Files are written by Spark as texts whose lines end as records do, gzipped, FILE_RECORDS records at most
-each. The reader takes whole records as they come; only segments are grouped by their origin, put in
-order, checked against the total length and joined. Chunks are then decoded, digests verified.
+each. A record's identifier has its page's number and its payload's digest. The reader takes whole records as
+they come; only segments are grouped by their origin, put in order, checked against the total length and joined. Chunks are then decoded, digests verified.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, shared_dir, small_batches, text_bytes, written
+from .common import NO_ID, map_batches, shared_dir, small_batches, spread_join, text_bytes, written
 
 SEGMENT, CHUNK, FILE_RECORDS, MIN_REVISIT = 16_384, 4_096, 2_000, 1_000
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -51,8 +51,8 @@ def dechunked(message: bytes) -> bytes:
         at = end + 4 + n
 
 
-def _name(page: int, segment: int = 1) -> str:
-    return f"<urn:page:{page}>" if segment == 1 else f"<urn:page:{page}:segment:{segment}>"
+def _name(page: int, sha1: str, segment: int = 1) -> str:
+    return f"<urn:page:{page}:{sha1}>" if segment == 1 else f"<urn:page:{page}:{sha1}:segment:{segment}>"
 
 
 def _record(kind: str, fields: dict[str, object], block: bytes) -> bytes:
@@ -63,10 +63,10 @@ def _record(kind: str, fields: dict[str, object], block: bytes) -> bytes:
 def records_of(page: int, url: str, payload: bytes, refers_to: int | None, segment: int = SEGMENT) -> Iterator[bytes]:
     """A page's record, in segments if it is long, each without the two line ends after it."""
     url = "".join(url.split()) or "about:blank"
-    digest = f"sha1:{hashlib.sha1(payload).hexdigest()}"
-    fields: dict[str, object] = {"WARC-Record-ID": _name(page), "WARC-Target-URI": url, "WARC-Payload-Digest": digest}
+    sha1 = hashlib.sha1(payload).hexdigest()
+    fields: dict[str, object] = {"WARC-Record-ID": _name(page, sha1), "WARC-Target-URI": url, "WARC-Payload-Digest": f"sha1:{sha1}"}
     if refers_to is not None:
-        yield _record("revisit", fields | {"WARC-Profile": _PROFILE, "WARC-Refers-To": _name(refers_to)}, b"")
+        yield _record("revisit", fields | {"WARC-Profile": _PROFILE, "WARC-Refers-To": _name(refers_to, sha1)}, b"")
         return
     fields["Content-Type"] = "application/http; msgtype=response"
     block = _HTTP + chunked(payload)
@@ -75,7 +75,7 @@ def records_of(page: int, url: str, payload: bytes, refers_to: int | None, segme
         if len(parts) > 1:
             fields["WARC-Segment-Number"] = k
         if k > 1:
-            fields |= {"WARC-Record-ID": _name(page, k), "WARC-Segment-Origin-ID": _name(page)}
+            fields |= {"WARC-Record-ID": _name(page, sha1, k), "WARC-Segment-Origin-ID": _name(page, sha1)}
             fields.pop("Content-Type", None)
             fields.pop("WARC-Payload-Digest", None)
             if k == len(parts):
@@ -84,22 +84,23 @@ def records_of(page: int, url: str, payload: bytes, refers_to: int | None, segme
 
 
 def plan(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """page_id, refers_to: the largest page_id with an equal payload, null for that one and for short payloads."""
+    """page_id, digest, refers_to of the pages (page_id, html) to be revisits: the largest page_id with an equal payload."""
     payload = F.coalesce("html", F.lit(""))
-    slim = written(pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n")))
-    often = slim.filter(F.col("n") >= min_revisit).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("pages")).filter("pages > 1").select("digest", "first")
-    return slim.join(often, "digest", "left").select("page_id", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
+    slim = written(pages.filter(F.octet_length(payload) >= min_revisit).select("page_id", F.sha2(payload, 256).alias("digest")))
+    often = written(slim.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("pages")).filter("pages > 1").select("digest", "refers_to"))
+    return spread_join(slim, often, ["digest"]).filter("refers_to <> page_id").distinct()
 
 
 def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, segment: int = SEGMENT) -> None:
-    """Writes pages (page_id, url, html) as WARC files. page_id must not be null and tells records apart.
+    """Writes pages (page_id, url, html) as WARC files, a record for each row.
 
-    A null html is an empty payload, a null url about:blank; rows with equal page_id and html give one record.
+    A null html is an empty payload, a null url about:blank. A null page_id counts as one below all
+    others. Rows with equal page_id and different html are pages of their own; equal rows give equal records.
     """
     small_batches(pages.sparkSession)
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    again = plan(pages, min_revisit).filter("refers_to IS NOT NULL").distinct()
-    rows = pages.join(again, "page_id", "left")
+    pages = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id"), "url", "html")
+    named = pages.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")), 256))
+    rows = named.join(written(plan(pages, min_revisit)), ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -134,8 +135,12 @@ def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 8 + n
 
 
-def _page(name: str | None) -> int | None:
-    return None if name is None else int(name.strip("<>").split(":")[2])
+def _page(name: str | None) -> tuple[int | None, str | None]:
+    """Page and digest that a record's identifier names."""
+    if name is None:
+        return None, None
+    page, sha1 = name.strip("<>").split(":")[2:4]
+    return int(page), f"sha1:{sha1}"
 
 
 def _read(segments: bool):
@@ -150,7 +155,8 @@ def _read(segments: bool):
                 kind = f["warc-type"]
                 if not segments and kind == "response":
                     block = dechunked(block)
-                out.append((_page(origin), kind, f.get("warc-target-uri"), _page(f.get("warc-refers-to")), f.get("warc-payload-digest"), int(f.get("warc-segment-number", 1)), None if total is None else int(total), block))
+                page, named = _page(origin)
+                out.append((page, kind, f.get("warc-target-uri"), _page(f.get("warc-refers-to"))[0], f.get("warc-payload-digest", named), int(f.get("warc-segment-number", 1)), None if total is None else int(total), block))
         columns = list(zip(*out, strict=True)) or [[]] * 8
         kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "record_type", "url", "refers_to", "digest", "segment", "total", "block"])
@@ -160,11 +166,13 @@ def _read(segments: bool):
 
 def _join_segments(batch: pa.RecordBatch) -> pa.RecordBatch:
     out = []
-    for page, url, digest, parts, total in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-        block = b"".join(p["block"] for p in parts)
-        if [p["segment"] for p in parts] != list(range(1, len(parts) + 1)) or len(block) != total:
+    for page, digest, url, parts, total in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+        copies = sum(p["segment"] == 1 for p in parts)  # of equal rows; their segments are equal, too
+        own = parts[::copies] if copies else parts
+        block = b"".join(p["block"] for p in own)
+        if [p["segment"] for p in own] != list(range(1, len(own) + 1)) or len(own) * copies != len(parts) or len(block) != total:
             raise ValueError(f"the segments of page {page} don't make up {total} bytes")
-        out.append((page, "response", url, None, digest, dechunked(block)))
+        out += [(page, "response", url, None, digest, dechunked(block))] * copies
     columns = list(zip(*out, strict=True)) or [[]] * 6
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()), strict=True)], ["page_id", "record_type", "url", "refers_to", "digest", "payload"])
 
@@ -172,16 +180,19 @@ def _join_segments(batch: pa.RecordBatch) -> pa.RecordBatch:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """page_id, record_type, url, refers_to, digest, payload (binary; null for a revisit) of the records below path.
 
-    Missing, repeated-with-gaps or short segments and chunks are errors. Other record types are passed over.
+    Missing or short segments and chunks are errors. Other record types are passed over. A page_id that
+    was null when written is null again.
     """
     small_batches(spark)
     columns = "page_id long, record_type string, url string, refers_to long, digest string, segment int, total long, block binary"
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     whole = map_batches(files, _read(False), columns).withColumn("payload", F.when(F.col("record_type") == "response", F.col("block")))
     parts = map_batches(files, _read(True), columns)
-    by_origin = parts.dropDuplicates(["page_id", "segment"]).groupBy("page_id").agg(F.max("url").alias("url"), F.max("digest").alias("digest"), F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"))
+    # a group has the segments of one page and payload
+    by_origin = parts.groupBy("page_id", "digest").agg(F.max("url").alias("url"), F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"))
     joined = map_batches(by_origin, _join_segments, "page_id long, record_type string, url string, refers_to long, digest string, payload binary")
-    return whole.select(*joined.columns).union(joined)
+    out = whole.select(*joined.columns).union(joined)
+    return out.withColumn("page_id", F.when(F.col("page_id") != NO_ID, F.col("page_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,8 +205,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     if bad:
         raise ValueError("a payload doesn't have its record's digest")
     out = rows.filter("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    origin = out.select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
-    again = rows.filter("record_type = 'revisit'").select("page_id", "record_type", "refers_to").join(origin, "refers_to")
+    again = rows.filter("record_type = 'revisit'").select("page_id", "record_type", "refers_to", F.substring("digest", 6, 40).alias("payload_digest"))
+    # the responses that are visited again, one for each payload
+    origin = out.select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").join(again.select("refers_to", "payload_digest").distinct(), ["refers_to", "payload_digest"], "left_semi")
+    again = spread_join(again, written(origin.distinct()), ["refers_to", "payload_digest"])
     return out.unionByName(again.select(*out.columns))
 
 

@@ -262,6 +262,28 @@ def test_warc(spark, tmp_path):
     assert warc.read(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_warc_repeated_and_null_pages(spark, tmp_path):
+    """Null and equal page ids, equal rows, long and short."""
+    long, short = "é<p>" * 3_000, "<p>hi</p>"
+    rows = [(None, "u", long), (None, "u", short), (4, "u", long), (4, "u", long), (4, "v", short), (4, "u", long + "."), (None, None, "z" * 1500), (None, None, "z" * 1500), (3, None, None)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), f"file://{tmp_path}/w", segment=2000)
+    out = warc.read(spark, f"file://{tmp_path}/w").collect()
+    expected = Counter((i, "revisit" if (i, h) == (None, long) else "response", 4 if (i, h) == (None, long) else None, None if (i, h) == (None, long) else (h or "").encode()) for i, _, h in rows)
+    assert Counter((r.page_id, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in out) == expected
+
+
+def test_hot_keys(spark, monkeypatch):
+    """Hot keys are broadcast, others shuffled; the result is that of a join."""
+    from foliospark.llm import common
+
+    big = common.written(spark.createDataFrame([(k, i) for k, n in (("a", 40), ("b", 3), ("c", 1), (None, 5)) for i in range(n)], "k string, i long"))
+    small = common.written(spark.createDataFrame([("a", 1), ("b", 2), ("d", 3)], "k string, v long"))
+    expected = Counter(map(tuple, big.join(small, ["k"]).collect()))
+    for rows in (1_000, 2, 10):
+        monkeypatch.setattr(common, "HOT_ROWS", rows)
+        assert Counter(map(tuple, common.spread_join(big, small, ["k"]).select("k", "i", "v").collect())) == expected
+
+
 def test_warc_errors():
     records = list(warc.records_of(3, "u", b"abc" * 500, None, segment=400))
     assert len(records) > 3 and b"Segment-Total-Length" in records[-1]
@@ -271,6 +293,8 @@ def test_warc_errors():
         warc.dechunked(b"".join(b for _, b in parsed)[:-700])
     with pytest.raises(ValueError):
         list(warc.parse(records[0][:-5]))
+    with pytest.raises(ValueError):
+        list(warc.parse(b"no record\r\n\r\n"))
 
 
 # --- token counts
