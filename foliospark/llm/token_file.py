@@ -28,7 +28,7 @@ COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 ESCAPE = 15
 MARK, MAGIC = "S8BLOCK\n", b"SIMPLE8B"
-BLOCK_IDS, KEEP, END_ID = 262_144, 200_000, 2
+BLOCK_IDS, KEEP, END_ID = 262_144, 400_000, 2
 #: A file has at most as many blocks, so that a reader holds some 100 MB.
 FILE_BLOCKS = 128
 _HEAD = struct.Struct("<8sqqqq")  # magic, range, first id's place in the range, documents, words
@@ -36,40 +36,54 @@ _HEAD = struct.Struct("<8sqqqq")  # magic, range, first id's place in the range,
 
 def pack(ids: np.ndarray) -> np.ndarray:
     """The words of unsigned 64-bit ids."""
-    ids = ids.astype(np.uint64)
-    n = len(ids)
-    if not n:
-        return np.zeros(0, np.uint64)
-    # the ids that fit from each place on, for each number of bits: up to the next wider one
-    choice = np.full(n, len(COUNTS), np.int64)  # none fits: the escape
-    place = np.arange(n)
+    return pack_all([ids])[0]
+
+
+def pack_all(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all docs' ids, one after another, and each one's number of words. Each begins at a word of its own."""
+    sizes = np.fromiter(map(len, docs), np.int64, len(docs))
+    n = int(sizes.sum()) + len(docs)
+    ends = np.cumsum(sizes + 1) - 1  # a place after each document that fits into no word
+    ids = np.zeros(n + int(COUNTS[0]), np.uint64)
+    inside = np.ones(n, bool)
+    inside[ends] = False
+    ids[:n][inside] = np.concatenate([np.zeros(0, np.uint64), *(d.astype(np.uint64, copy=False) for d in docs)])
+    # the narrowest selector for each id alone; the widest of k ids in a row, for the k of each selector
+    need = np.searchsorted((np.uint64(1) << BITS.astype(np.uint64)) - np.uint64(1), ids).astype(np.int8)
+    need[n:] = ESCAPE
+    need[ends] = ESCAPE
+    choice = np.full(n, len(COUNTS), np.int8)  # none fits: the escape
+    widest, k = need, 1
     for s in range(len(COUNTS) - 1, -1, -1):
-        wide = np.flatnonzero(ids >> np.uint64(BITS[s]) if BITS[s] < 64 else np.zeros(n, np.uint64))
-        until = np.full(n, n, np.int64)
-        if len(wide):
-            at = np.searchsorted(wide, place)
-            until = np.where(at < len(wide), wide[np.minimum(at, len(wide) - 1)], n)
-        choice = np.where(place + COUNTS[s] <= until, s, choice)
-    step = np.append(COUNTS, 1)[choice].tolist()
+        while k < COUNTS[s]:
+            more = min(k, int(COUNTS[s]) - k)
+            widest = np.maximum(widest, np.concatenate([widest[more:], np.full(more, ESCAPE, np.int8)]))
+            k += more
+        choice[widest[:n] <= s] = s
+    counts = np.append(COUNTS, 1)[choice]
+    counts[ends] = 1
+    step = counts.tolist()
     at, starts = 0, []
     while at < n:
         starts.append(at)
         at += step[at]
     starts = np.array(starts, np.int64)
+    starts = starts[inside[starts]]
     chosen = choice[starts]
     size = np.where(chosen == len(COUNTS), 2, 1)
     where = np.cumsum(size) - size
     words = np.zeros(int(size.sum()), np.uint64)
-    for s in np.unique(chosen):
+    for s in np.unique(chosen).tolist():
         own = chosen == s
         if s == len(COUNTS):
             words[where[own]] = np.uint64(ESCAPE << 60)
             words[where[own] + 1] = ids[starts[own]]
             continue
-        block = ids[starts[own][:, None] + np.arange(COUNTS[s])]
-        shift = (np.arange(COUNTS[s]) * BITS[s]).astype(np.uint64)
-        words[where[own]] = np.bitwise_or.reduce(block << shift, axis=1) | np.uint64(int(s) << 60)
-    return words
+        word, first = np.full(int(own.sum()), s << 60, np.uint64), starts[own]
+        for i in range(int(COUNTS[s])):
+            word |= ids[first + i] << np.uint64(i * int(BITS[s]))
+        words[where[own]] = word
+    return words, np.bincount(np.searchsorted(ends, starts), size, len(docs)).astype(np.int64)
 
 
 def unpack(words: np.ndarray) -> np.ndarray:
@@ -98,13 +112,12 @@ def unpack(words: np.ndarray) -> np.ndarray:
 
 
 def write_block(part: int, first: int, ids: list[int], docs: list[np.ndarray]) -> bytes:
-    words = [pack(d) for d in docs]
+    body, words = pack_all(docs)
     table = np.zeros((len(ids), 3), "<i8")
     table[:, 0] = ids
     table[:, 1] = [len(d) for d in docs]
-    table[:, 2] = np.cumsum([0, *map(len, words)])[:-1]
-    body = np.concatenate(words).astype("<u8")
-    return _HEAD.pack(MAGIC, part, first, len(ids), len(body)) + table.tobytes() + body.tobytes()
+    table[:, 2] = np.cumsum(words) - words
+    return _HEAD.pack(MAGIC, part, first, len(ids), len(body)) + table.tobytes() + body.astype("<u8").tobytes()
 
 
 def read_blocks(file: bytes) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -124,8 +137,21 @@ def read_blocks(file: bytes) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         yield part, first, table, ids
 
 
+#: ASCII marks that may end a stretch (no apostrophe, which may belong to what is before it), and what stands
+#: before them: a letter or digit, or a letter of U+00C0 to U+024F (not the signs among them, nor the dotted I,
+#: which ends in a mark in lower case).
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_ENDS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+_BETWEEN = "\x01"
+_LEADS, _SIGNS = frozenset(range(0xC3, 0xCA)), (b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0")
+
+
 class Encoder:
-    """Ids of texts by a tokenizers file; keeps the ids of stretches without white space that it has seen."""
+    """Ids of texts by a tokenizers file; keeps the ids of stretches without white space that it has seen.
+
+    Where the tokenizer splits marks from letters and digits (which is looked at once), marks at the end
+    of a stretch are encoded for themselves, so that a word's ids are found with any marks after it.
+    """
 
     def __init__(self, config: bytes, keep: int = KEEP):
         from tokenizers import Tokenizer
@@ -133,21 +159,44 @@ class Encoder:
         self.tokenizer = Tokenizer.from_buffer(config)
         self.keep = keep
         self.known: dict[bytes, bytes] = {}
-
-    def learn(self, new: list[bytes]) -> None:
+        one = self.tokenizer.encode
+        alone = one(_BETWEEN, add_special_tokens=False).ids
+        self.between = alone[0] if len(alone) == 1 else -1
+        self.splits = self.between >= 0 and one(f"ab {_BETWEEN} c", add_special_tokens=False).ids == one("ab", add_special_tokens=False).ids + alone + one("c", add_special_tokens=False).ids and all(one(a + b, add_special_tokens=False).ids == one(a, add_special_tokens=False).ids + one(b, add_special_tokens=False).ids for a in ("a", "Bcd", "7", "xé", "it's") for b in ".,;:!?%)]}>\"&*/_-+=~^`|$#@(<[{\\")
+
+    def learn(self, new: set[bytes]) -> None:
+        """Puts the ids of stretches not yet known into the store."""
+        if not self.splits:
+            return self._learn(sorted(new))
+        cut, parts = [], set()
+        for p in new:
+            a = p.rstrip(_MARKS)
+            if a and len(a) < len(p) and (a[-1] in _ENDS or (a[-2:-1] and a[-2] in _LEADS and a[-2:] not in _SIGNS)) and b"<|" not in p:
+                cut.append((p, len(a)))
+                parts.add(a)
+                parts.add(p[len(a) :])
+            else:
+                parts.add(p)
+        known = self.known
+        self._learn(sorted(parts.difference(known)))
+        for p, k in cut:
+            known[p] = known[p[:k]] + known[p[k:]]
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Many stretches as one text, with a character between them that has an id of its own."""
+        between = self.between
         for k in range(0, len(new), 512):
             part = new[k : k + 512]
-            found = self.tokenizer.encode([p.decode() for p in part], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            word = np.array([-1 if w is None else w for w in found.word_ids], np.int64)
-            if (word < 0).any() or (np.diff(word) < 0).any():  # a special token names no word
+            found = self.tokenizer.encode_batch_fast([f" {_BETWEEN} ".join([p.decode() for p in part])], add_special_tokens=False)
+            ids = np.array(found[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == between), len(ids)).tolist()
+            if len(ends) != len(part) or not self.splits:  # a stretch has that character
                 self.known.update((p, np.array(self.tokenizer.encode(p.decode(), add_special_tokens=False).ids, "<u4").tobytes()) for p in part)
                 continue
-            ends = np.searchsorted(word, np.arange(len(part)), side="right").tolist()
             raw, at = ids.tobytes(), 0
             for p, end in zip(part, ends, strict=True):
                 self.known[p] = raw[4 * at : 4 * end]
-                at = end
+                at = end + 1
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text, 32 bits each, little-endian."""
@@ -159,8 +208,7 @@ class Encoder:
             new: set[bytes] = set()
             for parts in split:
                 new.update(parts)
-            new.difference_update(self.known)
-            self.learn(sorted(new))
+            self.learn(new.difference(self.known))  # looks up the new ones only
             known = self.known
             out += [b"".join([known[p] for p in parts]) for parts in split]
         return out
