@@ -149,8 +149,9 @@ _LEADS, _SIGNS = frozenset(range(0xC3, 0xCA)), (b"\xc3\x97", b"\xc3\xb7", b"\xc4
 class Encoder:
     """Ids of texts by a tokenizers file; keeps the ids of stretches without white space that it has seen.
 
-    Where the tokenizer splits marks from letters and digits (which is looked at once), marks at the end
-    of a stretch are encoded for themselves, so that a word's ids are found with any marks after it.
+    Where the tokenizer lowers letters and splits marks from letters and digits (which is looked at once),
+    marks at the end of a stretch are encoded for themselves, so that a word's ids are found in any case and
+    with any marks after it.
     """
 
     def __init__(self, config: bytes, keep: int = KEEP):
@@ -162,7 +163,7 @@ class Encoder:
         one = self.tokenizer.encode
         alone = one(_BETWEEN, add_special_tokens=False).ids
         self.between = alone[0] if len(alone) == 1 else -1
-        self.splits = self.between >= 0 and one(f"ab {_BETWEEN} c", add_special_tokens=False).ids == one("ab", add_special_tokens=False).ids + alone + one("c", add_special_tokens=False).ids and all(one(a + b, add_special_tokens=False).ids == one(a, add_special_tokens=False).ids + one(b, add_special_tokens=False).ids for a in ("a", "Bcd", "7", "xé", "it's") for b in ".,;:!?%)]}>\"&*/_-+=~^`|$#@(<[{\\")
+        self.splits = self.between >= 0 and one(f"ab {_BETWEEN} c", add_special_tokens=False).ids == one("ab", add_special_tokens=False).ids + alone + one("c", add_special_tokens=False).ids and one("ABZ", add_special_tokens=False).ids == one("abz", add_special_tokens=False).ids and all(one(a + b, add_special_tokens=False).ids == one(a, add_special_tokens=False).ids + one(b, add_special_tokens=False).ids for a in ("a", "Bcd", "7", "xé", "it's") for b in ".,;:!?%)]}>\"&*/_-+=~^`|$#@(<[{\\")
 
     def learn(self, new: set[bytes]) -> None:
         """Puts the ids of stretches not yet known into the store."""
@@ -170,17 +171,28 @@ class Encoder:
             return self._learn(sorted(new))
         cut, parts = [], set()
         for p in new:
+            if p.isascii() and b"<|" not in p:
+                low = p.lower()
+                a = low.rstrip(_MARKS)
+                if a and len(a) < len(p) and a[-1] in _ENDS:
+                    cut.append((p, a, low[len(a) :]))
+                    parts.add(a)
+                    parts.add(low[len(a) :])
+                else:
+                    cut.append((p, low, b""))
+                    parts.add(low)
+                continue
             a = p.rstrip(_MARKS)
             if a and len(a) < len(p) and (a[-1] in _ENDS or (a[-2:-1] and a[-2] in _LEADS and a[-2:] not in _SIGNS)) and b"<|" not in p:
-                cut.append((p, len(a)))
+                cut.append((p, a, p[len(a) :]))
                 parts.add(a)
                 parts.add(p[len(a) :])
             else:
                 parts.add(p)
         known = self.known
         self._learn(sorted(parts.difference(known)))
-        for p, k in cut:
-            known[p] = known[p[:k]] + known[p[k:]]
+        for p, a, b in cut:
+            known[p] = known[a] + known[b] if b else known[a]
 
     def _learn(self, new: list[bytes]) -> None:
         """Many stretches as one text, with a character between them that has an id of its own."""
