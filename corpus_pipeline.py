@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a host go; n_chars is that of the text left."""
-    out = line_dedup.dedup(docs.select(*COLUMNS))
+    """Boilerplate lines of a host go; copies of a text are one page there. n_chars is that of the text left."""
+    out = line_dedup.dedup(docs.select(*COLUMNS), distinct=True)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -4,6 +4,10 @@ Lines are grouped by host and counted once for each page; a line's share is the
 pages that contain it over the host's pages. Lines above max_ratio, on min_pages pages at least, are
 boilerplate there. A host has at most (mean lines a page) / max_ratio of them, so that they fit into one
 array for each host; the table of these arrays is broadcast if it is small, else joined with a salt.
+
+With distinct, equal texts of a host are one page: a line counts once for each distinct text, over the number of
+the host's distinct texts, so that a text with many copies is no boilerplate by its copies alone. The pipeline
+counts so; op3's query and its SQL count every copy.
 """
 
 from __future__ import annotations
@@ -27,26 +31,31 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(F.lit(1), bare).alias("a"), F.xxhash64(F.lit(2), bare).alias("b"))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
     """host, keys: the boilerplate lines' keys of each host that has some, as a written table."""
     kept = F.filter(_lines(text), lambda x: F.btrim(x, F.lit(_BLANK)) != "")
-    lines = docs.select(F.coalesce(F.col(host), F.lit("")).alias("__host"), F.explode(F.array_distinct(F.transform(kept, _key))).alias("key"))
+    own = docs.select(F.coalesce(F.col(host), F.lit("")).alias("__host"), F.array_distinct(F.transform(kept, _key)).alias("keys"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    if distinct:
+        whole = [F.xxhash64(F.lit(k), "__text").alias(f"t{k}") for k in (3, 4)]
+        own = written(own.select("__host", "keys", *whole).dropDuplicates(["__host", "t3", "t4"]))
+    lines = own.select("__host", F.explode("keys").alias("key"))
     counts = lines.groupBy("__host", "key.a", "key.b").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    pages = written(docs.groupBy(F.coalesce(F.col(host), F.lit("")).alias("__host")).agg(F.count("*").alias("pages")))
+    pages = written(own.groupBy("__host").agg(F.count("*").alias("pages")))
     often = lookup_join(counts, pages, "__host", "inner").filter(F.col("n") / F.col("pages") > max_ratio)
     return written(often.groupBy("__host").agg(F.collect_list(F.struct("a", "b")).alias("__keys")))
 
 
-def dedup(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def dedup(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
     """docs without their hosts' boilerplate lines; adds n_lines and n_dropped (long), keeps all other columns and rows.
 
     Lines are compared without blanks, tabs and carriage returns at their ends; blank lines neither count
     nor go. A null text counts as empty (one blank line) and stays null; documents with a null host form
-    one host, as the empty name does. Repeated rows are pages of their own. A document may become empty.
+    one host, as the empty name does. Repeated rows are pages of their own, unless distinct is set: then equal
+    texts of a host (null and empty ones too) are one page. A document may become empty.
     """
     clash = {"__host", "__keys", "__kept", "n_lines", "n_dropped"} & set(docs.columns)
     docs = docs.drop(*clash)
-    often = boilerplate(docs, host, text, max_ratio, min_pages)
+    often = boilerplate(docs, host, text, max_ratio, min_pages, distinct)
     joined = lookup_join(docs.withColumn("__host", F.coalesce(F.col(host), F.lit(""))), often, "__host", elements=F.size("__keys"))
     kept = F.when(F.col("__keys").isNull(), _lines(text)).otherwise(F.filter(_lines(text), lambda x: ~F.array_contains(F.col("__keys"), _key(x))))
     joined = joined.withColumn("__kept", kept)

@@ -106,3 +106,12 @@ def test_empty_and_odd(spark):
         for _, stage in cp.STAGES:
             docs = written(stage(spark, docs, SF))
         assert docs.count() >= bool(rows)
+
+
+def test_copies_keep_their_lines(spark):
+    copied = "\n".join(f"line {k} of a text with many copies" for k in range(4))
+    pages = [f"menu of the site\nown words of page {k}" for k in range(15)]
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate([copied] * 30 + pages + pages[:5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: r["text"] for r in rows_of(dict(cp.STAGES)["line_dedup"](spark, docs, SF))}
+    assert out == {r[0]: copied if r[0] < 30 else r[1].split("\n")[1] for r in rows}
