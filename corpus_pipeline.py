@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import byte_bpe, line_dedup, mixing, quality, simhash
@@ -13,11 +13,27 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MAX_REPEATS = 2.0
 
 
+def _row(every: bool) -> Column:
+    """A row's name without nulls: its doc_id, and a hash of the whole row if it has none or every is set.
+
+    Names without a doc_id come last in order.
+    """
+    none = F.col("doc_id").isNull()
+    parts = [F.coalesce(F.col("doc_id"), F.lit(0)).alias("id")]
+    for k in (1, 2):
+        own = F.xxhash64(F.lit(k), *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in COLUMNS])
+        parts.append((own if every else F.when(none, own).otherwise(F.lit(0))).cast("long").alias(f"h{k}"))
+    return F.struct(none.alias("none"), *parts)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail a rule, or whose host does, go. Rows with equal doc_id go if one of them does."""
-    verdicts = quality.judge(docs)
-    bad = verdicts.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that fail a rule, or whose host does, go. Rows with equal doc_id go if one of them does.
+
+    Rows with a null doc_id are documents of their own: each goes by its own verdict.
+    """
+    docs = docs.withColumn("__row", _row(every=False))
+    bad = quality.judge(docs, key="__row").filter(~F.col("kept")).select("__row").distinct()
+    return docs.join(bad, "__row", "left_anti").select(*COLUMNS)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +43,15 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    groups = simhash.near_groups(docs)
-    out = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(out, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near duplicates one row stays, with the smallest doc_id.
+
+    Rows with a null doc_id go if the group has one with a doc_id; of a group of such rows alone one stays. Of
+    rows that repeat a doc_id in one group one stays too; in different groups they are different documents.
+    """
+    docs = docs.withColumn("__row", _row(every=True))
+    groups = simhash.near_groups(docs, key="__row")
+    stay = groups.filter(F.col("__row") == F.col("component_id")).select("__row").distinct()
+    return docs.join(stay, "__row", "left_semi").dropDuplicates(["__row"]).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -115,3 +115,31 @@ def test_copies_keep_their_lines(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = {r["doc_id"]: r["text"] for r in rows_of(dict(cp.STAGES)["line_dedup"](spark, docs, SF))}
     assert out == {r[0]: copied if r[0] < 30 else r[1].split("\n")[1] for r in rows}
+
+
+def brute_verdicts(rows):
+    """brute_quality, where each row without a doc_id is a document of its own."""
+    named = [r | {"doc_id": ("row", k) if r["doc_id"] is None else r["doc_id"], "is": r["doc_id"]} for k, r in enumerate(rows)]
+    return [{c: r["is"] if c == "doc_id" else r[c] for c in cp.COLUMNS} for r in brute_quality(named)]
+
+
+def test_null_and_repeated_rows(spark):
+    say = lambda k, n=60: " ".join(f"w{k}x{j}" for j in range(n))
+    texts = [(None, say(0)), (None, say(0)), (1, say(0)), (None, say(1)), (None, say(1)), (None, "short"), (None, say(2))]
+    texts += [(2, say(3)), (2, say(3)), (2, say(3)), (3, say(3)), (4, say(4)), (4, say(5)), (5, say(6)), (5, "short"), (None, "short"), (6, say(5))]
+    rows = [dict(zip(cp.COLUMNS, (i, t, "en", "s" if k % 3 else None, len(t)), strict=True)) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame([tuple(r.values()) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    stages = dict(cp.STAGES)
+    rows, docs = brute_verdicts(rows), written(stages["quality_rules"](spark, docs, SF))
+    assert key(rows_of(docs)) == key(rows) and len(rows) == 13
+    out = rows_of(stages["simhash"](spark, docs, SF))
+    prints, forest = [brute_simhash(r["text"]) for r in rows], simhash.Forest(len(rows))
+    for a in range(len(rows)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 2:
+                forest.join(a, b)
+    groups = defaultdict(list)
+    for k, r in enumerate(rows):
+        groups[forest.root(k)].append(r)
+    least = Counter((g[0]["text"], min((r["doc_id"] for r in g if r["doc_id"] is not None), default=None)) for g in groups.values())
+    assert Counter((r["text"], r["doc_id"]) for r in out) == least and len(out) == 6
