@@ -2,22 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="foliospark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..shared import written as _written
 
 
 def closure(starts: DataFrame, links: DataFrame, max_pages: int = 50) -> DataFrame:
