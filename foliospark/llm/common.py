@@ -1,16 +1,16 @@
-"""What the operators share: the shared folder, written tables, checked broadcasts, Arrow batches."""
+"""What the operators share: checked broadcasts, Arrow batches."""
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir, written  # noqa: F401
+
 #: Lookup tables of up to this many rows (with bounded rows) are broadcast.
 BROADCAST_ROWS = 100_000
 #: Rows that hold arrays: up to this many elements in all.
@@ -23,30 +23,11 @@ HOT_KEYS, HOT_ROWS = 50_000, 1_000
 NO_ID = -(2**63)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share.
-
-    Where that setting is unset (tests on one machine), a temporary folder is set as its value.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="foliospark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table written once in the shared folder: cuts the lineage and survives lost executors."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows and 16 MB, so that a batch of long texts stays small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Arrow batches of few rows and 16 MB, so that a batch of long texts stays small. Settings that aren't Spark's defaults stay."""
+    for name, default, value in (("maxRecordsPerBatch", ("10000",), rows), ("maxBytesPerBatch", ("67108864b", "64MB"), 16 << 20)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") in default:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
 
 
 def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", elements: Column | None = None) -> DataFrame:
@@ -68,11 +49,13 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", e
 
 
 def spread_join(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join of two written tables, small with one row for each key, big with any number.
+    """Inner join of two written tables, small with one row (of bounded size) for each key, big with any number.
 
-    Hot keys are counted first; their rows in small, fewer than HOT_KEYS, are broadcast, all other keys
-    are shuffled, so that no task gets a hot key's rows.
+    A small table of BROADCAST_ROWS rows at most is broadcast. Else hot keys are counted first; their rows in small, fewer
+    than HOT_KEYS, are broadcast, all other keys are shuffled, so that no task gets a hot key's rows.
     """
+    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), keys)
     most = max(HOT_ROWS, big.count() // HOT_KEYS)
     hot = big.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > most).drop("__n")
     hot = written(small.join(F.broadcast(hot), keys, "left_semi"))
@@ -82,6 +65,12 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     return big.join(F.broadcast(hot), keys).unionByName(rest)
 
 
+def anti_join(big: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows of big whose key isn't in gone, a written table of few keys for many rows; broadcast up to BROADCAST_ROWS * 10 keys (of bounded size), else shuffled."""
+    few = gone.limit(10 * BROADCAST_ROWS + 1).count() <= 10 * BROADCAST_ROWS
+    return big.join(F.broadcast(gone) if few else gone, key, "left_anti")
+
+
 def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_simhash": simhash.query,
 }
 
-SQL = {"op3_line_dedup": line_dedup.SQL, "op7_warc": warc.SQL}
+SQL = {"op1_mixing": mixing.SQL, "op6_quality_rules": quality.SQL, "op3_line_dedup": line_dedup.SQL, "op7_warc": warc.SQL}
