@@ -19,11 +19,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, small_batches, text_bytes, written
+from .common import map_batches, small_batches, spread_join, text_bytes, written
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
-#: The top tree: distinct fingerprints a shard, at most as many shards, sampled fingerprints for each of them.
-SHARD_ROWS, MAX_SHARDS, SAMPLE = 8_000, 4_096, 64
+#: The top tree: distinct fingerprints a shard (in the mean), sampled fingerprints for each, and its levels, which
+#: bound what the driver holds (2**20 shards of 65,536 are 69 billion fingerprints; beyond that shards grow).
+SHARD_ROWS, SAMPLE, MAX_DEPTH = 65_536, 16, 20
+#: A vantage point is the one of so many sampled ones whose distances to so many others vary most.
+CANDIDATES, SPREAD = 8, 512
+#: Up to this many edges a node's edges may stand in one task.
+PLAIN_EDGES = 1_000_000
 _LEAF = 48
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -46,30 +51,39 @@ def simhash(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * total > n).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """docs without the text, with fp (long). Null and empty texts: 0."""
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, keep_text: bool = False) -> DataFrame:
+    """docs with fp (long), without the text, unless it is to be kept. Null and empty texts: 0. A column fp is replaced."""
     small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in (text, "fp")]
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = [simhash(t, shingle) for t in text_bytes(batch.column(len(names)))]
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(own, pa.int64())], [*names, "fp"])
+        columns = batch.columns if keep_text else batch.columns[:-1]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(own, pa.int64())], [*names, *[text] * keep_text, "fp"])
 
-    kept = docs.select(*names, text)
-    return map_batches(kept, make, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "fp long"]))
+    kept = docs.select(*[f"`{c}`" for c in (*names, text)])
+    fields = kept.schema.fields if keep_text else kept.schema.fields[:-1]
+    return map_batches(kept, make, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "fp long"]))
 
 
 def _distance(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
     return np.bitwise_count(points ^ vantage).astype(np.int16)
 
 
+def _vantage(points: np.ndarray) -> np.uint64:
+    """Of some of the points the one whose distances to others vary most, so that few of them are near the median."""
+    asked = points[:: -(-len(points) // CANDIDATES)]
+    spread = [_distance(points[:: -(-len(points) // SPREAD)], p).var() for p in asked]
+    return asked[int(np.argmax(spread))]
+
+
 def top_tree(sample: np.ndarray, depth: int) -> list[tuple[int, int]]:
     """A heap of (vantage point, radius): distances up to the radius go to child 2 i, others to 2 i + 1; node 1 is the root."""
     tree = [(0, 0)] * (1 << depth)
     parts = {1: sample}
     for node in range(1, 1 << depth):
         part = parts.pop(node)
-        vantage = part[len(part) // 2] if len(part) else np.uint64(0)
+        vantage = _vantage(part) if len(part) else np.uint64(0)
         d = _distance(part, vantage)
         radius = int(np.median(d)) if len(part) else 31
         tree[node] = (int(vantage), radius)
@@ -139,13 +153,12 @@ def links_within(points: np.ndarray, homes: np.ndarray, bits: int) -> list[tuple
 
 def links(distinct: DataFrame, bits: int = MAX_BITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """a, b: spanning links between fingerprints fp (distinct, a written table) of at most `bits` differing bits."""
-    spark = distinct.sparkSession
     n = distinct.count()
-    depth = max(0, min(MAX_SHARDS, n // shard_rows)).bit_length()
+    depth = min(MAX_DEPTH, (n // shard_rows).bit_length())
     wanted = SAMPLE << depth
     share = F.pmod(F.xxhash64(F.lit(5), "fp"), F.lit(2**40)) < int(min(1.0, 2 * wanted / max(n, 1)) * 2**40)
-    rows = distinct.filter(share).select("fp").limit(4 * wanted).collect() if depth else []
-    tree = top_tree(np.unique(np.array([r["fp"] for r in rows], np.int64)).view(np.uint64), depth) if depth else [(0, 0)]
+    sample = distinct.filter(share).select("fp").limit(4 * wanted).toArrow().column(0).to_numpy() if depth else np.zeros(0, np.int64)
+    tree = top_tree(np.unique(sample).view(np.uint64), depth) if depth else [(0, 0)]
 
     def send(batch: pa.RecordBatch) -> pa.RecordBatch:
         points = batch.column(0).to_numpy().view(np.uint64)
@@ -171,13 +184,18 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     size = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+    def star(big: DataFrame, least: DataFrame) -> DataFrame:
+        """A component's root has as many edges as the component has nodes: of many edges the hot nodes' are not shuffled."""
+        return big.join(least, "a") if size[0] <= PLAIN_EDGES else spread_join(big, written(least), ["a"])
+
     while size[0]:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a"), F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = star(both.filter("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = written(large)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        small = star(large, least)
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least).filter("a <> b").distinct()
         new = written(small)
         now = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -188,21 +206,26 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", bits: int = MAX_BITS, shingle: int = SHINGLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """key, fp, component_id for each row of docs: its fingerprint and the smallest key that it reaches by links.
-
-    Texts without words (null or empty) have fingerprint 0 and link with each other and what else is near.
-    Rows with a null key get a component like others but lend it no name; a component of such rows alone
-    has a null name. Repeated rows are in one component. Empty docs: empty result.
-    """
-    rows = written(fingerprints(docs.select(key, text), text, shingle))
+def groups_of(rows: DataFrame, key: str, bits: int = MAX_BITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """key, fp, component_id (the smallest key reachable) of a written table with key and fp, with any number of rows of one fp."""
     distinct = written(rows.groupBy("fp").agg(F.min(key).alias("least")))
     roots = components(links(distinct, bits, shard_rows))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = written(named)
-    of_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = written(named.join(of_root, "root").select("fp", "component_id"))
-    return rows.join(of_fp, "fp").select(key, "fp", "component_id")
+    of_root = written(named.groupBy("root").agg(F.min("least").alias("component_id")))
+    of_fp = written(spread_join(named, of_root, ["root"]).select("fp", "component_id"))
+    return spread_join(rows.select(key, "fp"), of_fp, ["fp"]).select(key, "fp", "component_id")
+
+
+def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", bits: int = MAX_BITS, shingle: int = SHINGLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """key, fp, component_id for each row of docs: its fingerprint and the smallest key that it reaches by links.
+
+    Texts of any length are read whole. Texts without words (null or empty) have fingerprint 0 and link with each
+    other and what else is near. Rows with a null key get a component like others but lend it no name; a component
+    of such rows alone has a null name. Repeated rows are in one component. Other columns are left out. Empty docs:
+    empty result.
+    """
+    return groups_of(written(fingerprints(docs.select(F.col(key).alias(key), F.col(text).alias(text)), text, shingle)), key, bits, shard_rows)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
