@@ -1,68 +1,73 @@
-"""Quality rules, line dedup, near-duplicate removal, mixing and tokenisation of a corpus, one stage after another."""
+"""Quality rules, line dedup, near-duplicate removal, mixing and tokenisation of a corpus, one stage after another.
+
+Every stage takes nulls in any column, empty texts and texts of any length, repeated rows and an empty table (which
+stays empty). Columns beside those of documents are left out. Decisions are made row by row: a row's verdict is on
+the row itself, or on a number of its own, so that null and repeated ids neither escape it nor spread it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import byte_bpe, line_dedup, mixing, quality, simhash
-from foliospark.llm.common import written
+from foliospark.llm.common import anti_join, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A source is read this often at most, and once in full at least.
-MAX_REPEATS = 2.0
-
-
-def _row(every: bool) -> Column:
-    """A row's name without nulls: its doc_id, and a hash of the whole row if it has none or every is set.
-
-    Names without a doc_id come last in order.
-    """
-    none = F.col("doc_id").isNull()
-    parts = [F.coalesce(F.col("doc_id"), F.lit(0)).alias("id")]
-    for k in (1, 2):
-        own = F.xxhash64(F.lit(k), *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in COLUMNS])
-        parts.append((own if every else F.when(none, own).otherwise(F.lit(0))).cast("long").alias(f"h{k}"))
-    return F.struct(none.alias("none"), *parts)
+#: The mixture's entropy lies this share of the way to the largest one, but no source is read more often than MAX_REPEATS times.
+GAIN, MAX_REPEATS = 0.5, 2.0
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail a rule, or whose host does, go. Rows with equal doc_id go if one of them does.
+    """Rows that the quality rules don't keep go: each by its own failures and the verdict on its source.
 
-    Rows with a null doc_id are documents of their own: each goes by its own verdict.
+    A null source is a source of its own; null and empty texts fail. The text is carried along, not joined back.
     """
-    docs = docs.withColumn("__row", _row(every=False))
-    bad = quality.judge(docs, key="__row").filter(~F.col("kept")).select("__row").distinct()
-    return docs.join(bad, "__row", "left_anti").select(*COLUMNS)
+    return quality.judge(docs.select(*COLUMNS), keep_text=True).filter("kept").select(*COLUMNS)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a host go; copies of a text are one page there. n_chars is that of the text left."""
+    """Boilerplate lines of a host go; copies of a text are one page there. n_chars is that of the text left.
+
+    No row goes; a null text stays null (n_chars null), and a text all of whose lines go is empty.
+    """
     out = line_dedup.dedup(docs.select(*COLUMNS), distinct=True)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates one row stays, with the smallest doc_id.
+    """Of each group of near duplicates one row stays, one with the smallest doc_id.
 
-    Rows with a null doc_id go if the group has one with a doc_id; of a group of such rows alone one stays. Of
-    rows that repeat a doc_id in one group one stays too; in different groups they are different documents.
+    Rows get a number when their fingerprints are written; it tells rows with equal or null ids apart. Rows with a
+    null doc_id go if their group has one with a doc_id; of a group of such rows alone one stays. Null and empty
+    texts are one group. The numbers of the rows that go are few, and joined back without moving texts where they
+    fit a broadcast.
     """
-    docs = docs.withColumn("__row", _row(every=True))
-    groups = simhash.near_groups(docs, key="__row")
-    stay = groups.filter(F.col("__row") == F.col("component_id")).select("__row").distinct()
-    return docs.join(stay, "__row", "left_semi").dropDuplicates(["__row"]).select(*COLUMNS)
+    rows = simhash.fingerprints(docs.select(*COLUMNS), keep_text=True).withColumn("__row", F.monotonically_increasing_id())
+    rows = written(rows)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row").alias("key")
+    groups = simhash.groups_of(written(rows.select(key, "fp")), "key")
+    gone = written(groups.filter(F.col("key.__row") != F.col("component_id.__row")).select("key.__row"))
+    return anti_join(rows, gone, "__row").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every source once in full at least; those of fewer words again, MAX_REPEATS times at most."""
-    return mixing.mix(docs.select(*COLUMNS), max_repeats=MAX_REPEATS).select(*COLUMNS)
+    """Every source once in full at least; those of fewer words again, MAX_REPEATS times at most, in the mixture's order.
+
+    The order is that of the rows: the files' names, and the rows in each. A source without a word in it (null and
+    empty texts alone) goes. Rows of a source with equal or null ids are taken together.
+    """
+    return mixing.arranged(mixing.mix(docs.select(*COLUMNS), gain=GAIN, max_repeats=MAX_REPEATS)).select(*COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids of each row of the mixture."""
-    out = byte_bpe.encode(docs.select("doc_id", "source", "text"))
-    return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, source, n_tokens, ids of each row of the mixture, and its place: mix_file and mix_row (both ascend in its order).
+
+    docs must be read from files. Null and empty texts have no ids.
+    """
+    file = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("int")
+    out = byte_bpe.encode(docs.select("doc_id", "source", file.alias("mix_file"), F.col("_metadata.row_index").alias("mix_row"), "text"))
+    return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "mix_file", "mix_row")
 
 
 STAGES = [
@@ -73,7 +78,7 @@ STAGES = [
     ("byte_bpe", encoding),
 ]
 
-#: SimHash, the bisected exponent and BPE are beyond SQL; the tests hold run() against a brute-force version.
+#: SimHash and BPE are beyond SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -8,7 +8,7 @@ import corpus_pipeline as cp
 from foliospark.llm import mixing, simhash
 from foliospark.llm.common import written
 
-from .test_operators import SCHEMA, WORDS, brute_measures, brute_simhash, multi, odd_rows  # noqa: F401
+from .test_operators import SCHEMA, WORDS, brute_judged, brute_mixture, brute_simhash, multi, odd_rows  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,20 +18,7 @@ def rows_of(df):
 
 
 def brute_quality(rows):
-    failed = []
-    for r in rows:
-        m = brute_measures(r["text"] or "")
-        failed.append(m[0] < 50 or 100 * m[5] > 50 * m[0] or 100 * m[2] > 10 * m[0] or 100 * m[4] > 50 * m[3])
-    hosts = defaultdict(list)
-    for r, f in zip(rows, failed, strict=True):
-        hosts[r["source"] or ""].append(f)
-    rates = [sum(x) / len(x) for x in hosts.values()]
-    m = sum(rates) / len(rates) if rates else 0
-    v = sum((x - m) ** 2 for x in rates) / len(rates) if rates else 0
-    s = min(1000.0, max(0.0, m * (1 - m) / v - 1)) if v else 1000.0
-    blocked = {h for h, x in hosts.items() if (sum(x) + m * s) / (len(x) + s) > 0.8}
-    bad = {r["doc_id"] for r, f in zip(rows, failed, strict=True) if f or (r["source"] or "") in blocked}
-    return [r for r in rows if r["doc_id"] not in bad]
+    return [r for r, judged in zip(rows, brute_judged(rows), strict=True) if judged[-1]]
 
 
 def brute_lines(rows):
@@ -74,29 +61,24 @@ def test_stages(spark, multi, kind):  # noqa: F811
         assert docs.columns == list(cp.COLUMNS) and key(rows_of(docs)) == key(rows), name
     assert rows
     docs = written(stages["mixing"](spark, docs, SF))
-    mixed = rows_of(docs)
-    assert docs.columns == list(cp.COLUMNS) and {r["doc_id"] for r in mixed} == {r["doc_id"] for r in rows}
-    words = Counter()
-    for r in mixed:
-        words[r["source"]] += len(WORDS.findall(r["text"]))
-    own = Counter()
-    for r in rows:
-        own[r["source"]] += len(WORDS.findall(r["text"]))
-    assert all(own[s] <= words[s] for s in own) and max(Counter(r["doc_id"] for r in mixed).values()) <= 2
-    sources = mixing.source_tokens(spark.createDataFrame([(s, n) for s, n in own.items()], "source string, n long"), "source", mixing.F.col("n"))
-    alpha = mixing.exponent(sources, max_repeats=2.0)
-    top = max(own.values())
-    for s, n in own.items():
-        longest = max(len(WORDS.findall(r["text"])) for r in rows if r["source"] == s)
-        assert -2 <= words[s] - n * (top / n) ** (1 - alpha) <= longest + 2
-    encoded = stages["byte_bpe"](spark, docs, SF).collect()
+    counted = [(r["doc_id"], r["source"], len(WORDS.findall(r["text"]))) for r in rows]
+    sources = Counter()
+    for _, source, n in counted:
+        sources[source] += n
+    table = spark.createDataFrame([(x, 1, n) for x, n in sources.items()], "source string, docs long, tokens long")
+    alpha = mixing.exponent(table, gain=cp.GAIN, max_repeats=cp.MAX_REPEATS)
+    assert kind != "given" or 0 < alpha < 1
+    expected = brute_mixture(counted, alpha, None, mixing.BLOCK_ROWS)
+    assert docs.columns == list(cp.COLUMNS) and Counter((r["doc_id"], r["source"]) for r in rows_of(docs)) == Counter(x[:2] for x in expected.elements())
+    assert {r["doc_id"] for r in rows_of(docs)} == {r["doc_id"] for r in rows}
+    encoded = sorted(stages["byte_bpe"](spark, docs, SF).collect(), key=lambda r: (r.mix_file, r.mix_row))
+    assert [(r.doc_id, r.source) for r in encoded] == [x[:2] for x in sorted(expected.elements(), key=lambda x: x[4])]
     texts = {r["doc_id"]: r["text"] for r in rows}
-    assert Counter(r.doc_id for r in encoded) == Counter(r["doc_id"] for r in mixed)
     assert all(r["ids"] == multi.encode_ordinary(texts[r.doc_id]) and r.n_tokens == len(r["ids"]) for r in encoded)
 
 
 def test_run(spark):
-    assert cp.run(spark, SF).columns == ["doc_id", "source", "n_tokens", "ids"]
+    assert cp.run(spark, SF).columns == ["doc_id", "source", "n_tokens", "ids", "mix_file", "mix_row"]
     assert [n for n, _ in cp.STAGES] == ["quality_rules", "line_dedup", "simhash", "mixing", "byte_bpe"] and cp.ORACLE_SQL is None
 
 
@@ -117,12 +99,6 @@ def test_copies_keep_their_lines(spark):
     assert out == {r[0]: copied if r[0] < 30 else r[1].split("\n")[1] for r in rows}
 
 
-def brute_verdicts(rows):
-    """brute_quality, where each row without a doc_id is a document of its own."""
-    named = [r | {"doc_id": ("row", k) if r["doc_id"] is None else r["doc_id"], "is": r["doc_id"]} for k, r in enumerate(rows)]
-    return [{c: r["is"] if c == "doc_id" else r[c] for c in cp.COLUMNS} for r in brute_quality(named)]
-
-
 def test_null_and_repeated_rows(spark):
     say = lambda k, n=60: " ".join(f"w{k}x{j}" for j in range(n))
     texts = [(None, say(0)), (None, say(0)), (1, say(0)), (None, say(1)), (None, say(1)), (None, "short"), (None, say(2))]
@@ -130,8 +106,8 @@ def test_null_and_repeated_rows(spark):
     rows = [dict(zip(cp.COLUMNS, (i, t, "en", "s" if k % 3 else None, len(t)), strict=True)) for k, (i, t) in enumerate(texts)]
     docs = spark.createDataFrame([tuple(r.values()) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     stages = dict(cp.STAGES)
-    rows, docs = brute_verdicts(rows), written(stages["quality_rules"](spark, docs, SF))
-    assert key(rows_of(docs)) == key(rows) and len(rows) == 13
+    rows, docs = brute_quality(rows), written(stages["quality_rules"](spark, docs, SF))
+    assert key(rows_of(docs)) == key(rows) and len(rows) == 14
     out = rows_of(stages["simhash"](spark, docs, SF))
     prints, forest = [brute_simhash(r["text"]) for r in rows], simhash.Forest(len(rows))
     for a in range(len(rows)):
@@ -142,4 +118,4 @@ def test_null_and_repeated_rows(spark):
     for k, r in enumerate(rows):
         groups[forest.root(k)].append(r)
     least = Counter((g[0]["text"], min((r["doc_id"] for r in g if r["doc_id"] is not None), default=None)) for g in groups.values())
-    assert Counter((r["text"], r["doc_id"]) for r in out) == least and len(out) == 6
+    assert Counter((r["text"], r["doc_id"]) for r in out) == least and len(out) == 7
