@@ -3,14 +3,17 @@
 A page is a response record with its HTTP message (chunked transfer coding), or a revisit record where a
 response with an equal payload stands elsewhere. A block of more than SEGMENT bytes is cut: the record has
 segment number 1, continuation records name it as their origin, and the last one has the total length.
-Files are written by Spark as texts whose lines end as records do, gzipped, FILE_RECORDS records at most
-each. A record's identifier has its page's number and its payload's digest. The reader takes whole records as
-they come; only segments are grouped by their origin, put in order, checked against the total length and joined. Chunks are then decoded, digests verified.
+Files are written by Spark as texts whose lines end as records do, FILE_RECORDS records at most each, the first a
+warcinfo; gzipped, a file is one member, as Spark's writer makes it. A page's number is in a header of its own
+(X-Page-ID). The reader takes any archive in one pass; record identifiers are texts to it. Only segments are then grouped
+by their origin (that of a first segment is its own identifier), put in order, checked against the total length and
+joined; chunks are decoded. What is broken is a row with an error.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import NO_ID, map_batches, shared_dir, small_batches, spread_join, text_bytes, written
 
 SEGMENT, CHUNK, FILE_RECORDS, MIN_REVISIT = 16_384, 4_096, 2_000, 1_000
+#: The reader's batches hold about so many bytes of blocks, or one longer record.
+BATCH_BYTES = 16 << 20
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2020-01-01T00:00:00Z"
@@ -43,6 +48,8 @@ def dechunked(message: bytes) -> bytes:
     while True:
         end = body.index(b"\r\n", at)
         n = int(body[at:end].split(b";")[0], 16)
+        if n < 0:
+            raise ValueError("a chunk of a negative length")
         if not n:
             return b"".join(out)
         if len(body) < end + 4 + n:
@@ -52,7 +59,7 @@ def dechunked(message: bytes) -> bytes:
 
 
 def _name(page: int, sha1: str, segment: int = 1) -> str:
-    return f"<urn:page:{page}:{sha1}>" if segment == 1 else f"<urn:page:{page}:{sha1}:segment:{segment}>"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}:{sha1}:{segment}')}>"
 
 
 def _record(kind: str, fields: dict[str, object], block: bytes) -> bytes:
@@ -60,13 +67,18 @@ def _record(kind: str, fields: dict[str, object], block: bytes) -> bytes:
     return f"WARC/1.1\r\nWARC-Type: {kind}\r\n{head}WARC-Date: {_DATE}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block
 
 
+def info(name: str) -> bytes:
+    """A file's first record."""
+    return _record("warcinfo", {"WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n")
+
+
 def records_of(page: int, url: str, payload: bytes, refers_to: int | None, segment: int = SEGMENT) -> Iterator[bytes]:
     """A page's record, in segments if it is long, each without the two line ends after it."""
     url = "".join(url.split()) or "about:blank"
     sha1 = hashlib.sha1(payload).hexdigest()
-    fields: dict[str, object] = {"WARC-Record-ID": _name(page, sha1), "WARC-Target-URI": url, "WARC-Payload-Digest": f"sha1:{sha1}"}
+    fields: dict[str, object] = {"WARC-Record-ID": _name(page, sha1), "WARC-Target-URI": url, "WARC-Payload-Digest": f"sha1:{sha1}", "X-Page-ID": page}
     if refers_to is not None:
-        yield _record("revisit", fields | {"WARC-Profile": _PROFILE, "WARC-Refers-To": _name(refers_to, sha1)}, b"")
+        yield _record("revisit", fields | {"WARC-Profile": _PROFILE, "WARC-Refers-To": _name(refers_to, sha1), "X-Refers-To-Page-ID": refers_to}, b"")
         return
     fields["Content-Type"] = "application/http; msgtype=response"
     block = _HTTP + chunked(payload)
@@ -91,119 +103,171 @@ def plan(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     return spread_join(slim, often, ["digest"]).filter("refers_to <> page_id").distinct()
 
 
-def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, segment: int = SEGMENT) -> None:
+def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, segment: int = SEGMENT, compression: str = "gzip") -> None:
     """Writes pages (page_id, url, html) as WARC files, a record for each row.
 
-    A null html is an empty payload, a null url about:blank. A null page_id counts as one below all
-    others. Rows with equal page_id and different html are pages of their own; equal rows give equal records.
+    A null html is an empty payload, a null url about:blank; an html of any length is cut into segments. A null page_id counts as one below all
+    others. Rows with equal page_id and different html are pages of their own; equal rows give equal records. Other
+    columns are left out. No pages: no records.
     """
     small_batches(pages.sparkSession)
     pages = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id"), "url", "html")
     named = pages.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")), 256))
     rows = named.join(written(plan(pages, min_revisit)), ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
 
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for i, url, html, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-            out += records_of(i, url or "", html, other, segment)
-        return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-
-    records = map_batches(rows, make, "record binary").select(F.col("record").cast("string"))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for batch in batches:
+            out = []
+            for i, url, html, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+                for record in records_of(i, url or "", html, other, segment):
+                    if n % FILE_RECORDS == 0:  # where Spark's writer begins a file
+                        out.append(info(f"{i}:{n}"))
+                        n += 1
+                    out.append(record)
+                    n += 1
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+
+    records = rows.mapInArrow(run, "record binary").select(F.col("record").cast("string"))
+    records.write.option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+
+
+def unzipped(archive: bytes) -> tuple[bytes, str | None]:
+    """A file's bytes without gzip (of one member or many), and what is wrong with the rest of it."""
+    members, rest = [], archive
+    while rest[:2] == b"\x1f\x8b":
+        d = zlib.decompressobj(31)
+        try:
+            members.append(d.decompress(rest))
+        except zlib.error as e:
+            return b"".join(members), f"gzip: {e}"
+        if not d.eof:
+            return b"".join(members), "a gzip member is cut short"
+        rest = d.unused_data
+    return (b"".join(members), None) if members else (archive, None)
 
 
-def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The header fields (names in lower case) and block of each record of a WARC file, gzipped or not."""
-    while archive[:2] == b"\x1f\x8b":
-        members, rest = [], archive
-        while rest[:2] == b"\x1f\x8b":
-            d = zlib.decompressobj(31)
-            members.append(d.decompress(rest))
-            rest = d.unused_data
-        archive = b"".join(members)
+def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """The header fields (names in lower case) and block of each record of a WARC file, gzipped or not; a last one with an error where it can't be read on."""
+    archive, broken = unzipped(archive)
     at = 0
     while at < len(archive):
-        end = archive.index(b"\r\n\r\n", at)
-        first, *lines = archive[at:end].decode().split("\r\n")
-        if not first.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+        end = archive.find(b"\r\n\r\n", at)
+        first, *lines = archive[at : max(at, end)].decode("utf-8", "replace").split("\r\n")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        if end < 0 or not first.startswith("WARC/"):
+            yield {}, b"", broken or f"no WARC record at byte {at}"
+            return
+        if not fields.get("content-length", "").isdecimal():
+            yield fields, b"", "a record without a length"
+            return
         n = int(fields["content-length"])
         if len(archive) < end + 4 + n:
-            raise ValueError("a record is cut short")
-        yield fields, archive[end + 4 : end + 4 + n]
+            yield fields, b"", broken or "a record is cut short"
+            return
+        yield fields, archive[end + 4 : end + 4 + n], None
         at = end + 8 + n
-
-
-def _page(name: str | None) -> tuple[int | None, str | None]:
-    """Page and digest that a record's identifier names."""
-    if name is None:
-        return None, None
-    page, sha1 = name.strip("<>").split(":")[2:4]
-    return int(page), f"sha1:{sha1}"
-
-
-def _read(segments: bool):
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for archive in batch.column(0):
-            for f, block in parse(archive.as_py()):
-                if ("warc-segment-number" in f) != segments or f["warc-type"] not in ("response", "revisit", "continuation"):
-                    continue
-                origin = f.get("warc-segment-origin-id", f["warc-record-id"])
-                total = f.get("warc-segment-total-length")
-                kind = f["warc-type"]
-                if not segments and kind == "response":
-                    block = dechunked(block)
-                page, named = _page(origin)
-                out.append((page, kind, f.get("warc-target-uri"), _page(f.get("warc-refers-to"))[0], f.get("warc-payload-digest", named), int(f.get("warc-segment-number", 1)), None if total is None else int(total), block))
-        columns = list(zip(*out, strict=True)) or [[]] * 8
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "record_type", "url", "refers_to", "digest", "segment", "total", "block"])
-
-    return make
+    if broken:
+        yield {}, b"", broken
+
+
+_TYPES = ("response", "resource", "revisit", "continuation")
+_RECORDS = "file string, record_id string, record_type string, url string, page_id long, refers_to_id string, refers_to long, digest string, http boolean, origin string, segment int, total long, block binary, error string"
+_KINDS = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.string())
+
+
+def _number(x: str | None) -> int | None:
+    try:
+        return None if x is None else int(x)
+    except ValueError:
+        return None
+
+
+def _payload(block: bytes, http: bool) -> tuple[bytes | None, str | None]:
+    """A block's payload, or what is wrong with it."""
+    try:
+        return dechunked(block) if http else block, None
+    except ValueError as e:
+        return None, f"HTTP: {e}"
+
+
+def _rows_of(file: str, archive: bytes) -> Iterator[tuple]:
+    for f, block, error in parse(archive):
+        kind = f.get("warc-type")
+        if error is None and kind not in _TYPES:
+            continue
+        segment, total, record = (f.get(f"warc-{x}") for x in ("segment-number", "segment-total-length", "record-id"))
+        http = kind in ("response", "continuation") and f.get("content-type", "application/http").lower().startswith("application/http")
+        if error is None and segment is None and kind == "response":
+            block, error = _payload(block, http)
+        if error is None and segment is not None and _number(segment) is None:
+            error = "a segment without a number"
+        origin = None if segment is None else f.get("warc-segment-origin-id", record)
+        yield file, record, kind, f.get("warc-target-uri"), _number(f.get("x-page-id")), f.get("warc-refers-to"), _number(f.get("x-refers-to-page-id")), f.get("warc-payload-digest"), http, origin, _number(segment), _number(total), None if error else block, error
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in _RECORDS.split(", ")]
+    for batch in batches:
+        for file, archive in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            out, size = [], 0
+            for row in _rows_of(file, archive.as_py()):
+                out.append(row)
+                size += len(row[-2] or b"")
+                if size > BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _KINDS, strict=True)], names)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _KINDS, strict=True)], names)
 
 
 def _join_segments(batch: pa.RecordBatch) -> pa.RecordBatch:
-    out = []
-    for page, digest, url, parts, total in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-        copies = sum(p["segment"] == 1 for p in parts)  # of equal rows; their segments are equal, too
-        own = parts[::copies] if copies else parts
-        block = b"".join(p["block"] for p in own)
-        if [p["segment"] for p in own] != list(range(1, len(own) + 1)) or len(own) * copies != len(parts) or len(block) != total:
-            raise ValueError(f"the segments of page {page} don't make up {total} bytes")
-        out += [(page, "response", url, None, digest, dechunked(block))] * copies
-    columns = list(zip(*out, strict=True)) or [[]] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()), strict=True)], ["page_id", "record_type", "url", "refers_to", "digest", "payload"])
+    payloads, errors = [], []
+    for parts, total, http in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        block = b"".join(p["block"] for p in parts)
+        whole = [p["segment"] for p in parts] == list(range(1, len(parts) + 1)) and len(block) == total
+        payload, error = _payload(block, http) if whole else (None, f"{len(parts)} segments don't make up {total} bytes")
+        payloads.append(payload)
+        errors.append(error)
+    return pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(payloads, pa.binary()), pa.array(errors, pa.string())], [*batch.schema.names[3:], "payload", "error"])
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, record_type, url, refers_to, digest, payload (binary; null for a revisit) of the records below path.
+    """record_id, record_type, url, page_id, refers_to_id, refers_to, digest, payload (binary; null for a revisit), error of the records below path.
 
-    Missing or short segments and chunks are errors. Other record types are passed over. A page_id that
-    was null when written is null again.
+    Any WARC files, gzipped or not, with records of any identifiers; page_id and refers_to (a page's number) are
+    null in those of others. Records of other types than response, resource, revisit and continuation are passed
+    over. A record that can't be read (cut short, segments missing or of another total length, bad chunks) is a row with an error and
+    without a payload; nothing after it in its file can be read if its own end is unknown. A page_id that was null
+    when written is null again. Equal segments of equal rows are counted, and each row comes back. No records: empty.
     """
     small_batches(spark)
-    columns = "page_id long, record_type string, url string, refers_to long, digest string, segment int, total long, block binary"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    whole = map_batches(files, _read(False), columns).withColumn("payload", F.when(F.col("record_type") == "response", F.col("block")))
-    parts = map_batches(files, _read(True), columns)
-    # a group has the segments of one page and payload
-    by_origin = parts.groupBy("page_id", "digest").agg(F.max("url").alias("url"), F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"))
-    joined = map_batches(by_origin, _join_segments, "page_id long, record_type string, url string, refers_to long, digest string, payload binary")
-    out = whole.select(*joined.columns).union(joined)
-    return out.withColumn("page_id", F.when(F.col("page_id") != NO_ID, F.col("page_id")))
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    records = written(files.mapInArrow(_records, _RECORDS))
+    columns = ["record_id", "record_type", "url", "page_id", "refers_to_id", "refers_to", "digest", "payload", "error"]
+    alone = F.col("origin").isNull() | F.col("error").isNotNull()
+    whole = records.filter(alone).withColumn("payload", F.when(F.col("record_type") != "revisit", F.col("block"))).select(*columns)
+    # equal segments count as one first, so that a group holds one record's segments
+    segments = records.filter(~alone).groupBy("origin", "segment", "block").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("total", "http", "url", "page_id", "digest")])
+    first = lambda c: F.max(F.when(F.col("segment") == 1, F.col(c)))
+    groups = segments.groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"), F.coalesce(first("http"), F.lit(False)).alias("http"), *[first(c).alias(c) for c in ("url", "page_id", "digest", "n")])
+    schema = "record_id string, url string, page_id long, digest string, n long, payload binary, error string"
+    joined = map_batches(groups.select("parts", "total", "http", F.col("origin").alias("record_id"), "url", "page_id", "digest", F.coalesce("n", F.lit(1)).alias("n")), _join_segments, schema)
+    joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    none = lambda kind: F.lit(None).cast(kind)
+    joined = joined.select("record_id", F.lit("response").alias("record_type"), "url", "page_id", none("string").alias("refers_to_id"), none("long").alias("refers_to"), "digest", "payload", "error")
+    return whole.union(joined).withColumn("page_id", F.when(F.col("page_id") != NO_ID, F.col("page_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7_warc: all pages, written to archives and read back; a revisit's payload is its response's."""
     path = shared_dir(spark)
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    measured = read(spark, path).select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.when(F.col("payload").isNotNull(), F.sha1("payload")).alias("payload_digest"), "record_type", "refers_to", "digest")
+    measured = read(spark, path).select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.when(F.col("payload").isNotNull(), F.sha1("payload")).alias("payload_digest"), "record_type", "refers_to", "digest", "error")
     rows = written(measured)
-    bad = rows.filter("record_type = 'response' AND digest <> concat('sha1:', payload_digest)").limit(1).count()
+    bad = rows.filter("error IS NOT NULL OR (record_type = 'response' AND digest <> concat('sha1:', payload_digest))").limit(1).collect()
     if bad:
-        raise ValueError("a payload doesn't have its record's digest")
+        raise ValueError(f"a record can't be read, or its payload hasn't its digest: {bad[0]}")
     out = rows.filter("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     again = rows.filter("record_type = 'revisit'").select("page_id", "record_type", "refers_to", F.substring("digest", 6, 40).alias("payload_digest"))
     # the responses that are visited again, one for each payload
