@@ -4,16 +4,16 @@ A window is WIDTH consecutive words of one document. Every window names one of i
 that with the least hash (the leftmost of equal ones), as its anchor: equal windows have equal anchors,
 and neighbouring windows mostly share theirs, so that an index of anchors has a row for about seven words.
 
-The index is a list of immutable runs, each a table of (h, doc_id) in the shared folder, bucketed and
-sorted by h. A new batch becomes a run and is merge-joined, bucket by bucket and without a shuffle, with
-itself and each earlier run; what meets are the candidates (doc_id, anchors) of both sides. Once there
-are more than max_runs runs they are compacted into one.
-
-A verification pass then looks at all windows of the candidates' anchors, in full: windows count as
-equal if a second, independent 64-bit hash of all their words and 32 bits of their anchor's hash agree.
-An aggregation keeps the smallest doc_id and start of each window; all later ones are repeats.
-A hash stands at most twice for each document, so that a passage in every document is one row in some
-hundred, and sums are formed before the shuffle.
+The index is a list of immutable runs, each a table in the shared folder, bucketed and sorted by h, with one row for each
+anchor: its first document and whether another has it too. A new batch's anchors are summed up to such a run, which is
+merge-joined, bucket by bucket and without a shuffle, with each earlier run. What meets, or stands twice in the batch,
+is shared: it goes back to the batch's documents, and to the one document that had an anchor alone so far (those that had
+it before with others know already). Anchors of very many documents are not shuffled on that way. Once there are more
+than max_runs runs they are compacted into one.
+
+A verification pass then looks at all windows of the shared anchors in the documents that have them: windows count as
+equal if a second, independent 64-bit hash of all their words and 32 bits of their anchor's hash agree. An aggregation keeps
+the smallest doc_id and start of each window; all later ones are repeats.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, map_batches, partitions, range_buckets, shared_dir, small_batches, text_bytes, written
+from .common import NO_ID, map_batches, partitions, range_buckets, shared_dir, small_batches, spread_join, text_bytes, written
 from .words import gram_hashes, word_hashes
 
 WIDTH, GRAM = 20, 8
@@ -44,16 +44,17 @@ def anchors(words: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.nd
 
 def _anchor_rows(width: int, gram: int):
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found, ids = [], []
+        found, ids, twice = [], [], []
         for i, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
             grams, at = anchors(word_hashes(text)[0], width, gram)
             if len(at):
                 own, times = np.unique(grams[at[np.flatnonzero(np.diff(at, prepend=-1))]], return_counts=True)
-                found.append(np.repeat(own, np.minimum(times, 2)))  # twice: shared within the document
-                ids.append(np.full(len(found[-1]), i, np.int64))
+                found.append(own)
+                ids.append(np.full(len(own), i, np.int64))
+                twice.append(times > 1)  # shared within the document
         if not found:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(ids))], ["h", "doc_id"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(twice))], ["h", "doc_id", "twice"])
 
     return make
 
@@ -118,53 +119,79 @@ def _cut_rows(width: int, gram: int):
     return make
 
 
+_RUN = "h BIGINT, doc_id BIGINT, shared BOOLEAN"
+
+
 class FingerprintIndex:
-    """Runs of anchor hashes below one folder of the shared store."""
+    """Runs of anchor hashes below one folder of the shared store, and the files of each batch's hits. log has the number of runs after each step."""
 
     def __init__(self, spark: SparkSession, buckets: int | None = None, max_runs: int = 4, width: int = WIDTH, gram: int = GRAM):
         self.spark, self.root = spark, shared_dir(spark)
         self.buckets, self.max_runs, self.width, self.gram = buckets or partitions(spark), max_runs, width, gram
         self.runs: list[str] = []
+        self.hits: list[str] = []
+        self.log: list[tuple[str, int]] = []
         small_batches(spark)
 
     @classmethod
-    def reopen(cls, spark: SparkSession, root: str, runs: list[str], buckets: int, **options) -> FingerprintIndex:
-        """The index below root (its root, runs and buckets as they were), in another session."""
+    def reopen(cls, spark: SparkSession, root: str, runs: list[str], hits: list[str], buckets: int, **options) -> FingerprintIndex:
+        """The index below root (its root, runs, hits and buckets as they were), in another session."""
         index = cls(spark, buckets, **options)
-        index.root, index.runs = root, list(runs)
+        index.root, index.runs, index.hits = root, list(runs), list(hits)
         for name in runs:
             if not spark.catalog.tableExists(name):
-                spark.sql(f"CREATE TABLE {name} (h BIGINT, doc_id BIGINT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {buckets} BUCKETS LOCATION '{root}/{name}'")
+                spark.sql(f"CREATE TABLE {name} ({_RUN}) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {buckets} BUCKETS LOCATION '{root}/{name}'")
         return index
 
     def _write(self, rows: DataFrame) -> str:
+        """A run of rows (h, doc_id, shared), those of one anchor as one. The sum's exchange is the buckets', so that each is one sorted file."""
         name = f"fingerprint_run_{uuid.uuid4().hex}"
-        rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.root}/{name}").saveAsTable(name)
+        first = F.min("doc_id")
+        run = rows.groupBy("h").agg(first.alias("doc_id"), (F.bool_or("shared") | (first < F.max("doc_id"))).alias("shared"))
+        if self.buckets != partitions(self.spark):
+            run = run.repartition(self.buckets, "h")
+        run.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.root}/{name}").saveAsTable(name)
         return name
 
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Adds (doc_id, text) as a new run. Returns (doc_id, h): anchors, of new and of earlier documents, that this batch made shared."""
-        rows = map_batches(docs.select("doc_id", "text"), _anchor_rows(self.width, self.gram), "h long, doc_id long")
-        # one exchange by the bucket's hash, so that each bucket is one sorted file
-        name = self._write(rows.repartition(self.buckets, "h"))
+    def add(self, docs: DataFrame, recall: bool = True) -> DataFrame:
+        """Adds (doc_id, text) as a new run. Returns (doc_id, h): the new documents' shared anchors, and the earlier documents' with these.
+
+        Without recall, of the earlier documents only those that had one of these anchors alone: all others were returned before.
+        """
+        rows = written(map_batches(docs.select("doc_id", "text"), _anchor_rows(self.width, self.gram), "h long, doc_id long, twice boolean"))
+        name = self._write(rows.select("h", "doc_id", F.col("twice").alias("shared")))
         new = self.spark.table(name)
-        twice = new.groupBy("h").count().filter("count > 1").select("h")
-        hits = [new.join(twice, "h", "left_semi")]
+        shared, hits = [new.filter("shared").select("h")], []
         for old in map(self.spark.table, self.runs):
-            hits += [new.join(old.hint("merge"), "h", "left_semi"), old.join(new.hint("merge"), "h", "left_semi")]
-        found = written(reduce(DataFrame.union, (x.select("doc_id", "h") for x in hits)))
+            shared.append(new.join(old.hint("merge"), "h", "left_semi").select("h"))
+            hits.append(old.filter("NOT shared").join(new.hint("merge"), "h", "left_semi").select("doc_id", "h"))
+        met = written(reduce(DataFrame.union, shared).distinct())
+        hits.append(spread_join(rows.select("doc_id", "h"), met, ["h"]).select("doc_id", "h"))
+        path = f"{self.root}/hits_{uuid.uuid4().hex}"
+        reduce(DataFrame.union, hits).write.parquet(path)
+        found = self.spark.read.parquet(path)
+        if recall and self.hits:
+            found = written(found.union(spread_join(self.spark.read.parquet(*self.hits), met, ["h"]).select("doc_id", "h")))
+        self.hits.append(path)
         self.runs.append(name)
+        self.log.append(("add", len(self.runs)))
         if len(self.runs) > self.max_runs:
             self.compact()
         return found
 
     def compact(self) -> None:
-        """All runs become one; their tables go once it is written."""
-        rows = reduce(DataFrame.union, map(self.spark.table, self.runs))
-        name = self._write(rows.repartition(self.buckets, "h"))
-        for old in self.runs:
-            self.spark.sql(f"DROP TABLE {old}")
+        """All runs become one; their tables go once it is written. An anchor of two runs is shared, as both of its documents know."""
+        # as plain files: a sum over a union of bucketed tables goes without an exchange, but also without the buckets
+        name = self._write(self.spark.read.parquet(*[f"{self.root}/{run}" for run in self.runs]))
+        self.drop()
         self.runs = [name]
+        self.log.append(("compact", 1))
+
+    def drop(self) -> None:
+        """Takes the runs out of the catalog; their files are the shared folder's."""
+        for name in self.runs:
+            self.spark.sql(f"DROP TABLE {name}")
+        self.runs = []
 
     def verify(self, docs: DataFrame, hits: DataFrame) -> DataFrame:
         """docs (doc_id, text) without each word that a repeated window covers.
@@ -182,28 +209,30 @@ class FingerprintIndex:
         return map_batches(joined.select("doc_id", "text", "hits", "firsts"), _cut_rows(self.width, self.gram), "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start: bigint, end: bigint>>")
 
 
-def dedup(docs: DataFrame, batches: int = 3, max_runs: int = 4, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """docs (doc_id, text) without repeated passages; batches of ascending doc_id go into a new index.
+def dedup(docs: DataFrame, batches: int = 6, max_runs: int = 4, width: int = WIDTH, gram: int = GRAM, index: FingerprintIndex | None = None) -> DataFrame:
+    """docs (doc_id, text) without repeated passages; batches of ascending doc_id go into a new index (or the one given).
 
     A word goes if a window over it has a word sequence that also starts earlier (smaller doc_id, or
-    same document, earlier start). Null and empty texts have no words and an empty kept_text. Rows with
-    the same doc_id count as one document: equal rows give equal results. A null doc_id counts as one
-    document before all others, and is null again in the result. Other columns of docs are left out.
+    same document, earlier start). Null and empty texts have no words and an empty kept_text; texts of any length are read
+    whole. Rows with the same doc_id count as one document: equal rows give equal results. A null doc_id counts as one
+    document before all others, and is null again in the result. Other columns of docs are left out. Empty docs: empty result.
     """
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    index = FingerprintIndex(spark, max_runs=max_runs, width=width, gram=gram)
+    own = index or FingerprintIndex(spark, max_runs=max_runs, width=width, gram=gram)
     bounds, hits, below = range_buckets(docs, "doc_id", batches), [], None
     for bound in [*bounds, None]:
         batch = docs if below is None else docs.filter(F.col("doc_id") > below)
         batch = batch if bound is None else batch.filter(F.col("doc_id") <= bound)
-        hits.append(index.add(batch))
+        hits.append(own.add(batch, recall=False))
         below = bound
-    out = index.verify(docs, reduce(DataFrame.union, hits))
+    if index is None:
+        own.drop()
+    out = own.verify(docs, reduce(DataFrame.union, hits))
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op2_substring_dedup: the digest of every document."""
+    """op2_substring_dedup: the digest of every document. Six batches; the fifth run makes the index compact."""
     out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("removed").cast("long").alias("n_spans"))
