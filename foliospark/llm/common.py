@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +96,21 @@ def range_buckets(df: DataFrame, column: str, n: int) -> list[float]:
     return sorted(set(df.approxQuantile(column, [i / n for i in range(1, n)], 0.2 / n)))
 
 
+def with_range(df: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """df with range (int), and the number of ranges: ascending ones of a numeric column, of about equal numbers of rows, four for each partition. One value's rows are in one range."""
+    bounds = range_buckets(df, column, 4 * partitions(df.sparkSession)) or [0.0]
+    ranged = df.withColumn("__at", F.col(column).cast("double"))
+    ranged = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="__at", outputCol="__range").transform(ranged)
+    return ranged.withColumn("range", F.col("__range").cast("int")).drop("__at", "__range"), len(bounds) + 1
+
+
+def in_ranges(ranged: DataFrame, ranges: int, *order: str) -> DataFrame:
+    """Neighbouring ranges in one partition, as many in each, partitions ascending, each sorted by range and the order."""
+    n = partitions(ranged.sparkSession)
+    at = F.floor(F.col("range") * F.lit(n) / F.lit(ranges)).cast("int")
+    return ranged.repartitionById(n, at).sortWithinPartitions("range", *order)
+
+
 class Shared:
     """Bytes of a bounded file, sent once to each executor; key tells them from others in a worker's store."""
 

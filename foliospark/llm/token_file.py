@@ -16,12 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NO_ID, Shared, map_batches, partitions, range_buckets, shared_dir, small_batches, text_bytes, written
+from .common import NO_ID, Shared, in_ranges, map_batches, shared_dir, small_batches, text_bytes, with_range, written
 
 #: Ids in a word, and bits of each, by selector.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
@@ -29,6 +28,8 @@ BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 ESCAPE = 15
 MARK, MAGIC = "S8BLOCK\n", b"SIMPLE8B"
 BLOCK_IDS, KEEP, END_ID = 262_144, 400_000, 2
+#: The store of stretches is emptied at KEEP of them, or when those in it have so many bytes.
+KEEP_BYTES = 32 << 20
 #: A file has at most as many blocks, so that a reader holds some 100 MB.
 FILE_BLOCKS = 128
 _HEAD = struct.Struct("<8sqqqq")  # magic, range, first id's place in the range, documents, words
@@ -157,7 +158,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(config)
-        self.keep = keep
+        self.keep, self.spent = keep, 0
         self.known: dict[bytes, bytes] = {}
         one = self.tokenizer.encode
         alone = one(_BETWEEN, add_special_tokens=False).ids
@@ -203,12 +204,15 @@ class Encoder:
         out = []
         for k in range(0, len(texts), 32):
             split = [t.split() for t in texts[k : k + 32]]
-            if len(self.known) > self.keep:
+            if len(self.known) > self.keep or self.spent > KEEP_BYTES:
                 self.known.clear()
+                self.spent = 0
             new: set[bytes] = set()
             for parts in split:
                 new.update(parts)
-            self.learn(new.difference(self.known))  # looks up the new ones only
+            new.difference_update(self.known)  # looks up the new ones only
+            self.spent += sum(map(len, new))
+            self.learn(new)
             known = self.known
             out += [b"".join([known[p] for p in parts]) for parts in split]
         return out
@@ -229,47 +233,36 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int | None = END_ID) -> DataFrame:
-    """doc_id, ids (binary, 32 bits each) of docs (doc_id, text), with the end id. Null and empty texts: the end id alone."""
+def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int | None = END_ID, block_ids: int = BLOCK_IDS) -> None:
+    """Writes the ids of docs (doc_id, text) below path, in ascending order of doc_id (null first; equal ones by their texts).
+
+    Texts go to ranges of doc_id, neighbouring ranges to one partition, sorted; there they are encoded and packed. So files ascend
+    by name, and blocks in each. Every range is a part of one file, or of some in a row; its blocks have block_ids ids, or one
+    longer document, whatever its length. Null and empty texts have the end id alone. Repeated rows are documents of their
+    own, other columns are left out. No docs: no blocks.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     with open(tokenizer or default_tokenizer(), "rb") as f:
         shared = Shared(spark, f.read())
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
-
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = _encoder(shared).encode(text_bytes(batch.column(1)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x + end for x in ids], pa.binary())], ["doc_id", "ids"])
-
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, ids binary")
-
-
-def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int | None = END_ID, block_ids: int = BLOCK_IDS) -> None:
-    """Writes the ids of docs (doc_id, text) below path, in ascending order of doc_id (null first; equal ones by their ids).
-
-    Every range of doc_id is a sorted part of one file, or of some in a row; its blocks have block_ids ids, or one longer document.
-    """
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    n = partitions(docs.sparkSession)
-    bounds = range_buckets(docs, "doc_id", 4 * n)
-    rows = encode(docs, tokenizer, end_id).withColumn("range", F.lit(0))
-    if bounds:
-        rows = rows.withColumn("range", F.col("doc_id").cast("double"))
-        rows = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="range", outputCol="__range").transform(rows).select("doc_id", "ids", F.col("__range").cast("int").alias("range"))
-    rows = rows.repartition(n, "range").sortWithinPartitions("range", "doc_id", "ids")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = in_ranges(*with_range(docs, "doc_id"), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(shared)
         part, first, held, ids, docs_ = None, 0, 0, [], []
         for batch in batches:
             out = []
-            for i, raw, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            encoded = encoder.encode(text_bytes(batch.column(1)))
+            for i, raw, own in zip(batch.column(0).to_pylist(), encoded, batch.column(2).to_pylist(), strict=True):
                 if ids and (own != part or held >= block_ids):
                     out.append(write_block(part, first, ids, docs_))
                     first, held, ids, docs_ = first + held, 0, [], []
                 if own != part:
                     part, first = own, 0
                 ids.append(i)
-                docs_.append(np.frombuffer(raw, "<u4"))
+                docs_.append(np.frombuffer(raw + end, "<u4"))
                 held += len(docs_[-1])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["block"])
@@ -281,7 +274,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), ids (array<long>) from the files below path."""
+    """doc_id, start (ids of all documents before it), ids (array<long>) from the files below path. No blocks: no rows."""
     small_batches(spark)
     return _read(spark, path, _rows_of_ids, "range int, doc_id long, place long, n_tokens long, ids array<long>").select("doc_id", "start", "ids")
 
