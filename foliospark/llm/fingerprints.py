@@ -15,16 +15,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, map_batches, partitions, range_buckets, small_batches
+from .common import NO_ID, in_ranges, map_batches, small_batches, with_range
 from .words import mix
 
 SAMPLES = 64
-#: Terms (with weight) whose variates a worker keeps; the store is emptied when it is full.
-KEEP = 40_000
+#: Terms (with weight) whose variates a worker keeps, and their bytes; the store is emptied when it is full.
+KEEP, KEEP_BYTES = 40_000, 16 << 20
 _CHUNK = 8_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -33,7 +32,7 @@ class Sampler:
     """Variates of terms, kept in bounded arrays, and the signatures made of them."""
 
     def __init__(self, samples: int = SAMPLES, keep: int = KEEP):
-        self.samples, self.keep = samples, keep
+        self.samples, self.keep, self.spent = samples, keep, 0
         self.rows: dict[tuple[bytes, int], int] = {}
         self.log_a = np.zeros((keep, samples), np.float32)
         self.codes = np.zeros((keep, samples), np.uint16)
@@ -45,10 +44,12 @@ class Sampler:
         return ((bits >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * scale, ((bits & np.uint64(0xFFFFFF)).astype(np.float32) + np.float32(0.5)) * scale
 
     def _place(self, terms: list[tuple[bytes, int]]) -> np.ndarray:
-        if len(self.rows) + len(terms) > self.keep:
+        if len(self.rows) + len(terms) > self.keep or self.spent > KEEP_BYTES:
             self.rows.clear()
+            self.spent = 0
         new = [t for t in terms if t not in self.rows]
         if new:
+            self.spent += sum(len(t) for t, _ in new)
             hashes = np.fromiter((xxhash.xxh64_intdigest(t, 1) for t, _ in new), np.uint64, len(new))
             log_w = np.log(np.fromiter((w for _, w in new), np.float32, len(new)))[:, None]
             u1, u2 = self._uniforms(hashes, 0)
@@ -120,20 +121,14 @@ def edited_likeness(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = partitions(spark)
-    bounds = range_buckets(docs, "doc_id", 4 * n)
-    if bounds:
-        ranged = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="__id", outputCol="range").transform(docs.withColumn("__id", F.col("doc_id").cast("double"))).drop("__id")
-        ranged = ranged.withColumn("range", F.col("range").cast("int"))
-    else:
-        ranged = docs.withColumn("range", F.lit(0))
+    ranged, ranges = with_range(docs, "doc_id")
     # at most 4 n rows: the largest id of each range
     ends = [(r["range"], r["m"]) for r in ranged.groupBy("range").agg(F.max("doc_id").alias("m")).orderBy("range").collect()]
     follows = [(m, ends[(i + 1) % len(ends)][0]) for i, (_, m) in enumerate(ends)]
     marks = spark.createDataFrame(follows, "doc_id long, follower int")
     copies = docs.join(F.broadcast(marks), "doc_id").select("doc_id", "text", F.col("follower").alias("range"), F.lit(0).alias("own"))
     rows = ranged.withColumn("own", F.lit(1)).select("doc_id", "text", "range", "own").union(copies)
-    rows = rows.repartition(n, "range").sortWithinPartitions("range", "own", "doc_id", "text")
+    rows = in_ranges(rows, ranges, "own", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, before, codes_before = _sampler(samples), "", None
