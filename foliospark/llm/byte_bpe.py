@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import Shared, map_batches, small_batches
 
-#: Pieces that a worker keeps, and the longest piece that goes through the common tree.
-KEEP, SHORT = 300_000, 64
+#: Pieces that a worker keeps, their bytes, and the longest piece that goes through the common tree.
+KEEP, KEEP_BYTES, SHORT = 300_000, 32 << 20, 64
 _NONE = np.int64(2**62)
 
 
@@ -35,7 +35,7 @@ class Codec:
     """Encoder and decoder for one table of ranks."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = KEEP):
-        self.ranks, self.keep = ranks, keep
+        self.ranks, self.keep, self.spent = ranks, keep, 0
         self.pieces_of = regex.compile(pattern).findall
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
@@ -156,12 +156,14 @@ class Codec:
         out = []
         for k in range(0, len(texts), 32):
             split = [self.pieces_of(t) for t in texts[k : k + 32]]
-            if len(self.known) > self.keep:
+            if len(self.known) > self.keep or self.spent > KEEP_BYTES:
                 self.known.clear()
+                self.spent = 0
             new: set[str] = set()
             for pieces in split:
                 new.update(pieces)
             new.difference_update(self.known)
+            self.spent += sum(map(len, new))
             self.learn(new)
             known = self.known
             out += [np.frombuffer(b"".join([known[p] for p in pieces]), "<i4") for pieces in split]
@@ -198,7 +200,8 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None
     """docs with ids array<int> (and decoded binary, the bytes that the ids stand for). Null and empty texts: no ids.
 
     ranks is the path of a rank file on the driver; its bytes (under 1 MB for 50,000 tokens) are broadcast.
-    Every document is encoded for itself: repeated rows give equal results. Columns named ids or decoded are replaced.
+    Every document is encoded for itself, whatever its length: repeated rows give equal results. Columns named ids or
+    decoded are replaced, others stay. Empty docs: empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import Shared, map_batches, small_batches
 
 TABLE, HEAVY, KEEP, LIMIT = 20_000, 4_000, 300_000, 4096
+#: The workers' stores are also emptied when their pre-tokens have so many characters.
+KEEP_CHARS = 16 << 20
 _BLANK = "▁"
 _runs = regex.compile(" {2,}").search
 
@@ -52,7 +54,7 @@ class Counts:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.table, self.keep = table, keep
+        self.table, self.keep, self.spent = table, keep, 0
         self.known: dict[str, int] = {}
         self.alone = len(self.model.encode("a ")) - len(self.model.encode("a"))  # a single blank; the model drops an empty text
 
@@ -63,10 +65,12 @@ class Counts:
         out = []
         for k in range(0, len(texts), 32):
             held = [Counter(pre_tokens(t)) for t in texts[k : k + 32]]
-            if len(self.known) > self.keep:
+            if len(self.known) > self.keep or self.spent > KEEP_CHARS:
                 self.known.clear()
+                self.spent = 0
             table, known = self.table, self.known
             new = list({p for c in held for p in c if p not in table and p not in known})
+            self.spent += sum(map(len, new))
             known.update(zip(new, self.lengths(new), strict=True))
             out += [sum([n * (table[p] if p in table else known[p]) for p, n in c.items()]) for c in held]
         return out
@@ -109,7 +113,8 @@ def default_model() -> str:
 def count(docs: DataFrame, model: str | None = None, text: str = "text", limit: int = LIMIT, table: int = TABLE) -> DataFrame:
     """docs with n_bytes, n_tokens (long) and over_limit. Null and empty texts: 0 tokens. Special strings count as plain text.
 
-    Columns of these names are replaced; repeated rows give equal results. The model must have no
+    Columns of these names are replaced, others stay; texts of any length are counted whole; repeated rows give equal
+    results. Empty docs: empty result. The model must have no
     normalisation and no piece that goes on after a blank within it, else ValueError.
     """
     import sentencepiece
