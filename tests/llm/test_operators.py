@@ -84,8 +84,13 @@ def brute_substrings(rows, width=20):
     return out
 
 
-@pytest.mark.parametrize("batches,max_runs", [(1, 4), (3, 4), (4, 1)])
-def test_substrings(odd, given, batches, max_runs):
+@pytest.mark.parametrize("batches,max_runs", [(1, 4), (6, 4), (4, 1)])
+def test_substrings(odd, given, batches, max_runs, monkeypatch):
+    from foliospark.llm import common
+
+    if batches == 4:  # hot anchors go another way than others, and none are broadcast as few
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(common, "HOT_ROWS", 3)
     for docs in (odd, given):
         found = {(as_id(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.dedup(docs, batches, max_runs).collect()}
         assert found == {(i, *v) for i, v in brute_substrings(distinct(docs)).items()}
@@ -99,7 +104,7 @@ def test_index_over_sessions(spark, given):
     first.add(early.select("doc_id", "text"))
     for name in first.runs:
         spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
-    again = substring_dedup.FingerprintIndex.reopen(spark, first.root, first.runs, first.buckets)
+    again = substring_dedup.FingerprintIndex.reopen(spark, first.root, first.runs, first.hits, first.buckets)
     hits = again.add(late.select("doc_id", "text"))
     found = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in again.verify(given, hits).filter("doc_id >= 120").collect()}
     expected = brute_substrings(distinct(given))
@@ -110,6 +115,19 @@ def test_substrings_of_nothing(none):
     assert substring_dedup.dedup(none).count() == 0
 
 
+def test_index_is_compacted(spark, given):
+    """As in the query: the fifth of six batches makes one run of five; a run has one row for each anchor, and none is left in the catalog."""
+    before = len(spark.catalog.listTables())
+    index = substring_dedup.FingerprintIndex(spark)
+    substring_dedup.dedup(given, index=index)
+    assert index.log == [("add", 1), ("add", 2), ("add", 3), ("add", 4), ("add", 5), ("compact", 1), ("add", 2)]
+    run = spark.table(index.runs[0])
+    assert run.count() == run.select("h").distinct().count() > 0 and run.filter("shared").count() > 0
+    index.drop()
+    substring_dedup.dedup(given)
+    assert len(spark.catalog.listTables()) == before
+
+
 # --- line dedup
 
 
@@ -315,13 +333,53 @@ def test_warc_errors():
     records = list(warc.records_of(3, "u", b"abc" * 500, None, segment=400))
     assert len(records) > 3 and b"Segment-Total-Length" in records[-1]
     parsed = list(warc.parse(b"".join(r + b"\r\n\r\n" for r in records)))
-    assert warc.dechunked(b"".join(b for _, b in parsed)) == b"abc" * 500
-    with pytest.raises(ValueError):
-        warc.dechunked(b"".join(b for _, b in parsed)[:-700])
-    with pytest.raises(ValueError):
-        list(warc.parse(records[0][:-5]))
-    with pytest.raises(ValueError):
-        list(warc.parse(b"no record\r\n\r\n"))
+    assert warc.dechunked(b"".join(b for _, b, _ in parsed)) == b"abc" * 500
+    for bad in (b"".join(b for _, b, _ in parsed)[:-700], b"no header", b"Transfer-Encoding: chunked\r\n\r\n-5\r\nx", b"Transfer-Encoding: chunked\r\n\r\nzz\r\n"):
+        with pytest.raises(ValueError):
+            warc.dechunked(bad)
+    assert [e for _, _, e in warc.parse(records[0][:-5])] == ["a record is cut short"]
+    assert [e for _, _, e in warc.parse(b"no record\r\n\r\n")] == ["no WARC record at byte 0"]
+    assert [e for _, _, e in warc.parse(b"WARC/1.1\r\nWARC-Type: response\r\n\r\n")] == ["a record without a length"]
+
+
+def foreign(kind, ident, block, **fields):
+    head = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in fields.items())
+    return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{ident}>\r\nContent-Length: {len(block)}\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_foreign_archives(spark, tmp_path):
+    """Archives of others: any identifiers, a gzip member for each record, continuations out of order and in other files, broken files beside good ones."""
+    import gzip
+
+    http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
+    long = http + warc.chunked(b"z" * 5000, 700)
+    parts = [long[:2000], long[2000:4000], long[4000:]]
+    segment = lambda k, **more: foreign("response" if k == 1 else "continuation", f"seg-{k}", parts[k - 1], WARC_Segment_Number=k, **({"WARC_Segment_Origin_ID": "<urn:uuid:seg-1>"} if k > 1 else {"Content_Type": "application/http; msgtype=response"}), **more)
+    good = [foreign("warcinfo", "i", b"x: y"), foreign("response", "a", http + warc.chunked(b"hello"), WARC_Target_URI="http://a/"), foreign("resource", "b", b"plain", Content_Type="text/plain"), foreign("request", "r", b"GET / HTTP/1.1"), foreign("response", "d", b"dns answer", Content_Type="text/dns"), segment(3, WARC_Segment_Total_Length=len(long)), segment(1)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, good)))
+    (tmp_path / "b.warc").write_bytes(segment(2) + foreign("revisit", "c", b"", WARC_Refers_To="<urn:uuid:a>") + foreign("continuation", "lost-2", b"q", WARC_Segment_Number=2, WARC_Segment_Origin_ID="<urn:uuid:lost-1>", WARC_Segment_Total_Length=9))
+    (tmp_path / "c.warc").write_bytes(foreign("response", "e", http + b"ff\r\nshort") + foreign("response", "f", http + warc.chunked(b"after a bad one"))[:-9])
+    (tmp_path / "d.warc.gz").write_bytes(gzip.compress(good[1]) + gzip.compress(good[2])[:-12])
+    (tmp_path / "e.warc").write_bytes(b"no archive")
+    (tmp_path / "f.warc").write_bytes(b"")
+    rows = warc.read(spark, f"file://{tmp_path}").collect()
+    name = lambda r: (r.record_id or "").replace("<urn:uuid:", "").rstrip(">")
+    fine = Counter((name(r), r.record_type, r.payload and bytes(r.payload), r.refers_to_id) for r in rows if not r.error)
+    assert fine == Counter({("a", "response", b"hello", None): 2, ("b", "resource", b"plain", None): 1, ("d", "response", b"dns answer", None): 1, ("seg-1", "response", b"z" * 5000, None): 1, ("c", "revisit", None, "<urn:uuid:a>"): 1})
+    assert sorted((name(r), r.error[:12]) for r in rows if r.error) == [("", "a gzip membe"), ("", "no WARC reco"), ("e", "HTTP: a chun"), ("f", "a record is "), ("lost-1", "1 segments d")]
+    assert all(r.page_id is None for r in rows)
+
+
+def test_files_begin_with_info(spark, tmp_path, monkeypatch):
+    import glob
+    import gzip
+
+    monkeypatch.setattr(warc, "FILE_RECORDS", 5)
+    pages = spark.createDataFrame([(k, "u", f"page {k}") for k in range(23)], "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, f"file://{tmp_path}/w")
+    files = sorted(glob.glob(f"{tmp_path}/w/part-*"))
+    kinds = [[f["warc-type"] for f, _, _ in warc.parse(gzip.open(x).read())] for x in files]
+    assert len(files) == 6 and all(k[0] == "warcinfo" and "warcinfo" not in k[1:] for k in kinds)
 
 
 # --- token counts
@@ -354,6 +412,26 @@ def test_pack():
     assert len(token_file.pack(np.ones(600, np.uint64))) == 10
 
 
+def test_stores_are_bounded_in_bytes(monkeypatch):
+    """Stores of long pieces are emptied by their bytes; results are the same."""
+    texts = [f"{k} " + "長い段落" * 400 + str(k) for k in range(200)]
+    monkeypatch.setattr(byte_bpe, "KEEP_BYTES", 50_000)
+    codec = byte_bpe.Codec(byte_bpe.read_ranks(open(byte_bpe.default_ranks(), "rb").read()), public_tokenizers.PATTERN)
+    monkeypatch.setattr(token_counts, "KEEP_CHARS", 50_000)
+    counts = token_counts.Counts(open(token_counts.default_model(), "rb").read(), {})
+    monkeypatch.setattr(token_file, "KEEP_BYTES", 150_000)
+    encoder = token_file.Encoder(open(token_file.default_tokenizer(), "rb").read())
+    assert codec.decode(np.concatenate(codec.encode(texts))).decode() == "".join(texts) and sum(map(len, codec.known)) < 150_000
+    assert counts.counts(texts) == [len(counts.model.encode(t)) for t in texts] and sum(map(len, counts.known)) < 150_000
+    ids = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([t.encode() for t in texts])] == ids and sum(map(len, encoder.known)) < 600_000
+    monkeypatch.setattr(fingerprints, "KEEP_BYTES", 20_000)
+    small, large = fingerprints.Sampler(16), fingerprints.Sampler(16)
+    signed = [small.signature(t) for t in texts]
+    monkeypatch.setattr(fingerprints, "KEEP_BYTES", 2**40)
+    assert all((large.signature(t) == x).all() for t, x in zip(texts, signed, strict=True)) and sum(len(t) for t, _ in small.rows) < 60_000
+
+
 def test_token_file(odd, given, none, spark, tmp_path):
     from tokenizers import Tokenizer
 
@@ -366,6 +444,11 @@ def test_token_file(odd, given, none, spark, tmp_path):
             ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
             assert (out[i].start, out[i].ids) == (start, ids), text[:80]
             start += len(ids)
+    for k in (0, 1):  # files by name, and blocks in them, are in ascending order
+        import glob
+
+        ids = [i for f in sorted(glob.glob(f"{tmp_path}/{k}/part-*")) for _, _, table, _ in token_file.read_blocks(open(f, "rb").read()) for i in table[:, 0].tolist()]
+        assert ids == sorted(ids) and len(ids) > 10
     token_file.write(none, f"file://{tmp_path}/none")
     assert token_file.read(spark, f"file://{tmp_path}/none").count() == 0
     token_file.write(odd, f"file://{tmp_path}/odd")
