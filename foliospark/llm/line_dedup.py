@@ -35,9 +35,11 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_r
     """host, keys: the boilerplate lines' keys of each host that has some, as a written table."""
     kept = F.filter(_lines(text), lambda x: F.btrim(x, F.lit(_BLANK)) != "")
     own = docs.select(F.coalesce(F.col(host), F.lit("")).alias("__host"), F.array_distinct(F.transform(kept, _key)).alias("keys"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    if distinct:
+    if distinct:  # one row of each text: only hashes and row numbers are summed up, and the lines' keys follow by number
         whole = [F.xxhash64(F.lit(k), "__text").alias(f"t{k}") for k in (3, 4)]
-        own = written(own.select("__host", "keys", *whole).dropDuplicates(["__host", "t3", "t4"]))
+        own = written(own.select("__host", "keys", *whole, F.monotonically_increasing_id().alias("__row")))
+        chosen = written(own.groupBy("__host", "t3", "t4").agg(F.min("__row").alias("__row")).select("__row"))
+        own = own.join(chosen, "__row", "left_semi")
     lines = own.select("__host", F.explode("keys").alias("key"))
     counts = lines.groupBy("__host", "key.a", "key.b").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     pages = written(own.groupBy("__host").agg(F.count("*").alias("pages")))
@@ -51,7 +53,8 @@ def dedup(docs: DataFrame, host: str = "source", text: str = "text", max_ratio:
     Lines are compared without blanks, tabs and carriage returns at their ends; blank lines neither count
     nor go. A null text counts as empty (one blank line) and stays null; documents with a null host form
     one host, as the empty name does. Repeated rows are pages of their own, unless distinct is set: then equal
-    texts of a host (null and empty ones too) are one page. A document may become empty.
+    texts of a host (null and empty ones too) are one page. A document may become empty. Texts and lines of any length are
+    compared whole, by 128 bits. Columns of docs named n_lines, n_dropped, __host, __keys or __kept are replaced. Empty docs: empty result.
     """
     clash = {"__host", "__keys", "__kept", "n_lines", "n_dropped"} & set(docs.columns)
     docs = docs.drop(*clash)
