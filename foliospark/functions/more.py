@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .binding import let
+
 #: A pattern's time, by the length of the text.
 BASE_MS, MS_FOR_MIB, MOST_MS = 200, 100, 1200
 
@@ -36,20 +38,26 @@ def guarded_replace(x: Column, pattern: str, replacement: str = "") -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def page_text(content: pd.Series, declared: pd.Series, content_type: pd.Series) -> pd.Series:
-    """Text of a page's bytes: by its declared character set, that of its content type, of a meta element in its first 1024 bytes, else UTF-8. An unknown name is an error."""
+def _decoded_by_name(content: pd.Series, name: pd.Series) -> pd.Series:
+    def one(b: bytes | None, n: str | None) -> str | None:
+        return None if b is None or n is None else codecs.lookup("gb18030" if n in ("gbk", "gb2312") else n).decode(b, "replace")[0]
+
+    return pd.Series([one(*r) for r in zip(content, name, strict=True)], dtype=object)
+
+
+def charset_of(content: Column, declared: Column, content_type: Column) -> Column:
+    """The character set of a page's bytes, in lower case: the declared one, that of its content type, of a meta element in its first 1024 bytes, else utf-8."""
+    head = F.decode(F.substring(content, 1, 1024), "iso-8859-1")
+    named = lambda x, pattern: F.nullif(F.regexp_extract(F.coalesce(x, F.lit("")), pattern, 1), F.lit(""))
+    charset = r"charset=[\"']?([\w-]+)"
+    return F.lower(F.coalesce(F.nullif(declared, F.lit("")), named(content_type, "(?i)" + charset), named(head, "(?i)<meta[^>]+" + charset), F.lit("utf-8")))
 
-    def one(b: bytes | None, own: str | None, kind: str | None) -> str | None:
-        if b is None:
-            return None
-        name = own or next((m[1] for m in [re.search(r"charset=[\"']?([\w-]+)", kind or "", re.I)] if m), None)
-        if not name:
-            m = re.search(rb"<meta[^>]+charset=[\"']?([\w-]+)", b[:1024], re.I)
-            name = m[1].decode() if m else "utf-8"
-        codec = codecs.lookup("gb18030" if name.lower() in ("gbk", "gb2312") else name)
-        return codec.decode(b, "replace")[0]
 
-    return pd.Series([one(*r) for r in zip(content, declared, content_type, strict=True)], dtype=object)
+def page_text(content: Column, declared: Column, content_type: Column) -> Column:
+    """Text of a page's bytes by charset_of. UTF-8 that is whole is Spark's cast; bytes of other sets, or broken ones, go through Python. An unknown name is an error."""
+    name = charset_of(content, declared, content_type)
+    plain = (name == "utf-8") & F.is_valid_utf8(content.cast("string"))
+    return F.when(plain, content.cast("string")).otherwise(_decoded_by_name(F.when(~plain, content), F.when(~plain, name)))
 
 
 def is_detail(url: Column, pattern: Column) -> Column:
@@ -65,13 +73,12 @@ def aes_text(x: Column, key: Column) -> Column:
 def merged_headers(low: Column, high: Column) -> Column:
     """Two maps of headers as one; names are compared in lower case, and the second map wins."""
     lower = lambda m: F.transform_keys(F.coalesce(m, F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k))
-    return F.map_concat(F.map_filter(lower(low), lambda k, v: ~F.array_contains(F.map_keys(lower(high)), k)), lower(high))
+    return put(lower(low), lower(high))
 
 
 def put(variables: Column, new: Column) -> Column:
     """Variables with new ones put over them; null values aren't stored."""
-    new = F.map_filter(new, lambda k, v: v.isNotNull())
-    return F.map_concat(F.map_filter(variables, lambda k, v: ~F.array_contains(F.map_keys(new), k)), new)
+    return let(F.map_filter(new, lambda k, v: v.isNotNull()), lambda n: F.map_concat(F.map_filter(variables, lambda k, v: ~F.map_contains_key(n, k)), n))
 
 
 def got(name: str, *scopes: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -33,8 +34,8 @@ def nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s))
 
 
-def relevance_key(x: Column, compose: bool = False) -> Column:
-    """What titles and names are compared by; compose also folds compatibility characters (in a pandas UDF)."""
+def relevance_key(x: Column, compose: bool = True) -> Column:
+    """What titles and names are compared by: compatibility characters folded (in a pandas UDF; not without compose), lower case, without decoration."""
     x = F.coalesce(x, F.lit(""))
     return F.translate(F.lower(nfkc(x) if compose else x), DECORATION, "")
 
@@ -102,19 +103,40 @@ def looks_like_html(x: Column) -> Column:
     return x.rlike(r"(?i)</?(?:a|b|br|div|em|h[1-6]|hr|i|img|li|p|pre|span|strong|table|td|tr|u|ul)(?:\s+[a-z-]+\s*=|\s*/?>)")
 
 
+#: Elements that begin a line of an introduction (by the beginning of their names), entities and characters that are blanks or nothing.
+INTRO_LINES = r"div|p|br|hr|h\d|article|dd|dl"
+INTRO_BLANKS = "(?:&nbsp;)+|&ensp;|&emsp;"
+INTRO_NOTHING = "&thinsp;|&zwnj;|&zwj;|[\u2009\u200c\u200d]"
+INDENT = "\u3000\u3000"
+
+
 def intro(x: Column, most: int = 5000) -> Column:
-    """An introduction as plain text: entities and tags out, paragraphs indented by two ideographic blanks, cut at `most` characters."""
-    for pattern, new in (
-        (r"^\s+", ""),
-        ("(&nbsp;)+", " "),
-        ("&ensp;|&emsp;", " "),
-        ("&thinsp;|&zwnj;|&zwj;| |‌|‍", ""),
-        (r"</?(?:div|p|br|hr|h\d|article|dd|dl)[^>]*>", "\n"),
-        ("<!--[^>]*-->", ""),
-        (r"</?[a-zA-Z]+(?=[ >])[^<>]*>", ""),
-        (r"\s*\n+\s*", "\n　　"),
-        (r"^[\s　]*", "　　"),
-        (r"[\s　]+$", ""),
-    ):
-        x = F.regexp_replace(x, pattern, new)
-    return F.left(x, F.lit(most))
+    """An introduction as plain text: its lines are what stands between line ends and elements that begin lines, without other
+    elements and comments, trimmed, each indented, blank ones left out; cut at `most` characters. Null stays null."""
+    bare = F.regexp_replace(F.regexp_replace(x, INTRO_BLANKS, " "), INTRO_NOTHING, "")
+    lines = F.split(bare, rf"(?:</?(?:{INTRO_LINES})[^>]*>|\n)", -1)
+    shown = F.transform(lines, lambda line: F.btrim(F.regexp_replace(line, r"<!--[^>]*-->|</?[a-zA-Z]+(?=[ >])[^<>]*>", ""), F.lit(WHITE)))
+    return F.left(F.array_join(F.transform(F.filter(shown, lambda line: line != ""), lambda line: F.concat(F.lit(INDENT), line)), "\n"), F.lit(most))
+
+
+#: Names of entities that content is decoded by; others stay.
+CONTENT_ENTITIES = {
+    "nbsp": "\u00a0", "ensp": "\u2002", "emsp": "\u2003", "thinsp": "\u2009", "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'",
+    "ldquo": "\u201c", "rdquo": "\u201d", "lsquo": "\u2018", "rsquo": "\u2019", "mdash": "\u2014", "ndash": "\u2013", "hellip": "\u2026", "middot": "\u00b7",
+    "copy": "\u00a9", "reg": "\u00ae", "times": "\u00d7", "divide": "\u00f7", "laquo": "\u00ab", "raquo": "\u00bb", "bull": "\u2022", "dagger": "\u2020",
+}
+
+
+def _entity(m: re.Match) -> str:
+    name = m[1]
+    if name[0] != "#":
+        return CONTENT_ENTITIES.get(name.lower(), m[0])
+    code = int(name[2:], 16) if name[1] in "xX" else int(name[1:])
+    return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
+
+
+@F.pandas_udf(T.StringType())
+def content_decoded(x: pd.Series) -> pd.Series:
+    """Numeric entities and those of CONTENT_ENTITIES as characters. Only texts with & are looked at."""
+    entity = re.compile(r"&(#[xX][0-9a-fA-F]{1,8}|#\d{1,8}|[a-zA-Z][a-zA-Z0-9]{1,8});")
+    return x.map(lambda s: entity.sub(_entity, s) if s and "&" in s else s)

@@ -3,39 +3,48 @@
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import hmac as _hmac
-from urllib.parse import quote, urljoin
+import re
+from urllib.parse import quote, unquote_to_bytes, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .binding import let
+
 #: Numerals and their values.
 DIGITS = {"零": 0, "〇": 0, "一": 1, "壹": 1, "二": 2, "贰": 2, "两": 2, "三": 3, "叁": 3, "四": 4, "肆": 4, "五": 5, "伍": 5, "六": 6, "陆": 6, "七": 7, "柒": 7, "八": 8, "捌": 8, "九": 9, "玖": 9}
 UNITS = {"十": 10, "拾": 10, "百": 100, "佰": 100, "千": 1000, "仟": 1000, "万": 10**4, "萬": 10**4, "亿": 10**8}
 
 
+_STEP = re.compile(f"([{''.join(DIGITS)}]*)([{''.join(u for u, n in UNITS.items() if n <= 1000)}]?)")
+
+
+def _written_digits(text: str) -> int:
+    """Digits in a row as a decimal number; none are 0."""
+    return int("".join(str(DIGITS[c]) for c in text) or 0)
+
+
+def _amount(text: str) -> int:
+    """The last great unit cuts a numeral in two; what has none is a sum of digits with small units."""
+    for great in "亿万":
+        head, mark, tail = text.rpartition(great)
+        if mark:
+            return _amount(head) * UNITS[great] + _amount(tail)
+    return sum((_written_digits(n) or 1) * UNITS[unit] if unit else _written_digits(n) for n, unit in _STEP.findall(text))
+
+
 def numeral(text: str) -> int:
     """The number that Chinese numerals name; -1 if a character is none. A last digit right after a unit over ten counts tenths of it."""
-    total = section = digit = 0  # closed by 亿, closed by 万, still open
-    for i, ch in enumerate(text):
-        if ch in DIGITS:
-            last = i == len(text) - 1 and i >= 2
-            unit = UNITS.get(text[i - 1], 0) if i else 0
-            digit = DIGITS[ch] * unit // 10 if last and unit > 10 else digit * 10 + DIGITS[ch]
-            continue
-        unit = UNITS.get(ch)
-        if unit is None:
-            return -1
-        if unit == 10**8:
-            total, section, digit = total * unit + (section + digit) * unit, 0, 0
-        elif unit == 10**4:
-            section, digit = (section + digit) * unit, 0
-        else:
-            section, digit = section + unit * (digit or 1), 0
-    return total + section + digit
+    text = text.replace("萬", "万")
+    if not set(text) <= DIGITS.keys() | UNITS.keys():
+        return -1
+    unit = UNITS.get(text[-2], 0) if len(text) > 2 and text[-1] in DIGITS else 0
+    return _amount(text[:-1]) + DIGITS[text[-1]] * unit // 10 if unit > 10 else _amount(text)
 
 
 @F.pandas_udf(T.LongType())
@@ -101,7 +110,49 @@ def absolute_url(x: pd.Series, base: pd.Series) -> pd.Series:
             return None
         return urljoin(b or "", u)
 
-    return pd.Series([one(u, b) for u, b in zip(x, base, strict=True)])
+    return pd.Series([one(u, b) for u, b in zip(x, base, strict=True)], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def _normalised(x: pd.Series, base: pd.Series) -> pd.Series:
+    def one(u: str | None, b: str | None) -> str | None:
+        if u is None:
+            return None
+        try:
+            parts = urlsplit(urljoin(b or "", u.strip()))
+            if not parts.scheme or not parts.hostname:
+                return u
+            port = "" if parts.port in (None, {"http": 80, "https": 443}.get(parts.scheme)) else f":{parts.port}"
+            user = f"{parts.netloc.rpartition('@')[0]}@" if "@" in parts.netloc else ""
+            host = parts.hostname.encode("idna").decode() if not parts.hostname.isascii() else parts.hostname
+            kept = lambda s: quote(s, safe="/:@!$&'()*+,;=%?~|[]^")
+            return urlunsplit((parts.scheme, user + host + port, kept(parts.path) or "/", kept(parts.query), kept(parts.fragment)))
+        except ValueError:
+            return u
+
+    return pd.Series([one(u, b) for u, b in zip(x, base, strict=True)], dtype=object)
+
+
+def canonical_url(x: Column, base: Column | None = None) -> Column:
+    """An address as it is compared: without its option object, in full, scheme and host in lower case, without a default port; what is no address stays."""
+    return _normalised(F.regexp_replace(x, r"(?s)\s*,\s*\{.*$", ""), F.lit(None).cast("string") if base is None else base)
+
+
+def form_in_charset(x: Column, charset: str) -> Column:
+    """A form's text with its percent-encoded UTF-8 in another character set; runs that aren't UTF-8, or have no place in it, stay."""
+    codec = codecs.lookup("gb18030" if charset.lower() in ("gbk", "gb2312") else charset).name
+
+    def again(m: re.Match) -> str:
+        try:
+            return "".join(f"%{b:02X}" for b in unquote_to_bytes(m[0]).decode().encode(codec))
+        except (UnicodeDecodeError, UnicodeEncodeError):
+            return m[0]
+
+    @F.pandas_udf(T.StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else re.sub("(?:%[0-9A-Fa-f]{2})+", again, t))
+
+    return run(x)
 
 
 def safe_key(x: Column) -> Column:
@@ -110,12 +161,16 @@ def safe_key(x: Column) -> Column:
     return F.when(F.length(full) <= 100, full).otherwise(F.concat(F.left(full, F.lit(60)), F.lit("~"), F.left(F.sha1(x), F.lit(10))))
 
 
+#: Names of a query's parameters that page through one chapter.
+PAGING = ("page", "p", "pg", "pn", "pageno", "pagenum", "page_no", "page_num", "pageindex", "page_index", "页码")
+
+
 def same_chapter(url: Column, base: Column) -> Column:
     """Whether an address in full is another page of the chapter at base: same origin, and the same path with a paging query only, or a path that goes on."""
     origin = lambda u: F.lower(F.regexp_extract(u, r"^([a-zA-Z]+://[^/?#]*)", 1))
     path = lambda u: F.regexp_replace(F.regexp_extract(u, r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1), r"\.[A-Za-z0-9]+$", "")
     query = lambda u: F.regexp_extract(u, r"\?([^#]*)", 1)
-    paging = query(url).rlike(r"(?i)^(?:(?:page|p|pg|pn|pageno|pagenum|page_no|page_num|pageindex|page_index|页码)(?:=[^&]*)?(?:&|$))+$")
+    paging = query(url).rlike(f"(?i)^(?:(?:{'|'.join(PAGING)})(?:=[^&]*)?(?:&|$))+$")
     equal = (path(url) == path(base)) & ((query(url) == query(base)) | ((query(base) == "") & paging))
     return (origin(url) == origin(base)) & (equal | ((path(url) != path(base)) & (query(url) == "") & F.startswith(path(url), path(base))))
 
@@ -123,9 +178,10 @@ def same_chapter(url: Column, base: Column) -> Column:
 def cookies(x: Column) -> Column:
     """A cookie header as a map of names and values; the last of equal names wins, parts without a name go."""
     parts = F.filter(F.transform(F.split(x, ";", -1), lambda p: F.btrim(p)), lambda p: F.instr(p, "=") > 1)
-    name = lambda p: F.btrim(F.substring_index(p, "=", 1))
-    kept = F.filter(F.transform(parts, lambda p, i: F.struct(name(p).alias("k"), F.btrim(F.substring(p, F.instr(p, "=") + 1, F.length(p))).alias("v"), i.alias("i"))), lambda e: ~F.exists(parts, lambda q: (name(q) == e["k"]) & (F.array_position(F.reverse(parts), q) < F.array_position(F.reverse(parts), F.get(parts, e["i"])))))
-    return F.map_from_entries(F.array_distinct(F.transform(kept, lambda e: F.struct(e["k"], e["v"]))))
+    named = F.transform(parts, lambda p, i: F.struct(F.btrim(F.substring_index(p, "=", 1)).alias("k"), i.alias("i"), F.btrim(F.substring(p, F.instr(p, "=") + 1, F.length(p))).alias("v")))
+    # in order of names and places, the last of a name is the one before another name
+    kept = let(F.array_sort(named), lambda s: F.filter(s, lambda e, i: F.coalesce(F.get(s, i + 1)["k"] != e["k"], F.lit(True))))
+    return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["k"], e["v"])))
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:

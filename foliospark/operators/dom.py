@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import content_decoded, looks_like_html
+from ..shared import written
+from ..sources.pages import VOID, node_table
+
 _SKIPPED = ("script", "style", "noscript", "template", "head", "title")
 _BREAKS = tuple("address article aside blockquote br dd div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tr ul".split())
 
@@ -125,8 +129,12 @@ def all_text(nodes: DataFrame, of: DataFrame) -> DataFrame:
     return rows.withColumn("text", F.btrim(F.regexp_replace("text", r"\s+", " ")))
 
 
-def text(nodes: DataFrame, of: DataFrame) -> DataFrame:
-    """Text below each node without scripts and styles; block elements and <br> begin and end lines."""
+#: Attributes that may hold an image's address, in order; any other data attribute comes after them.
+IMAGE_ADDRESSES = ("src", "data-src", "data-original", "data-echo", "data-url", "data-page-image-url")
+
+
+def _shown(nodes: DataFrame, keep_images: bool) -> DataFrame:
+    """page_id, at, text, path: what is shown of pages, in parts: texts without scripts and styles, line ends of blocks, images' addresses on lines of their own."""
     hidden = nodes.filter(F.col("tag").isin(*_SKIPPED)).select("page_id", "node_id", "subtree_end")
     gone = within(nodes, hidden).select("page_id", F.col("node_id").alias("at")).distinct()
     texts = nodes.filter("tag IS NULL").select("page_id", F.col("node_id").alias("at"), F.regexp_replace("text", r"\s+", " ").alias("text"), "path").join(gone, ["page_id", "at"], "left_anti")
@@ -134,7 +142,54 @@ def text(nodes: DataFrame, of: DataFrame) -> DataFrame:
     line = F.lit("\n").alias("text")
     marks = breaks.select("page_id", F.col("node_id").cast("double").alias("at"), line, "path").union(breaks.select("page_id", (F.col("subtree_end") + 0.5).cast("double").alias("at"), line, "path"))
     parts = texts.select("page_id", F.col("at").cast("double").alias("at"), "text", "path").union(marks)
-    return _gathered(_parts(parts, of), "").withColumn("text", clean_lines(F.col("text")))
+    if keep_images:
+        data = F.map_filter("attrs", lambda k, v: F.startswith(k, F.lit("data-")) & (v != ""))
+        url = F.coalesce(*[F.nullif(F.col("attrs")[a], F.lit("")) for a in IMAGE_ADDRESSES], F.get(F.map_values(data), F.lit(0)))
+        images = nodes.filter("tag = 'img'").select("page_id", F.col("node_id").cast("double").alias("at"), F.concat(F.lit("\n"), url, F.lit("\n")).alias("text"), "path")
+        parts = parts.union(images.filter("text IS NOT NULL"))
+    return parts
+
+
+def text(nodes: DataFrame, of: DataFrame, keep_images: bool = False) -> DataFrame:
+    """Text below each node without scripts and styles; block elements and <br> begin and end lines. Images are lines with their addresses, if they are to be kept."""
+    return _gathered(_parts(_shown(nodes, keep_images), of), "").withColumn("text", clean_lines(F.col("text")))
+
+
+def page_text(nodes: DataFrame, keep_images: bool = False) -> DataFrame:
+    """page_id, text: the text of whole pages."""
+    parts = F.sort_array(F.collect_list(F.struct("at", "text")))
+    rows = _shown(nodes, keep_images).groupBy("page_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"))
+    return rows.withColumn("text", clean_lines(F.col("text")))
+
+
+def content_text(rows: DataFrame, key: str, content: str) -> DataFrame:
+    """key, text of contents that may be HTML, escaped HTML or plain: HTML as text with images' addresses, plain with its entities decoded.
+
+    Doing it again changes nothing but blanks. Null content is null.
+    """
+    decoded = F.when(looks_like_html(F.col(content)), F.col(content)).otherwise(content_decoded(content))
+    once = written(rows.select(F.col(key).cast("long").alias("page_id"), decoded.alias("html")).withColumn("tree", F.coalesce(looks_like_html(F.col("html")), F.lit(False))))
+    trees = once.filter("tree")
+    shown = trees.select("page_id").join(page_text(node_table(trees), keep_images=True), "page_id", "left")
+    plain = once.filter("NOT tree").select("page_id", F.col("html").alias("text"))
+    return plain.union(shown.select("page_id", F.coalesce("text", F.lit("")))).withColumnRenamed("page_id", key)
+
+
+def html(nodes: DataFrame, of: DataFrame, inner: bool = False) -> DataFrame:
+    """page_id, node_id, html: each node and what is below (inner: only that) as HTML again."""
+    escaped = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    quoted = lambda x: F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
+    elements_ = nodes.filter("tag IS NOT NULL")
+    path = F.col("path") if inner else F.array_append("path", F.col("node_id"))
+    attrs = F.array_join(F.transform(F.map_entries("attrs"), lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), quoted(e["value"]), F.lit('"'))), "")
+    place = lambda at, end, tie: F.struct(F.col(at).alias("at"), F.lit(end).alias("end"), tie.alias("tie")).alias("at")
+    opened = elements_.select("page_id", place("node_id", 0, F.lit(0)), F.concat(F.lit("<"), "tag", attrs, F.lit(">")).alias("text"), path.alias("path"))
+    # of ends at one place the inner element's comes first
+    closed = elements_.filter(~F.col("tag").isin(*VOID)).select("page_id", place("subtree_end", 1, -F.col("node_id")), F.concat(F.lit("</"), "tag", F.lit(">")).alias("text"), path.alias("path"))
+    raw = elements_.filter(F.col("tag").isin("script", "style")).select("page_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("raw"))
+    texts = nodes.filter("tag IS NULL").join(raw, ["page_id", "parent_id"], "left")
+    texts = texts.select("page_id", place("node_id", 0, F.lit(0)), F.when(F.col("raw"), F.col("text")).otherwise(escaped(F.col("text"))).alias("text"), "path")
+    return _gathered(_parts(opened.union(closed).union(texts), of), "").withColumnRenamed("text", "html")
 
 
 def text_nodes(nodes: DataFrame, of: DataFrame) -> DataFrame:

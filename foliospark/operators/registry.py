@@ -61,10 +61,10 @@ def job_counts(outcomes: DataFrame) -> DataFrame:
 
 
 def findings(log: DataFrame, examples: int = 3) -> DataFrame:
-    """key, n, examples: how often each finding stands, and its first examples (bounded before they are gathered)."""
-    w = Window.partitionBy("key").orderBy("ord")
-    marked = log.withColumn("__n", F.row_number().over(w))
-    return marked.groupBy("key").agg(F.count("*").alias("n"), F.transform(F.sort_array(F.collect_list(F.when(F.col("__n") <= examples, F.struct("ord", "example")))), lambda e: e["example"]).alias("examples"))
+    """key, n, examples: how often each finding stands, and its first examples. A key's rows are cut to these before they are shuffled."""
+    first = log.withColumn("__n", F.row_number().over(Window.partitionBy("key").orderBy("ord"))).filter(F.col("__n") <= examples)
+    shown = first.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "example"))), lambda e: e["example"]).alias("examples"))
+    return log.groupBy("key").agg(F.count("*").alias("n")).join(shown, "key")
 
 
 def intake(known: DataFrame, batch: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ their own: (source_id, code, message).
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,10 +21,10 @@ EXACT, CONTAINS, SUSPECT = 0, 1, 2
 
 
 def _plain(keyword: str) -> str:
-    return "".join(c for c in keyword.lower() if c not in DECORATION)
+    return "".join(c for c in unicodedata.normalize("NFKC", keyword).lower() if c not in DECORATION)
 
 
-def rank(keyword: str, title: Column, author: Column, kind: Column, compose: bool = False) -> Column:
+def rank(keyword: str, title: Column, author: Column, kind: Column, compose: bool = True) -> Column:
     """0 exact, 1 contains, 2 suspect. An empty keyword makes all hits contain it; a keyword of several words may match by one of them in the title."""
     key = _plain(keyword)
     if not key:
@@ -51,14 +52,16 @@ def first_hits(hits: DataFrame, most: int = HITS_OF_SOURCE) -> DataFrame:
     return hits.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= most).drop("__n")
 
 
-def merge_books(hits: DataFrame, keyword: str) -> DataFrame:
-    """One row for each book (compared title and author; no author is an author of its own).
+def _by_book(hits: DataFrame, keyword: str) -> DataFrame:
+    """Hits that aren't suspect, with the compared title and author (no author is an author of its own)."""
+    return kept(hits, keyword).withColumn("__t", relevance_key(F.col("title"))).withColumn("__a", relevance_key(F.col("author")))
+
 
-    Title and author are the first arrival's; sources holds every hit in order of arrival.
-    """
-    rows = kept(hits, keyword).withColumn("__t", relevance_key(F.col("title"))).withColumn("__a", relevance_key(F.col("author")))
+def merge_books(hits: DataFrame, keyword: str) -> DataFrame:
+    """One row for each book: the first arrival's title and author, the best rank, the first arrival, its sources and hits in number. book_hits has the hits themselves."""
     return (
-        rows.groupBy("__t", "__a")
+        _by_book(hits, keyword)
+        .groupBy("__t", "__a")
         .agg(
             F.min_by("title", "arrival").alias("title"),
             F.min_by("author", "arrival").alias("author"),
@@ -66,12 +69,18 @@ def merge_books(hits: DataFrame, keyword: str) -> DataFrame:
             F.min("arrival").alias("arrival"),
             F.count_distinct("source_id").alias("source_count"),
             F.count("*").alias("hits"),
-            F.sort_array(F.collect_list(F.struct("arrival", "source_id", "title", "author", "url"))).alias("sources"),
         )
         .drop("__t", "__a")
     )
 
 
+def book_hits(hits: DataFrame, keyword: str) -> DataFrame:
+    """book (its first arrival), and arrival, source_id, title, author, url of each of its hits: a row for each, so that a book with very many (a blank title, say) is not gathered."""
+    rows = _by_book(hits, keyword)
+    books = rows.groupBy("__t", "__a").agg(F.min("arrival").alias("book"))
+    return rows.join(books, ["__t", "__a"]).select("book", "arrival", "source_id", "title", "author", "url")
+
+
 def top_books(books: DataFrame, most: int = BOOKS) -> DataFrame:
     """The best books (rank, more sources, earlier arrival)."""
     return books.orderBy("rank", F.desc("source_count"), "arrival").limit(most)

@@ -72,6 +72,12 @@ def newest(rows: DataFrame, partition: str, order: str, each: int, overall: int)
     return own.orderBy(F.desc(order)).limit(overall)
 
 
+def sent_order(cookies: DataFrame, jar: str, path: str, order: str) -> DataFrame:
+    """cookies with place (from 1): the order in which a jar's are sent, longer paths first, then as they came."""
+    w = Window.partitionBy(jar).orderBy(F.desc(F.length(path)), order)
+    return cookies.withColumn("place", F.row_number().over(w))
+
+
 def tail(rows: DataFrame, partition: str, order: str, size: str, most: int) -> DataFrame:
     """The last rows of each partition whose sizes sum up to the limit at most; the very last one always. Adds offset, the bytes before it from the beginning."""
     rows = starts_before(rows, [partition], [order], size, "offset")

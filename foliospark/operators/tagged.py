@@ -5,11 +5,11 @@ A value is a struct: kind, text (of a value), items (of a list), rows (of matche
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
+
 TYPE = "struct<kind:string,text:string,items:array<string>,rows:array<array<string>>>"
 
 
@@ -50,39 +50,54 @@ def _items(v: Column) -> Column:
     return F.when(v["kind"] == "value", F.array(v["text"])).when(v["kind"] == "list", v["items"]).otherwise(F.array().cast("array<string>"))
 
 
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def as_list(v: Column) -> Column:
+    """A value as a list of one, for a rule that is asked for a list; others as they are."""
+    return let(v, lambda x: F.when(x["kind"] == "value", listed(F.array(x["text"]))).otherwise(x))
+
+
 def first(*values: Column) -> Column:
     """The first that is neither a miss nor an empty list; all misses: a miss, else the empty list."""
-    out = F.when(reduce(Column.__and__, [v["kind"] == "miss" for v in values]), miss()).otherwise(listed(F.array().cast("array<string>")))
-    for v in reversed(values):
-        out = F.when(~_is_empty(v), v).otherwise(out)
-    return out
+
+    def use(all_: Column) -> Column:
+        nothing = F.when(F.exists(all_, lambda v: v["kind"] != "miss"), listed(_none())).otherwise(miss())
+        return F.coalesce(F.get(F.filter(all_, lambda v: ~_is_empty(v)), F.lit(0)), nothing)
+
+    return let(F.array(*values), use)
 
 
 def both(*values: Column) -> Column:
     """All values joined by line ends, or with a list among them one list; what is empty doesn't count; matches stand alone only."""
-    n_matches = reduce(Column.__add__, [F.when(v["kind"] == "matches", 1).otherwise(0) for v in values])
-    n_full = reduce(Column.__add__, [F.when(_is_empty(v), 0).otherwise(1) for v in values])
-    any_list = reduce(Column.__or__, [(v["kind"] == "list") & ~_is_empty(v) for v in values])
-    items = F.flatten(F.array(*[_items(v) for v in values]))
-    merged = F.when(any_list, listed(items)).otherwise(value(F.array_join(items, "\n")))
-    alone = F.when(n_full == 1, first(*values)).otherwise(F.raise_error(F.lit("matches can't be merged with other branches")).cast(TYPE))
-    return F.when(n_full == 0, miss()).when(n_matches > 0, alone).otherwise(merged)
+
+    def use(full: Column) -> Column:
+        items = F.flatten(F.transform(full, _items))
+        merged = F.when(F.exists(full, lambda v: v["kind"] == "list"), listed(items)).otherwise(value(F.array_join(items, "\n")))
+        alone = F.when(F.size(full) == 1, F.get(full, F.lit(0))).otherwise(F.raise_error(F.lit("matches can't be merged with other branches")).cast(TYPE))
+        return F.when(F.size(full) == 0, miss()).when(F.exists(full, lambda v: v["kind"] == "matches"), alone).otherwise(merged)
+
+    return let(F.filter(F.array(*values), lambda v: ~_is_empty(v)), use)
 
 
 def interleaved(*values: Column, as_list: bool = False) -> Column:
     """Items taken in turn, as many rounds as the first branch has; as_list counts empty branches as such."""
-    branches = F.array(*[_items(v) for v in values])
+    branches = F.transform(F.array(*values), _items)
     if not as_list:
         branches = F.filter(branches, lambda b: F.size(b) > 0)
-    rounds = F.coalesce(F.size(F.get(branches, F.lit(0))), F.lit(0))
-    turns = F.transform(F.sequence(F.lit(0), F.greatest(rounds, F.lit(1)) - 1), lambda i: F.filter(F.transform(branches, lambda b: F.get(b, i)), lambda x: x.isNotNull()))
-    items = F.when(rounds > 0, F.flatten(turns)).otherwise(F.array().cast("array<string>"))
-    return F.when(F.size(items) > 0, listed(items)).otherwise(miss())
+
+    def use(b: Column) -> Column:
+        rounds = F.coalesce(F.size(F.get(b, F.lit(0))), F.lit(0))
+        turns = F.transform(F.sequence(F.lit(0), F.greatest(rounds, F.lit(1)) - 1), lambda i: F.filter(F.transform(b, lambda x: F.get(x, i)), lambda x: x.isNotNull()))
+        return F.when(rounds > 0, F.flatten(turns)).otherwise(_none())
+
+    return let(let(branches, use), lambda items: F.when(F.size(items) > 0, listed(items)).otherwise(miss()))
 
 
 def reversed_(v: Column) -> Column:
     """Items or rows in reverse; other values as they are."""
-    return F.when(v["kind"] == "list", listed(F.reverse(v["items"]))).when(v["kind"] == "matches", matches(F.reverse(v["rows"]))).otherwise(v)
+    return let(v, lambda x: F.when(x["kind"] == "list", listed(F.reverse(x["items"]))).when(x["kind"] == "matches", matches(F.reverse(x["rows"]))).otherwise(x))
 
 
 def replaced(v: Column, pattern: str, replacement: str = "", once: bool = False) -> Column:
@@ -93,18 +108,22 @@ def replaced(v: Column, pattern: str, replacement: str = "", once: bool = False)
     def on(x: Column) -> Column:
         return F.regexp_replace(F.regexp_extract(x, pattern, 0), pattern, replacement) if once else F.regexp_replace(x, pattern, replacement)
 
-    return F.when(v["kind"] == "value", value(on(v["text"]))).when(v["kind"] == "list", listed(F.transform(v["items"], on))).otherwise(v)
+    return let(v, lambda x: F.when(x["kind"] == "value", value(on(x["text"]))).when(x["kind"] == "list", listed(F.transform(x["items"], on))).otherwise(x))
 
 
 def text_of(v: Column) -> Column:
     """A field's text: list items joined by line ends, the first group of matches; null for a miss."""
-    groups = F.transform(v["rows"], lambda r: F.get(r, F.when(F.size(r) > 1, 1).otherwise(0)))
-    return F.when(v["kind"] == "value", v["text"]).when(v["kind"] == "list", F.array_join(v["items"], "\n")).when(v["kind"] == "matches", F.array_join(groups, "\n"))
+
+    def use(x: Column) -> Column:
+        groups = F.transform(x["rows"], lambda r: F.get(r, F.when(F.size(r) > 1, 1).otherwise(0)))
+        return F.when(x["kind"] == "value", x["text"]).when(x["kind"] == "list", F.array_join(x["items"], "\n")).when(x["kind"] == "matches", F.array_join(groups, "\n"))
+
+    return let(v, use)
 
 
 def url_of(v: Column) -> Column:
     """An address field's text: the first item."""
-    return F.when(v["kind"] == "value", v["text"]).when(v["kind"] == "list", F.get(v["items"], F.lit(0)))
+    return let(v, lambda x: F.when(x["kind"] == "value", x["text"]).when(x["kind"] == "list", F.get(x["items"], F.lit(0))))
 
 
 def positions(spec: list, n: Column) -> Column:

@@ -9,6 +9,10 @@ from pyspark.sql.window import Window
 from ..functions.text import url_option, without_option
 from ..functions.values import absolute_url, uri_component
 from ..operators import search as _search
+from ..shared import written
+
+#: Sources (of bounded size) up to this many are broadcast to the pages, so that a host of very many pages isn't shuffled.
+BROADCAST_SOURCES = 10_000
 
 
 def host(url: Column) -> Column:
@@ -21,17 +25,18 @@ def page_hits(sources: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFram
     A source's pattern gives a row for each match: address in group 1, title in group 2. Sources meet pages
     by host. A blank title drops a row. A source without pages or without a match is an error row.
     """
-    p = pages.withColumn("host", host(F.col("url")))
-    met = sources.join(p, "host")
-    urls = F.regexp_extract_all("html", F.col("pattern"), F.lit(1))
-    titles = F.regexp_extract_all("html", F.col("pattern"), F.lit(2))
-    rows = met.select("source_id", "page_id", F.col("url").alias("page_url"), F.posexplode(F.arrays_zip(urls.alias("u"), titles.alias("t"))).alias("ord", "m"))
-    rows = rows.select("source_id", "page_id", "ord", F.btrim(F.regexp_replace("m.t", "<[^>]*>", "")).alias("title"), F.lit(None).cast("string").alias("author"), absolute_url(F.col("m.u"), F.col("page_url")).alias("url"), F.lit(None).cast("string").alias("kind")).filter("title <> ''")
-    rows = rows.withColumn("arrival", F.col("page_id") * 100_000 + F.col("ord"))
-    answered = rows.select("source_id").distinct()
-    fetched = met.select("source_id").distinct().withColumn("__met", F.lit(True))
-    errors = sources.select("source_id").join(answered, "source_id", "left_anti").join(fetched, "source_id", "left")
-    return rows, errors.select("source_id", F.when(F.col("__met"), "NO_HITS").otherwise("NO_PAGE").alias("code"))
+    p = pages.select("page_id", F.col("url").alias("page_url"), "html", host(F.col("url")).alias("host"))
+    few = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    met = p.join(F.broadcast(sources) if few else sources, "host")
+    # one look at a page's html: whole matches, whose groups are taken one by one
+    whole = F.regexp_extract_all(F.col("html"), F.col("pattern"), F.lit(0))
+    matches = written(met.select("source_id", "page_id", "page_url", "pattern", F.posexplode_outer(whole).alias("ord", "m")))
+    group = lambda g: F.get(F.regexp_extract_all(F.col("m"), F.col("pattern"), F.lit(g)), F.lit(0))
+    rows = matches.filter("m IS NOT NULL").select("source_id", "page_id", "ord", F.btrim(F.regexp_replace(group(2), "<[^>]*>", "")).alias("title"), F.lit(None).cast("string").alias("author"), group(1).alias("u"), "page_url", F.lit(None).cast("string").alias("kind")).filter("title <> ''")
+    rows = rows.select("source_id", "page_id", "ord", "title", "author", absolute_url(F.col("u"), F.col("page_url")).alias("url"), "kind", (F.col("page_id") * 100_000 + F.col("ord")).alias("arrival"))
+    counts = matches.groupBy("source_id").agg(F.count_if(F.btrim(F.regexp_replace(group(2), "<[^>]*>", "")) != "").alias("__hits"))
+    errors = sources.select("source_id").join(counts, "source_id", "left").filter("coalesce(__hits, 0) = 0")
+    return rows, errors.select("source_id", F.when(F.col("__hits").isNotNull(), "NO_HITS").otherwise("NO_PAGE").alias("code"))
 
 
 def search(sources: DataFrame, pages: DataFrame, keyword: str, most: int = _search.BOOKS) -> DataFrame:
@@ -75,7 +80,8 @@ def explore_kinds(x: Column) -> Column:
 
 def declared_kinds(kinds: DataFrame) -> DataFrame:
     """source_id, titles: each source's distinct titles in order (source_id, ord, title)."""
-    return kinds.groupBy("source_id").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("ord", "title"))), lambda k: k["title"])).alias("titles"))
+    distinct = kinds.groupBy("source_id", "title").agg(F.min("ord").alias("ord"))
+    return distinct.groupBy("source_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "title"))), lambda k: k["title"]).alias("titles"))
 
 
 def request(template: str, values: dict[str, Column]) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import spread, written
+
 #: Fixed values of HTML: elements without content, and elements that end an open one of the same group.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -24,7 +26,12 @@ _NAMES = ["page_id", "node_id", "parent_id", "ord", "depth", "subtree_end", "tag
 
 
 class _Tree(HTMLParser):
-    """Rows (parent, ord, depth, tag, attributes, text) in document order; texts have no tag."""
+    """Rows (parent, ord, depth, tag, attributes, text) in document order; texts have no tag.
+
+    Known differences from a tree by HTML5's rules: html, head, body and tbody are not implied, contents of tables that belong
+    elsewhere are not moved before them, misnested formatting elements are not repeated, and foreign elements (svg,
+    math) keep no case.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -53,7 +60,10 @@ class _Tree(HTMLParser):
                 break
             if other in stops or (tag not in _STOPS and other in _BLOCKS):
                 break
-        i = self._add(tag, {a: v or "" for a, v in reversed(attrs)}, None)
+        own: dict[str, str] = {}
+        for a, v in attrs:
+            own.setdefault(a, v or "")
+        i = self._add(tag, own, None)
         if tag not in VOID:
             self.open.append(i)
 
@@ -97,6 +107,11 @@ def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
     return pages.select(F.col(key).cast("long"), html).mapInArrow(run, NODES)
 
 
+def node_table(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """nodes() as a table written once, for selections that look at it more than once: each page is parsed once."""
+    return written(nodes(spread(pages.select(key, html)), key, html))
+
+
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType())]))
 def decoded(content: pd.Series) -> pd.DataFrame:
     """Text of bytes: by a byte order mark, else strict UTF-8, else GBK."""
@@ -141,7 +156,7 @@ def import_sources(files: DataFrame) -> DataFrame:
     rows = files.select("path", v.alias("v"))
     kind = F.schema_of_variant("v")
     one = rows.filter(F.startswith(kind, F.lit("OBJECT"))).select("path", F.lit(0).alias("ord"), F.col("v").alias("raw"), F.lit(None).cast("string").alias("error"))
-    rows.createOrReplaceTempView("__source_files")
-    many = files.sparkSession.sql("SELECT path, e.pos AS ord, e.value AS raw, CAST(NULL AS string) AS error FROM __source_files, LATERAL variant_explode(v) e WHERE schema_of_variant(v) LIKE 'ARRAY%'")
+    arrays = rows.filter(F.startswith(kind, F.lit("ARRAY")))
+    many = arrays.lateralJoin(files.sparkSession.tvf.variant_explode(F.col("v").outer())).select("path", F.col("pos").alias("ord"), F.col("value").alias("raw"), F.lit(None).cast("string").alias("error"))
     bad = rows.filter(F.col("v").isNull() | ~kind.rlike("^(OBJECT|ARRAY)")).select("path", F.lit(0).alias("ord"), F.lit(None).cast("variant").alias("raw"), F.lit("not an object or array").alias("error"))
     return one.union(many).union(bad)

@@ -1,14 +1,15 @@
-"""Operators that look at a key's rows in order of time: limiters, caches, deltas. Batch and streaming forms."""
+"""Operators that look at a key's rows in order of time: loads, reuse, lifetimes, deltas; and a stateful limiter of streams."""
 
 from __future__ import annotations
 
-from collections import OrderedDict, deque
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 
 def rate_rule(x: Column) -> Column:
@@ -18,36 +19,20 @@ def rate_rule(x: Column) -> Column:
     return F.when((limit > 0) & (rest > 0), F.struct(limit.alias("limit"), rest.alias("interval")))
 
 
-def admitted(calls: DataFrame, key: str, at: str, order: str, limit: int, interval: int) -> DataFrame:
-    """calls with admitted: when a limiter of `limit` calls in `interval` milliseconds lets each through, in order of time.
+def window_load(calls: DataFrame, key: str, at: str, limit: int, interval: int) -> DataFrame:
+    """calls with load, the calls of their key in the last `interval` (at their own time too), and over: more than the limit.
 
-    A call waits for the one before and, if the window is full, until its oldest call leaves it. Each key's
-    calls pass through one task in order, and only the last `limit` of them are held.
+    What a sliding log of calls holds when each arrives; ties in time count for each other.
     """
-    schema = calls.schema
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held = None, deque()
-        for frame in frames:
-            out = []
-            for k, t in zip(frame[key], frame[at], strict=True):
-                if k != now:
-                    now, held, last = k, deque(), -(2**62)
-                t = max(t, last)
-                if len(held) == limit:
-                    t = max(t, held.popleft() + interval)
-                held.append(t)
-                last = t
-                out.append(t)
-            frame["admitted"] = pd.Series(out, dtype="int64")
-            yield frame
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return calls.repartition(key).sortWithinPartitions(key, at, order).mapInPandas(run, f"{fields}, admitted long")
+    w = Window.partitionBy(key).orderBy(at).rangeBetween(-interval + 1, 0)
+    return calls.withColumn("load", F.count("*").over(w)).withColumn("over", F.col("load") > limit)
 
 
 def admitted_stream(calls: DataFrame, key: str, at: str, limit: int, interval: int) -> DataFrame:
-    """The same for a stream of (key string, at long): key, at, admitted, with the window as state."""
+    """A stream of (key string, at long) with admitted: when a limiter of `limit` calls in `interval` milliseconds lets each through, with the window as state.
+
+    A call waits for the one before and, if the window is full, until its oldest call leaves it.
+    """
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = deque(state.get[0]) if state.exists else deque()
@@ -67,50 +52,24 @@ def admitted_stream(calls: DataFrame, key: str, at: str, limit: int, interval: i
     return calls.groupBy(key).applyInPandasWithState(run, f"{key} string, {at} long, admitted long", "held array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
-def lru_hits(reads: DataFrame, store: str, key: str, order: str, size: int) -> DataFrame:
-    """reads with hit: whether a store of `size` keys, which forgets the least recently read, has the key. Only the store is held."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held = None, OrderedDict()
-        for frame in frames:
-            out = []
-            for s, k in zip(frame[store], frame[key], strict=True):
-                if s != now:
-                    now, held = s, OrderedDict()
-                out.append(k in held)
-                held[k] = True
-                held.move_to_end(k)
-                if len(held) > size:
-                    held.popitem(last=False)
-            frame["hit"] = out
-            yield frame
+def reuse_distance(reads: DataFrame, store: str, key: str, order: str) -> DataFrame:
+    """reads with gap: how many reads of the store lie between a key's read and the one before (null for the first).
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reads.schema)
-    return reads.repartition(store).sortWithinPartitions(store, order).mapInPandas(run, f"{fields}, hit boolean")
+    A store that forgets the least recently read key, with room for gap + 1 keys, still has it.
+    """
+    rows = reads.withColumn("__n", F.row_number().over(Window.partitionBy(store).orderBy(order)))
+    before = F.lag("__n").over(Window.partitionBy(store, key).orderBy("__n"))
+    return rows.withColumn("gap", (F.col("__n") - before - 1).cast("long")).drop("__n")
 
 
-def ttl_hits(reads: DataFrame, key: str, at: str, ttl: int, order: str) -> DataFrame:
-    """reads with hit: whether the key was put within ttl before (a read that finds nothing puts it).
+def lifetimes(reads: DataFrame, key: str, at: str, ttl: int, order: str) -> DataFrame:
+    """reads with life: the number of a key's stretch of reads, each less than ttl after the one before, and fresh: whether it is the first of its stretch.
 
-    A put is a read of ttl or more after the last put; that depends on the puts before, so keys pass in order.
+    A cache whose entries live on as long as they are read has a miss where fresh is set.
     """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, put = None, None
-        for frame in frames:
-            out = []
-            for k, t in zip(frame[key], frame[at], strict=True):
-                if k != now:
-                    now, put = k, None
-                hit = put is not None and t - put < ttl
-                if not hit:
-                    put = t
-                out.append(hit)
-            frame["hit"] = out
-            yield frame
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reads.schema)
-    return reads.repartition(key).sortWithinPartitions(key, at, order).mapInPandas(run, f"{fields}, hit boolean")
+    w = Window.partitionBy(key).orderBy(at, order)
+    rows = reads.withColumn("fresh", F.coalesce(F.col(at) - F.lag(at).over(w) >= ttl, F.lit(True)))
+    return rows.withColumn("life", F.sum(F.col("fresh").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def distinct_stream(rows: DataFrame, key: Column, at: str, late: str = "1 hour") -> DataFrame:

@@ -74,11 +74,14 @@ def test_texts(spark):
     assert (page(1), page(2), page(9), page(None)) == ("/la.html", "/lb.html", "/lc.html", "/l<a, b,c>.html")
     assert t(fx.url_option, 'http://a/b , {"method":"POST"}') == '{"method":"POST"}' and t(fx.without_option, 'http://a/b,{"x":1}') == "http://a/b"
     assert t(fx.intro, " &nbsp;a<p class='x'>b<br>\n<!-- c --><b >d</b >") == "　　a\n　　b\n　　d"
+    assert t(fx.intro, "") == "" and t(fx.intro, "　x　 \n\n y<i title='a'>z</i>") == "　　x\n　　yz" and t(fx.intro, "a&nbsp;&nbsp;b&zwnj;c") == "　　a bc" and len(t(fx.intro, "n" * 6000)) == 5000
+    assert t(fx.content_decoded, "&lt;&#65;&#x4e2d;&nbsp;&hearts;&LDQUO;") == "<A中\u00a0&hearts;\u201c"
     assert t(fx.looks_like_html, "a <br> b") and not t(fx.looks_like_html, "1 < 2 <x>")
 
 
 def test_values(spark):
     assert [fv.numeral(x) for x in ("十", "十二", "一百零三", "两千", "一千一", "一万二千", "三亿", "12", "")] == [10, 12, 103, 2000, 1100, 12000, 3 * 10**8, -1, 0]
+    assert [fv.numeral(x) for x in ("一亿二千三百万零四", "三万亿", "二零二四", "万", "一千零五", "十五萬", "两百五")] == [123000004, 3 * 10**12, 2024, 0, 1005, 150000, 250]
     t = lambda f, x: one(spark, f(F.col("x")), x=x)
     assert t(fv.uri_component, "a b/é~'()") == "a%20b%2F%C3%A9~'()"
     assert t(fv.md5_middle, "a") == "c0f1b6a831c399e2" and t(fv.from_hex, "6162") == "ab" and t(fv.from_hex, "6g") == ""
@@ -87,6 +90,9 @@ def test_values(spark):
     same = lambda a, b: one(spark, fv.same_chapter(F.lit(a), F.lit(b)))
     assert same("http://h/c/1_2.html", "http://h/c/1.html") and same("http://h/c/1.html?page=2", "http://h/c/1.html") and not same("http://h/c/1.html?cid=2", "http://h/c/1.html") and not same("http://g/c/1_2.html", "http://h/c/1.html") and not same("http://h/c/2.html", "http://h/c/1.html")
     assert t(fv.cookies, "a=1; b = x=y; bad; a=2") == {"a": "2", "b": "x=y"}
+    canon = lambda u, b=None: one(spark, fv.canonical_url(F.lit(u), F.lit(b).cast("string")))
+    assert canon('HTTP://H.Example:80/a b?q=é#f , {"x":1}') == "http://h.example/a%20b?q=%C3%A9#f" and canon("../c", "https://h/a/b/") == "https://h/a/c" and canon("https://h") == "https://h/" and canon("no address") == "no address"
+    assert t(lambda x: fv.form_in_charset(x, "gbk"), "a=%E4%B8%AD%E6%96%87&b=%20&c=%FF") == "a=%D6%D0%CE%C4&b=%20&c=%FF"
     assert t(fv.safe_key, "é" * 60).count("~") == 1 and t(fv.format_time, 0) == "1970/01/01 00:00"
 
 
@@ -126,6 +132,38 @@ def test_tree(spark, nodes):
     assert nodes.filter("page_id = 3").select("text").first().text == "plain & text" and nodes.filter("page_id = 2").count() == 0
 
 
+def test_html_again(spark):
+    page = '<div id="a"><p title="x &amp; &quot;y&quot;">one &lt; two<br>three</p><script>if (a < b) {}</script><ul><li>A</li><li><b><i>B</i></b></li></ul></div>'
+    tree = src.nodes(spark.createDataFrame([(1, page)], "page_id long, html string"))
+    of = lambda tag, **k: [r.html for r in dom.html(tree, dom.elements(tree, tag), **k).orderBy("node_id").collect()]
+    assert of("div") == [page] and of("div", inner=True) == [page[12:-6]] and of("li", inner=True) == ["A", "<b><i>B</i></b>"] and of("br") == ["<br>"]
+
+
+def test_content(spark):
+    rows = [(1, "<p>a<img data-x='no' data-echo='/e' src=''>b</p><script>x</script>"), (2, "plain &amp; &#x4e2d; 1 < 2"), (3, "&lt;p&gt;escaped&lt;/p&gt;&lt;p&gt;twice&lt;/p&gt;"), (4, None), (5, ""), (6, "<p></p>")]
+    out = {r.k: r.text for r in dom.content_text(spark.createDataFrame(rows, "k long, c string"), "k", "c").collect()}
+    assert out == {1: "a\n/e\nb", 2: "plain & 中 1 < 2", 3: "escaped\ntwice", 4: None, 5: "", 6: ""}
+    again = {r.k: r.text for r in dom.content_text(spark.createDataFrame(list(out.items()), "k long, c string"), "k", "c").collect()}
+    assert again == out
+
+
+def test_json_forms(spark):
+    j = F.lit('{"a":[1,2,3],"b":{"x":"s","y":null},"c":[{"n":1},{"m":2}]}')
+    get = lambda *steps: one(spark, extract.json_steps(j, *steps))
+    assert get("a", -1) == ["3"] and get("a", slice(1, None)) == ["2", "3"] and get("a", slice(-2, -1)) == ["2"] and get("a", 9) == [] and get("c", "*", "n") == ["1"]
+    assert get("b", "*") == ['"s"', "null"] and get("a", "*") == ["1", "2", "3"] and get("zz", "*") == [] and one(spark, extract.json_steps(F.lit("{oops"), "a")) == []
+    rows = spark.createDataFrame([(1, '{"n":{"n":[1]},"z":[{"n":"x"}]}'), (2, "7"), (3, "bad")], "k long, j string")
+    assert sorted((r.k, r.at, r.value) for r in extract.json_below(rows, "k", "j", "n").collect()) == [(1, [0], '{"n":[1]}'), (1, [0, 0], "[1]"), (1, [1, 0, 0], '"x"')]
+
+
+def test_plans_stay_small(spark):
+    """Values mentioned often are in the plan once."""
+    df = spark.createDataFrame([("a", ["b"])], "x string, y array<string>")
+    v, w = tagged.value(F.upper("x")), tagged.listed(F.col("y"))
+    out = df.select(tagged.text_of(tagged.replaced(tagged.reversed_(tagged.both(tagged.first(w, v), tagged.interleaved(w, v))), "b", "c")).alias("r"))
+    assert out.first().r == "A\nc\nc" and out._jdf.queryExecution().optimizedPlan().toString().count("upper(") <= 4
+
+
 def test_json_and_templates(spark):
     assert one(spark, extract.json_path(F.lit('{"a":{"b":[{"n":1},{"n":2}]}}'), "a.b[1].n")) == "2"
     assert one(spark, extract.json_path(F.lit('{"a":[{"n":1},{"n":2}]}'), "$.a[*].n")) == "[1,2]"
@@ -164,17 +202,12 @@ def test_limiter(spark):
     import random
 
     rng = random.Random(1)
-    calls = [(k, i, rng.randint(0, 2000)) for k in range(3) for i in range(60)] + [(9, 0, 0), (9, 1, 0), (9, 2, 0)]
-    out = {(r.k, r.i): r.admitted for r in limits.admitted(spark.createDataFrame(calls, "k long, i long, at long"), "k", "at", "i", 2, 100).collect()}
-    assert [out[9, i] for i in range(3)] == [0, 0, 100]
-    by = defaultdict(list)
-    for k, i, at in sorted(calls, key=lambda c: (c[0], c[2], c[1])):
-        past = by[k]
-        t = max([at, *past[-1:]])
-        while sum(x > t - 100 for x in past) >= 2:
-            t += 1
-        past.append(t)
-        assert out[k, i] == t
+    calls = [(k, i, rng.randint(0, 2000)) for k in range(3) for i in range(60)] + [(9, 0, 0), (9, 1, 0), (9, 2, 99)]
+    out = {(r.k, r.i): (r.load, r.over) for r in limits.window_load(spark.createDataFrame(calls, "k long, i long, at long"), "k", "at", 2, 100).collect()}
+    assert out[9, 0] == (2, False) and out[9, 2] == (3, True)
+    for k, i, at in calls:
+        n = sum(o == k and at - 100 < t <= at for o, _, t in calls)
+        assert out[k, i] == (n, n > 2)
 
 
 def test_stores(spark):
@@ -183,20 +216,22 @@ def test_stores(spark):
     rng = random.Random(2)
     reads = [(s, rng.randint(0, 6), i) for s in range(2) for i in range(80)]
     df = spark.createDataFrame(reads, "s long, k long, i long")
-    out = {(r.s, r.i): r.hit for r in limits.lru_hits(df, "s", "k", "i", 3).collect()}
+    out = {(r.s, r.i): r.gap for r in limits.reuse_distance(df, "s", "k", "i").collect()}
     for s in range(2):
         held = OrderedDict()
         for _, k, i in [r for r in reads if r[0] == s]:
-            assert out[s, i] == (k in held)
-            held[k] = held.pop(k, True)
-            if len(held) > 3:
-                held.popitem(last=False)
-    out = {(r.k, r.s, r.i): r.hit for r in limits.ttl_hits(df.withColumn("at", F.col("i") * 10), "k", "at", 50, "s").collect()}
-    put = {}
-    for s, k, i in sorted(reads, key=lambda r: (r[1], r[2], r[0])):
-        hit = k in put and i * 10 - put[k] < 50
-        put[k] = put[k] if hit else i * 10
-        assert out[k, s, i] == hit
+            assert (out[s, i] is None) == (k not in held)
+            if k in held:  # a store with room for gap + 1 keys has it, whatever was read between
+                assert list(reversed(held)).index(k) <= out[s, i]
+            held[k] = True
+            held.move_to_end(k)
+    rows = limits.lifetimes(df.withColumn("at", F.col("i") * 10), "k", "at", 30, "s").collect()
+    last, life = {}, defaultdict(int)
+    for r in sorted(rows, key=lambda r: (r.k, r.at, r.s)):
+        fresh = r.k not in last or r.at - last[r.k] >= 30
+        life[r.k] += fresh
+        last[r.k] = r.at
+        assert (r.fresh, r.life) == (fresh, life[r.k])
 
 
 def test_streams(spark, tmp_path):
@@ -223,8 +258,11 @@ def test_followed(spark):
 def test_merge(spark):
     rows = [("s1", 0, "《甲》", "x", "/1", None), ("s2", 1, "甲", "X", "/2", None), ("s2", 2, "甲", None, "/3", None), ("s3", 3, "乙", "x", "/4", None)]
     hits = spark.createDataFrame(rows, "source_id string, arrival long, title string, author string, url string, kind string")
-    out = {(r.title, r.author): (r.source_count, r.rank, [s.source_id for s in r.sources]) for r in search.merge_books(hits, "甲").collect()}
-    assert out == {("《甲》", "x"): (2, 0, ["s1", "s2"]), ("甲", None): (1, 0, ["s2"])}
+    out = {(r.title, r.author): (r.source_count, r.rank, r.hits) for r in search.merge_books(hits, "甲").collect()}
+    assert out == {("《甲》", "x"): (2, 0, 2), ("甲", None): (1, 0, 1)}
+    assert sorted((r.book, r.source_id) for r in search.book_hits(hits, "甲").collect()) == [(0, "s1"), (0, "s2"), (2, "s2")]
+    wide = hits.withColumn("title", F.when(F.col("arrival") == 0, "Ｆｏｏ").otherwise("foo"))
+    assert search.merge_books(wide.withColumn("author", F.lit("a")), "ｆｏｏ").count() == 1
     assert search.kept(hits, "").count() == 4 and search.kept(hits, "zz").count() == 0 and search.kept(hits, "甲 someone").count() == 3
 
 
