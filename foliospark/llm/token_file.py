@@ -210,7 +210,7 @@ class Encoder:
             new: set[bytes] = set()
             for parts in split:
                 new.update(parts)
-            new.difference_update(self.known)  # looks up the new ones only
+            new = new.difference(self.known)  # looks up the new ones; difference_update would go over the store
             self.spent += sum(map(len, new))
             self.learn(new)
             known = self.known
