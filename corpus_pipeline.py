@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import byte_bpe, line_dedup, mixing, quality, simhash
+from foliospark.llm import byte_bpe, line_dedup, mixing, near_texts, quality
 from foliospark.llm.common import anti_join, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -36,19 +36,16 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates one row stays, one with the smallest doc_id.
+    """Of each group of near duplicates (sets of five-word shingles with a similarity of 0.8 or more) one row stays, one with the smallest doc_id.
 
-    Rows get a number when their fingerprints are written; it tells rows with equal or null ids apart. Rows with a
-    null doc_id go if their group has one with a doc_id; of a group of such rows alone one stays. Null and empty
+    Rows get a number when they are written with their fingerprints; it tells rows with equal or null ids apart. Rows with
+    a null doc_id go if their group has one with a doc_id; of a group of such rows alone one stays. Null and empty
     texts are one group. The numbers of the rows that go are few, and joined back without moving texts where they
     fit a broadcast.
     """
-    rows = simhash.fingerprints(docs.select(*COLUMNS), keep_text=True).withColumn("__row", F.monotonically_increasing_id())
-    rows = written(rows)
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row").alias("key")
-    groups = simhash.groups_of(written(rows.select(key, "fp")), "key")
-    gone = written(groups.filter(F.col("key.__row") != F.col("component_id.__row")).select("key.__row"))
-    return anti_join(rows, gone, "__row").select(*COLUMNS)
+    rows = near_texts.sketched(docs.select(*COLUMNS)).withColumn("__row", F.monotonically_increasing_id())
+    rows = written(rows.withColumn("__key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")))
+    return anti_join(rows, written(near_texts.near_rows(rows, "__key")), "__row").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
