@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import byte_bpe, line_dedup, mixing, near_texts, quality
-from foliospark.llm.common import anti_join, written
+from foliospark.llm.common import anti_join, spread, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: The mixture's entropy lies this share of the way to the largest one, but no source is read more often than MAX_REPEATS times.
@@ -81,7 +81,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, map_batches, small_batches
+from .common import Shared, map_batches, small_batches, spread
 
 #: Pieces that a worker keeps, their bytes, and the longest piece that goes through the common tree.
 KEEP, KEEP_BYTES, SHORT = 300_000, 32 << 20, 64
@@ -228,6 +228,6 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5_byte_bpe over all documents."""
-    out = encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), decoded=True)
+    out = encode(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), decoded=True)
     listed = F.translate(F.col("ids").cast("string"), "[] ", "")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

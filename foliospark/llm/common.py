@@ -10,7 +10,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import shared_dir, written  # noqa: F401
+from ..shared import shared_dir, spread, written  # noqa: F401
 
 #: Lookup tables of up to this many rows (with bounded rows) are broadcast.
 BROADCAST_ROWS = 100_000

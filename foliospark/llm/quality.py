@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lookup_join, map_batches, small_batches, text_bytes, written
+from .common import lookup_join, map_batches, small_batches, spread, text_bytes, written
 from .words import gram_hashes, word_hashes
 
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_SYMBOL_PERCENT, MAX_DUP_LINES_PERCENT = 50, 50, 10, 50
@@ -119,7 +119,7 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", keep_text:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6_quality_rules over all documents; strict is the verdict on the document's host."""
-    out = judge(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
+    out = judge(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "soft_failures", "strict")
 
 

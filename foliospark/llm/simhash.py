@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, small_batches, spread_join, text_bytes, written
+from .common import map_batches, small_batches, spread, spread_join, text_bytes, written
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
 #: The top tree: distinct fingerprints a shard (in the mean), sampled fingerprints for each, and its levels, which
@@ -230,5 +230,5 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", bits:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10_simhash over all documents."""
-    out = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = near_groups(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

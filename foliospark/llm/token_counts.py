@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, map_batches, small_batches
+from .common import Shared, map_batches, small_batches, spread
 
 TABLE, HEAVY, KEEP, LIMIT = 20_000, 4_000, 300_000, 4096
 #: The workers' stores are also emptied when their pre-tokens have so many characters.
@@ -143,4 +143,4 @@ def count(docs: DataFrame, model: str | None = None, text: str = "text", limit:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8_token_counts over all documents."""
-    return count(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return count(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))).select("doc_id", "n_bytes", "n_tokens", "over_limit")
