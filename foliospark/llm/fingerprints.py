@@ -97,7 +97,10 @@ def _hex(codes: np.ndarray) -> str:
 
 
 def fingerprint(docs: DataFrame, text: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """docs with a column fingerprint: 4 hex digits for each sample. Null and empty texts: zeros."""
+    """docs with a column fingerprint (one of that name is replaced, others stay): 4 hex digits for each sample.
+
+    Null and empty texts: zeros; texts of any length are read whole. Repeated rows give equal results. Empty docs: empty result.
+    """
     names = [c for c in docs.columns if c != "fingerprint"]
     small_batches(docs.sparkSession)
 
@@ -116,7 +119,8 @@ def edited_likeness(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     Documents are put into ranges of doc_id, each range into one partition, sorted; the last document of
     the range before comes with it (a copy for each range). So each text moves once and the fingerprint of
     a neighbour is at hand. Rows with equal doc_id are ordered by text; a null id comes after all in
-    descending order; a null text is empty. One document is its own neighbour.
+    descending order; a null text is empty, one of any length is read whole. One document is its own neighbour. Other
+    columns of docs are left out. Empty docs: empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -726,3 +726,26 @@ def test_queries_with_sql(spark):
         assert Counter(map(tuple, df.select(*names).collect())) == Counter(cursor.fetchall())
 
 
+
+
+def test_clashing_names_and_very_long_texts(spark):
+    """Columns of docs with the results' names are replaced, whatever their types, and all others stay; a text of two million characters is read whole."""
+    long = " ".join(f"w{k % 5000}" for k in range(360_000))
+    clash = "n_tokens n_bytes over_limit decoded fingerprint n_lines n_dropped epoch block mix_order n_words failed kept strict soft_failures base_failed set_a bands exponent".split()
+    rows = [(i, t, "s", 1, *["x"] * len(clash)) for i, t in ((1, long), (2, "a b c"), (3, None), (4, "x" * 2_000_000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, other int, " + ", ".join(f"{c} string" for c in clash))
+    import sentencepiece
+    import tiktoken
+
+    model = sentencepiece.SentencePieceProcessor(model_file=token_counts.default_model())
+    assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.count(docs).collect()} == {i: (len((t or "").encode()), len(model.encode(t or ""))) for i, t, *_ in rows}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(open(byte_bpe.default_ranks(), "rb").read()), special_tokens={})
+    out = {r.doc_id: (r["ids"], bytes(r.decoded)) for r in byte_bpe.encode(docs, decoded=True).select("doc_id", "ids", "decoded").collect()}
+    assert all(out[i] == (library.encode_ordinary(t or ""), (t or "").encode()) for i, t, *_ in rows)
+    assert {r.doc_id: r.n_words for r in quality.judge(docs).collect()} == {1: 360_000, 2: 3, 3: 0, 4: 1}
+    assert {r.doc_id: r.n_lines for r in line_dedup.dedup(docs).select("doc_id", "n_lines").collect()} == {1: 1, 2: 1, 3: 1, 4: 1}
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.dedup(docs, batches=2).collect()} == {1: (360_000, 355_000), 2: (3, 0), 3: (0, 0), 4: (1, 0)}
+    assert {r.doc_id: len(r.fingerprint) for r in fingerprints.fingerprint(docs).select("doc_id", "fingerprint").collect()} == dict.fromkeys((1, 2, 3, 4), 256)
+    assert {r.doc_id: r.epoch for r in mixing.mix(docs, gain=0.5).select("doc_id", "epoch").collect()} == dict.fromkeys((1, 2, 3, 4), 0)
+    for out in (token_counts.count(docs), byte_bpe.encode(docs), quality.judge(docs), line_dedup.dedup(docs), fingerprints.fingerprint(docs), mixing.mix(docs)):
+        assert "other" in out.columns and len(set(out.columns)) == len(out.columns)

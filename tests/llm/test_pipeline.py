@@ -1,14 +1,16 @@
 """The pipeline against a brute-force version, stage by stage, and on odd tables."""
 
+import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
 
 import corpus_pipeline as cp
-from foliospark.llm import mixing, simhash
+from foliospark.llm import mixing, near_texts
 from foliospark.llm.common import written
 
-from .test_operators import SCHEMA, WORDS, brute_judged, brute_mixture, brute_simhash, multi, odd_rows  # noqa: F401
+from .test_operators import SCHEMA, WORDS, brute_judged, brute_mixture, multi, odd_rows  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,14 +36,24 @@ def brute_lines(rows):
     return out
 
 
-def brute_near(rows):
-    prints = [brute_simhash(r["text"]) for r in rows]
-    forest = simhash.Forest(len(rows))
+def brute_shingles(text, shingle=5):
+    words = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))) if words else frozenset()
+
+
+def brute_groups(rows):
+    """A forest over rows whose sets of shingles have a similarity of 0.8 or more; all pairs."""
+    sets, forest = [brute_shingles(r["text"]) for r in rows], near_texts.Forest(len(rows))
     for a in range(len(rows)):
         for b in range(a):
-            if (prints[a] ^ prints[b]).bit_count() <= 2:
+            both, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if not either or both >= 0.8 * either:
                 forest.join(a, b)
-    least = {}
+    return forest
+
+
+def brute_near(rows):
+    forest, least = brute_groups(rows), {}
     for k, r in enumerate(rows):
         least[forest.root(k)] = min(least.get(forest.root(k), r["doc_id"]), r["doc_id"])
     return [r for k, r in enumerate(rows) if r["doc_id"] == least[forest.root(k)]]
@@ -109,13 +121,65 @@ def test_null_and_repeated_rows(spark):
     rows, docs = brute_quality(rows), written(stages["quality_rules"](spark, docs, SF))
     assert key(rows_of(docs)) == key(rows) and len(rows) == 14
     out = rows_of(stages["simhash"](spark, docs, SF))
-    prints, forest = [brute_simhash(r["text"]) for r in rows], simhash.Forest(len(rows))
-    for a in range(len(rows)):
-        for b in range(a):
-            if (prints[a] ^ prints[b]).bit_count() <= 2:
-                forest.join(a, b)
+    forest = brute_groups(rows)
     groups = defaultdict(list)
     for k, r in enumerate(rows):
         groups[forest.root(k)].append(r)
     least = Counter((g[0]["text"], min((r["doc_id"] for r in g if r["doc_id"] is not None), default=None)) for g in groups.values())
     assert Counter((r["text"], r["doc_id"]) for r in out) == least and len(out) == 7
+
+
+def edited(words, rng, n):
+    words = list(words)
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+    return words
+
+
+@pytest.mark.parametrize("kind", ["small", "large", "large and hot"])
+def test_near_groups(spark, monkeypatch, kind):
+    """Dense groups, chains, a text in very many copies, unlike texts that meet in a band: in one task, and by blocks."""
+    from foliospark.llm import common
+
+    if kind != "small":
+        monkeypatch.setattr(near_texts, "GROUP", 4)
+    if kind == "large and hot":
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rng = random.Random(5)
+    say = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    texts = [" ".join(say(120)) for _ in range(30)]
+    base = say(300)
+    texts += [" ".join(edited(base, rng, rng.randint(1, 9))) for _ in range(40)]  # some are within 0.8 of each other, some aren't
+    chain = say(200)
+    for _ in range(12):
+        texts.append(" ".join(chain))
+        chain = edited(chain, rng, 3)
+    texts += [" ".join(base).upper().title()] * 40 + ["a b"] * 3 + [None, "", "  "] + ["A b", "b a"]
+    order = rng.sample(range(len(texts)), len(texts))
+    rows = [{"doc_id": i, "text": texts[k], "lang": "en", "source": "s", "n_chars": 1} for i, k in enumerate(order)]
+    docs = spark.createDataFrame([tuple(r.values()) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert sorted(r["doc_id"] for r in rows_of(dict(cp.STAGES)["simhash"](spark, docs, SF))) == sorted(r["doc_id"] for r in brute_near(rows))
+
+
+@pytest.mark.parametrize("bound", [0.5, 0.8])
+def test_links_of_any_sets(bound):
+    """Spanning links connect exactly what all pairs connect."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        base = rng.integers(0, 60, 30)
+        sets = [np.unique(np.where(rng.random(30) < rng.choice([0.02, 0.1, 0.5]), rng.integers(0, 99, 30), base)).astype(np.uint64) for _ in range(25)]
+        jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        for cut in (None, 10):
+            own, others = sets[:cut], None if cut is None else sets[cut:]
+            whole, forest = near_texts.Forest(25), near_texts.Forest(25)
+            for a in range(len(own)):
+                for b in range(a + 1 if cut is None else cut, 25):
+                    if jaccard(sets[a], sets[b]) >= bound:
+                        whole.join(a, b)
+            for a, b in near_texts.links_of(own, others, bound):
+                assert jaccard(sets[a], sets[b]) >= bound
+                forest.join(a, b)
+            assert [forest.root(k) for k in range(25)] == [whole.root(k) for k in range(25)]
