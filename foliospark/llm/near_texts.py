@@ -59,13 +59,15 @@ def sketched(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> Dat
     new = ("fp", "set_a", "set_b", "n_set", "bands")
     names = [c for c in docs.columns if c not in new]
 
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         out = []
         for t in text_bytes(batch.column(names.index(text))):
             hashes = shingle_hashes(t, shingle)
             own = np.unique(hashes)
             ids = [int(x.sum(dtype=np.uint64).view(np.int64)) if len(x) else 0 for x in (own, mix(own ^ _FACTORS[-1]))]
             out.append((fingerprint(hashes) if len(own) else 0, *ids, len(own), band_keys(own)))
+        if not out:
+            return None
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]], [*names, *new])
 
