@@ -283,7 +283,7 @@ def _intake(spark, d):
 
 @query(_INTAKE + " SELECT ord, name, base_url, outcome, existing, (CASE WHEN outcome = 'replaced' THEN rest ELSE 0 END)::BIGINT AS cleared FROM outcomes")
 def source_intake(spark, d):
-    """J4, SC9: outcomes of an import."""
+    """Outcomes of an import."""
     return _intake(spark, d)
 
 
