@@ -16,6 +16,8 @@ from ..shared import shared_dir, spread, written  # noqa: F401
 BROADCAST_ROWS = 100_000
 #: Rows that hold arrays: up to this many elements in all.
 BROADCAST_ELEMENTS = 500_000
+#: Rows whose bytes aren't bounded: up to so many bytes in all.
+BROADCAST_BYTES = 8 << 20
 #: Beyond it a lookup join is salted: each lookup row is repeated this many times.
 SALTS = 16
 #: A key of more rows than 1 / HOT_KEYS of all, and than HOT_ROWS, is hot; there are fewer than HOT_KEYS of them.
@@ -49,21 +51,34 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", e
     return big.withColumn("__salt", salt).join(repeated, [key, "__salt"], how).drop("__salt")
 
 
-def spread_join(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join of two written tables, small with one row (of bounded size) for each key, big with any number.
+def _fits(small: DataFrame, size: Column | None) -> bool:
+    if size is None:
+        return small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    n, total = small.agg(F.count("*"), F.sum(size)).first()
+    return n <= BROADCAST_ROWS and (total or 0) <= BROADCAST_BYTES
 
-    A small table of BROADCAST_ROWS rows at most is broadcast. Else hot keys are counted first; their rows in small, fewer
-    than HOT_KEYS, are broadcast, all other keys are shuffled, so that no task gets a hot key's rows.
+
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], size: Column | None = None) -> DataFrame:
+    """Inner join of two written tables, small with one row for each key, big with any number. size: the bytes of a row of small, where they aren't bounded.
+
+    A small table of BROADCAST_ROWS rows (and BROADCAST_BYTES) at most is broadcast. Else hot keys are counted first; their
+    rows in small, fewer than HOT_KEYS, are broadcast, or salted where they have more bytes; all other keys are
+    shuffled, so that no task gets a hot key's rows.
     """
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if _fits(small, size):
         return big.join(F.broadcast(small), keys)
     most = max(HOT_ROWS, big.count() // HOT_KEYS)
     hot = big.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > most).drop("__n")
     hot = written(small.join(F.broadcast(hot), keys, "left_semi"))
     if hot.isEmpty():
         return big.join(small, keys)
-    rest = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(small, keys)
-    return big.join(F.broadcast(hot), keys).unionByName(rest)
+    named = F.broadcast(hot.select(*keys))
+    rest = big.join(named, keys, "left_anti").join(small, keys)
+    if _fits(hot, size):
+        return big.join(F.broadcast(hot), keys).unionByName(rest)
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(SALTS)).cast("int")
+    many = hot.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.join(named, keys, "left_semi").withColumn("__salt", salt).join(many, [*keys, "__salt"]).drop("__salt").unionByName(rest)
 
 
 def anti_join(big: DataFrame, gone: DataFrame, key: str) -> DataFrame:
