@@ -142,8 +142,8 @@ def _sorted_groups(width: int, bound: float):
 
 def _verified(pairs: DataFrame, sets: DataFrame, bound: float) -> DataFrame:
     """Of pairs (a, b) those whose sets are similar enough. A node of very many pairs is not shuffled to."""
-    one = spread_join(pairs, sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), ["b"])
-    both = spread_join(written(one), sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), ["a"])
+    one = spread_join(pairs, sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), ["b"], F.length("hb"))
+    both = spread_join(written(one), sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), ["a"], F.length("ha"))
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept = [similarity(_as_set(a), _as_set(b), bound) >= bound for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
@@ -167,9 +167,9 @@ def links_between(rows: DataFrame, reps: DataFrame, text: str = "text", shingle:
     """a, b: spanning links between the representatives reps (node, fp, n_set, bands: written) of rows (__row, text: written)."""
     # narrow candidates: the tree's links between fingerprints, and texts with one fingerprint
     by_fp = written(reps.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")))
-    tree = links(by_fp.select("fp"), BITS)
-    ends = by_fp.select("fp", "first")
-    tree = tree.join(ends.select(F.col("fp").alias("a"), F.col("first").alias("na")), "a").join(ends.select(F.col("fp").alias("b"), F.col("first").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    tree = written(links(by_fp.select("fp"), BITS))
+    end = lambda c: by_fp.select(F.col("fp").alias(c), F.col("first").alias(f"n{c}"))
+    tree = spread_join(written(spread_join(tree, end("a"), ["a"])), end("b"), ["b"]).select(F.col("na").alias("a"), F.col("nb").alias("b"))
     same = spread_join(reps.select("node", "fp"), written(by_fp.filter("n > 1").select("fp", "first")), ["fp"])
     pairs = tree.union(same.select(F.col("node").alias("a"), F.col("first").alias("b"))).filter("a <> b")
     # wide candidates: groups of a band; those of the same texts are one group
@@ -184,7 +184,7 @@ def links_between(rows: DataFrame, reps: DataFrame, text: str = "text", shingle:
     sets = _hashes(rows, written(nodes), text, shingle)
     found = _verified(pairs, sets, bound)
     run = _sorted_groups(1, bound)
-    inside = spread_join(written(members.filter(small).select("band", "node")), sets, ["node"]).select("band", F.lit(0).alias("side"), "node", "hashes")
+    inside = spread_join(written(members.filter(small).select("band", "node")), sets, ["node"], F.length("hashes")).select("band", F.lit(0).alias("side"), "node", "hashes")
     found = written(found.union(inside.repartition("band").sortWithinPartitions("band", "node").mapInArrow(run, "a long, b long")))
     # the rest of large groups: what isn't connected with the group's first text is compared with all of it
     large = written(members.filter(~small).select("band", "node", "first"))
@@ -202,7 +202,7 @@ def links_between(rows: DataFrame, reps: DataFrame, text: str = "text", shingle:
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     asking = spread_join(rest, blocks, ["band"]).select("band", block("asking").alias("p"), F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("q"), F.lit(0).alias("side"), "node")
     asked = spread_join(large.select("band", "node"), blocks, ["band"]).select("band", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("p"), block("asked").alias("q"), F.lit(1).alias("side"), "node")
-    blocked = spread_join(written(asking.union(asked)), sets, ["node"]).select("band", "p", "q", "side", "node", "hashes")
+    blocked = spread_join(written(asking.union(asked)), sets, ["node"], F.length("hashes")).select("band", "p", "q", "side", "node", "hashes")
     more = blocked.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q", "side", "node").mapInArrow(_sorted_groups(3, bound), "a long, b long")
     return written(found.union(more))
 

@@ -146,6 +146,7 @@ def test_near_groups(spark, monkeypatch, kind):
     if kind == "large and hot":
         monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
         monkeypatch.setattr(common, "HOT_ROWS", 3)
+        monkeypatch.setattr(common, "BROADCAST_BYTES", 500)
     rng = random.Random(5)
     say = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
     texts = [" ".join(say(120)) for _ in range(30)]
