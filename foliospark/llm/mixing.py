@@ -63,9 +63,10 @@ def _bisect(value: Callable[[list[float]], list[float]], target: float, low: flo
 
 def entropies(sources: DataFrame, total: float, exponents: list[float]) -> list[float]:
     """The entropy of the sources' weights at each exponent, in one job."""
-    share = F.col("tokens") / F.lit(float(total))
-    sums = sources.agg(*[x for i, a in enumerate(exponents) for x in (F.sum(F.pow(share, F.lit(a))).alias(f"z{i}"), F.sum(F.pow(share, F.lit(a)) * F.log(share) * a).alias(f"l{i}"))]).first()
-    return [math.log(sums[f"z{i}"]) - sums[f"l{i}"] / sums[f"z{i}"] for i in range(len(exponents))]
+    rows = sources.select((F.col("tokens") / F.lit(float(total))).alias("share"), F.explode(F.array(*map(F.lit, exponents))).alias("a"))
+    power = F.pow("share", "a")
+    sums = {r["a"]: (r["z"], r["l"]) for r in rows.groupBy("a").agg(F.sum(power).alias("z"), F.sum(power * F.log("share") * F.col("a")).alias("l")).collect()}
+    return [math.log(sums[a][0]) - sums[a][1] / sums[a][0] for a in exponents]
 
 
 def exponent(sources: DataFrame, entropy: float | None = None, gain: float | None = None, max_repeats: float | None = None) -> float:
