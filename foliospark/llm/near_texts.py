@@ -3,7 +3,7 @@
 A SimHash ball that holds such pairs is far too wide for a vantage-point tree over fingerprints to prune (the README
 has the figures), so the tree's narrow links are only the first of two sources of candidates; the second are bands
 of minimum hashes: texts that agree in all ROWS hashes of one of BANDS bands meet in a group (a pair of similarity s does
-with a chance of 1 - (1 - s**ROWS)**BANDS, 0.9995 at 0.8). Every candidate pair is verified by the two whole sets.
+with a chance of 1 - (1 - s**ROWS)**BANDS, 0.9996 at 0.8). Every candidate pair is verified by the two whole sets.
 
 Texts with equal sets are one from the start. A group of at most GROUP texts and GROUP_HASHES hashes is looked at in one task: by the
 triangle inequality, which holds for the Jaccard distance, two texts are only compared if their distances to a vantage
@@ -25,7 +25,7 @@ from .common import map_batches, small_batches, spread_join, text_bytes, written
 from .simhash import Forest, components, links
 from .words import gram_hashes, mix, word_hashes
 
-SHINGLE, SIMILARITY, BANDS, ROWS, BITS = 5, 0.8, 10, 3, 2
+SHINGLE, SIMILARITY, BANDS, ROWS, BITS = 5, 0.8, 20, 5, 2
 GROUP, GROUP_HASHES = 200, 2_000_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _FACTORS = mix(np.arange(1, BANDS * ROWS + 3, dtype=np.uint64)) | np.uint64(1)
@@ -50,7 +50,10 @@ def band_keys(own: np.ndarray) -> np.ndarray:
     if not len(own):
         return np.zeros(0, np.int64)
     least = np.array([(own * f).min() for f in _FACTORS[: BANDS * ROWS]]).reshape(BANDS, ROWS)
-    return mix(mix(mix(least[:, 0]) + least[:, 1]) + least[:, 2] + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        keys = mix(keys + least[:, k])
+    return keys.view(np.int64)
 
 
 def sketched(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
