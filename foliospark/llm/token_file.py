@@ -234,9 +234,9 @@ def default_tokenizer() -> str:
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int | None = END_ID, block_ids: int = BLOCK_IDS) -> None:
-    """Writes the ids of docs (doc_id, text) below path, in ascending order of doc_id (null first; equal ones by their texts).
+    """Writes the ids of docs (doc_id, text) below path, in ascending order of doc_id (null first; equal ones by their ids).
 
-    Texts go to ranges of doc_id, neighbouring ranges to one partition, sorted; there they are encoded and packed. So files ascend
+    Texts are encoded where they are read; their ids go to ranges of doc_id, neighbouring ranges to one partition, sorted, and are packed there. So files ascend
     by name, and blocks in each. Every range is a part of one file, or of some in a row; its blocks have block_ids ids, or one
     longer document, whatever its length. Null and empty texts have the end id alone. Repeated rows are documents of their
     own, other columns are left out. No docs: no blocks.
@@ -247,22 +247,26 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         shared = Shared(spark, f.read())
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = in_ranges(*with_range(docs, "doc_id"), "doc_id", "text")
+    ranged, ranges = with_range(docs, "doc_id")
+
+    def ids_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = _encoder(shared).encode(text_bytes(batch.column(1)))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x + end for x in ids], pa.binary()), batch.column(2)], ["doc_id", "ids", "range"])
+
+    rows = in_ranges(map_batches(ranged.select("doc_id", "text", "range"), ids_of, "doc_id long, ids binary, range int"), ranges, "doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
         part, first, held, ids, docs_ = None, 0, 0, [], []
         for batch in batches:
             out = []
-            encoded = encoder.encode(text_bytes(batch.column(1)))
-            for i, raw, own in zip(batch.column(0).to_pylist(), encoded, batch.column(2).to_pylist(), strict=True):
+            for i, raw, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if ids and (own != part or held >= block_ids):
                     out.append(write_block(part, first, ids, docs_))
                     first, held, ids, docs_ = first + held, 0, [], []
                 if own != part:
                     part, first = own, 0
                 ids.append(i)
-                docs_.append(np.frombuffer(raw + end, "<u4"))
+                docs_.append(np.frombuffer(raw, "<u4"))
                 held += len(docs_[-1])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["block"])
