@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, conversation_trie, fingerprints, line_dedup, mixing, quality, simhash, substring_dedup, token_counts, token_file, warc
+from . import byte_bpe, conversation_trie, fingerprints, line_dedup, mixing, quality, simhash, spelling, substring_dedup, token_counts, token_file, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_token_counts": token_counts.query,
     "op9_token_file": token_file.query,
     "op10_simhash": simhash.query,
+    "op12_spelling_variants": spelling.query,
     "op13_conversation_trie": conversation_trie.query,
 }
 
-SQL = {"op1_mixing": mixing.SQL, "op6_quality_rules": quality.SQL, "op3_line_dedup": line_dedup.SQL, "op7_warc": warc.SQL, "op13_conversation_trie": conversation_trie.SQL}
+SQL = {"op1_mixing": mixing.SQL, "op6_quality_rules": quality.SQL, "op3_line_dedup": line_dedup.SQL, "op7_warc": warc.SQL, "op12_spelling_variants": spelling.SQL, "op13_conversation_trie": conversation_trie.SQL}
