@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, conversation_trie, fingerprints, line_dedup, mixing, quality, simhash, spelling, substring_dedup, token_counts, token_file, warc
+from . import byte_bpe, conversation_trie, fingerprints, licenses, line_dedup, mixing, quality, simhash, spelling, substring_dedup, token_counts, token_file, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": token_counts.query,
     "op9_token_file": token_file.query,
     "op10_simhash": simhash.query,
+    "op11_license_scan": licenses.query,
     "op12_spelling_variants": spelling.query,
     "op13_conversation_trie": conversation_trie.query,
 }

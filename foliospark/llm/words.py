@@ -26,22 +26,22 @@ _POS = [_series(_TABLE, 33), _series(_TABLE, 44)]
 _ONES = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
 
 
-def spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes, and each word's start and end in them."""
+def spans(data: bytes, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes, and each word's start and end in them. gaps: which bytes stand between words."""
     a = np.frombuffer(data, np.uint8)
     word = np.zeros(len(a) + 2, bool)
-    np.logical_not(_SPACE[a], out=word[1:-1])
+    np.logical_not(gaps[a], out=word[1:-1])
     edges = np.flatnonzero(word[1:] != word[:-1])
     return a, edges[::2], edges[1::2]
 
 
-def word_hashes(data: bytes, families: int = 1) -> list[np.ndarray]:
+def word_hashes(data: bytes, families: int = 1, gaps: np.ndarray = _SPACE) -> list[np.ndarray]:
     """For each of 1 or 2 independent hash families, a 64-bit hash of each word of data."""
-    a, starts, ends = spans(data)
+    a, starts, ends = spans(data, gaps)
     if not len(starts):
         return [np.zeros(0, np.uint64) for _ in range(families)]
     lengths = ends - starts
-    kept = a[~_SPACE[a]]
+    kept = a[~gaps[a]]
     first = np.zeros(len(lengths), np.int64)
     np.cumsum(lengths[:-1], out=first[1:])
     place = np.arange(len(kept)) - np.repeat(first, lengths)
