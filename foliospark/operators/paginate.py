@@ -59,3 +59,52 @@ def followed(pages: DataFrame, max_pages: int = 50, stop: DataFrame | None = Non
         after = met.select("s.start", nxt.alias("at"), urls.alias("urls"), F.concat("s.items", new).alias("items"), (F.col("s.pages") + 1).alias("pages"), why.alias("stopped_by"))
         state = _written(after.union(state.filter("stopped_by IS NOT NULL")))
     return state.select("start", "pages", "items", "stopped_by")
+
+
+def _steps(pages: DataFrame, max_pages: int) -> DataFrame:
+    """pages with step: the number of the page on its start's chain (from 0), for those that it reaches in fewer than max_pages steps.
+
+    By pointer doubling: a round joins every page's jump with itself, and what is reached so far with the jumps; log2(max_pages) rounds.
+    """
+    jumps = pages.filter("next IS NOT NULL").select("start", "url", F.col("next").alias("to"))
+    reached = pages.filter(F.col("start") == F.col("url")).select("start", "url", F.lit(0).alias("step"))
+    far = 1
+    while far < max_pages:
+        jumps = _written(jumps)
+        more = reached.join(jumps, ["start", "url"]).select("start", F.col("to").alias("url"), (F.col("step") + far).alias("step"))
+        # a page that was reached before (a cycle) keeps its first step
+        reached = _written(reached.union(more.filter(F.col("step") < max_pages)).groupBy("start", "url").agg(F.min("step").alias("step")))
+        after = jumps.select("start", F.col("url").alias("to"), F.col("to").alias("then"))
+        jumps, far = jumps.join(after, ["start", "to"]).select("start", "url", F.col("then").alias("to")), far * 2
+    return reached.join(pages, ["start", "url"])
+
+
+def stopped(pages: DataFrame, max_pages: int = 50, stop: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """How each chain of pages (start, url, next, items array) ends: (start, pages, n_items, stopped_by), and its items (start, step, place, item).
+
+    A chain ends at a page without items (zero-new), at one without new items (loop), before an address of stop (url) (chapter-boundary), without a
+    next page that it hasn't read (end), or at the limit (cap); of several reasons at a page the first one counts. An item stands
+    once, where it comes first. A next page that isn't there has no items; a start without its own page has no row. Null items are
+    none. No chain is walked page by page.
+    """
+    none = F.array().cast("array<string>")
+    rows = pages.select("start", "url", "next", F.coalesce("items", none).alias("items"))
+    lost = rows.filter("next IS NOT NULL").select("start", F.col("next").alias("url")).distinct().join(rows.select("start", "url"), ["start", "url"], "left_anti")
+    rows = _written(rows.unionByName(lost.select("start", "url", F.lit(None).cast("string").alias("next"), none.alias("items"))))
+    walked = _written(_steps(rows, max_pages))
+    said = walked.select("start", "step", F.posexplode("items").alias("place", "item"))
+    first = _written(said.groupBy("start", "item").agg(F.min(F.struct("step", "place")).alias("at")).select("start", F.col("at.step").alias("step"), F.col("at.place").alias("place"), "item"))
+    new = first.groupBy("start", "step").agg(F.count("*").alias("n_new"))
+    seen = walked.select("start", F.col("url").alias("next"), F.col("step").alias("next_step"))
+    state = walked.join(new, ["start", "step"], "left").join(seen, ["start", "next"], "left")
+    if stop is not None:
+        state = state.join(stop.select(F.col("url").alias("next"), F.lit(True).alias("other")).distinct(), "next", "left")
+    else:
+        state = state.withColumn("other", F.lit(False))
+    on = F.col("next").isNotNull() & F.coalesce(F.col("next_step") > F.col("step"), F.lit(True))
+    why = F.when(F.size("items") == 0, "zero-new").when(F.col("n_new").isNull(), "loop").when(on & F.coalesce("other", F.lit(False)), "chapter-boundary").when(~on, "end").when(F.col("step") == max_pages - 1, "cap")
+    ends = state.withColumn("why", why).filter("why IS NOT NULL").groupBy("start").agg(F.min(F.struct("step", "why")).alias("e"))
+    ends = _written(ends.select("start", F.col("e.step").alias("last"), F.col("e.why").alias("stopped_by")))
+    items = first.join(ends.select("start", "last"), "start").filter("step <= last").drop("last")
+    counts = items.groupBy("start").agg(F.count("*").alias("n_items"))
+    return ends.join(counts, "start", "left").select("start", (F.col("last") + 1).cast("long").alias("pages"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), "stopped_by"), items

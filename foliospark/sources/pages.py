@@ -107,6 +107,47 @@ def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
     return pages.select(F.col(key).cast("long"), html).mapInArrow(run, NODES)
 
 
+CHAINS = "page_id long, node_id int, subtree_end int, attrs map<string,string>, own_text string, chain array<struct<tag: string, cls: string, id: string, nth: int, n_same: int, place: int, n_all: int>>"
+
+
+def element_chains(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """Each page's elements with the text directly in them and their chain, from the top of the page down to themselves.
+
+    A link of it has tag, class, id and the element's place among the elements of its parent (those of its tag: nth of
+    n_same; all: place of n_all). Numbers are those of nodes(). A null page has no elements.
+    """
+    link = pa.struct([("tag", pa.string()), ("cls", pa.string()), ("id", pa.string()), ("nth", pa.int32()), ("n_same", pa.int32()), ("place", pa.int32()), ("n_all", pa.int32())])
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string(), pa.list_(link))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in kinds]
+            for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tree = _Tree()
+                tree.feed(text or "")
+                tree.close()
+                tree._close(0)
+                links, counts, said = {}, {}, {}
+                for i, (parent, _, _, tag, attrs, data, _, _) in enumerate(tree.rows):
+                    if tag is None:
+                        said.setdefault(parent, []).append(data)
+                        continue
+                    same, every = counts.setdefault((parent, tag), []), counts.setdefault(parent, [])
+                    links[i] = {"tag": tag, "cls": attrs.get("class", ""), "id": attrs.get("id"), "nth": len(same) + 1, "place": len(every) + 1}
+                    same.append(i)
+                    every.append(i)
+                for i, one in links.items():
+                    parent = tree.rows[i][0]
+                    one["n_same"], one["n_all"] = len(counts[parent, one["tag"]]), len(counts[parent])
+                for i, one in links.items():
+                    row = tree.rows[i]
+                    for column, x in zip(out, (page, i, row[6], list(row[4].items()), "".join(said.get(i, [])), [*(links[a] for a in row[7]), one]), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["page_id", "node_id", "subtree_end", "attrs", "own_text", "chain"])
+
+    return pages.select(F.col(key).cast("long"), html).mapInArrow(run, CHAINS)
+
+
 def node_table(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """nodes() as a table written once, for selections that look at it more than once: each page is parsed once."""
     return written(nodes(spread(pages.select(key, html)), key, html))
