@@ -7,9 +7,10 @@ with a chance of 1 - (1 - s**ROWS)**BANDS, 0.9996 at 0.8). Every candidate pair
 
 Texts with equal sets are one from the start. A group of at most GROUP texts and GROUP_HASHES hashes is looked at in one task: by the
 triangle inequality, which holds for the Jaccard distance, two texts are only compared if their distances to a vantage
-text differ by no more than the bound, and only until they are connected. In a larger group every text is compared with the
-group's first one; those that are not connected by that are compared with all texts of the group, block by block. So a dense group
-costs its size, no link between two texts of a group is lost, and what comes out are spanning links.
+text differ by no more than the bound, and only until they are connected. Texts of a larger group (unlike ones with a passage in
+common, or very many copies) meet again in narrower bands, of more hashes, where only near copies are still together. In what is large
+there too every text is compared with the group's first one; those that are not connected by that are compared with all texts of the
+group, block by block. What comes out are spanning links.
 """
 
 from __future__ import annotations
@@ -27,8 +28,11 @@ from .words import gram_hashes, mix, word_hashes
 
 SHINGLE, SIMILARITY, BANDS, ROWS, BITS = 5, 0.8, 20, 5, 2
 GROUP, GROUP_HASHES = 200, 2_000_000
+#: Bands of the texts of larger groups: a pair of similarity 0.8 meets in one with a chance of 0.9994, one of 0.3 with 0.003.
+SUB_BANDS, SUB_ROWS = 40, 8
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _FACTORS = mix(np.arange(1, BANDS * ROWS + 3, dtype=np.uint64)) | np.uint64(1)
+_SUB_FACTORS = mix(np.arange(1, SUB_BANDS * SUB_ROWS + 1, dtype=np.uint64) + np.uint64(1 << 32)) | np.uint64(1)
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -45,13 +49,14 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * total > len(hashes)).view(">i8")[0])
 
 
-def band_keys(own: np.ndarray) -> np.ndarray:
+def band_keys(own: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """A key for each band of a set of hashes; no keys for the empty set."""
     if not len(own):
         return np.zeros(0, np.int64)
-    least = np.array([(own * f).min() for f in _FACTORS[: BANDS * ROWS]]).reshape(BANDS, ROWS)
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
+    factors = _FACTORS[: bands * rows] if (bands, rows) == (BANDS, ROWS) else _SUB_FACTORS[: bands * rows]
+    least = np.array([(own * f).min() for f in factors]).reshape(bands, rows)
+    keys = np.arange(bands, dtype=np.uint64)
+    for k in range(rows):
         keys = mix(keys + least[:, k])
     return keys.view(np.int64)
 
@@ -166,31 +171,56 @@ def _hashes(rows: DataFrame, nodes: DataFrame, text: str, shingle: int) -> DataF
     return written(map_batches(asked.select("node", text), make, "node long, hashes binary"))
 
 
+def _grouped(members: DataFrame) -> DataFrame:
+    """node, band, n, size, first of the members (node, n_set, band) of groups of several texts; of groups with the same texts one is left. A written table."""
+    sums = members.groupBy("band").agg(F.count("*").alias("n"), F.sum("n_set").alias("size"), F.min("node").alias("first"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
+    groups = written(sums.filter("n > 1").groupBy("n", "size", "first", "who").agg(F.min("band").alias("band")).select("band", "n", "size", "first"))
+    return written(spread_join(members.select("node", "n_set", "band"), groups, ["band"]))
+
+
+def _sub_bands(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, n_set, band: the narrower bands of these nodes' sets. A written table."""
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = [_as_set(h) for h in batch.column(1).to_pylist()]
+        keys = pa.array([band_keys(h, SUB_BANDS, SUB_ROWS) for h in own], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in own], pa.int64()), keys], ["node", "n_set", "bands"])
+
+    some = spread_join(sets, nodes, ["node"]).select("node", "hashes")
+    return written(map_batches(some, make, "node long, n_set long, bands array<bigint>").select("node", "n_set", F.explode("bands").alias("band")))
+
+
 def links_between(rows: DataFrame, reps: DataFrame, text: str = "text", shingle: int = SHINGLE, bound: float = SIMILARITY) -> DataFrame:
     """a, b: spanning links between the representatives reps (node, fp, n_set, bands: written) of rows (__row, text: written)."""
     # narrow candidates: the tree's links between fingerprints, and texts with one fingerprint
     by_fp = written(reps.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")))
-    tree = written(links(by_fp.select("fp"), BITS))
+    tree = written(links(by_fp.select("fp"), BITS).hint("rebalance"))
     end = lambda c: by_fp.select(F.col("fp").alias(c), F.col("first").alias(f"n{c}"))
     tree = spread_join(written(spread_join(tree, end("a"), ["a"])), end("b"), ["b"]).select(F.col("na").alias("a"), F.col("nb").alias("b"))
     same = spread_join(reps.select("node", "fp"), written(by_fp.filter("n > 1").select("fp", "first")), ["fp"])
-    pairs = tree.union(same.select(F.col("node").alias("a"), F.col("first").alias("b"))).filter("a <> b")
-    # wide candidates: groups of a band; those of the same texts are one group
-    members = written(reps.select("node", "n_set", F.explode("bands").alias("band")))
-    sums = members.groupBy("band").agg(F.count("*").alias("n"), F.sum("n_set").alias("size"), F.min("node").alias("first"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
-    groups = written(sums.filter("n > 1").groupBy("n", "size", "first", "who").agg(F.min("band").alias("band")).select("band", "n", "size", "first"))
-    members = written(spread_join(members.select("node", "band"), groups, ["band"]))
+    pairs = written(tree.union(same.select(F.col("node").alias("a"), F.col("first").alias("b"))).filter("a <> b").distinct())
+    # wide candidates: groups of a band
+    members = _grouped(written(reps.select("node", "n_set", F.explode("bands").alias("band"))))
     small = (F.col("n") <= GROUP) & (F.col("size") <= GROUP_HASHES)
-    star = members.filter(~small).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    pairs = written(pairs.union(star).distinct())
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct()
     sets = _hashes(rows, written(nodes), text, shingle)
+    inside = members.filter(small).select("band", "node")
+    # texts of large groups meet in narrower bands; of what is large there, all are compared with the first
+    crowd = written(members.filter(~small).select("node").distinct())
+    if crowd.isEmpty():
+        crowded = None
+    else:
+        crowded = _grouped(_sub_bands(sets, crowd))
+        inside = inside.union(crowded.filter(small).select("band", "node"))
+        star = crowded.filter(~small).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+        pairs = written(pairs.union(star).distinct())
     found = _verified(pairs, sets, bound)
-    run = _sorted_groups(1, bound)
-    inside = spread_join(written(members.filter(small).select("band", "node")), sets, ["node"], F.length("hashes")).select("band", F.lit(0).alias("side"), "node", "hashes")
-    found = written(found.union(inside.repartition("band").sortWithinPartitions("band", "node").mapInArrow(run, "a long, b long")))
+    met = spread_join(written(inside), sets, ["node"], F.length("hashes")).select("band", F.lit(0).alias("side"), "node", "hashes")
+    found = written(found.union(met.repartition("band").sortWithinPartitions("band", "node").mapInArrow(_sorted_groups(1, bound), "a long, b long")).hint("rebalance"))
     # the rest of large groups: what isn't connected with the group's first text is compared with all of it
-    large = written(members.filter(~small).select("band", "node", "first"))
+    if crowded is None:
+        return found
+    large = written(crowded.filter(~small).select("band", "node", "first"))
     if large.isEmpty():
         return found
     roots = written(components(found).select("node", "root"))
@@ -207,7 +237,7 @@ def links_between(rows: DataFrame, reps: DataFrame, text: str = "text", shingle:
     asked = spread_join(large.select("band", "node"), blocks, ["band"]).select("band", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("p"), block("asked").alias("q"), F.lit(1).alias("side"), "node")
     blocked = spread_join(written(asking.union(asked)), sets, ["node"], F.length("hashes")).select("band", "p", "q", "side", "node", "hashes")
     more = blocked.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q", "side", "node").mapInArrow(_sorted_groups(3, bound), "a long, b long")
-    return written(found.union(more))
+    return written(found.union(more).hint("rebalance"))
 
 
 def near_rows(rows: DataFrame, key: str, text: str = "text", shingle: int = SHINGLE, bound: float = SIMILARITY) -> DataFrame:
