@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .catalog import _t, query
-from .operators import anchors, chains, content, ordered, paginate
+from .operators import anchors, chains, content, ordered, paginate, records
 from .operators.chains import Step
+from .operators.records import Field
+from .plans import paging
+from .shared import shared_dir, written
+from .sources import files
 from .sources import pages as sources_pages
 
 
@@ -136,3 +141,117 @@ def lru_distance(spark, d):
     """ST6: the number of distinct keys that a store (of four users) read between two reads of one: a store with more room than that still has it."""
     e = _t(spark, d, "events").select("event_id", F.floor(F.col("user_id") / 4).alias("store"), (F.col("user_id") * 100 + F.col("event_id") % 37).alias("key"))
     return ordered.distinct_between(e, "store", "key", "event_id").select("event_id", "distance")
+
+
+#: A record of each item of a navigation: seven fields, of which the link's address must begin with a slash and a letter below n, or the page fails.
+_FIELDS = [
+    Field("title", (Step("a"),), needed=True),
+    Field("author", (Step("a"),), "href", pattern=r"^/(.)", fails="page"),
+    Field("url", (Step("a", child=True),), "href", pattern=r"^(/[^%].*)$", fails="page"),
+    Field("cover", (Step("img"),), "src"),
+    Field("kind", (Step("a"),), "href", pattern=r"^/([a-m])"),
+    Field("intro", (), None),
+    Field("length", (Step("a"),), "href", pattern=r"^/(\w{4,})$"),
+]
+
+
+def _planted(spark, d):
+    """Pages in which every seventh page's third link is broken, and every third page's second link has no text."""
+    i = F.col("page_id")
+    words = F.regexp_extract_all(F.regexp_extract("html", r"(?s)<nav>(.*?)</nav>", 1), F.lit('<a href="/([^"]*)"'), F.lit(1))
+    item = lambda x, k: F.concat(F.lit('<li><a href="'), F.when((i % 7 == 3) & (k == 2), F.lit("%")).otherwise(F.lit("/")), x, F.lit('">'), F.when((i % 3 == 1) & (k == 1), F.lit(" ")).otherwise(x), F.lit("</a></li>"))
+    html = F.concat(F.lit("<body><nav><ul>"), F.array_join(F.transform(words, item), ""), F.lit("</ul></nav>"), F.when(i % 5 != 0, F.concat(F.lit('<article><h1> title '), i.cast("string"), F.lit('</h1><a href="/start">x</a></article>'))).otherwise(F.lit("")))
+    return sources_pages.element_chains(sources_pages.spread(_t(spark, d, "pages").select("page_id", html.alias("html"))))
+
+
+@query(f"""WITH l AS ({_LINKS}), r AS (SELECT page_id, ord, word FROM l WHERE NOT (page_id % 3 = 1 AND ord = 1)),
+failed AS (SELECT DISTINCT page_id FROM l WHERE page_id % 7 = 3 AND ord = 2)
+SELECT page_id, (3 + ord * 3)::INT AS region, word AS title, left(word, 1) AS author, '/' || word AS url, NULL::VARCHAR AS cover, CASE WHEN word SIMILAR TO '[a-m].*' THEN left(word, 1) END AS kind, NULL::VARCHAR AS intro,
+  CASE WHEN regexp_full_match(word, '\\w{{4,}}') THEN word END AS length, NULL::VARCHAR AS failed FROM r WHERE page_id NOT IN (FROM failed) AND word <> ''
+UNION ALL SELECT page_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'author' FROM failed""")
+def page_records(spark, d):
+    """Records of seven fields of each page's links, and the pages that an error of a field makes fail."""
+    chains_ = written(_planted(spark, d))
+    rows, failed = records.records(chains_, [Step("nav"), Step("li")], _FIELDS)
+    rows = rows.withColumn("failed", F.lit(None).cast("string"))
+    # li is the fourth node of a page, and each link has three
+    return rows.unionByName(failed.select("page_id", F.col("field").alias("failed")), allowMissingColumns=True)
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 5 <> 0 THEN 'title ' || page_id END AS title, CASE WHEN page_id % 5 <> 0 THEN '/start' END AS url, CASE WHEN page_id % 5 = 0 THEN 'NO_REGION' END AS failed FROM pages""")
+def page_details(spark, d):
+    """One record of each page from the region that it begins with; pages without the region are errors."""
+    fields = [Field("title", (Step("h1", child=True),), needed=True), Field("url", (Step("a"),), "href")]
+    rows, failed = records.details(written(_planted(spark, d)), [Step("article")], fields)
+    return rows.select("page_id", "title", "url", F.lit(None).cast("string").alias("failed")).unionByName(failed.select("page_id", F.col("field").alias("failed")), allowMissingColumns=True)
+
+
+#: Pages of sources: a source's documents by number, three a page; an item is a document's first letter. Every 13th page fails twice, every 29th always.
+@query("""WITH RECURSIVE n AS (SELECT coalesce(source, '') AS source_id, lower(left(coalesce(text, ''), 1)) AS item, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) - 1 AS k FROM documents),
+p AS (SELECT source_id, (k // 3 + 1)::INT AS page, list(item ORDER BY k) AS items FROM n GROUP BY ALL),
+f AS (SELECT *, hash_of % 29 = 0 AS never, CASE WHEN hash_of % 13 = 0 THEN 3 ELSE 1 END AS tries FROM (SELECT *, page * 7 + length(source_id) * 3 AS hash_of FROM p)),
+s AS (SELECT DISTINCT source_id FROM n),
+w AS (
+  SELECT source_id, 0 AS page, 0::BIGINT AS attempts, []::VARCHAR[] AS seen, NULL::VARCHAR AS why, NULL::VARCHAR AS error FROM s UNION ALL
+  SELECT w.source_id, CASE WHEN coalesce(f.never, true) THEN w.page ELSE w.page + 1 END, w.attempts + CASE WHEN coalesce(f.never, true) THEN 3 ELSE f.tries END,
+    CASE WHEN coalesce(f.never, true) THEN w.seen ELSE list_distinct(w.seen || f.items) END,
+    CASE WHEN coalesce(f.never, true) THEN 'failed' WHEN list_has_all(w.seen, f.items) THEN 'end' WHEN w.page + 1 = 10 THEN 'cap' END,
+    CASE WHEN f.page IS NULL THEN 'NO_ANSWER' WHEN f.never THEN 'HTTP' END
+  FROM w LEFT JOIN f ON f.source_id = w.source_id AND f.page = w.page + 1 WHERE w.why IS NULL)
+SELECT source_id, page::BIGINT AS page, attempts, len(seen)::BIGINT AS n_items, why AS stopped_by, error FROM w WHERE why IS NOT NULL""")
+def paged_sources(spark, d):
+    """T3, ST2: pages of many sources round by round: failing pages are asked again, a source stops by its own condition."""
+    source = F.coalesce("source", F.lit(""))
+    k = F.row_number().over(Window.partitionBy("source_id").orderBy("doc_id")) - 1
+    words = _t(spark, d, "documents").select(source.alias("source_id"), "doc_id", F.lower(F.left(F.coalesce("text", F.lit("")), F.lit(1))).alias("item")).withColumn("k", k)
+    pages = words.groupBy("source_id", F.floor(F.col("k") / 3 + 1).cast("int").alias("page")).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "item"))), lambda x: x["item"]).alias("all"))
+    pages = written(pages)
+
+    def fetch(asked):
+        h = F.col("page") * 7 + F.length("source_id") * 3
+        fails = (h % 29 == 0) | ((h % 13 == 0) & (F.col("attempt") < 3))
+        met = asked.join(pages, ["source_id", "page"])
+        return met.select("source_id", F.when(fails, "HTTP").alias("error"), F.when(~fails, F.col("all")).alias("items"))
+
+    items, ends = paging.paged(words.select("source_id"), fetch)
+    counts = items.groupBy("source_id").agg(F.count("*").alias("n_items"))
+    return ends.join(counts, "source_id", "left").select("source_id", "page", "attempts", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), "stopped_by", "error")
+
+
+@query("""WITH RECURSIVE p AS (SELECT page_id // 25 AS book, page_id % 25 AS doc FROM pages),
+s AS (SELECT book, doc, CASE WHEN doc < 3 THEN doc ELSE 100 + doc END AS rank FROM p WHERE doc < 3 OR doc = 20 UNION ALL SELECT book, doc, 200 + doc FROM p WHERE doc = 1),
+l AS (SELECT book, doc, 0 AS ord, (doc * 3 + book) % 25 AS target FROM p UNION ALL SELECT book, doc, 1, (doc * 7 + 5) % 25 FROM p WHERE doc % 2 = 0),
+f AS (SELECT book, doc, min(rank) AS rank FROM s GROUP BY ALL),
+w AS (
+  SELECT book, doc, [rank::BIGINT] AS label, [doc] AS seen FROM f UNION ALL
+  SELECT w.book, l.target, w.label || [l.ord::BIGINT], w.seen || [l.target] FROM w JOIN l ON l.book = w.book AND l.doc = w.doc WHERE NOT list_contains(w.seen, l.target) AND len(w.label) < 12),
+m AS (SELECT book, doc, min(len(label)) AS level FROM w GROUP BY ALL),
+b AS (SELECT w.book, w.doc, m.level, min(w.label) AS label FROM w JOIN m ON m.book = w.book AND m.doc = w.doc AND len(w.label) = m.level GROUP BY ALL)
+SELECT book, doc, (level - 1)::INT AS step, row_number() OVER (PARTITION BY book ORDER BY level, label) - 1 AS place FROM b""")
+def visited_documents(spark, d):
+    """Everything that a book's reading order, navigation and links reach, in the order of visits."""
+    i = F.col("page_id")
+    p = _t(spark, d, "pages").select(F.floor(i / 25).alias("book"), (i % 25).alias("doc"))
+    doc = F.col("doc")
+    starts = p.filter("doc < 3 OR doc = 20").select("book", "doc", F.when(doc < 3, doc).otherwise(doc + 100).alias("rank")).union(p.filter("doc = 1").select("book", "doc", doc + 200))
+    links = p.select("book", "doc", F.lit(0).alias("ord"), ((doc * 3 + F.col("book")) % 25).alias("to")).union(p.filter("doc % 2 = 0").select("book", "doc", F.lit(1), (doc * 7 + 5) % 25))
+    return paginate.visits(starts, links)
+
+
+@query("""WITH c AS (SELECT c_custkey // 20 AS block, c_custkey, c_name FROM customer), b AS (SELECT block, count(*) AS n, sum(c_custkey)::BIGINT AS total FROM c GROUP BY block)
+SELECT block, CASE block % 6 WHEN 1 THEN 'NOT_JSON' WHEN 2 THEN 'OTHER_KIND' WHEN 3 THEN 'EMPTY' WHEN 4 THEN 'NOT_UTF8' END AS reason, CASE WHEN block % 6 IN (0, 5) THEN n END AS n, CASE WHEN block % 6 IN (0, 5) THEN total END AS total FROM b""")
+def quarantined_files(spark, d):
+    """SC10: files of customers, some cut off, of another kind, blank or in another encoding: read, or set aside with a reason."""
+    block = F.floor(F.col("c_custkey") / 20)
+    rows = _t(spark, d, "customer").groupBy(block.alias("block")).agg(F.to_json(F.sort_array(F.collect_list(F.struct("c_custkey", "c_name")))).alias("json"))
+    kind = F.col("block") % 6
+    text = F.when(kind == 1, F.substring("json", F.lit(1), F.length("json") - 2)).when(kind == 2, F.concat(F.lit('{"a":'), "json", F.lit("}"))).when(kind == 3, F.lit(" ")).when(kind == 5, F.concat(F.lit("﻿"), "json")).otherwise(F.col("json"))
+    text = F.when(kind == 4, F.concat(F.lit(b"\xff\xfe").cast("string"), "json")).otherwise(text)
+    path = shared_dir(spark)
+    # one row a file; its folder has its number
+    rows.select("block", text.alias("value")).write.partitionBy("block").option("maxRecordsPerFile", 1).text(path)
+    values, aside = files.read_json(spark, path, "array<struct<c_custkey: bigint, c_name: string>>", glob="part-*")
+    rows_ = F.try_variant_get("value", "$", "array<struct<c_custkey: bigint, c_name: string>>")
+    read = values.select("file", F.size(rows_).cast("long").alias("n"), F.aggregate(rows_, F.lit(0).cast("long"), lambda a, x: a + x["c_custkey"]).alias("total"), F.lit(None).cast("string").alias("reason"))
+    out = read.unionByName(aside.select("file", "reason"), allowMissingColumns=True)
+    return out.select(F.regexp_extract("file", r"block=(\d+)/", 1).cast("long").alias("block"), "reason", "n", "total")

@@ -41,16 +41,38 @@ class Step:
         return found
 
 
-def selected(chains: DataFrame, steps: list[Step]) -> DataFrame:
-    """Of elements with their chain those that the steps find, each once. Up to 62 steps."""
+def _down(steps: list[Step], state: Column, e: Column) -> Column:
+    """The state below: the bits of the element e, and those reached."""
+    bits = [F.when(step.test(e) & ((state["here"] if step.child else state["reached"]).bitwiseAND(1 << k) != 0), F.lit(2 << k)).otherwise(F.lit(0)).cast("long") for k, step in enumerate(steps)]
+    here = reduce(lambda a, b: a.bitwiseOR(b), bits)
+    return F.struct(here.alias("here"), here.bitwiseOR(state["reached"]).alias("reached"))
+
+
+def _start() -> Column:
+    return F.struct(F.lit(1).cast("long").alias("here"), F.lit(1).cast("long").alias("reached"))
+
+
+def found(chain: Column, steps: list[Step]) -> Column:
+    """Whether the steps lead to the last element of a chain. Up to 62 steps."""
+    if not 0 < len(steps) < 63:
+        raise ValueError("1 to 62 steps")
+    final = F.aggregate(chain, _start(), lambda state, e: _down(steps, state, e))
+    return (F.size(chain) > 0) & (final["here"].bitwiseAND(1 << len(steps)) != 0)
+
+
+def found_at(chain: Column, steps: list[Step]) -> Column:
+    """Depths (from 1, ascending) of the elements of a chain that the steps lead to."""
     if not 0 < len(steps) < 63:
         raise ValueError("1 to 62 steps")
-    start = F.struct(F.lit(1).cast("long").alias("here"), F.lit(1).cast("long").alias("reached"))
 
     def down(state: Column, e: Column) -> Column:
-        bits = [F.when(step.test(e) & ((state["here"] if step.child else state["reached"]).bitwiseAND(1 << k) != 0), F.lit(2 << k)).otherwise(F.lit(0)).cast("long") for k, step in enumerate(steps)]
-        here = reduce(lambda a, b: a.bitwiseOR(b), bits)
-        return F.struct(here.alias("here"), here.bitwiseOR(state["reached"]).alias("reached"))
+        below = _down(steps, state["s"], e)
+        return F.struct(below.alias("s"), (state["depth"] + 1).alias("depth"), F.when(below["here"].bitwiseAND(1 << len(steps)) != 0, F.array_append(state["at"], state["depth"] + 1)).otherwise(state["at"]).alias("at"))
 
-    final = F.aggregate("chain", start, down)
-    return chains.filter(final["here"].bitwiseAND(1 << len(steps)) != 0)
+    start = F.struct(_start().alias("s"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("at"))
+    return F.aggregate(chain, start, down, lambda state: state["at"])
+
+
+def selected(chains: DataFrame, steps: list[Step]) -> DataFrame:
+    """Of elements with their chain those that the steps find, each once."""
+    return chains.filter(found(F.col("chain"), steps))

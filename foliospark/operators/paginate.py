@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import written as _written
+from .ordered import numbered
 
 
 def closure(starts: DataFrame, links: DataFrame, max_pages: int = 50) -> DataFrame:
@@ -108,3 +109,30 @@ def stopped(pages: DataFrame, max_pages: int = 50, stop: DataFrame | None = None
     items = first.join(ends.select("start", "last"), "start").filter("step <= last").drop("last")
     counts = items.groupBy("start").agg(F.count("*").alias("n_items"))
     return ends.join(counts, "start", "left").select("start", (F.col("last") + 1).cast("long").alias("pages"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), "stopped_by"), items
+
+
+def visits(starts: DataFrame, links: DataFrame) -> DataFrame:
+    """book, doc, step, place: everything that a book's starts (book, doc, rank) reach by links (book, doc, ord, to), in the order of a queue.
+
+    The starts come first, by rank (reading order, then navigation); then, from the first document of the queue to the last, what
+    each links to, in the order of its links, if nothing before did. A document of several labels keeps the least one. Places are from 0 and number all documents of a book.
+    Rounds go by steps from the starts; each numbers its documents by the place of who found them first, over all partitions.
+    """
+    first = starts.groupBy("book", "doc").agg(F.min("rank").cast("long").alias("label"))
+    front = _written(numbered(first.select("book", "doc", "label"), "book", "label", "doc"))
+    seen = front = _written(front.select("book", "doc", F.lit(0).alias("step"), F.col("n").alias("place")))
+    links = links.select("book", "doc", "ord", "to")
+    step = 0
+    while True:
+        step += 1
+        found = front.join(links, ["book", "doc"]).select("book", F.col("to").alias("doc"), F.struct(F.col("place").alias("by"), F.col("ord").cast("long").alias("ord")).alias("label"))
+        new = found.groupBy("book", "doc").agg(F.min("label").alias("label")).join(seen.select("book", "doc"), ["book", "doc"], "left_anti")
+        new = _written(new.select("book", "doc", "label"))
+        if new.isEmpty():
+            return seen
+        before = seen.groupBy("book").agg(F.count("*").alias("before"))
+        placed = numbered(new, "book", "label", "doc").join(before, "book")
+        front = _written(placed.select("book", "doc", F.lit(step).alias("step"), (F.col("before") + F.col("n")).alias("place")))
+        seen = seen.union(front)
+        if step % 8 == 0:
+            seen = _written(seen)

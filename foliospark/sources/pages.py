@@ -107,16 +107,16 @@ def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
     return pages.select(F.col(key).cast("long"), html).mapInArrow(run, NODES)
 
 
-CHAINS = "page_id long, node_id int, subtree_end int, attrs map<string,string>, own_text string, chain array<struct<tag: string, cls: string, id: string, nth: int, n_same: int, place: int, n_all: int>>"
+CHAINS = "page_id long, node_id int, subtree_end int, attrs map<string,string>, own_text string, chain array<struct<node: int, tag: string, cls: string, id: string, nth: int, n_same: int, place: int, n_all: int>>"
 
 
 def element_chains(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Each page's elements with the text directly in them and their chain, from the top of the page down to themselves.
 
-    A link of it has tag, class, id and the element's place among the elements of its parent (those of its tag: nth of
+    A link of it has the element's number, tag, class, id and the element's place among the elements of its parent (those of its tag: nth of
     n_same; all: place of n_all). Numbers are those of nodes(). A null page has no elements.
     """
-    link = pa.struct([("tag", pa.string()), ("cls", pa.string()), ("id", pa.string()), ("nth", pa.int32()), ("n_same", pa.int32()), ("place", pa.int32()), ("n_all", pa.int32())])
+    link = pa.struct([("node", pa.int32()), ("tag", pa.string()), ("cls", pa.string()), ("id", pa.string()), ("nth", pa.int32()), ("n_same", pa.int32()), ("place", pa.int32()), ("n_all", pa.int32())])
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string(), pa.list_(link))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +133,7 @@ def element_chains(pages: DataFrame, key: str = "page_id", html: str = "html") -
                         said.setdefault(parent, []).append(data)
                         continue
                     same, every = counts.setdefault((parent, tag), []), counts.setdefault(parent, [])
-                    links[i] = {"tag": tag, "cls": attrs.get("class", ""), "id": attrs.get("id"), "nth": len(same) + 1, "place": len(every) + 1}
+                    links[i] = {"node": i, "tag": tag, "cls": attrs.get("class", ""), "id": attrs.get("id"), "nth": len(same) + 1, "place": len(every) + 1}
                     same.append(i)
                     every.append(i)
                 for i, one in links.items():
