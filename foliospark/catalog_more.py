@@ -249,3 +249,90 @@ def retained_results(spark, d):
     """ST7: results not finished, or finished within a year before a time."""
     o = _t(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate").cast("timestamp")).alias("finished"))
     return limits.visible(o, "finished", F.lit("1998-01-01").cast("timestamp"), 31_536_000_000).select("o_orderkey")
+
+
+# --- functions that rows give their rules to, and selections of the tree beside those in catalog
+
+
+@query("""WITH k AS (SELECT c_custkey AS k, c_name FROM customer), f AS (
+  SELECT k, CASE k % 8 WHEN 0 THEN 'json' WHEN 1 THEN 'text' WHEN 2 THEN 'empty' WHEN 3 THEN 'js' WHEN 6 THEN 'json' ELSE 'unknown' END AS form,
+    CASE k % 8 WHEN 0 THEN [c_name, 'two'] WHEN 1 THEN ['a', c_name] ELSE [] END AS titles FROM k)
+SELECT k AS c_custkey, form, array_to_string(titles, '|') AS titles FROM f""")
+def kind_forms(spark, d):
+    """kinds declared as JSON or text, none, scripts, and what isn't readable."""
+    k, name = F.col("c_custkey") % 8, F.col("c_name")
+    as_json = F.concat(F.lit('[{"title":" '), name, F.lit('","url":"/1"},{"title":"no address"},{"title":"two","url":"/2 ","style":{}},{"title":3,"url":"/3"}]'))
+    text = (
+        F.when(k == 0, as_json).when(k == 1, F.concat(F.lit(" a::/1&&\n&&no\n::/2&&"), name, F.lit(" :: /3::more")))
+        .when(k == 2, F.lit(" \n")).when(k == 3, F.lit("@js:1")).when(k == 4, F.lit('[{"title":"x"}]')).when(k == 5, F.lit('{"title":"x","url":"/"}'))
+        .when(k == 6, F.lit("[]")).otherwise(F.lit("::&&::"))
+    )
+    read = federated.kinds_of(text)
+    return _t(spark, d, "customer").select("c_custkey", read["form"].alias("form"), F.array_join(F.transform(read["kinds"], lambda x: x["title"]), "|").alias("titles"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN replace(o_clerk_, '#', '<' || o_orderstatus || '{{gone}}>') ELSE replace(o_clerk_, '0', o_orderpriority_) END AS clerk
+FROM (SELECT o_orderkey, o_orderstatus, 'Clerk#' || o_orderkey || '0' AS o_clerk_, 'p' || o_custkey % 5 AS o_orderpriority_ FROM orders)""")
+def row_tails(spark, d):
+    """Replacements by each row's own pattern and template, with names filled from the row."""
+    even = F.col("o_orderkey") % 2 == 0
+    names = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("priority"), F.concat(F.lit("p"), (F.col("o_custkey") % 5).cast("string")))
+    clerk = tagged.value(F.concat(F.lit("Clerk#"), F.col("o_orderkey").cast("string"), F.lit("0")))
+    out = tagged.replaced_by_row(clerk, F.when(even, "#").otherwise("0"), F.when(even, "<{{ status }}{{gone}}>").otherwise("{{priority}}"), names)
+    return _t(spark, d, "orders").select("o_orderkey", out["text"].alias("clerk"))
+
+
+@query("""SELECT p_partkey, '卷一第' || p_partkey % 100 || '章 ' || p_name AS title, CASE WHEN p_partkey % 3 = 0 THEN -1 ELSE p_partkey % 100 END AS number FROM part""")
+def chapter_numbers(spark, d):
+    """F32: numbers in full-width digits and in numerals, in titles and alone."""
+    digits = ["零", "一", "二", "三", "四", "五", "六", "七", "八", "九"]
+    n = F.col("p_partkey") % 100
+    one = lambda x: F.get(F.array(*map(F.lit, digits)), x.cast("int"))
+    tens = F.floor(n / 10)
+    written_ = F.when(n < 10, one(n)).otherwise(F.concat(F.when(tens > 1, one(tens)).otherwise(""), F.lit("十"), F.when(n % 10 > 0, one(n % 10)).otherwise("")))
+    wide = F.translate(n.cast("string"), "0123456789", "０１２３４５６７８９")
+    said = F.when(F.col("p_partkey") % 2 == 0, written_).otherwise(wide)
+    alone = F.when(F.col("p_partkey") % 3 == 0, F.lit(" ")).otherwise(said)
+    return _t(spark, d, "part").select("p_partkey", fv.numbered_title(F.concat(F.lit("卷一第"), said, F.lit("章 "), F.col("p_name"))).alias("title"), fv.whole_number(alone).alias("number"))
+
+
+@query("""SELECT c_custkey, 'b' AS accept, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'low' END AS agent, CASE WHEN c_custkey % 2 = 0 THEN 3 ELSE 2 END AS n FROM customer""")
+def merged_headers(spark, d):
+    """a request's headers over a source's, by name in any case; null values aren't stored."""
+    even = F.col("c_custkey") % 2 == 0
+    low = F.create_map(F.lit("User-Agent"), F.lit("low"), F.lit("accept"), F.lit("a"))
+    high = F.create_map(F.lit("Accept"), F.lit("b"), F.lit("USER-AGENT"), F.when(even, F.col("c_name")), F.lit("X"), F.when(even, F.lit("x")))
+    both = more.merged_headers(low, high)
+    return _t(spark, d, "customer").select("c_custkey", both["accept"].alias("accept"), both["user-agent"].alias("agent"), F.size(both).alias("n"))
+
+
+@query("""SELECT o_orderkey AS card FROM orders WHERE o_orderkey % 5 <> 0 OR o_orderstatus = 'P'""")
+def shown_cards(spark, d):
+    """Cards that weren't muted since they last changed."""
+    o = _t(spark, d, "orders")
+    signature = F.concat_ws("/", "o_orderstatus", F.col("o_custkey").cast("string"))
+    muted = o.filter("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("card"), F.when(F.col("o_orderstatus") == "P", "before").otherwise(signature).alias("signature"))
+    return registry.hidden_cards(o.select(F.col("o_orderkey").alias("card"), signature.alias("signature")), muted).select("card")
+
+
+@query("""WITH h AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="([^"]*)"', 1) AS hrefs FROM pages)
+SELECT 'li' AS of, page_id, u.ord - 1 AS ord, u.href AS value FROM h, unnest(list_distinct_in_order(hrefs)) WITH ORDINALITY AS u(href, ord)
+UNION ALL SELECT 'nav', page_id, 0, hrefs[1] FROM h WHERE len(hrefs) > 0""".replace("list_distinct_in_order(hrefs)", "list_filter(hrefs, lambda x, i: list_position(hrefs, x) = i)"))
+def dom_nearest_links(spark, d):
+    """V6: an address of each element: its own, or that of the first element below; of items, and of whole navigations."""
+    nodes = sources_pages.node_table(_t(spark, d, "pages"))
+    nav = dom.elements(nodes, "nav")
+    items = dom.attribute_or_below(nodes, dom.within(dom.elements(nodes, "li"), nav), "href").select(F.lit("li").alias("of"), "page_id", "ord", "value")
+    return items.union(dom.attribute_or_below(nodes, nav, "href").select(F.lit("nav"), "page_id", "ord", "value"))
+
+
+@query("""SELECT page_id, 'nav' AS parent, 'ul' AS child, 1 AS n FROM pages UNION ALL SELECT page_id, 'ul', 'li', len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<li>')) FROM pages WHERE regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) LIKE '%<li>%'
+UNION ALL SELECT page_id, 'up', 'ul', 1 FROM pages WHERE regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) LIKE '%<li>%'""")
+def dom_children(spark, d):
+    """Children of elements, and the parents of those again."""
+    nodes = sources_pages.node_table(_t(spark, d, "pages"))
+    nav = dom.elements(nodes, "nav")
+    lists = dom.children(nodes, nav, "ul")
+    items = dom.children(nodes, lists)
+    counted = lambda rows, parent: rows.groupBy("page_id", F.col("tag").alias("child")).agg(F.count("*").cast("int").alias("n")).select("page_id", F.lit(parent).alias("parent"), "child", "n")
+    return counted(lists, "nav").union(counted(items, "ul")).union(counted(dom.parents(nodes, items), "up"))

@@ -14,6 +14,7 @@ from .plans import paging
 from .shared import shared_dir, written
 from .sources import files
 from .sources import pages as sources_pages
+from .streaming import limits
 
 
 def _node(kind: str, children: list[Column] | None = None, **values: str | Column) -> Column:
@@ -255,3 +256,13 @@ def quarantined_files(spark, d):
     read = values.select("file", F.size(rows_).cast("long").alias("n"), F.aggregate(rows_, F.lit(0).cast("long"), lambda a, x: a + x["c_custkey"]).alias("total"), F.lit(None).cast("string").alias("reason"))
     out = read.unionByName(aside.select("file", "reason"), allowMissingColumns=True)
     return out.select(F.regexp_extract("file", r"block=(\d+)/", 1).cast("long").alias("block"), "reason", "n", "total")
+
+
+@query("""WITH RECURSIVE r AS (SELECT DISTINCT user_id, epoch_ms(ts) AS read_at FROM events),
+l AS (SELECT user_id, min(read_at) AS load_at FROM r GROUP BY user_id
+  UNION ALL SELECT l.user_id, (SELECT min(r.read_at) FROM r WHERE r.user_id = l.user_id AND r.read_at >= l.load_at + 43200000) FROM l WHERE l.load_at IS NOT NULL)
+SELECT r.user_id, r.read_at AS at, l.load_at IS NOT NULL AS loaded, count(l.load_at) OVER (PARTITION BY r.user_id ORDER BY r.read_at) AS life FROM r LEFT JOIN l ON l.user_id = r.user_id AND l.load_at = r.read_at""")
+def cache_lives(spark, d):
+    """ST5: when a cache that keeps values for twelve hours must load a user's again, and which load serves each read."""
+    e = _t(spark, d, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    return limits.cache_lives(e, "user_id", "at", 43_200_000)

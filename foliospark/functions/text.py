@@ -98,14 +98,21 @@ def without_option(x: Column) -> Column:
     return F.regexp_replace(x, r"(?s)\s*,\s*\{.*$", "")
 
 
+#: Elements that begin and end lines, others that a text may have, and the form of attributes.
+BLOCK_TAGS = tuple("p div li ul ol h1 h2 h3 h4 h5 h6 blockquote section article aside header footer nav main table thead tbody tfoot tr td th figure figcaption dl dt dd pre hr form fieldset address".split())
+INLINE_TAGS = tuple("br span a em strong b i u s font img sub sup small code mark wbr".split())
+ATTRIBUTES = r"""(?:\s+[a-zA-Z_:][-\w:.]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*"""
+
+
 def looks_like_html(x: Column) -> Column:
-    """Whether a known element's tag stands in the text."""
-    return x.rlike(r"(?i)</?(?:a|b|br|div|em|h[1-6]|hr|i|img|li|p|pre|span|strong|table|td|tr|u|ul)(?:\s+[a-z-]+\s*=|\s*/?>)")
+    """Whether the tag of a known element, with attributes in their form, stands in the text."""
+    return x.rlike(rf"(?i)</?(?:{'|'.join((*BLOCK_TAGS, *INLINE_TAGS))}){ATTRIBUTES}\s*/?>")
 
 
 #: Elements that begin a line of an introduction (by the beginning of their names), entities and characters that are blanks or nothing.
 INTRO_LINES = r"div|p|br|hr|h\d|article|dd|dl"
 INTRO_BLANKS = "(?:&nbsp;)+|&ensp;|&emsp;"
+INTRO_COMMENTS, INTRO_ELEMENTS = r"<!--[^>]*-->", r"</?[a-zA-Z]+(?=[ >])[^<>]*>"
 INTRO_NOTHING = "&thinsp;|&zwnj;|&zwj;|[\u2009\u200c\u200d]"
 INDENT = "\u3000\u3000"
 
@@ -115,7 +122,7 @@ def intro(x: Column, most: int = 5000) -> Column:
     elements and comments, trimmed, each indented, blank ones left out; cut at `most` characters. Null stays null."""
     bare = F.regexp_replace(F.regexp_replace(x, INTRO_BLANKS, " "), INTRO_NOTHING, "")
     lines = F.split(bare, rf"(?:</?(?:{INTRO_LINES})[^>]*>|\n)", -1)
-    shown = F.transform(lines, lambda line: F.btrim(F.regexp_replace(line, r"<!--[^>]*-->|</?[a-zA-Z]+(?=[ >])[^<>]*>", ""), F.lit(WHITE)))
+    shown = F.transform(lines, lambda line: F.btrim(F.regexp_replace(line, f"{INTRO_COMMENTS}|{INTRO_ELEMENTS}", ""), F.lit(WHITE)))
     return F.left(F.array_join(F.transform(F.filter(shown, lambda line: line != ""), lambda line: F.concat(F.lit(INDENT), line)), "\n"), F.lit(most))
 
 
@@ -131,12 +138,13 @@ def _entity(m: re.Match) -> str:
     name = m[1]
     if name[0] != "#":
         return CONTENT_ENTITIES.get(name.lower(), m[0])
-    code = int(name[2:], 16) if name[1] in "xX" else int(name[1:])
+    digits = name[2:].lstrip("0") if name[1] in "xX" else name[1:].lstrip("0")
+    code = int(digits or "0", 16 if name[1] in "xX" else 10) if len(digits) < 9 else 0x110000
     return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
 
 
 @F.pandas_udf(T.StringType())
 def content_decoded(x: pd.Series) -> pd.Series:
     """Numeric entities and those of CONTENT_ENTITIES as characters. Only texts with & are looked at."""
-    entity = re.compile(r"&(#[xX][0-9a-fA-F]{1,8}|#\d{1,8}|[a-zA-Z][a-zA-Z0-9]{1,8});")
+    entity = re.compile(r"&(#[xX][0-9a-fA-F]+|#\d+|[a-zA-Z][a-zA-Z0-9]{1,8});")
     return x.map(lambda s: entity.sub(_entity, s) if s and "&" in s else s)

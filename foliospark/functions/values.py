@@ -53,6 +53,22 @@ def numeral_value(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else numeral(s)).astype("Int64")
 
 
+#: Full-width digits, and the plain ones.
+_WIDE, _DIGITS = "０１２３４５６７８９", "0123456789"
+
+
+def whole_number(x: Column) -> Column:
+    """A text as a whole number: digits (full-width ones too, with blanks between), else Chinese numerals; -1 for an empty one and where neither is found."""
+    bare = F.regexp_replace(F.translate(x, _WIDE, _DIGITS), r"\s+", "")
+    return F.when(bare == "", F.lit(-1)).when(bare.rlike(r"^-?\d+$"), bare.try_cast("long")).otherwise(numeral_value(bare))
+
+
+def numbered_title(x: Column) -> Column:
+    """A title with the number of its first 第…章 in plain digits; other titles as they are."""
+    shape = r"^(?s)(.*?第)(.+?)(章.*)$"
+    return F.when(x.rlike("第.+?章"), F.concat(F.regexp_extract(x, shape, 1), whole_number(F.regexp_extract(x, shape, 2)).cast("string"), F.regexp_extract(x, shape, 3))).otherwise(x)
+
+
 def format_time(ms: Column) -> Column:
     """A time in milliseconds as yyyy/MM/dd HH:mm; empty where there is none."""
     return F.coalesce(F.date_format(F.timestamp_millis(ms), "yyyy/MM/dd HH:mm"), F.lit(""))

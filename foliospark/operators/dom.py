@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import content_decoded, looks_like_html
+from ..functions.text import BLOCK_TAGS, content_decoded, looks_like_html
 from ..shared import written
 from ..sources.pages import VOID, node_table
 
-_SKIPPED = ("script", "style", "noscript", "template", "head", "title")
-_BREAKS = tuple("address article aside blockquote br dd div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tr ul".split())
+#: Elements whose text isn't shown, and those that begin and end lines.
+_SKIPPED = tuple("script style noscript template iframe svg canvas audio video head title meta link base input button select textarea option".split())
+_BREAKS = ("br", *BLOCK_TAGS)
 
 
 def elements(nodes: DataFrame, tag: str | None = None, cls: str | None = None, ident: str | None = None, attr: dict[str, str] | None = None, like: dict[str, str] | None = None) -> DataFrame:
@@ -135,10 +136,12 @@ IMAGE_ADDRESSES = ("src", "data-src", "data-original", "data-echo", "data-url",
 
 def _shown(nodes: DataFrame, keep_images: bool) -> DataFrame:
     """page_id, at, text, path: what is shown of pages, in parts: texts without scripts and styles, line ends of blocks, images' addresses on lines of their own."""
-    hidden = nodes.filter(F.col("tag").isin(*_SKIPPED)).select("page_id", "node_id", "subtree_end")
+    # images that are loaded late stand in a noscript
+    skipped = [x for x in _SKIPPED if not (keep_images and x == "noscript")]
+    hidden = nodes.filter(F.col("tag").isin(*skipped)).select("page_id", "node_id", "subtree_end")
     gone = within(nodes, hidden).select("page_id", F.col("node_id").alias("at")).distinct()
     texts = nodes.filter("tag IS NULL").select("page_id", F.col("node_id").alias("at"), F.regexp_replace("text", r"\s+", " ").alias("text"), "path").join(gone, ["page_id", "at"], "left_anti")
-    breaks = nodes.filter(F.col("tag").isin(*_BREAKS))
+    breaks = nodes.filter(F.col("tag").isin(*_BREAKS, *["noscript"] * keep_images))
     line = F.lit("\n").alias("text")
     marks = breaks.select("page_id", F.col("node_id").cast("double").alias("at"), line, "path").union(breaks.select("page_id", (F.col("subtree_end") + 0.5).cast("double").alias("at"), line, "path"))
     parts = texts.select("page_id", F.col("at").cast("double").alias("at"), "text", "path").union(marks)

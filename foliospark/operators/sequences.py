@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Heading lines of chapters.
-_NUMBER = "0-9零一二三四五六七八九十百千万亿两壹贰叁肆伍陆柒捌玖拾佰仟萬億"
-_UNIT = "章卷回节集部篇"
-HEADING = rf"^\s*(?:第[{_NUMBER}]+[{_UNIT}]|[{_UNIT}][{_NUMBER}]+|序章|楔子|番外|尾声|后记|Chapter\s*\d+)\s*[:：.、\s]*.*$"
+#: Fixed value: heading lines of chapters.
+HEADING = r"^\s*(?:第[0-9零一二三四五六七八九十百千万亿两壹贰叁肆伍陆柒捌玖拾佰仟萬億]+[章卷回节集部篇]|[章卷回节集部篇][0-9零一二三四五六七八九十百千万亿两壹贰叁肆伍陆柒捌玖拾佰仟萬億]+|序章|楔子|番外|尾声|后记|Chapter\s*\d+)\s*[:：.、\s]*.*$"
 PREFACE = "正文"
 
 

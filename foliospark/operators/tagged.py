@@ -100,6 +100,20 @@ def reversed_(v: Column) -> Column:
     return let(v, lambda x: F.when(x["kind"] == "list", listed(F.reverse(x["items"]))).when(x["kind"] == "matches", matches(F.reverse(x["rows"]))).otherwise(x))
 
 
+def interpolated(text: Column, values: Column) -> Column:
+    """A text with each {{name}} (blanks around it allowed) as the value of a map, in one pass; names that the map hasn't, or has as null, stay as they are."""
+    token = r"\{\{\s*([\w.]+)\s*\}\}"
+    names, whole = F.regexp_extract_all(text, F.lit(token), F.lit(1)), F.regexp_extract_all(text, F.lit(token), F.lit(0))
+    filled = F.concat(F.transform(F.arrays_zip(names.alias("n"), whole.alias("w")), lambda t: F.coalesce(F.try_element_at(values, t["n"]), t["w"])), F.array(F.lit("")))
+    return F.array_join(F.zip_with(F.split(text, token, -1), filled, lambda a, b: F.concat(a, b)), "")
+
+
+def replaced_by_row(v: Column, pattern: Column, replacement: Column, values: Column) -> Column:
+    """Replaces in a value or each item by a row's own pattern and replacement, whose {{name}} are filled from the row's map first."""
+    on = lambda x: F.regexp_replace(x, pattern, let(interpolated(replacement, values), lambda r: r))
+    return let(v, lambda x: F.when(x["kind"] == "value", value(on(x["text"]))).when(x["kind"] == "list", listed(F.transform(x["items"], on))).otherwise(x))
+
+
 def replaced(v: Column, pattern: str, replacement: str = "", once: bool = False) -> Column:
     """Replaces in a value or each item. once: only the first match is left, with its replacement; none leaves an empty text. An empty pattern changes nothing."""
     if not pattern:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import url_option, without_option
+from ..functions.binding import let
+from ..functions.text import WHITE, url_option, without_option
 from ..functions.values import absolute_url, uri_component
 from ..operators import search as _search
 from ..shared import written
@@ -78,6 +79,31 @@ def explore_kinds(x: Column) -> Column:
     return F.filter(kinds, lambda k: k["title"] != "")
 
 
+def kinds_of(x: Column) -> Column:
+    """kinds (title, url) and form of a source's declared kinds: JSON (an array of objects), a text of title::url entries, none (empty), or unknown.
+
+    Only entries with a title and an address count, trimmed. Where entries are declared and none counts, or the JSON is no array,
+    the form is unknown, so that a fault isn't taken for a source without kinds. Scripts are of form js, without kinds.
+    """
+    t = F.btrim(x, F.lit(WHITE))
+    whole = lambda k: (k["title"] != "") & (k["url"] != "")
+    of = lambda title, url: F.struct(F.coalesce(F.btrim(title, F.lit(WHITE)), F.lit("")).alias("title"), F.coalesce(F.btrim(url, F.lit(WHITE)), F.lit("")).alias("url"))
+    entries = F.filter(F.transform(F.split(t, r"(?:&&|\n)+", -1), lambda e: F.split(e, "::", -1)), lambda p: F.size(p) > 1)
+    of_text = F.filter(F.transform(entries, lambda p: of(p[0], p[1])), whole)
+    listed = F.try_variant_get(F.try_parse_json(t), "$", "array<variant>")
+    text_at = lambda e, name: F.when(F.schema_of_variant(F.try_variant_get(e, f"$.{name}", "variant")) == "STRING", F.try_variant_get(e, f"$.{name}", "string"))
+    of_json = F.filter(F.transform(listed, lambda e: of(text_at(e, "title"), text_at(e, "url"))), whole)
+    declared = F.when(F.coalesce(t, F.lit("")) == "", "empty").when(t.rlike(r"(?i)^(?:@js:|<js>)"), "js").when(t.rlike(r"^[\[{]"), "json").when(F.contains(t, F.lit("::")), "text").otherwise("unknown")
+    none = F.array().cast("array<struct<title: string, url: string>>")
+
+    def read(form: Column) -> Column:
+        kinds = F.coalesce(F.when(form == "text", of_text).when(form == "json", of_json), none)
+        fault = ((form == "text") & (F.size(kinds) == 0)) | ((form == "json") & (listed.isNull() | ((F.size(kinds) == 0) & (F.size(listed) > 0))))
+        return F.struct(kinds.alias("kinds"), F.when(fault, "unknown").otherwise(form).alias("form"))
+
+    return let(declared, read)
+
+
 def declared_kinds(kinds: DataFrame) -> DataFrame:
     """source_id, titles: each source's distinct titles in order (source_id, ord, title)."""
     distinct = kinds.groupBy("source_id", "title").agg(F.min("ord").alias("ord"))

@@ -181,11 +181,11 @@ def container(name: Column, content: Column) -> Column:
 
 
 def json_object(x: Column) -> Column:
-    """An object of JSON as a variant, also with single quotes for double ones; null for anything else."""
+    """An object of JSON as a variant, also with single quotes around names and values; null for anything else."""
     strict = F.try_parse_json(x)
-    lenient = F.try_parse_json(F.translate(x, "'", '"'))
+    lenient = F.from_json(x, "variant", {"allowSingleQuotes": "true"})
     is_object = lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
-    return F.when(is_object(strict), strict).when(is_object(lenient), lenient)
+    return F.when(is_object(strict), strict).when(strict.isNull() & is_object(lenient), lenient)
 
 
 def import_sources(files: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from ..shared import written
+
 
 def rate_rule(x: Column) -> Column:
     """limit and interval (milliseconds) of a text like 3/1000 or 1000; null for no limit."""
@@ -62,6 +64,32 @@ def reuse_distance(reads: DataFrame, store: str, key: str, order: str) -> DataFr
     return rows.withColumn("gap", (F.col("__n") - before - 1).cast("long")).drop("__n")
 
 
+def cache_lives(reads: DataFrame, key: str, at: str, ttl: int) -> DataFrame:
+    """Distinct (key, at) of reads (at a long) with loaded: whether a cache must load the key then, and life, the number of the load that serves it (from 1).
+
+    A loaded value serves reads for less than ttl from its load, however often it is read. So the next load is the first read
+    that is ttl or more later; the loads are what these steps reach from a key's first read, found by doubling the steps: as many
+    rounds as the longest row of loads has binary digits.
+    """
+    later = F.min(at).over(Window.partitionBy(key).orderBy(at).rangeBetween(ttl, Window.unboundedFollowing))
+    points = written(reads.filter(F.col(at).isNotNull()).select(key, at).distinct().withColumn("__to", later))
+    loads = written(points.groupBy(F.col(key).alias("__key")).agg(F.min(at).alias("__at")))
+    jumps = points.filter("__to IS NOT NULL").select(F.col(key).alias("__key"), F.col(at).alias("__at"), "__to")
+    same = lambda a, b, x, y: a["__key"].eqNullSafe(b["__k"]) & (a[x] == b[y])
+    while True:
+        by = jumps.select(F.col("__key").alias("__k"), F.col("__at").alias("__a"), F.col("__to").alias("__t"))
+        new = written(loads.join(by, same(loads, by, "__at", "__a")).select("__key", F.col("__t").alias("__at")).distinct())
+        if new.isEmpty():
+            break
+        # steps are distinct in number on each row of loads, so nothing is reached twice
+        loads = written(loads.union(new))
+        jumps = written(jumps.join(by, same(jumps, by, "__to", "__a")).select("__key", "__at", F.col("__t").alias("__to")))
+    met = points.drop("__to").join(loads, points[key].eqNullSafe(loads["__key"]) & (points[at] == loads["__at"]), "left")
+    loaded = F.col("__at").isNotNull()
+    life = F.sum(loaded.cast("long")).over(Window.partitionBy(key).orderBy(at))
+    return met.select(key, at, loaded.alias("loaded"), life.alias("life"))
+
+
 def lifetimes(reads: DataFrame, key: str, at: str, ttl: int, order: str) -> DataFrame:
     """reads with life: the number of a key's stretch of reads, each less than ttl after the one before, and fresh: whether it is the first of its stretch.
 

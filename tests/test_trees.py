@@ -7,6 +7,7 @@ import pytest
 from foliospark.operators import anchors, chains, ordered, paginate
 from foliospark.operators.chains import Step
 from foliospark.sources.pages import element_chains
+from foliospark.streaming import limits
 
 
 def random_page(rng, depth=0):
@@ -162,3 +163,19 @@ def test_distinct_between(spark, digit, monkeypatch):
 def test_order_of_nothing(spark):
     df = spark.createDataFrame([], "store string, key string, at long")
     assert ordered.distinct_between(df, "store", "key", "at").count() == 0
+
+
+@pytest.mark.parametrize("ttl", [1, 7, 1000])
+def test_cache_lives(spark, ttl):
+    """As a cache read by read: reads don't make a value live longer."""
+    rng = random.Random(ttl)
+    reads = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([rng.randint(0, 90), None, 5]), "x") for _ in range(200)]
+    found = {(r.k, r.t): (r.loaded, r.life) for r in limits.cache_lives(spark.createDataFrame(reads, "k string, t long, __at string"), "k", "t", ttl).collect()}
+    expected = {}
+    for k in {r[0] for r in reads}:
+        since, life = None, 0
+        for t in sorted({r[1] for r in reads if r[0] == k and r[1] is not None}):
+            fresh = since is None or t >= since + ttl
+            since, life = (t, life + 1) if fresh else (since, life)
+            expected[k, t] = (fresh, life)
+    assert found == expected
