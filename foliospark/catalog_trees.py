@@ -258,7 +258,7 @@ def quarantined_files(spark, d):
     return out.select(F.regexp_extract("file", r"block=(\d+)/", 1).cast("long").alias("block"), "reason", "n", "total")
 
 
-@query("""WITH RECURSIVE r AS (SELECT DISTINCT user_id, epoch_ms(ts) AS read_at FROM events),
+@query("""WITH RECURSIVE r AS (SELECT DISTINCT user_id, epoch_us(ts) // 1000 AS read_at FROM events),
 l AS (SELECT user_id, min(read_at) AS load_at FROM r GROUP BY user_id
   UNION ALL SELECT l.user_id, (SELECT min(r.read_at) FROM r WHERE r.user_id = l.user_id AND r.read_at >= l.load_at + 43200000) FROM l WHERE l.load_at IS NOT NULL)
 SELECT r.user_id, r.read_at AS at, l.load_at IS NOT NULL AS loaded, count(l.load_at) OVER (PARTITION BY r.user_id ORDER BY r.read_at) AS life FROM r LEFT JOIN l ON l.user_id = r.user_id AND l.load_at = r.read_at""")

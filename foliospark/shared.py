@@ -4,32 +4,60 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folder of the innermost scratch(), within the shared one.
+_SCRATCH: ContextVar[str | None] = ContextVar("foliospark_scratch", default=None)
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir.
 
-    Where that setting is unset, a local master gets a temporary folder as its value; on a cluster it is an error, as
-    executors there don't see each other's disks.
-    """
+def _root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="foliospark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
 
+def shared_dir(spark: SparkSession, lasting: bool = False) -> str:
+    """A new folder below spark.checkpoint.dir, or below the one of a scratch() around (unless lasting).
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table written once in the shared folder: cuts the lineage and survives lost executors."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    Where that setting is unset, a local master gets a temporary folder as its value; on a cluster it is an error, as
+    executors there don't see each other's disks.
+    """
+    return f"{(None if lasting else _SCRATCH.get()) or _root(spark)}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, lasting: bool = False) -> DataFrame:
+    """df as a table written once in the shared folder: cuts the lineage and survives lost executors. lasting: past a scratch() around."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, lasting)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared store, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside go when it ends. What is used afterwards must be written as lasting, or not read any of them."""
+    path = shared_dir(spark, lasting=True)
+    token = _SCRATCH.set(path)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        remove(spark, path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table read from fewer splits than there are cores (a small file), spread over them; others as they are."""
     spark = df.sparkSession
