@@ -10,8 +10,8 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: The folder of the innermost scratch(), within the shared one.
-_SCRATCH: ContextVar[str | None] = ContextVar("foliospark_scratch", default=None)
+#: The folders of the scratch() around, the innermost last.
+_SCRATCH: ContextVar[tuple[str, ...]] = ContextVar("foliospark_scratch", default=())
 
 
 def _root(spark: SparkSession) -> str:
@@ -25,16 +25,17 @@ def _root(spark: SparkSession) -> str:
 
 
 def shared_dir(spark: SparkSession, lasting: bool = False) -> str:
-    """A new folder below spark.checkpoint.dir, or below the one of a scratch() around (unless lasting).
+    """A new folder below spark.checkpoint.dir, or below that of the scratch() around; lasting: outside of it.
 
     Where that setting is unset, a local master gets a temporary folder as its value; on a cluster it is an error, as
     executors there don't see each other's disks.
     """
-    return f"{(None if lasting else _SCRATCH.get()) or _root(spark)}/{uuid.uuid4().hex}"
+    around = _SCRATCH.get()[: -1 if lasting else None]
+    return f"{around[-1] if around else _root(spark)}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, lasting: bool = False) -> DataFrame:
-    """df as a table written once in the shared folder: cuts the lineage and survives lost executors. lasting: past a scratch() around."""
+    """df as a table written once in the shared folder: cuts the lineage and survives lost executors. lasting: outside of the scratch() around."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession, lasting)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -49,8 +50,8 @@ def remove(spark: SparkSession, path: str) -> None:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables written inside go when it ends. What is used afterwards must be written as lasting, or not read any of them."""
-    path = shared_dir(spark, lasting=True)
-    token = _SCRATCH.set(path)
+    path = shared_dir(spark)
+    token = _SCRATCH.set((*_SCRATCH.get(), path))
     try:
         yield
     finally:

@@ -20,6 +20,8 @@ def test_scratch(spark):
         assert inside.count() == 5
         with scratch(spark):
             written(df)
+            also = written(df, lasting=True)  # goes with the outer one
+        assert also.count() == 5
         kept = written(inside.filter("id > 2"), lasting=True)
     assert kept.count() == 2 and outside.count() == 5
     assert len(folders(spark) - before) == 1  # the lasting one
