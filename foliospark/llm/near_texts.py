@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import scratch
 from .common import map_batches, small_batches, spread_join, text_bytes, written
 from .simhash import Forest, components, links
 from .words import gram_hashes, mix, word_hashes
@@ -244,12 +245,13 @@ def near_rows(rows: DataFrame, key: str, text: str = "text", shingle: int = SHIN
     """__row of each row that isn't the first (by key, without ties) of its group. rows: a written table of sketched() with __row, a number of each row.
 
     Null and empty texts have the empty set, and are one group. Texts of fewer words than a shingle are one shingle.
-    Repeated rows have equal sets. Empty rows: empty result.
+    Repeated rows have equal sets. Empty rows: empty result. A written table; those made on the way go.
     """
-    least = written(rows.groupBy("set_a", "set_b", "n_set").agg(F.min(F.struct(key, "__row")).alias("first")).select("set_a", "set_b", "n_set", F.col("first.__row").alias("node"), F.col(f"first.{key}").alias("key")))
-    reps = written(rows.select(F.col("__row").alias("node"), "fp", "n_set", "bands").join(least.select("node"), "node"))
-    roots = written(components(links_between(rows, reps, text, shingle, bound)))
-    named = written(least.join(roots, "node", "left").select("set_a", "set_b", "n_set", "node", "key", F.coalesce("root", "node").alias("root")))
-    stays = written(named.groupBy("root").agg(F.min(F.struct("key", "node")).alias("m")).select("root", F.col("m.node").alias("stays")))
-    of_set = written(spread_join(named.select("set_a", "set_b", "n_set", "root"), stays, ["root"]).drop("root"))
-    return spread_join(rows.select("__row", "set_a", "set_b", "n_set"), of_set, ["set_a", "set_b", "n_set"]).filter("__row <> stays").select("__row")
+    with scratch(rows.sparkSession):
+        least = written(rows.groupBy("set_a", "set_b", "n_set").agg(F.min(F.struct(key, "__row")).alias("first")).select("set_a", "set_b", "n_set", F.col("first.__row").alias("node"), F.col(f"first.{key}").alias("key")))
+        reps = written(rows.select(F.col("__row").alias("node"), "fp", "n_set", "bands").join(least.select("node"), "node"))
+        roots = written(components(links_between(rows, reps, text, shingle, bound)))
+        named = written(least.join(roots, "node", "left").select("set_a", "set_b", "n_set", "node", "key", F.coalesce("root", "node").alias("root")))
+        stays = written(named.groupBy("root").agg(F.min(F.struct("key", "node")).alias("m")).select("root", F.col("m.node").alias("stays")))
+        of_set = written(spread_join(named.select("set_a", "set_b", "n_set", "root"), stays, ["root"]).drop("root"))
+        return written(spread_join(rows.select("__row", "set_a", "set_b", "n_set"), of_set, ["set_a", "set_b", "n_set"]).filter("__row <> stays").select("__row"), lasting=True)
