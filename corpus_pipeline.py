@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import byte_bpe, line_dedup, mixing, near_texts, quality
 from foliospark.llm.common import anti_join, spread, written
+from foliospark.shared import remove, scratch, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: The mixture's entropy lies this share of the way to the largest one, but no source is read more often than MAX_REPEATS times.
@@ -45,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     rows = near_texts.sketched(docs.select(*COLUMNS)).withColumn("__row", F.monotonically_increasing_id())
     rows = written(rows.withColumn("__key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")))
-    return anti_join(rows, written(near_texts.near_rows(rows, "__key")), "__row").select(*COLUMNS)
+    return anti_join(rows, near_texts.near_rows(rows, "__key"), "__row").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,8 +81,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """All stages over documents, each written and read again; what a stage wrote on its way goes, and its predecessor's result."""
+    docs, before = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        after = shared_dir(spark)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(after)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(after), after
     return STAGES[-1][1](spark, docs, sf_dir)
