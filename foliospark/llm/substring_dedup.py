@@ -27,10 +27,12 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, map_batches, partitions, range_buckets, shared_dir, small_batches, spread_join, text_bytes, written
+from .common import map_batches, partitions, range_buckets, shared_dir, small_batches, spread_join, text_bytes, written
 from .words import gram_hashes, word_hashes
 
 WIDTH, GRAM = 20, 8
+#: Rows without a doc_id are documents with numbers below this one, before all others.
+LEAST_ID = -(2**62)
 
 
 def anchors(words: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,34 +73,35 @@ def _candidates(text: bytes, hits: np.ndarray, width: int, gram: int) -> tuple[n
 
 
 def _window_rows(width: int, gram: int):
-    """The first start in the document of each candidate window."""
+    """The first start in the row of each candidate window."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        out = [[], [], [], []]
-        hits = batch.column(2)
+        out = [[], [], [], [], []]
+        hits, nums = batch.column(2), batch.column(3).to_pylist()
         for j, (i, text) in enumerate(zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True)):
             starts, w, h = _candidates(text, hits[j].values.to_numpy(), width, gram)
             if len(starts):
                 w, first = np.unique(w, return_index=True)
-                for part, x in zip(out, (w.view(np.int64), (h[first] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(w), i, np.int64), starts[first].astype(np.int32)), strict=True):
+                for part, x in zip(out, (w.view(np.int64), (h[first] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(w), i, np.int64), starts[first].astype(np.int32), np.full(len(w), nums[j], np.int64)), strict=True):
                     part.append(x)
         if not out[0]:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["w", "h", "doc_id", "start"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["w", "h", "doc_id", "start", "num"])
 
     return make
 
 
 def _cut_rows(width: int, gram: int):
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, hits, firsts = batch.column(0), batch.column(2), batch.column(3)
+        ids, hits, firsts, nums = batch.column(0), batch.column(2), batch.column(3), batch.column(4).to_pylist()
         n_words, n_removed, kept, gone = [], [], [], []
         for j, text in enumerate(text_bytes(batch.column(1))):
             words, cuts = text.split(), []
             if hits[j].is_valid:
                 starts, _, _ = _candidates(text, hits[j].values.to_numpy(), width, gram)
                 if firsts[j].is_valid:
-                    starts = starts[~np.isin(starts, firsts[j].values.to_numpy())]
+                    own = firsts[j].values
+                    starts = starts[~np.isin(starts, own.field("start").to_numpy()[own.field("num").to_numpy() == nums[j]])]
                 if len(starts):
                     depth = np.zeros(len(words) + 1, np.int64)
                     depth[starts] += 1
@@ -146,8 +149,7 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame) -> str:
         """A run of rows (h, doc_id, shared), those of one anchor as one. The sum's exchange is the buckets', so that each is one sorted file."""
         name = f"fingerprint_run_{uuid.uuid4().hex}"
-        first = F.min("doc_id")
-        run = rows.groupBy("h").agg(first.alias("doc_id"), (F.bool_or("shared") | (first < F.max("doc_id"))).alias("shared"))
+        run = rows.groupBy("h").agg(F.min("doc_id").alias("doc_id"), (F.bool_or("shared") | (F.count("*") > 1)).alias("shared"))
         if self.buckets != partitions(self.spark):
             run = run.repartition(self.buckets, "h")
         run.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.root}/{name}").saveAsTable(name)
@@ -194,31 +196,45 @@ class FingerprintIndex:
         self.runs = []
 
     def verify(self, docs: DataFrame, hits: DataFrame) -> DataFrame:
-        """docs (doc_id, text) without each word that a repeated window covers.
+        """docs (doc_id, text, and num where rows have the same doc_id) without each word that a repeated window covers.
 
         Returns doc_id, n_words, n_removed, kept_text, removed (spans of words). docs must hold every
-        document that hits names. Both joins read one and the same exchange of the texts.
+        document that hits names; num must be the same whenever docs is read. Both joins read one and the same exchange of the texts.
         """
-        docs = docs.select("doc_id", "text")
+        ties = "num" in docs.columns
+        docs = docs.select("doc_id", "text", *["num"] * ties)
+        num = F.col("num") if ties else F.lit(0).cast("long").alias("num")
         hits = written(hits.groupBy("doc_id").agg(F.collect_set("h").alias("hits")))
         candidates = docs.join(hits, "doc_id")
-        windows = map_batches(candidates.select("doc_id", "text", "hits"), _window_rows(self.width, self.gram), "w long, h int, doc_id long, start int")
-        firsts = windows.groupBy("w", "h").agg(F.min("doc_id").alias("doc_id"), F.min_by("start", "doc_id").alias("start"))
-        firsts = firsts.groupBy("doc_id").agg(F.collect_list("start").alias("firsts"))
+        windows = map_batches(candidates.select("doc_id", "text", "hits", num), _window_rows(self.width, self.gram), "w long, h int, doc_id long, start int, num long")
+        if ties:
+            firsts = windows.groupBy("w", "h").agg(F.min(F.struct("doc_id", "num", "start")).alias("f")).select("f.*")
+        else:
+            firsts = windows.groupBy("w", "h").agg(F.min("doc_id").alias("doc_id"), F.min_by("start", "doc_id").alias("start")).withColumn("num", F.lit(0).cast("long"))
+        firsts = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("start", "num")).alias("firsts"))
         joined = docs.join(hits, "doc_id", "left").join(firsts, "doc_id", "left")
-        return map_batches(joined.select("doc_id", "text", "hits", "firsts"), _cut_rows(self.width, self.gram), "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start: bigint, end: bigint>>")
+        return map_batches(joined.select("doc_id", "text", "hits", "firsts", num), _cut_rows(self.width, self.gram), "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start: bigint, end: bigint>>")
 
 
-def dedup(docs: DataFrame, batches: int = 6, max_runs: int = 4, width: int = WIDTH, gram: int = GRAM, index: FingerprintIndex | None = None) -> DataFrame:
+def dedup(docs: DataFrame, batches: int = 6, max_runs: int = 4, width: int = WIDTH, gram: int = GRAM, index: FingerprintIndex | None = None, number: str | None = None) -> DataFrame:
     """docs (doc_id, text) without repeated passages; batches of ascending doc_id go into a new index (or the one given).
 
     A word goes if a window over it has a word sequence that also starts earlier (smaller doc_id, or
     same document, earlier start). Null and empty texts have no words and an empty kept_text; texts of any length are read
-    whole. Rows with the same doc_id count as one document: equal rows give equal results. A null doc_id counts as one
-    document before all others, and is null again in the result. Other columns of docs are left out. Empty docs: empty result.
+    whole. Rows of equal doc_id are documents of their own, in the order of the column `number` (a long, the same whenever docs is read); without it, and if there are such rows or null
+    ids, docs is written first. Rows without a doc_id come before all others, in an order of their own, and have none in the result.
+    doc_ids are at least -2**62. Other columns of docs are left out. Empty docs: empty result.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.col(number).alias("num")] if number else []))
+    ties = not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    if not number and ties:
+        docs = written(docs.withColumn("num", F.monotonically_increasing_id()))
+    # rows without an id get ids of their own, so that they aren't one hot key
+    own_id = F.lit(-(2**63)) + F.pmod(F.xxhash64("num"), F.lit(2**62 - 1)) if "num" in docs.columns else F.lit(-(2**63))
+    docs = docs.withColumn("doc_id", F.coalesce("doc_id", own_id))
+    if not ties:
+        docs = docs.select("doc_id", "text")
     own = index or FingerprintIndex(spark, max_runs=max_runs, width=width, gram=gram)
     bounds, hits, below = range_buckets(docs, "doc_id", batches), [], None
     for bound in [*bounds, None]:
@@ -229,10 +245,12 @@ def dedup(docs: DataFrame, batches: int = 6, max_runs: int = 4, width: int = WID
     if index is None:
         own.drop()
     out = own.verify(docs, reduce(DataFrame.union, hits))
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    return out.withColumn("doc_id", F.when(F.col("doc_id") >= LEAST_ID, F.col("doc_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op2_substring_dedup: the digest of every document. Six batches; the fifth run makes the index compact."""
-    out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """op2_substring_dedup: the digest of every document. Six batches; the fifth run makes the index compact. Rows of one id go by file and place."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.select("doc_id", "text", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("num"))
+    out = dedup(docs, number="num")
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("removed").cast("long").alias("n_spans"))
