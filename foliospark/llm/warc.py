@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, map_batches, shared_dir, small_batches, spread_join, text_bytes, written
+from .common import NO_ID, lookup_join, map_batches, shared_dir, small_batches, spread_join, text_bytes, written
 
 SEGMENT, CHUNK, FILE_RECORDS, MIN_REVISIT = 16_384, 4_096, 2_000, 1_000
 #: The reader's batches hold about so many bytes of blocks, or one longer record.
@@ -37,13 +37,7 @@ def chunked(payload: bytes, size: int = CHUNK) -> bytes:
     return b"".join([*(b"%x\r\n%b\r\n" % (len(p), p) for p in parts), b"0\r\n\r\n"])
 
 
-def dechunked(message: bytes) -> bytes:
-    """The payload of an HTTP message; decodes chunks if its header says so. ValueError if it is cut short."""
-    head, gap, body = message.partition(b"\r\n\r\n")
-    if not gap:
-        raise ValueError("an HTTP message without an end of its header")
-    if b"transfer-encoding: chunked" not in head.lower():
-        return body
+def _chunks_joined(body: bytes) -> bytes:
     out, at = [], 0
     while True:
         end = body.index(b"\r\n", at)
@@ -58,6 +52,39 @@ def dechunked(message: bytes) -> bytes:
         at = end + 4 + n
 
 
+def _inflated_whole(body: bytes, wbits: int) -> bytes:
+    d = zlib.decompressobj(wbits)
+    try:
+        out = d.decompress(body)
+    except zlib.error as e:
+        raise ValueError(str(e)) from None
+    if not d.eof:
+        raise ValueError("a compressed body is cut short")
+    return out
+
+
+#: Transfer codings, and how each is undone.
+_CODINGS = {b"chunked": _chunks_joined, b"identity": bytes, b"gzip": lambda x: _inflated_whole(x, 31), b"x-gzip": lambda x: _inflated_whole(x, 31), b"deflate": lambda x: _inflated_whole(x, 15)}
+
+
+def dechunked(message: bytes) -> bytes:
+    """The payload of an HTTP message, without the transfer codings that its header names, the last one undone first. ValueError if it is cut short or of an unknown coding.
+
+    Header fields are compared by their whole names; one like X-Crawl-Transfer-Encoding says nothing about the body.
+    """
+    head, gap, body = message.partition(b"\r\n\r\n")
+    if not gap:
+        raise ValueError("an HTTP message without an end of its header")
+    fields = [line.partition(b":") for line in head.split(b"\r\n") if not line.startswith(b"HTTP/")]
+    codings = [c.strip().lower() for name, _, v in fields if name.strip().lower() == b"transfer-encoding" for c in v.split(b",") if c.strip()]
+    for coding in reversed(codings):
+        undone = _CODINGS.get(coding.split(b";")[0].strip())
+        if undone is None:
+            raise ValueError(f"an unknown transfer coding {coding.decode('latin-1')}")
+        body = undone(body)
+    return body
+
+
 def _name(page: int, sha1: str, segment: int = 1) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}:{sha1}:{segment}')}>"
 
@@ -96,11 +123,15 @@ def records_of(page: int, url: str, payload: bytes, refers_to: int | None, segme
 
 
 def plan(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """page_id, digest, refers_to of the pages (page_id, html) to be revisits: the largest page_id with an equal payload."""
+    """page_id, revisits (digest -> refers_to) of the pages (page_id, html) to be revisits: the largest page_id with an equal payload. A written table.
+
+    Payloads are digested once. A page_id has more than one digest only if rows repeat it.
+    """
     payload = F.coalesce("html", F.lit(""))
     slim = written(pages.filter(F.octet_length(payload) >= min_revisit).select("page_id", F.sha2(payload, 256).alias("digest")))
     often = written(slim.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("pages")).filter("pages > 1").select("digest", "refers_to"))
-    return spread_join(slim, often, ["digest"]).filter("refers_to <> page_id").distinct()
+    again = spread_join(slim, often, ["digest"]).filter("refers_to <> page_id").distinct()
+    return written(again.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("digest", "refers_to"))).alias("revisits")))
 
 
 def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, segment: int = SEGMENT, compression: str = "gzip") -> None:
@@ -112,8 +143,10 @@ def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, segment:
     """
     small_batches(pages.sparkSession)
     pages = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id"), "url", "html")
-    named = pages.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")), 256))
-    rows = named.join(written(plan(pages, min_revisit)), ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
+    # the few revisits go to the pages, not all pages to them
+    rows = lookup_join(pages, plan(pages, min_revisit), "page_id", "left", F.size("revisits"))
+    other = F.when(F.col("revisits").isNotNull(), F.try_element_at("revisits", F.sha2(F.coalesce("html", F.lit("")), 256)))
+    rows = rows.select("page_id", "url", "html", other.alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
@@ -132,28 +165,62 @@ def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, segment:
     records.write.option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
-def unzipped(archive: bytes) -> tuple[bytes, str | None]:
-    """A file's bytes without gzip (of one member or many), and what is wrong with the rest of it."""
-    members, rest = [], archive
-    while rest[:2] == b"\x1f\x8b":
+def unzipped(archive: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """A file's bytes without gzip (of one member or many), in blocks of at most `most` bytes. ValueError where it can't be read on."""
+    at = 0
+    if archive[:2] != b"\x1f\x8b":
+        while at < len(archive):
+            yield archive[at : at + most]
+            at += most
+        return
+    view = memoryview(archive)
+    while bytes(view[at : at + 2]) == b"\x1f\x8b":
         d = zlib.decompressobj(31)
-        try:
-            members.append(d.decompress(rest))
-        except zlib.error as e:
-            return b"".join(members), f"gzip: {e}"
-        if not d.eof:
-            return b"".join(members), "a gzip member is cut short"
-        rest = d.unused_data
-    return (b"".join(members), None) if members else (archive, None)
+        while not d.eof:
+            given = d.unconsumed_tail or bytes(view[at : at + most])
+            at += 0 if d.unconsumed_tail else len(given)
+            if not given:
+                raise ValueError("a gzip member is cut short")
+            try:
+                out = d.decompress(given, most)
+            except zlib.error as e:
+                raise ValueError(f"gzip: {e}") from None
+            if out:
+                yield out
+        at -= len(d.unused_data)
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
-    """The header fields (names in lower case) and block of each record of a WARC file, gzipped or not; a last one with an error where it can't be read on."""
-    archive, broken = unzipped(archive)
-    at = 0
-    while at < len(archive):
-        end = archive.find(b"\r\n\r\n", at)
-        first, *lines = archive[at : max(at, end)].decode("utf-8", "replace").split("\r\n")
+    """The header fields (names in lower case) and block of each record of a WARC file, gzipped or not; a last one with an error where it can't be read on.
+
+    Besides the file, as it is stored, one record and one block of it are held.
+    """
+    held, blocks, at, broken = bytearray(), unzipped(archive), 0, None
+
+    def more() -> bool:
+        """Whether another block came."""
+        nonlocal broken
+        try:
+            held.extend(next(blocks))
+        except StopIteration:
+            return False
+        except ValueError as e:
+            broken = str(e)
+            return False
+        return True
+
+    def dropped(n: int) -> None:
+        nonlocal at
+        at += n
+        del held[:n]
+
+    while held or more():
+        end, sought = -1, 0
+        while (end := held.find(b"\r\n\r\n", sought)) < 0 and held[:5] == b"WARC/"[: len(held)]:
+            sought = max(0, len(held) - 3)
+            if not more():
+                break
+        first, *lines = bytes(held[: max(0, end)]).decode("utf-8", "replace").split("\r\n")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         if end < 0 or not first.startswith("WARC/"):
             yield {}, b"", broken or f"no WARC record at byte {at}"
@@ -162,11 +229,15 @@ def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
             yield fields, b"", "a record without a length"
             return
         n = int(fields["content-length"])
-        if len(archive) < end + 4 + n:
+        while len(held) < end + 4 + n and more():
+            pass
+        if len(held) < end + 4 + n:
             yield fields, b"", broken or "a record is cut short"
             return
-        yield fields, archive[end + 4 : end + 4 + n], None
-        at = end + 8 + n
+        yield fields, bytes(held[end + 4 : end + 4 + n]), None
+        while len(held) < end + 8 + n and more():
+            pass
+        dropped(min(len(held), end + 8 + n))
     if broken:
         yield {}, b"", broken
 
@@ -238,7 +309,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     Any WARC files, gzipped or not, with records of any identifiers; page_id and refers_to (a page's number) are
     null in those of others. Records of other types than response, resource, revisit and continuation are passed
     over. A record that can't be read (cut short, segments missing or of another total length, bad chunks) is a row with an error and
-    without a payload; nothing after it in its file can be read if its own end is unknown. A page_id that was null
+    without a payload; nothing after it in its file can be read if its own end is unknown. Records in segments are of the type of the
+    first one (continuation if that is lost). A worker holds a file as it is stored and one record of it, not what it inflates to. A page_id that was null
     when written is null again. Equal segments of equal rows are counted, and each row comes back. No records: empty.
     """
     small_batches(spark)
@@ -248,14 +320,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     alone = F.col("origin").isNull() | F.col("error").isNotNull()
     whole = records.filter(alone).withColumn("payload", F.when(F.col("record_type") != "revisit", F.col("block"))).select(*columns)
     # equal segments count as one first, so that a group holds one record's segments
-    segments = records.filter(~alone).groupBy("origin", "segment", "block").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("total", "http", "url", "page_id", "digest")])
+    segments = records.filter(~alone).groupBy("origin", "segment", "block").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("total", "http", "url", "page_id", "digest", "record_type")])
     first = lambda c: F.max(F.when(F.col("segment") == 1, F.col(c)))
-    groups = segments.groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"), F.coalesce(first("http"), F.lit(False)).alias("http"), *[first(c).alias(c) for c in ("url", "page_id", "digest", "n")])
-    schema = "record_id string, url string, page_id long, digest string, n long, payload binary, error string"
-    joined = map_batches(groups.select("parts", "total", "http", F.col("origin").alias("record_id"), "url", "page_id", "digest", F.coalesce("n", F.lit(1)).alias("n")), _join_segments, schema)
+    groups = segments.groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"), F.coalesce(first("http"), F.lit(False)).alias("http"), *[first(c).alias(c) for c in ("record_type", "url", "page_id", "digest", "n")])
+    schema = "record_id string, record_type string, url string, page_id long, digest string, n long, payload binary, error string"
+    joined = map_batches(groups.select("parts", "total", "http", F.col("origin").alias("record_id"), F.coalesce("record_type", F.lit("continuation")).alias("record_type"), "url", "page_id", "digest", F.coalesce("n", F.lit(1)).alias("n")), _join_segments, schema)
     joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     none = lambda kind: F.lit(None).cast(kind)
-    joined = joined.select("record_id", F.lit("response").alias("record_type"), "url", "page_id", none("string").alias("refers_to_id"), none("long").alias("refers_to"), "digest", "payload", "error")
+    joined = joined.select("record_id", "record_type", "url", "page_id", none("string").alias("refers_to_id"), none("long").alias("refers_to"), "digest", "payload", "error")
     return whole.union(joined).withColumn("page_id", F.when(F.col("page_id") != NO_ID, F.col("page_id")))
 
 

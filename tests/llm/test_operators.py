@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, on odd and on given tables."""
 
+import gzip
 import hashlib
 import itertools
 import math
@@ -371,10 +372,37 @@ def foreign(kind, ident, block, **fields):
     return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{ident}>\r\nContent-Length: {len(block)}\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
 
 
+def test_transfer_codings():
+    """Fields by whole names, codings undone from the last to the first."""
+    body = b"some text " * 50
+    message = lambda head, x: b"HTTP/1.1 200 OK\r\n" + head + b"\r\n\r\n" + x
+    same = [(b"X-Crawl-Transfer-Encoding: chunked", body), (b"X-A: transfer-encoding: chunked", body), (b"Transfer-Encoding: identity", body), (b"Server: x", body)]
+    same += [(b"Transfer-Encoding:chunked", warc.chunked(body)), (b"transfer-ENCODING :  Chunked ", warc.chunked(body)), (b"Transfer-Encoding: gzip, chunked", warc.chunked(gzip.compress(body))), (b"Transfer-Encoding: x-gzip\r\nTransfer-Encoding: chunked", warc.chunked(gzip.compress(body))), (b"Transfer-Encoding: deflate,chunked", warc.chunked(zlib.compress(body)))]
+    for head, x in same:
+        assert warc.dechunked(message(head, x)) == body
+    for head, x in [(b"Transfer-Encoding: br", body), (b"Transfer-Encoding: gzip", body), (b"Transfer-Encoding: gzip", gzip.compress(body)[:-9]), (b"Transfer-Encoding: chunked", body)]:
+        with pytest.raises(ValueError):
+            warc.dechunked(message(head, x))
+
+
+def test_segments_of_any_type(spark, tmp_path):
+    """A segmented resource stays one; a member of many blocks is read block by block."""
+    def record(kind, block, **fields):
+        head = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in fields.items())
+        return f"WARC/1.1\r\nWARC-Type: {kind}\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    long = random.Random(1).randbytes(5_000_000) + b"\r\n\r\nWARC/1.1\r\n"
+    records = [record("resource", b"first,", WARC_Record_ID="a", WARC_Segment_Number=1), record("continuation", b"second", WARC_Record_ID="b", WARC_Segment_Origin_ID="a", WARC_Segment_Number=2, WARC_Segment_Total_Length=12), record("resource", long, WARC_Record_ID="long"), record("resource", b"after", WARC_Record_ID="c"), record("continuation", b"lost", WARC_Record_ID="d", WARC_Segment_Origin_ID="gone", WARC_Segment_Number=2, WARC_Segment_Total_Length=9)]
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    rows = {r.record_id: r for r in warc.read(spark, f"file://{tmp_path}").collect()}
+    assert {k: (r.record_type, r.payload and bytes(r.payload)) for k, r in rows.items()} == {"a": ("resource", b"first,second"), "long": ("resource", long), "c": ("resource", b"after"), "gone": ("continuation", None)}
+    assert rows["gone"].error
+    blocks = list(warc.unzipped((tmp_path / "x.warc.gz").read_bytes()))
+    assert len(blocks) > 4 and max(map(len, blocks)) <= 1 << 20
+
+
 def test_foreign_archives(spark, tmp_path):
     """Archives of others: any identifiers, a gzip member for each record, continuations out of order and in other files, broken files beside good ones."""
-    import gzip
-
     http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
     long = http + warc.chunked(b"z" * 5000, 700)
     parts = [long[:2000], long[2000:4000], long[4000:]]
@@ -396,8 +424,6 @@ def test_foreign_archives(spark, tmp_path):
 
 def test_files_begin_with_info(spark, tmp_path, monkeypatch):
     import glob
-    import gzip
-
     monkeypatch.setattr(warc, "FILE_RECORDS", 5)
     pages = spark.createDataFrame([(k, "u", f"page {k}") for k in range(23)], "page_id long, url string, html string").coalesce(1)
     warc.write(pages, f"file://{tmp_path}/w")
