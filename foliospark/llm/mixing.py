@@ -6,11 +6,12 @@ entropy, or until no source is read more than max_repeats times. The sums that t
 the table of sources: each step tries GRID exponents in one job and goes on in the interval between two of
 them, and only these sums reach the driver, never the sources.
 
-A source's budget is its weight times the budget of all. It is realised as block permutations: each pass over
-a source has an order of its own, a document's place in it is a hash of source, document and pass, and
-stretches of about BLOCK_ROWS documents are blocks. Every whole pass takes all blocks; the last one takes
-blocks in order until the budget is met, and the block in which it is met is cut at a place. That place is
-all that the last step needs to know of a source, so that texts are never moved to choose among them.
+A source's budget is its weight times the budget of all. It is realised as block permutations: a document belongs to a
+block of its source for good, by a hash (2**k blocks of about BLOCK_ROWS documents). Each pass over a source permutes the numbers of
+its blocks, by a bijection of k bits whose constants are hashes of source and pass, and the documents in each block, by
+another hash. Every whole pass takes all blocks; the last one takes whole blocks in their order until the budget is met, and the
+block in which it is met is cut at a place. That place is all that the last step needs to know of a source, so that texts are
+never moved to choose among them.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.binding import let
 from .common import lookup_join, partitions, written
 
-GRID, BLOCK_ROWS, SEED = 33, 1024, 7
+GRID, BLOCK_ROWS, SEED = 33, 16, 7
 #: Halvings of the interval of exponents, and its end for targets that sharpen.
 STEPS, MOST_EXPONENT = 30, 16.0
-#: Places in a pass are whole numbers below this, exact as doubles.
-PLACES = 2**52
+#: Places in a pass are whole numbers below this, exact as doubles; a source has at most 2**MOST_BITS blocks.
+PLACES, MOST_BITS = 2**52, 30
 #: The query's target: this share of the way from the sources' own entropy to the largest possible one.
 GAIN = 0.5
 
@@ -106,32 +108,60 @@ def budgets(sources: DataFrame, alpha: float, budget: float | None = None) -> Da
     return out.withColumn("passes", F.when(F.col("tokens") > 0, F.col("budget") / F.col("tokens")).otherwise(F.lit(0.0)))
 
 
-def place(name: Column, key: Column, turn: Column) -> Column:
-    """A document's place in a pass, from 0 to PLACES: the first 13 hex digits of a digest."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(SEED)), turn.cast("string"), F.coalesce(key.cast("string"), F.lit("")), name))
-    return F.conv(F.left(digest, F.lit(13)), 16, 10).cast("long")
+def _digest(*parts: str | Column) -> Column:
+    """A hash from 0 to PLACES: the first 13 hex digits of an MD5."""
+    texts = [F.lit(x) if isinstance(x, str) else x for x in parts]
+    return F.conv(F.left(F.md5(F.concat_ws(":", F.lit(str(SEED)), *texts)), F.lit(13)), 16, 10).cast("long")
 
 
-def _block(blocks: Column) -> Column:
-    return F.floor(F.col("place") / PLACES * blocks).cast("int")
+def _shifted(x: Column, n: Column) -> Column:
+    return F.call_function("shiftright", x, n.cast("int"))
+
+
+def block_bits(docs: Column) -> Column:
+    """k, where a source of so many documents has 2**k blocks."""
+    n = F.ceil(docs / BLOCK_ROWS)
+    return F.least(F.when(n > 1, F.length(F.bin(n - 1))).otherwise(0), F.lit(MOST_BITS)).cast("int")
+
+
+def block(name: Column, key: Column, bits: Column) -> Column:
+    """A document's block, whatever the pass."""
+    return _shifted(_digest("block", F.coalesce(key.cast("string"), F.lit("")), name), 52 - bits)
+
+
+def slot(name: Column, own: Column, turn: Column, bits: Column) -> Column:
+    """The place of a block among those of its source in a pass: a bijection of its number's bits."""
+    most = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+
+    def round_(step: str, x: Column) -> Column:
+        d = _digest("pass", step, turn.cast("string"), name)
+        return let(d, lambda c: (x * c.bitwiseAND(most).bitwiseOR(F.lit(1)) + _shifted(c, F.lit(20))).bitwiseAND(most))
+
+    return round_("b", let(round_("a", own), lambda x: x.bitwiseXOR(_shifted(x, F.floor((bits + 1) / 2)))))
+
+
+def place(name: Column, key: Column, turn: Column, bits: Column) -> Column:
+    """A document's place in a pass, from 0 to PLACES: block after block."""
+    inside = _digest(turn.cast("string"), F.coalesce(key.cast("string"), F.lit("")), name)
+    return slot(name, block(name, key, bits), turn, bits) * F.call_function("shiftleft", F.lit(1).cast("long"), 52 - bits) + _shifted(inside, bits)
 
 
 def _last_places(slim: DataFrame, plan: DataFrame) -> DataFrame:
     """name, last_place: the last place that each source's part of a pass takes, where it has one."""
-    last = lookup_join(slim, plan.filter("rest > 0").select("name", "blocks", "whole", "rest"), "name", "inner")
-    last = last.withColumn("place", place(F.col("name"), F.col("key"), F.col("whole"))).withColumn("block", _block(F.col("blocks")))
-    totals = last.groupBy("name", "block", "rest").agg(F.sum("tokens").alias("in_block"))
-    before = F.sum("in_block").over(Window.partitionBy("name").orderBy("block")) - F.col("in_block")
+    last = lookup_join(slim, plan.filter("rest > 0").select("name", "bits", "whole", "rest"), "name", "inner")
+    last = last.withColumn("place", place(F.col("name"), F.col("key"), F.col("whole"), F.col("bits"))).withColumn("slot", _shifted(F.col("place"), 52 - F.col("bits")))
+    totals = last.groupBy("name", "slot", "rest").agg(F.sum("tokens").alias("in_block"))
+    before = F.sum("in_block").over(Window.partitionBy("name").orderBy("slot")) - F.col("in_block")
     cut = totals.withColumn("before", before).filter("before < rest AND before + in_block >= rest")
-    cut = written(cut.select("name", F.col("block").alias("cut"), "before"))
-    inside = lookup_join(last, cut, "name", "inner").filter("block = cut")
+    cut = written(cut.select("name", F.col("slot").alias("cut"), "before"))
+    inside = lookup_join(last, cut, "name", "inner").filter("slot = cut")
     inside = inside.groupBy("name", "place", "rest", "before").agg(F.sum("tokens").alias("here"))
     ahead = F.sum("here").over(Window.partitionBy("name").orderBy("place")) - F.col("here")
     return inside.withColumn("ahead", ahead).filter("before + ahead < rest").groupBy("name").agg(F.max("place").alias("last_place"))
 
 
 def mix(docs: DataFrame, entropy: float | None = None, gain: float | None = None, max_repeats: float | None = 2.0, budget: float | None = None, source: str = "source", key: str = "doc_id", tokens: Column | None = None, detail: bool = False) -> DataFrame:
-    """docs, each row as often as its source's budget says; adds epoch (int, from 0), block (int) and mix_order (double).
+    """docs, each row as often as its source's budget says; adds epoch (int, from 0), block (int, the same in all epochs) and mix_order (double).
 
     Sorted by mix_order, every stretch of the result holds the sources by their weights (arranged() does so).
     detail adds the source's exponent, weight and passes as well. Columns of docs with these names are replaced;
@@ -151,13 +181,13 @@ def mix(docs: DataFrame, entropy: float | None = None, gain: float | None = None
     sources = source_tokens(slim, "name", F.col("tokens")).withColumnRenamed("source", "name")
     plan = budgets(sources, exponent(sources, entropy, gain, max_repeats), budget)
     plan = plan.withColumn("whole", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(0).cast("int")).withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens"))
-    plan = written(plan.withColumn("blocks", F.greatest(F.ceil(F.col("docs") / BLOCK_ROWS), F.lit(1)).cast("int")).drop("tokens", "docs", "budget"))
+    plan = written(plan.withColumn("bits", block_bits(F.col("docs"))).drop("tokens", "docs", "budget"))
     plan = written(plan.join(_last_places(slim, plan), "name", "left").drop("rest"))
     joined = lookup_join(rows.drop("tokens"), plan, "name", "inner")
-    of_pass = lambda turn: place(F.col("name"), F.col("key"), turn)
+    of_pass = lambda turn: place(F.col("name"), F.col("key"), turn, F.col("bits"))
     turns = F.col("whole") + F.when(of_pass(F.col("whole")) <= F.col("last_place"), 1).otherwise(0)
     joined = joined.withColumn("turns", turns).filter("turns > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
-    joined = joined.withColumn("place", of_pass(F.col("epoch"))).withColumn("block", _block(F.col("blocks")))
+    joined = joined.withColumn("place", of_pass(F.col("epoch"))).withColumn("block", block(F.col("name"), F.col("key"), F.col("bits")).cast("int"))
     order = (F.col("epoch") + F.col("place") / PLACES) / F.col("passes")
     return joined.select("row.*", "epoch", "block", order.alias("mix_order"), *new[3:])
 
@@ -182,8 +212,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("weight", F.round("weight", 9)).withColumn("passes", F.round("passes", 9)).withColumn("mix_order", F.round("mix_order", 12))
 
 
+def _digest_sql(*parts: str) -> str:
+    return f"('0x' || left(md5('{SEED}:' || {" || ':' || ".join(parts)}), 13))::BIGINT"
+
+
 def _place_sql(turn: str) -> str:
-    return f"('0x' || left(md5('{SEED}:' || {turn} || ':' || coalesce(doc_id::VARCHAR, '') || ':' || name), 13))::BIGINT"
+    """place(): the block's slot in the upper bits."""
+    key, most = "coalesce(doc_id::VARCHAR, '')", "((1::BIGINT << bits) - 1)"
+    a, b = (_digest_sql("'pass'", f"'{step}'", f"({turn})::VARCHAR", "name") for step in "ab")
+    first = f"(((({_digest_sql("'block'", key, 'name')} >> (52 - bits)) * ((({a}) & {most}) | 1) + (({a}) >> 20)) & {most}))"
+    mixed = f"xor({first}, {first} >> ((bits + 1) // 2)::INT)"
+    return f"(((({mixed}) * ((({b}) & {most}) | 1) + (({b}) >> 20)) & {most}) << (52 - bits)) + ({_digest_sql(f'({turn})::VARCHAR', key, 'name')} >> bits)"
 
 
 SQL = f"""
@@ -200,13 +239,13 @@ halved(low, high, step) AS (SELECT 0.0::DOUBLE, 1.0::DOUBLE, 0
 alpha AS (SELECT max(high) AS exponent FROM halved WHERE step = {STEPS}),
 w AS (SELECT name, docs, tokens, exponent, CASE WHEN tokens > 0 THEN pow(tokens::DOUBLE, exponent) ELSE 0 END AS power FROM s, alpha),
 plan AS (SELECT *, CASE WHEN tokens > 0 THEN budget / tokens ELSE 0 END AS passes, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole,
-  greatest(ceil(docs / {BLOCK_ROWS}), 1)::INT AS blocks
+  least(CASE WHEN ceil(docs / {BLOCK_ROWS}) > 1 THEN length(bin(ceil(docs / {BLOCK_ROWS})::BIGINT - 1)) ELSE 0 END, {MOST_BITS})::INT AS bits
   FROM (SELECT *, power / sum(power) OVER () AS weight, round(power / sum(power) OVER () * sum(tokens) OVER ())::BIGINT AS budget FROM w)),
 ordered AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY name ORDER BY place RANGE UNBOUNDED PRECEDING) - sum(n_tokens) OVER (PARTITION BY name, place), 0) AS ahead
   FROM (SELECT doc_id, name, n_tokens, budget - whole * tokens AS rest, {_place_sql("whole")} AS place FROM d JOIN plan USING (name))),
 last AS (SELECT name, max(place) AS last_place FROM ordered WHERE ahead < rest GROUP BY name),
 taken AS (SELECT *, unnest(range(whole + CASE WHEN {_place_sql("whole")} <= last_place THEN 1 ELSE 0 END)) AS epoch FROM d JOIN plan USING (name) LEFT JOIN last USING (name)),
 placed AS (SELECT *, {_place_sql("epoch")} AS place FROM taken)
-SELECT doc_id, source, n_tokens, epoch::INT AS epoch, floor(place / {PLACES} * blocks)::INT AS block, round((epoch + place / {PLACES}) / passes, 12) AS mix_order,
+SELECT doc_id, source, n_tokens, epoch::INT AS epoch, ({_digest_sql("'block'", "coalesce(doc_id::VARCHAR, '')", "name")} >> (52 - bits))::INT AS block, round((epoch + place / {PLACES}) / passes, 12) AS mix_order,
   exponent, round(weight, 9) AS weight, round(passes, 9) AS passes FROM placed
 """

@@ -626,9 +626,22 @@ def brute_mixture(rows, alpha, budget, block_rows):
         own = int(math.floor(w[s] * budget + 0.5))
         whole, rest = divmod(own, tokens[s])
 
+        bits = max(0, (-(-docs[s] // block_rows) - 1).bit_length())
+        name = "" if s is None else "s" + s
+
+        def digest(*parts):
+            return int(hashlib.md5(":".join(["7", *map(str, parts)]).encode()).hexdigest()[:13], 16)
+
+        def block(key):
+            return digest("block", "" if key is None else key, name) >> (52 - bits)
+
         def place(key, turn):
-            text = f"7:{turn}:{'' if key is None else key}:{'' if s is None else 's' + s}"
-            return int(hashlib.md5(text.encode()).hexdigest()[:13], 16)
+            most, x = (1 << bits) - 1, block(key)
+            a, b = digest("pass", "a", turn, name), digest("pass", "b", turn, name)
+            x = (x * (a & most | 1) + (a >> 20)) & most
+            x ^= x >> (bits + 1) // 2
+            x = (x * (b & most | 1) + (b >> 20)) & most
+            return (x << (52 - bits)) + (digest(turn, "" if key is None else key, name) >> bits)
 
         here = Counter()
         for key, source, n in rows:
@@ -643,7 +656,7 @@ def brute_mixture(rows, alpha, budget, block_rows):
             if source == s:
                 for turn in range(whole + (place(key, whole) <= last)):
                     p = place(key, turn)
-                    out.append((key, s, turn, int(p / 2**52 * max(1, -(-docs[s] // block_rows))), round((turn + p / 2**52) / (own / tokens[s]), 9)))
+                    out.append((key, s, turn, block(key), round((turn + p / 2**52) / (own / tokens[s]), 9)))
     return Counter(out)
 
 
@@ -678,10 +691,28 @@ def test_mixing_query(spark):
         tokens[s] += n
     own = entropy_of(tokens, 1)
     assert 0 < alpha < 1 and entropy_of(tokens, alpha) == pytest.approx(own + 0.5 * (math.log(len(tokens)) - own), abs=1e-7)
-    assert Counter((r.doc_id, r.source, r.epoch, r.block, round(r.mix_order, 9)) for r in out) == brute_mixture(rows, alpha, sum(tokens.values()), 1024)
+    assert Counter((r.doc_id, r.source, r.epoch, r.block, round(r.mix_order, 9)) for r in out) == brute_mixture(rows, alpha, sum(tokens.values()), mixing.BLOCK_ROWS)
     assert {r.epoch for r in out} == {0, 1} and len({r.doc_id for r in out}) < len(rows)
 
 
+def test_block_permutations(spark):
+    """A document's block is the same in all passes; a pass has each block as one stretch, in an order of its own."""
+    docs = spark.createDataFrame([(i, "a b c", "s" if i % 5 else "t") for i in range(1000)], "doc_id long, text string, source string")
+    out = mixing.mix(docs, max_repeats=None, budget=15_000.0, entropy=1.0).collect()
+    own, orders, stretches = defaultdict(set), defaultdict(list), set()
+    for r in out:
+        own[r.source, r.doc_id].add(r.block)
+    for r in sorted(out, key=lambda r: (r.source, r.epoch, r.mix_order)):
+        blocks = orders[r.source, r.epoch]
+        if not blocks or blocks[-1] != r.block:
+            blocks.append(r.block)
+            stretches.add((r.source, r.epoch, r.block))
+    assert all(len(x) == 1 for x in own.values())
+    assert sum(map(len, orders.values())) == len(stretches)  # no block is entered twice in a pass
+    whole = [tuple(b) for (s, e), b in orders.items() if s == "s" and e < 3]
+    assert len(set(whole)) == 3 and len({frozenset(b) for b in whole}) == 1 and 32 < len(whole[0]) <= 64
+
+
 def test_mixing_of_clashing_names(spark):
     """Names of the operator's own columns: the result's are replaced, all others stay."""
     docs = spark.createDataFrame([(1, "a b", "s", 5, "x", "y", "z", 9)], "doc_id long, text string, source string, epoch int, name string, key string, row string, whole int")
