@@ -10,6 +10,7 @@ most, and end with the mark that Spark's text writer puts there. All words of a
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 ESCAPE = 15
 MARK, MAGIC = "S8BLOCK\n", b"SIMPLE8B"
 BLOCK_IDS, KEEP, END_ID = 262_144, 400_000, 2
-#: The store of stretches is emptied at KEEP of them, or when those in it have so many bytes.
+#: The stores of stretches have KEEP of them at most, of so many bytes; the newer one becomes the older one when it has half of that.
 KEEP_BYTES = 32 << 20
 #: A file has at most as many blocks, so that a reader holds some 100 MB.
 FILE_BLOCKS = 128
@@ -151,7 +152,8 @@ class Encoder:
     """Ids of texts by a tokenizers file; keeps the ids of stretches without white space that it has seen.
 
     Where the tokenizer splits marks from letters and digits (which is looked at once), marks at the end
-    of a stretch are encoded for themselves, so that a word's ids are found with any marks after it.
+    of a stretch are encoded for themselves, so that a word's ids are found with any marks after it. Where its last ids of words are ids of
+    their own kind (an end-of-word suffix), many words are encoded as one text and told apart by these.
     """
 
     def __init__(self, config: bytes, keep: int = KEEP):
@@ -160,28 +162,59 @@ class Encoder:
         self.tokenizer = Tokenizer.from_buffer(config)
         self.keep, self.spent = keep, 0
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # the store before it was last emptied; what is met again comes back
         one = self.tokenizer.encode
         alone = one(_BETWEEN, add_special_tokens=False).ids
         self.between = alone[0] if len(alone) == 1 else -1
         self.splits = self.between >= 0 and one(f"ab {_BETWEEN} c", add_special_tokens=False).ids == one("ab", add_special_tokens=False).ids + alone + one("c", add_special_tokens=False).ids and all(one(a + b, add_special_tokens=False).ids == one(a, add_special_tokens=False).ids + one(b, add_special_tokens=False).ids for a in ("a", "Bcd", "7", "xé", "it's") for b in ".,;:!?%)]}>\"&*/_-+=~^`|$#@(<[{\\")
 
+        suffix = json.loads(config).get("model", {}).get("end_of_word_suffix")
+        self.last = np.zeros(0, bool)
+        if suffix and self.splits and len(one("ab cd ef", add_special_tokens=False).ids) == sum(len(one(x, add_special_tokens=False).ids) for x in ("ab", "cd", "ef")):
+            vocabulary = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
     def learn(self, new: set[bytes]) -> None:
         """Puts the ids of stretches not yet known into the store."""
         if not self.splits:
-            return self._learn(sorted(new))
+            return self._learn(list(new))
         cut, parts = [], set()
         for p in new:
+            if p.isalnum():  # ASCII letters and digits
+                parts.add(p)
+                continue
             a = p.rstrip(_MARKS)
             if a and len(a) < len(p) and (a[-1] in _ENDS or (a[-2:-1] and a[-2] in _LEADS and a[-2:] not in _SIGNS)) and b"<|" not in p:
-                cut.append((p, len(a)))
+                cut.append((p, a))
                 parts.add(a)
                 parts.add(p[len(a) :])
             else:
                 parts.add(p)
         known = self.known
-        self._learn(sorted(parts.difference(known)))
-        for p, k in cut:
-            known[p] = known[p[:k]] + known[p[k:]]
+        parts = parts.difference(known)
+        if len(self.last):
+            words = [p for p in parts if p.decode().isalpha()]
+            self._learn_words(words)
+            parts.difference_update(words)
+        self._learn(list(parts))
+        for p, a in cut:
+            known[p] = known[a] + known[p[len(a) :]]
+
+    def _learn_words(self, words: list[bytes]) -> None:
+        """Words of letters alone as texts of many. A word ends with an id of that kind at least once; if there are as many such ids as words, each does once."""
+        known = self.known
+        for k in range(0, len(words), 512):
+            part = words[k : k + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+            if len(ends) != len(part):
+                self._learn(part)
+                continue
+            raw, at = ids.tobytes(), 0
+            for p, end in zip(part, ends.tolist(), strict=True):
+                known[p] = raw[at:end]
+                at = end
 
     def _learn(self, new: list[bytes]) -> None:
         """Many stretches as one text, with a character between them that has an id of its own."""
@@ -202,18 +235,19 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text, 32 bits each, little-endian."""
         out = []
-        for k in range(0, len(texts), 32):
-            split = [t.split() for t in texts[k : k + 32]]
-            if len(self.known) > self.keep or self.spent > KEEP_BYTES:
-                self.known.clear()
-                self.spent = 0
+        for k in range(0, len(texts), 16):
+            split = [t.split() for t in texts[k : k + 16]]
+            if 2 * len(self.known) > self.keep or 2 * self.spent > KEEP_BYTES:
+                self.known, self.older, self.spent = {}, self.known, 0
             new: set[bytes] = set()
             for parts in split:
                 new.update(parts)
             new = new.difference(self.known)  # looks up the new ones; difference_update would go over the store
             self.spent += sum(map(len, new))
-            self.learn(new)
-            known = self.known
+            known, older = self.known, self.older
+            for p in older.keys() & new:
+                known[p] = older[p]
+            self.learn(new.difference(older))
             out += [b"".join([known[p] for p in parts]) for parts in split]
         return out
 
