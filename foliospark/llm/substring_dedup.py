@@ -27,6 +27,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import remove, scratch
 from .common import map_batches, partitions, range_buckets, shared_dir, small_batches, spread_join, text_bytes, written
 from .words import gram_hashes, word_hashes
 
@@ -160,20 +161,21 @@ class FingerprintIndex:
 
         Without recall, of the earlier documents only those that had one of these anchors alone: all others were returned before.
         """
-        rows = written(map_batches(docs.select("doc_id", "text"), _anchor_rows(self.width, self.gram), "h long, doc_id long, twice boolean"))
-        name = self._write(rows.select("h", "doc_id", F.col("twice").alias("shared")))
-        new = self.spark.table(name)
-        shared, hits = [new.filter("shared").select("h")], []
-        for old in map(self.spark.table, self.runs):
-            shared.append(new.join(old.hint("merge"), "h", "left_semi").select("h"))
-            hits.append(old.filter("NOT shared").join(new.hint("merge"), "h", "left_semi").select("doc_id", "h"))
-        met = written(reduce(DataFrame.union, shared).distinct())
-        hits.append(spread_join(rows.select("doc_id", "h"), met, ["h"]).select("doc_id", "h"))
-        path = f"{self.root}/hits_{uuid.uuid4().hex}"
-        reduce(DataFrame.union, hits).write.parquet(path)
-        found = self.spark.read.parquet(path)
-        if recall and self.hits:
-            found = written(found.union(spread_join(self.spark.read.parquet(*self.hits), met, ["h"]).select("doc_id", "h")))
+        with scratch(self.spark):
+            rows = written(map_batches(docs.select("doc_id", "text"), _anchor_rows(self.width, self.gram), "h long, doc_id long, twice boolean"))
+            name = self._write(rows.select("h", "doc_id", F.col("twice").alias("shared")))
+            new = self.spark.table(name)
+            shared, hits = [new.filter("shared").select("h")], []
+            for old in map(self.spark.table, self.runs):
+                shared.append(new.join(old.hint("merge"), "h", "left_semi").select("h"))
+                hits.append(old.filter("NOT shared").join(new.hint("merge"), "h", "left_semi").select("doc_id", "h"))
+            met = written(reduce(DataFrame.union, shared).distinct())
+            hits.append(spread_join(rows.select("doc_id", "h"), met, ["h"]).select("doc_id", "h"))
+            path = f"{self.root}/hits_{uuid.uuid4().hex}"
+            reduce(DataFrame.union, hits).write.parquet(path)
+            found = self.spark.read.parquet(path)
+            if recall and self.hits:
+                found = written(found.union(spread_join(self.spark.read.parquet(*self.hits), met, ["h"]).select("doc_id", "h")), lasting=True)
         self.hits.append(path)
         self.runs.append(name)
         self.log.append(("add", len(self.runs)))
@@ -182,17 +184,19 @@ class FingerprintIndex:
         return found
 
     def compact(self) -> None:
-        """All runs become one; their tables go once it is written. An anchor of two runs is shared, as both of its documents know."""
+        """All runs become one; their tables and files go once it is written. An anchor of two runs is shared, as both of its documents know."""
         # as plain files: a sum over a union of bucketed tables goes without an exchange, but also without the buckets
         name = self._write(self.spark.read.parquet(*[f"{self.root}/{run}" for run in self.runs]))
-        self.drop()
+        self.drop(files=True)
         self.runs = [name]
         self.log.append(("compact", 1))
 
-    def drop(self) -> None:
-        """Takes the runs out of the catalog; their files are the shared folder's."""
+    def drop(self, files: bool = False) -> None:
+        """Takes the runs out of the catalog, and their files from the shared folder if they aren't to be opened again."""
         for name in self.runs:
             self.spark.sql(f"DROP TABLE {name}")
+            if files:
+                remove(self.spark, f"{self.root}/{name}")
         self.runs = []
 
     def verify(self, docs: DataFrame, hits: DataFrame) -> DataFrame:
@@ -243,7 +247,7 @@ def dedup(docs: DataFrame, batches: int = 6, max_runs: int = 4, width: int = WID
         hits.append(own.add(batch, recall=False))
         below = bound
     if index is None:
-        own.drop()
+        own.drop(files=True)
     out = own.verify(docs, reduce(DataFrame.union, hits))
     return out.withColumn("doc_id", F.when(F.col("doc_id") >= LEAST_ID, F.col("doc_id")))
 
