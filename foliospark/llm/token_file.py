@@ -28,7 +28,7 @@ COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 ESCAPE = 15
 MARK, MAGIC = "S8BLOCK\n", b"SIMPLE8B"
-BLOCK_IDS, KEEP, END_ID = 262_144, 400_000, 2
+BLOCK_IDS, KEEP, END_ID = 262_144, 600_000, 2
 #: The stores of stretches have KEEP of them at most, of so many bytes; the newer one becomes the older one when it has half of that.
 KEEP_BYTES = 32 << 20
 #: A file has at most as many blocks, so that a reader holds some 100 MB.
@@ -239,16 +239,14 @@ class Encoder:
             split = [t.split() for t in texts[k : k + 16]]
             if 2 * len(self.known) > self.keep or 2 * self.spent > KEEP_BYTES:
                 self.known, self.older, self.spent = {}, self.known, 0
-            new: set[bytes] = set()
-            for parts in split:
-                new.update(parts)
+            new: set[bytes] = set().union(*split)
             new = new.difference(self.known)  # looks up the new ones; difference_update would go over the store
             self.spent += sum(map(len, new))
             known, older = self.known, self.older
             for p in older.keys() & new:
                 known[p] = older[p]
             self.learn(new.difference(older))
-            out += [b"".join([known[p] for p in parts]) for parts in split]
+            out += [b"".join(map(known.__getitem__, parts)) for parts in split]
         return out
 
 
