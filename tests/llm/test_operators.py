@@ -195,6 +195,43 @@ def test_sampled_likeness():
     assert (fingerprints.Sampler(64, keep=10).signature("b a a") == fingerprints.Sampler(64).signature("a b a")).all()
 
 
+def brute_signature(text, samples=64):
+    """Consistent weighted samples by their formulas, a term and a sample at a time; codes as hex."""
+    m64, f32 = 2**64 - 1, np.float32
+
+    def finish(z):  # splitmix64
+        z = (z ^ (z >> 30)) * 0xBF58476D1CE4E5B9 & m64
+        z = (z ^ (z >> 27)) * 0x94D049BB133111EB & m64
+        return z ^ (z >> 31)
+
+    def uniforms(h, k, lane):
+        bits = finish((h + (3 * k + lane + 1) * 0x9E3779B97F4A7C15) & m64)
+        return (f32(bits >> 40) + f32(0.5)) * f32(2.0**-24), (f32(bits & 0xFFFFFF) + f32(0.5)) * f32(2.0**-24)
+
+    out = [0] * samples
+    least = [None] * samples
+    for term, weight in Counter(text.encode().split()).items():
+        h = xxhash.xxh64_intdigest(term, 1)
+        for k in range(samples):
+            (r1, r2), (c1, c2), (b, _) = (uniforms(h, k, lane) for lane in range(3))
+            r = -np.log(r1) - np.log(r2)  # Gamma(2, 1)
+            c = -np.log(c1) - np.log(c2)
+            t = np.floor(np.log(f32(weight)) / r + b)
+            log_a = np.log(c) - r * (t - b) - r  # ln of c / (y exp(r)), y = exp(r (t - b))
+            if least[k] is None or log_a < least[k]:
+                least[k], out[k] = log_a, finish(h ^ finish((int(t) + 0x9E3779B97F4A7C15) & m64)) >> 48
+    return "".join(f"{x:04x}" for x in out)
+
+
+def test_signatures(given, spark):
+    """The query's samples, of texts that repeat words and of texts that don't, against the formulas."""
+    rows = sorted((r.doc_id, r.text) for r in given.collect() if len(r.text or "") < 1500)[:12]
+    rows += [(-1, ""), (-2, "a"), (-3, "a a a b b c"), (-4, "a a a b b c " * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in fingerprints.edited_likeness(docs).collect():
+        assert r.fingerprint == brute_signature(dict(rows)[r.doc_id]) and r.edited_fingerprint == brute_signature(r.edited_text)
+
+
 def test_edited(odd, given, none, spark):
     single = spark.createDataFrame([(5, "abcdef")], "doc_id long, text string")
     for docs in (given, single, odd.dropDuplicates(["doc_id"])):
