@@ -86,7 +86,7 @@ def dom_nav_links(spark, d):
 
 @query("""SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<nav>.*?<a href="[^"]*">([^<]*)</a>', 1), '\\s+', ' ', 'g')) AS text FROM pages WHERE html LIKE '%<nav>%<a %'""")
 def dom_first_link_text(spark, d):
-    """The own text of the first link in the navigation's list."""
+    """The own text of the first link in the navigation's list."""
     nodes = sources_pages.node_table(_t(spark, d, "pages"))
     found = dom.at(dom.within(dom.elements(nodes, "a"), dom.elements(nodes, "nav")), [0])
     return dom.own_text(nodes, found).select("page_id", "text")

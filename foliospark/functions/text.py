@@ -37,7 +37,9 @@ def nfkc(x: pd.Series) -> pd.Series:
 def relevance_key(x: Column, compose: bool = True) -> Column:
     """What titles and names are compared by: compatibility characters folded (in a pandas UDF; not without compose), lower case, without decoration."""
     x = F.coalesce(x, F.lit(""))
-    return F.translate(F.lower(nfkc(x) if compose else x), DECORATION, "")
+    # ASCII texts, which it doesn't change, don't go to Python
+    composed = F.coalesce(nfkc(F.when(~x.rlike(r"^\p{ASCII}*$"), x)), x) if compose else x
+    return F.translate(F.lower(composed), DECORATION, "")
 
 
 def is_true(x: Column) -> Column:

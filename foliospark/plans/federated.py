@@ -34,7 +34,7 @@ def page_hits(sources: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFram
     matches = written(met.select("source_id", "page_id", "page_url", "pattern", F.posexplode_outer(whole).alias("ord", "m")))
     group = lambda g: F.get(F.regexp_extract_all(F.col("m"), F.col("pattern"), F.lit(g)), F.lit(0))
     rows = matches.filter("m IS NOT NULL").select("source_id", "page_id", "ord", F.btrim(F.regexp_replace(group(2), "<[^>]*>", "")).alias("title"), F.lit(None).cast("string").alias("author"), group(1).alias("u"), "page_url", F.lit(None).cast("string").alias("kind")).filter("title <> ''")
-    rows = rows.select("source_id", "page_id", "ord", "title", "author", absolute_url(F.col("u"), F.col("page_url")).alias("url"), "kind", (F.col("page_id") * 100_000 + F.col("ord")).alias("arrival"))
+    rows = rows.select("source_id", "page_id", "ord", "title", "author", absolute_url(F.col("u"), F.col("page_url")).alias("url"), "kind", F.struct("page_id", "ord").alias("arrival"))
     counts = matches.groupBy("source_id").agg(F.count_if(F.btrim(F.regexp_replace(group(2), "<[^>]*>", "")) != "").alias("__hits"))
     errors = sources.select("source_id").join(counts, "source_id", "left").filter("coalesce(__hits, 0) = 0")
     return rows, errors.select("source_id", F.when(F.col("__hits").isNotNull(), "NO_HITS").otherwise("NO_PAGE").alias("code"))
