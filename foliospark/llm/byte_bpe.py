@@ -229,5 +229,5 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5_byte_bpe over all documents."""
     out = encode(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), decoded=True)
-    listed = F.translate(F.col("ids").cast("string"), "[] ", "")
+    listed = F.btrim(F.replace(F.col("ids").cast("string"), F.lit(", "), F.lit(",")), F.lit("[]"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import remove, scratch
+from . import common
 from .common import map_batches, partitions, range_buckets, shared_dir, small_batches, spread_join, text_bytes, written
 from .words import gram_hashes, word_hashes
 
@@ -123,7 +124,7 @@ def _cut_rows(width: int, gram: int):
     return make
 
 
-_RUN = "h BIGINT, doc_id BIGINT, shared BOOLEAN"
+_RUN = "h BIGINT, doc_id BIGINT, shared BOOLEAN, n BIGINT"
 
 
 class FingerprintIndex:
@@ -148,14 +149,23 @@ class FingerprintIndex:
         return index
 
     def _write(self, rows: DataFrame) -> str:
-        """A run of rows (h, doc_id, shared), those of one anchor as one. The sum's exchange is the buckets', so that each is one sorted file."""
+        """A run of rows (h, doc_id, shared, n), those of one anchor as one; n is the number of documents. The sum's exchange is the buckets', so that each is one sorted file."""
         name = f"fingerprint_run_{uuid.uuid4().hex}"
-        run = rows.groupBy("h").agg(F.min("doc_id").alias("doc_id"), (F.bool_or("shared") | (F.count("*") > 1)).alias("shared"))
+        run = rows.groupBy("h").agg(F.min("doc_id").alias("doc_id"), (F.bool_or("shared") | (F.sum("n") > 1)).alias("shared"), F.sum("n").alias("n"))
         if self.buckets != partitions(self.spark):
             run = run.repartition(self.buckets, "h")
         run.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.root}/{name}").saveAsTable(name)
         return name
 
+    def _met(self, rows: DataFrame, met: DataFrame, run: DataFrame) -> DataFrame:
+        """rows whose h is in met. Anchors of very many documents, which the run names, are not shuffled on the way."""
+        if met.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS:
+            return rows.join(F.broadcast(met), "h", "left_semi")
+        most = max(common.HOT_ROWS, rows.count() // common.HOT_KEYS)
+        hot = written(run.filter(F.col("n") > most).select("h"))  # fewer than HOT_KEYS, all of them met
+        rest = rows.join(F.broadcast(hot), "h", "left_anti").join(met, "h", "left_semi")
+        return rows.join(F.broadcast(hot), "h", "left_semi").union(rest)
+
     def add(self, docs: DataFrame, recall: bool = True) -> DataFrame:
         """Adds (doc_id, text) as a new run. Returns (doc_id, h): the new documents' shared anchors, and the earlier documents' with these.
 
@@ -163,14 +173,14 @@ class FingerprintIndex:
         """
         with scratch(self.spark):
             rows = written(map_batches(docs.select("doc_id", "text"), _anchor_rows(self.width, self.gram), "h long, doc_id long, twice boolean"))
-            name = self._write(rows.select("h", "doc_id", F.col("twice").alias("shared")))
+            name = self._write(rows.select("h", "doc_id", F.col("twice").alias("shared"), F.lit(1).cast("long").alias("n")))
             new = self.spark.table(name)
             shared, hits = [new.filter("shared").select("h")], []
             for old in map(self.spark.table, self.runs):
                 shared.append(new.join(old.hint("merge"), "h", "left_semi").select("h"))
                 hits.append(old.filter("NOT shared").join(new.hint("merge"), "h", "left_semi").select("doc_id", "h"))
             met = written(reduce(DataFrame.union, shared).distinct())
-            hits.append(spread_join(rows.select("doc_id", "h"), met, ["h"]).select("doc_id", "h"))
+            hits.append(self._met(rows.select("doc_id", "h"), met, new).select("doc_id", "h"))
             path = f"{self.root}/hits_{uuid.uuid4().hex}"
             reduce(DataFrame.union, hits).write.parquet(path)
             found = self.spark.read.parquet(path)
