@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NO_ID, Shared, in_ranges, map_batches, shared_dir, small_batches, text_bytes, with_range, written
+from .common import NO_ID, Shared, in_ranges, map_batches, shared_dir, small_batches, with_range, written
 
 #: Ids in a word, and bits of each, by selector.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
@@ -31,6 +32,8 @@ MARK, MAGIC = "S8BLOCK\n", b"SIMPLE8B"
 BLOCK_IDS, KEEP, END_ID = 262_144, 600_000, 2
 #: The stores of stretches have KEEP of them at most, of so many bytes; the newer one becomes the older one when it has half of that.
 KEEP_BYTES = 32 << 20
+#: Texts of about so many bytes are encoded at once.
+SLICE = 1 << 21
 #: A file has at most as many blocks, so that a reader holds some 100 MB.
 FILE_BLOCKS = 128
 _HEAD = struct.Struct("<8sqqqq")  # magic, range, first id's place in the range, documents, words
@@ -232,22 +235,51 @@ class Encoder:
                 self.known[p] = raw[4 * at : 4 * end]
                 at = end + 1
 
+    def _ids_of(self, stretches: list[bytes]) -> list[bytes]:
+        """The ids of distinct stretches."""
+        if 2 * len(self.known) > self.keep or 2 * self.spent > KEEP_BYTES:
+            self.known, self.older, self.spent = {}, self.known, 0
+        known, older = self.known, self.older
+        new = {p for p in stretches if p not in known}
+        self.spent += sum(map(len, new))
+        for p in older.keys() & new:
+            known[p] = older[p]
+        self.learn(new.difference(older))
+        return list(map(known.__getitem__, stretches))
+
+    def encode_column(self, texts: pa.Array, end: int | None = None) -> pa.Array:
+        """The ids of each text of a string column (null: none), 32 bits each, little-endian, as a binary column; end is put after each.
+
+        Arrow cuts the texts at white space and numbers the distinct stretches, whose ids are then gathered at once.
+        """
+        parts, at, most = [], 0, min(SLICE, KEEP_BYTES // 2)  # the store's bound holds with a slice's own stretches
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        while at < len(texts):
+            upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+            parts.append(self._encode_slice(texts.slice(at, upto - at), end))
+            at = upto
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+    def _encode_slice(self, texts: pa.Array, end: int | None) -> pa.Array:
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        ends_of_texts = np.cumsum(pc.list_value_length(words).to_numpy())
+        numbered = words.flatten().dictionary_encode()
+        ids = self._ids_of(numbered.dictionary.cast(pa.binary()).to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(sizes) - sizes
+        code = numbered.indices.to_numpy()
+        here = sizes[code]
+        upto = np.cumsum(here)
+        flat = np.frombuffer(b"".join(ids), "<u4")[np.arange(int(here.sum())) + np.repeat(first[code] - (upto - here), here)]
+        bounds = np.concatenate([[0], np.concatenate([[0], upto])[ends_of_texts]])
+        if end is not None:
+            flat = np.insert(flat, bounds[1:], end)
+            bounds = bounds + np.arange(len(bounds))
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((bounds * 4).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(flat, "<u4"))])
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text, 32 bits each, little-endian."""
-        out = []
-        for k in range(0, len(texts), 16):
-            split = [t.split() for t in texts[k : k + 16]]
-            if 2 * len(self.known) > self.keep or 2 * self.spent > KEEP_BYTES:
-                self.known, self.older, self.spent = {}, self.known, 0
-            new: set[bytes] = set().union(*split)
-            new = new.difference(self.known)  # looks up the new ones; difference_update would go over the store
-            self.spent += sum(map(len, new))
-            known, older = self.known, self.older
-            for p in older.keys() & new:
-                known[p] = older[p]
-            self.learn(new.difference(older))
-            out += [b"".join(map(known.__getitem__, parts)) for parts in split]
-        return out
+        return self.encode_column(pa.array(texts, pa.binary()).cast(pa.string())).to_pylist()
 
 
 _ENCODER: list = []
@@ -277,13 +309,11 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     small_batches(spark)
     with open(tokenizer or default_tokenizer(), "rb") as f:
         shared = Shared(spark, f.read())
-    end = b"" if end_id is None else end_id.to_bytes(4, "little")
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ranged, ranges = with_range(docs, "doc_id")
 
     def ids_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = _encoder(shared).encode(text_bytes(batch.column(1)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x + end for x in ids], pa.binary()), batch.column(2)], ["doc_id", "ids", "range"])
+        return pa.RecordBatch.from_arrays([batch.column(0), _encoder(shared).encode_column(batch.column(1), end_id), batch.column(2)], ["doc_id", "ids", "range"])
 
     rows = in_ranges(map_batches(ranged.select("doc_id", "text", "range"), ids_of, "doc_id long, ids binary, range int"), ranges, "doc_id", "ids")
 

@@ -519,7 +519,7 @@ def test_stores_are_bounded_in_bytes(monkeypatch):
     assert all((large.signature(t) == x).all() for t, x in zip(texts, signed, strict=True)) and sum(len(t) for t, _ in small.rows) < 60_000
 
 
-def test_words_told_apart_by_their_ends(given):
+def test_words_told_apart_by_their_ends(given, monkeypatch):
     """Words of letters whose normal form has other signs, other cases, marks, and what was met before the store was emptied: ids as the library gives them."""
     with open(token_file.default_tokenizer(), "rb") as f:
         encoder = token_file.Encoder(f.read(), keep=60)
@@ -528,8 +528,17 @@ def test_words_told_apart_by_their_ends(given):
     words = ["\u0958\u0915", "Ångström", "e\u0301t", "ΣΑΣ", "İstanbul", "ﬁne", "straße", "日本語", "don't", "x" * 300, "ab,cd", "Word.", "word", "¼", "２", "ªº", "ǅ", "a\u200db", "\ufb1d"] + [r.text[k : k + 9].strip() or "a" for r in given.limit(40).collect() for k in (0, 30, 60) if r.text]
     texts = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(200)]
     expected = [np.array(x.ids, "<u4").tobytes() for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert encoder.encode([t.encode() for t in texts]) == expected
-    assert encoder.older and len(encoder.known) <= 60 + 16 * 30 * 3
+    found = [x for k in range(0, 200, 5) for x in encoder.encode([t.encode() for t in texts[k : k + 5]])]
+    assert found == expected
+    assert encoder.older and len(encoder.known) <= 60 + 5 * 30 * 3
+    # a column with nulls, sliced, cut into many pieces, with an end after each text
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_file, "SLICE", 500)
+    column = pa.array([None, "x", *texts[:50], "", None, " \t", "z"]).slice(1)
+    ends = [np.array([*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes() for t in column.to_pylist()]
+    assert encoder.encode_column(column, 2).to_pylist() == ends and len(ends) == 55
+    assert encoder.encode_column(column.slice(0, 0)).to_pylist() == []
 
 
 def test_token_file(odd, given, none, spark, tmp_path):
