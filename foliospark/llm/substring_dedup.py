@@ -74,8 +74,8 @@ def _candidates(text: bytes, hits: np.ndarray, width: int, gram: int) -> tuple[n
     return starts, gram_hashes(two, width)[starts], own[starts]
 
 
-def _window_rows(width: int, gram: int):
-    """The first start in the row of each candidate window."""
+def _window_rows(width: int, gram: int, numbered: bool):
+    """The first start in the row of each candidate window, with the row's number if they are numbered."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         out = [[], [], [], [], []]
@@ -88,7 +88,7 @@ def _window_rows(width: int, gram: int):
                     part.append(x)
         if not out[0]:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["w", "h", "doc_id", "start", "num"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out[: 4 + numbered]], ["w", "h", "doc_id", "start", "num"][: 4 + numbered])
 
     return make
 
@@ -220,7 +220,7 @@ class FingerprintIndex:
         num = F.col("num") if ties else F.lit(0).cast("long").alias("num")
         hits = written(hits.groupBy("doc_id").agg(F.collect_set("h").alias("hits")))
         candidates = docs.join(hits, "doc_id")
-        windows = map_batches(candidates.select("doc_id", "text", "hits", num), _window_rows(self.width, self.gram), "w long, h int, doc_id long, start int, num long")
+        windows = map_batches(candidates.select("doc_id", "text", "hits", num), _window_rows(self.width, self.gram, ties), "w long, h int, doc_id long, start int" + ", num long" * ties)
         if ties:
             firsts = windows.groupBy("w", "h").agg(F.min(F.struct("doc_id", "num", "start")).alias("f")).select("f.*")
         else:
@@ -256,9 +256,10 @@ def dedup(docs: DataFrame, batches: int = 6, max_runs: int = 4, width: int = WID
         batch = batch if bound is None else batch.filter(F.col("doc_id") <= bound)
         hits.append(own.add(batch, recall=False))
         below = bound
-    if index is None:
-        own.drop(files=True)
     out = own.verify(docs, reduce(DataFrame.union, hits))
+    if index is None:  # the hits are gathered by now
+        own.drop()
+        remove(spark, own.root)
     return out.withColumn("doc_id", F.when(F.col("doc_id") >= LEAST_ID, F.col("doc_id")))
 
 
