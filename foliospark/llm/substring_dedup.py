@@ -158,8 +158,9 @@ class FingerprintIndex:
         return name
 
     def _met(self, rows: DataFrame, met: DataFrame, run: DataFrame) -> DataFrame:
-        """rows whose h is in met. Anchors of very many documents, which the run names, are not shuffled on the way."""
-        if met.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS:
+        """rows whose h is in met, which is broadcast up to a million (of 8 bytes each). Anchors of very many documents, which the run names, are not shuffled on the way."""
+        few = 10 * common.BROADCAST_ROWS
+        if met.limit(few + 1).count() <= few:
             return rows.join(F.broadcast(met), "h", "left_semi")
         most = max(common.HOT_ROWS, rows.count() // common.HOT_KEYS)
         hot = written(run.filter(F.col("n") > most).select("h"))  # fewer than HOT_KEYS, all of them met
