@@ -80,18 +80,19 @@ def _steps(pages: DataFrame, max_pages: int) -> DataFrame:
     return reached.join(pages, ["start", "url"])
 
 
-def stopped(pages: DataFrame, max_pages: int = 50, stop: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def stopped(pages: DataFrame, max_pages: int = 50, stop: DataFrame | None = None, count_lost: bool = True) -> tuple[DataFrame, DataFrame]:
     """How each chain of pages (start, url, next, items array) ends: (start, pages, n_items, stopped_by), and its items (start, step, place, item).
 
     A chain ends at a page without items (zero-new), at one without new items (loop), before an address of stop (url) (chapter-boundary), without a
     next page that it hasn't read (end), or at the limit (cap); of several reasons at a page the first one counts. An item stands
-    once, where it comes first. A next page that isn't there has no items; a start without its own page has no row. Null items are
+    once, where it comes first. A next page that isn't there has no items, and is one of the chain's pages if count_lost; a start without its own page has no row. Null items are
     none. No chain is walked page by page.
     """
     none = F.array().cast("array<string>")
     rows = pages.select("start", "url", "next", F.coalesce("items", none).alias("items"))
     lost = rows.filter("next IS NOT NULL").select("start", F.col("next").alias("url")).distinct().join(rows.select("start", "url"), ["start", "url"], "left_anti")
-    rows = _written(rows.unionByName(lost.select("start", "url", F.lit(None).cast("string").alias("next"), none.alias("items"))))
+    rows = rows.withColumn("lost", F.lit(0)).unionByName(lost.select("start", "url", F.lit(None).cast("string").alias("next"), none.alias("items"), F.lit(1).alias("lost")))
+    rows = _written(rows)
     walked = _written(_steps(rows, max_pages))
     said = walked.select("start", "step", F.posexplode("items").alias("place", "item"))
     first = _written(said.groupBy("start", "item").agg(F.min(F.struct("step", "place")).alias("at")).select("start", F.col("at.step").alias("step"), F.col("at.place").alias("place"), "item"))
@@ -104,11 +105,12 @@ def stopped(pages: DataFrame, max_pages: int = 50, stop: DataFrame | None = None
         state = state.withColumn("other", F.lit(False))
     on = F.col("next").isNotNull() & F.coalesce(F.col("next_step") > F.col("step"), F.lit(True))
     why = F.when(F.size("items") == 0, "zero-new").when(F.col("n_new").isNull(), "loop").when(on & F.coalesce("other", F.lit(False)), "chapter-boundary").when(~on, "end").when(F.col("step") == max_pages - 1, "cap")
-    ends = state.withColumn("why", why).filter("why IS NOT NULL").groupBy("start").agg(F.min(F.struct("step", "why")).alias("e"))
-    ends = _written(ends.select("start", F.col("e.step").alias("last"), F.col("e.why").alias("stopped_by")))
+    ends = state.withColumn("why", why).filter("why IS NOT NULL").groupBy("start").agg(F.min(F.struct("step", "why", "lost")).alias("e"))
+    read = F.col("e.step") + 1 - (0 if count_lost else F.col("e.lost"))
+    ends = _written(ends.select("start", F.col("e.step").alias("last"), read.cast("long").alias("pages"), F.col("e.why").alias("stopped_by")))
     items = first.join(ends.select("start", "last"), "start").filter("step <= last").drop("last")
     counts = items.groupBy("start").agg(F.count("*").alias("n_items"))
-    return ends.join(counts, "start", "left").select("start", (F.col("last") + 1).cast("long").alias("pages"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), "stopped_by"), items
+    return ends.join(counts, "start", "left").select("start", "pages", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), "stopped_by"), items
 
 
 def visits(starts: DataFrame, links: DataFrame) -> DataFrame:

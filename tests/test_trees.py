@@ -2,8 +2,10 @@
 
 import random
 
+import duckdb
 import pytest
 
+from foliospark import catalog, catalog_trees  # noqa: F401
 from foliospark.operators import anchors, chains, ordered, paginate
 from foliospark.operators.chains import Step
 from foliospark.sources.pages import element_chains
@@ -179,3 +181,14 @@ def test_cache_lives(spark, ttl):
             since, life = (t, life + 1) if fresh else (since, life)
             expected[k, t] = (fresh, life)
     assert found == expected
+
+
+@pytest.mark.parametrize("n", [2, 9, 40, 141])
+def test_chain_stops_of_a_cut_block(spark, tmp_path, n):
+    """The last block ends early: the page that its last one names isn't there, and isn't counted."""
+    rows = [(i, f"http://x/{i}", f'<nav><a href="/w{i}">w</a><a href="/v{i % 3}">v</a></nav>') for i in range(n)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    found = catalog.QUERIES["chain_stops"](spark, str(tmp_path)).select("block", "pages", "n_items", "stopped_by")
+    assert sorted(map(tuple, found.collect())) == sorted(con.execute(catalog.SQL["chain_stops"]).fetchall())
