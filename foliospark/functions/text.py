@@ -67,7 +67,9 @@ def short_author(x: Column) -> Column:
 def word_count_label(x: Column) -> Column:
     """A count as it is shown: whole numbers get a unit, over 10,000 in ten thousands with one half-even decimal; other texts stay."""
     n = x.try_cast("bigint")
-    tens = F.bround(n.cast("float").cast("double") / 10000, 1)
+    # a cast to float that is cast again at once is optimised away, and with it the rounding to a float
+    single = (n.cast("float") * F.lit(1.0).cast("float")).cast("double")
+    tens = F.bround(single / 10000, 1)
     label = F.when(n <= 0, "").when(n <= 10000, F.concat(n.cast("string"), F.lit("字"))).otherwise(F.concat(F.regexp_replace(F.format_string("%.1f", tens), r"\.0$", ""), F.lit("万字")))
     return F.when(x.rlike("^-?[0-9]+$"), label).otherwise(x)
 

@@ -56,3 +56,9 @@ def test_interpolated(spark):
 def test_numbers(spark):
     assert values(spark, fv.whole_number, ["１２ 3", "-5", "二十一", "", " ", "x", None]) == [123, -5, 21, -1, -1, -1, None]
     assert values(spark, fv.numbered_title, ["第二十一章 x", "卷第３章第四章", "no", "第x章", ""]) == ["第21章 x", "卷第3章第四章", "no", "第-1章", ""]
+
+
+def test_word_count_labels(spark):
+    """Counts beyond a float's 24 bits are rounded to a float first."""
+    xs = ["0", "10000", "12500", "16782501", "17115499", "18776501", "19109499", "x"]
+    assert values(spark, fx.word_count_label, xs) == ["", "10000字", "1.2万字", "1678.2万字", "1711.6万字", "1877.6万字", "1911万字", "x"]
