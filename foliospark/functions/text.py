@@ -113,6 +113,14 @@ def looks_like_html(x: Column) -> Column:
     return x.rlike(rf"(?i)</?(?:{'|'.join((*BLOCK_TAGS, *INLINE_TAGS))}){ATTRIBUTES}\s*/?>")
 
 
+def closed_references(html: Column) -> Column:
+    """HTML in which only references that end with a semicolon are read as such: the & of others, as of &amp cut short, is written as &amp; (in scripts, too).
+
+    HTML5 also decodes some old names without the semicolon.
+    """
+    return F.regexp_replace(html, "&(?!(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);)", "&amp;")
+
+
 #: Elements that begin a line of an introduction (by the beginning of their names), entities and characters that are blanks or nothing.
 INTRO_LINES = r"div|p|br|hr|h\d|article|dd|dl"
 INTRO_BLANKS = "(?:&nbsp;)+|&ensp;|&emsp;"

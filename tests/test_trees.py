@@ -192,3 +192,13 @@ def test_chain_stops_of_a_cut_block(spark, tmp_path, n):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     found = catalog.QUERIES["chain_stops"](spark, str(tmp_path)).select("block", "pages", "n_items", "stopped_by")
     assert sorted(map(tuple, found.collect())) == sorted(con.execute(catalog.SQL["chain_stops"]).fetchall())
+
+
+def test_article_text_of_cut_references(spark, tmp_path):
+    """A reference without its semicolon stays as it stands."""
+    rows = [(0, "u", "<article><h1>a&amp</h1><p>b &amp; c&lt;d &notit &am & e&amp;lt;</p></article>"), (1, "u", "<article>&amp&amp;&gt</article>"), (2, "u", "<p>x&amp</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    found = sorted(map(tuple, catalog.QUERIES["dom_article_text"](spark, str(tmp_path)).collect()))
+    assert found == sorted(con.execute(catalog.SQL["dom_article_text"]).fetchall()) == [(0, "a&amp\nb & c<d &notit &am & e&lt;"), (1, "&amp&&gt")]
