@@ -10,7 +10,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import shared_dir, spread, written  # noqa: F401
+from ..shared import shared_dir, small_batches, spread, written  # noqa: F401
 
 #: Lookup tables of up to this many rows (with bounded rows) are broadcast.
 BROADCAST_ROWS = 100_000
@@ -26,13 +26,6 @@ HOT_KEYS, HOT_ROWS = 50_000, 1_000
 NO_ID = -(2**63)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows and 16 MB, so that a batch of long texts stays small. Settings that aren't Spark's defaults stay."""
-    for name, default, value in (("maxRecordsPerBatch", ("10000",), rows), ("maxBytesPerBatch", ("67108864b", "64MB"), 16 << 20)):
-        if spark.conf.get(f"spark.sql.execution.arrow.{name}") in default:
-            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
-
-
 def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", elements: Column | None = None) -> DataFrame:
     """Joins a lookup table with one row for each key to rows of which one key may have a third.
 

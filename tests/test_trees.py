@@ -4,11 +4,12 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark import catalog, catalog_trees  # noqa: F401
 from foliospark.operators import anchors, chains, ordered, paginate
 from foliospark.operators.chains import Step
-from foliospark.sources.pages import element_chains
+from foliospark.sources.pages import MOST_ROWS, element_chains, nodes
 from foliospark.streaming import limits
 
 
@@ -202,3 +203,16 @@ def test_article_text_of_cut_references(spark, tmp_path):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     found = sorted(map(tuple, catalog.QUERIES["dom_article_text"](spark, str(tmp_path)).collect()))
     assert found == sorted(con.execute(catalog.SQL["dom_article_text"]).fetchall()) == [(0, "a&amp\nb & c<d &notit &am & e&lt;"), (1, "&amp&&gt")]
+
+
+@pytest.mark.parametrize("read", [nodes, element_chains])
+def test_batches_of_nodes_are_small(spark, read):
+    """Pages go to Python in small batches, and their nodes come back in several; none is lost."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(setting, "10000")
+    pages = spark.range(3000).coalesce(1).select(F.col("id").alias("page_id"), F.concat(F.lit("<ul>"), F.repeat(F.lit("<li>x</li>"), 20), F.lit("</ul>")).alias("html"))
+    counts = read(pages).groupBy("page_id").count()
+    each = 41 if read is nodes else 21
+    assert 500 * each > MOST_ROWS
+    assert int(spark.conf.get(setting)) <= 500
+    assert counts.agg(F.count("*"), F.min("count"), F.max("count")).first()[:] == (3000, each, each)
