@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shelf_filter(kind: str) -> Column:
@@ -19,20 +20,16 @@ def shelf_sort(shelf: DataFrame) -> DataFrame:
 def current_item(positions: DataFrame, items: DataFrame, group: str) -> DataFrame:
     """positions (group, pos) with the item at each: the last in order that starts at or before it, the first one if none does.
 
-    Items (group, ord, start); those without a start are holes. Both sides are laid out in one order and
-    each position takes the last item before it, so that nothing is paired.
+    Items (group, ord, start); those without a start are holes. Both sides are laid out in one order, one shuffle
+    and one sort for both, and each position takes the largest order before it, so that nothing is paired.
     """
-    from pyspark.sql.window import Window
-
-    held = items.filter("start IS NOT NULL")
-    best = held.withColumn("top", F.max("ord").over(Window.partitionBy(group).orderBy("start").rangeBetween(Window.unboundedPreceding, 0)))
-    marks = best.groupBy(group, F.col("start").alias("at")).agg(F.max("top").alias("top")).withColumn("kind", F.lit(0)).withColumn("pos", F.lit(None).cast("double"))
-    asked = positions.select(group, F.col("pos").cast("double").alias("at"), F.lit(None).cast("int").alias("top"), F.lit(1).alias("kind"), F.col("pos").cast("double").alias("pos"))
-    rows = marks.select(group, F.col("at").cast("double").alias("at"), F.col("top").cast("int").alias("top"), "kind", "pos").union(asked)
-    w = Window.partitionBy(group).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.withColumn("item", F.last("top", ignorenulls=True).over(w)).filter("kind = 1")
-    first = held.groupBy(group).agg(F.min("ord").cast("int").alias("__first"))
-    return found.join(first, group, "left").select(group, "pos", F.coalesce("item", "__first").alias("item"))
+    row = lambda df, at, kind: df.select(group, F.col(at).cast("double").alias("at"), (F.col("ord") if kind == 0 else F.lit(None)).cast("int").alias("ord"), F.lit(kind).cast("byte").alias("kind"))
+    rows = row(items.filter("start IS NOT NULL"), "start", 0).union(row(positions, "pos", 1))
+    by = Window.partitionBy(group).orderBy("at", "kind")
+    before = F.max("ord").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    first = F.min("ord").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    found = rows.withColumn("item", F.coalesce(before, first)).filter("kind = 1")
+    return found.select(group, F.col("at").alias("pos"), "item")
 
 
 def next_missing(slots: DataFrame, group: str, position: int) -> DataFrame:

@@ -66,3 +66,16 @@ def test_epub(spark, tmp_path):
     assert [(rows["one.epub", "document", i].href, rows["one.epub", "document", i].content) for i in range(2)] == [("O/c.xhtml", "<p>C</p>"), ("O/a b.xhtml", "<p>A</p>")]
     assert [(rows["one.epub", "navigation", i].title, rows["one.epub", "navigation", i].href, rows["one.epub", "navigation", i].depth) for i in range(2)] == [("C 1", "O/c.xhtml", 0), ("A", "O/a b.xhtml#x", 1)]
     assert rows["two.epub", "navigation", 0].title == "N" and rows["bad.epub", "error", 0].error and len(rows) == 8
+
+
+def test_current_item_in_one_order(spark):
+    """One shuffle and one sort for both sides; several positions of a group, holes, ties, none before."""
+    from foliospark.operators import shelf
+
+    items = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 3.0), ("a", 3, 5.0), ("a", 4, None), ("b", 7, 9.0), ("b", 8, 10.0)], "g string, ord int, start double")
+    positions = spark.createDataFrame([("a", 4.0), ("a", 5.0), ("a", 1.0), ("a", None), ("b", 2.0), ("b", 99.0), ("c", 1.0)], "g string, pos double")
+    out = shelf.current_item(positions, items, "g")
+    expected = {("a", 4.0, 2), ("a", 5.0, 3), ("a", 1.0, 1), ("a", None, 1), ("b", 2.0, 7), ("b", 99.0, 8), ("c", 1.0, None)}
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(expected, key=str)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window") == 1 and "Join" not in plan and "Aggregate" not in plan
