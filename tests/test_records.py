@@ -2,10 +2,13 @@
 
 import random
 from collections import deque
+from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from foliospark import catalog, catalog_trees  # noqa: F401
 from foliospark.operators import paginate, records
 from foliospark.operators.chains import Step
 from foliospark.operators.records import Field
@@ -134,3 +137,31 @@ def test_files(spark, tmp_path):
     rows = {r.file: (r.reason, bytes(r.content)) for r in aside.select(name, "reason", "content").collect()}
     reasons = {"cut.json": "NOT_JSON", "kind.json": "OTHER_KIND", "blank.json": "EMPTY", "none.json": "EMPTY", "latin.json": "NOT_UTF8"}
     assert rows == {f: (reason, contents[f]) for f, reason in reasons.items()}
+
+
+def test_bundled_files(spark, tmp_path):
+    contents = {"a.json": b'[{"n": 1},\n {"n": 2}]', "b.json": b"[]", "mark.json": b"\xef\xbb\xbf[3]", "cut.json": b'[{"n": 1}', "kind.json": b'{"n": 1}', "blank.json": b" \n", "none.json": b"", "latin.json": b'["\xe9\x00"]'}
+    (tmp_path / "loose").mkdir()
+    for name, data in contents.items():
+        (tmp_path / "loose" / name).write_bytes(data)
+    loose = spark.read.format("binaryFile").load(str(tmp_path / "loose"))
+    nothing = spark.createDataFrame([("/none.json", None, None)], "path string, content binary, modificationTime timestamp")
+    files.bundle(loose.select("path", "content", "modificationTime").union(nothing).repartition(2), str(tmp_path / "bundles"))
+    values, aside = files.read_bundled_json(spark, str(tmp_path / "bundles"))
+    name = F.regexp_extract("file", r"([^/]*)$", 1).alias("file")
+    assert {(r.file, r.v) for r in values.select(name, F.to_json("value").alias("v")).collect()} == {("a.json", '[{"n":1},{"n":2}]'), ("b.json", "[]"), ("mark.json", "[3]")}
+    rows = {r.file: (r.reason, bytes(r.content)) for r in aside.select(name, "reason", "content").collect()}
+    reasons = {"cut.json": "NOT_JSON", "kind.json": "OTHER_KIND", "blank.json": "EMPTY", "none.json": "EMPTY", "latin.json": "NOT_UTF8"}
+    assert rows == {f: (reason, contents[f]) for f, reason in reasons.items()}
+
+
+def test_many_files_are_few_on_disk(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT i AS c_custkey, 'c' || i AS c_name FROM range(3000) t(i)) TO '{tmp_path}/in/customer.parquet'")
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/in/customer.parquet'")
+    monkeypatch.setattr(catalog_trees, "shared_dir", lambda spark: f"file://{tmp_path}/files")
+    found = catalog.QUERIES["quarantined_files"](spark, str(tmp_path / "in"))
+    rows = found.select("block", "reason", "n", "total").collect()
+    assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, con.execute(catalog.SQL["quarantined_files"]).fetchall()))
+    assert 0 < sum(p.is_file() and p.name.startswith("part-") for p in Path(tmp_path, "files").rglob("*")) <= 8  # of 150 blocks
