@@ -142,20 +142,35 @@ def read_blocks(file: bytes) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         yield part, first, table, ids
 
 
-#: ASCII marks that may end a stretch (no apostrophe, which may belong to what is before it), and what stands
-#: before them: a letter or digit, or a letter of U+00C0 to U+024F (not the signs among them, nor the dotted I,
+#: ASCII marks that may end a stretch (no apostrophe, which may belong to what is before it), and the bytes that
+#: may stand before them: a letter or digit, or the last two of a letter of U+00C0 to U+024F (not the signs among them, nor the dotted I,
 #: which ends in a mark in lower case).
-_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_ENDS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_ENDS, _LEADS = np.zeros(256, bool), np.zeros(256, bool)
+_ENDS[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = True
+_LEADS[0xC3:0xCA] = True
+_SIGNS = [0xC397, 0xC3B7, 0xC4B0]
 _BETWEEN = "\x01"
-_LEADS, _SIGNS = frozenset(range(0xC3, 0xCA)), (b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0")
+
+
+def _bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column without nulls, and where each value begins and the last one ends."""
+    _, bounds, data = strings.cast(pa.string()).buffers()
+    return np.frombuffer(data or b"", np.uint8), np.frombuffer(bounds, np.int32)[strings.offset :][: len(strings) + 1].astype(np.int64)
+
+
+def _gathered(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of flat, sizes long from first on, one after another."""
+    upto = np.cumsum(sizes)
+    return flat[np.arange(int(sizes.sum())) + np.repeat(first - (upto - sizes), sizes)]
 
 
 class Encoder:
-    """Ids of texts by a tokenizers file; keeps the ids of stretches without white space that it has seen.
+    """Ids of texts by a tokenizers file; keeps the ids of pieces of stretches without white space that it has seen.
 
     Where the tokenizer splits marks from letters and digits (which is looked at once), marks at the end
-    of a stretch are encoded for themselves, so that a word's ids are found with any marks after it. Where its last ids of words are ids of
+    of a stretch are a piece of their own, so that a word's ids are found with any marks after it; Arrow cuts them off all distinct stretches at once. Where it puts
+    all into lower case, so are pieces of ASCII letters and digits before they are looked up. Where its last ids of words are ids of
     their own kind (an end-of-word suffix), many words are encoded as one text and told apart by these.
     """
 
@@ -164,52 +179,39 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_buffer(config)
         self.keep, self.spent = keep, 0
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}  # the store before it was last emptied; what is met again comes back
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}  # the store before it was last emptied; what is met again comes back
         one = self.tokenizer.encode
         alone = one(_BETWEEN, add_special_tokens=False).ids
         self.between = alone[0] if len(alone) == 1 else -1
         self.splits = self.between >= 0 and one(f"ab {_BETWEEN} c", add_special_tokens=False).ids == one("ab", add_special_tokens=False).ids + alone + one("c", add_special_tokens=False).ids and all(one(a + b, add_special_tokens=False).ids == one(a, add_special_tokens=False).ids + one(b, add_special_tokens=False).ids for a in ("a", "Bcd", "7", "xé", "it's") for b in ".,;:!?%)]}>\"&*/_-+=~^`|$#@(<[{\\")
 
-        suffix = json.loads(config).get("model", {}).get("end_of_word_suffix")
+        said = json.loads(config)
+        steps = said.get("normalizer") or {}
+        steps = steps.get("normalizers", [steps])
+        # of ASCII letters and digits these change the case alone; added tokens are looked for before
+        plain = all(x.get("type") in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase") or (x.get("type") == "Replace" and x.get("pattern") == {"Regex": "\\s+"}) for x in steps)
+        self.lower = self.splits and plain and any(x["type"] == "Lowercase" for x in steps) and not any(x["content"].isalnum() for x in said.get("added_tokens", []))
+        suffix = said.get("model", {}).get("end_of_word_suffix")
         self.last = np.zeros(0, bool)
         if suffix and self.splits and len(one("ab cd ef", add_special_tokens=False).ids) == sum(len(one(x, add_special_tokens=False).ids) for x in ("ab", "cd", "ef")):
             vocabulary = self.tokenizer.get_vocab()
             self.last = np.zeros(max(vocabulary.values()) + 1, bool)
             self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
-    def learn(self, new: set[bytes]) -> None:
-        """Puts the ids of stretches not yet known into the store."""
-        if not self.splits:
-            return self._learn(list(new))
-        cut, parts = [], set()
-        for p in new:
-            if p.isalnum():  # ASCII letters and digits
-                parts.add(p)
-                continue
-            a = p.rstrip(_MARKS)
-            if a and len(a) < len(p) and (a[-1] in _ENDS or (a[-2:-1] and a[-2] in _LEADS and a[-2:] not in _SIGNS)) and b"<|" not in p:
-                cut.append((p, a))
-                parts.add(a)
-                parts.add(p[len(a) :])
-            else:
-                parts.add(p)
-        known = self.known
-        parts = parts.difference(known)
+    def learn(self, new: list[str]) -> None:
+        """Puts the ids of pieces not yet known into the store."""
         if len(self.last):
-            words = [p for p in parts if p.decode().isalpha()]
-            self._learn_words(words)
-            parts.difference_update(words)
-        self._learn(list(parts))
-        for p, a in cut:
-            known[p] = known[a] + known[p[len(a) :]]
-
-    def _learn_words(self, words: list[bytes]) -> None:
+            self._learn_words([p for p in new if p.isalpha()])
+            new = [p for p in new if not p.isalpha()]
+        self._learn(new)
+
+    def _learn_words(self, words: list[str]) -> None:
         """Words of letters alone as texts of many. A word ends with an id of that kind at least once; if there are as many such ids as words, each does once."""
         known = self.known
         for k in range(0, len(words), 512):
             part = words[k : k + 512]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = (np.flatnonzero(self.last[ids]) + 1) * 4
             if len(ends) != len(part):
                 self._learn(part)
@@ -219,33 +221,70 @@ class Encoder:
                 known[p] = raw[at:end]
                 at = end
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Many stretches as one text, with a character between them that has an id of its own."""
+    def _learn(self, new: list[str]) -> None:
+        """Many pieces as one text, with a character between them that has an id of its own."""
         between = self.between
         for k in range(0, len(new), 512):
             part = new[k : k + 512]
-            found = self.tokenizer.encode_batch_fast([f" {_BETWEEN} ".join([p.decode() for p in part])], add_special_tokens=False)
+            found = self.tokenizer.encode_batch_fast([f" {_BETWEEN} ".join(part)], add_special_tokens=False)
             ids = np.array(found[0].ids, "<u4")
             ends = np.append(np.flatnonzero(ids == between), len(ids)).tolist()
-            if len(ends) != len(part) or not self.splits:  # a stretch has that character
-                self.known.update((p, np.array(self.tokenizer.encode(p.decode(), add_special_tokens=False).ids, "<u4").tobytes()) for p in part)
+            if len(ends) != len(part) or not self.splits:  # a piece has that character
+                self.known.update((p, np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()) for p in part)
                 continue
             raw, at = ids.tobytes(), 0
             for p, end in zip(part, ends, strict=True):
                 self.known[p] = raw[4 * at : 4 * end]
                 at = end + 1
 
-    def _ids_of(self, stretches: list[bytes]) -> list[bytes]:
-        """The ids of distinct stretches."""
+    def _cut(self, stretches: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Distinct stretches without the marks at their ends, and these marks (none where the stretch stays whole)."""
+        heads, n = stretches, len(stretches)
+        cut, marks = np.zeros(n, bool), b""
+        sizes = np.zeros(n, np.int64)
+        if self.splits and n:
+            bare = pc.ascii_rtrim(stretches, characters=_MARKS)
+            left, full = (pc.binary_length(x).to_numpy().astype(np.int64) for x in (bare, stretches))
+            at = np.flatnonzero((left > 0) & (left < full))
+            data, bounds = _bytes_of(bare)
+            last = data[bounds[at + 1] - 1]
+            before = np.where(left[at] > 1, data[np.maximum(bounds[at + 1] - 2, 0)], 0)
+            at = at[_ENDS[last] | (_LEADS[before] & ~np.isin((before.astype(np.int64) << 8) | last, _SIGNS))]
+            at = at[~pc.match_substring(stretches.take(pa.array(at)), "<|").to_numpy(zero_copy_only=False)]
+            cut[at] = True
+            heads = pc.if_else(pa.array(cut), bare, stretches)
+            sizes[at] = (full - left)[at]
+            data, bounds = _bytes_of(stretches)
+            marks = _gathered(data, bounds[at] + left[at], sizes[at]).tobytes()
+            if self.lower:
+                heads = pc.if_else(pc.ascii_is_alnum(heads), pc.ascii_lower(heads), heads)
+        bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return heads, pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(marks)])
+
+    def _ids_of(self, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct stretches, one after another, and how many each has."""
         if 2 * len(self.known) > self.keep or 2 * self.spent > KEEP_BYTES:
-            self.known, self.older, self.spent = {}, self.known, 0
+            self.known, self.older, self.spent = {"": b""}, self.known, 0
+        heads, tails = self._cut(stretches)
+        numbered = pa.concat_arrays([heads.cast(pa.string()), tails]).dictionary_encode()
+        pieces = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         known, older = self.known, self.older
-        new = {p for p in stretches if p not in known}
-        self.spent += sum(map(len, new))
-        for p in older.keys() & new:
-            known[p] = older[p]
-        self.learn(new.difference(older))
-        return list(map(known.__getitem__, stretches))
+        ids = list(map(known.get, pieces))
+        unknown, new = [k for k, x in enumerate(ids) if x is None], []
+        self.spent += int(pc.binary_length(numbered.dictionary).to_numpy()[unknown].sum())
+        for k in unknown:
+            p = pieces[k]
+            if (found := older.get(p)) is None:
+                new.append(p)
+            else:
+                known[p] = found
+        self.learn(new)
+        for k in unknown:
+            ids[k] = known[pieces[k]]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        code = numbered.indices.to_numpy().reshape(2, -1).T.ravel()  # a stretch's head, then its tail
+        here = sizes[code]
+        return _gathered(np.frombuffer(b"".join(ids), "<u4"), (np.cumsum(sizes) - sizes)[code], here), here.reshape(-1, 2).sum(1)
 
     def encode_column(self, texts: pa.Array, end: int | None = None) -> pa.Array:
         """The ids of each text of a string column (null: none), 32 bits each, little-endian, as a binary column; end is put after each.
@@ -264,13 +303,11 @@ class Encoder:
         words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         ends_of_texts = np.cumsum(pc.list_value_length(words).to_numpy())
         numbered = words.flatten().dictionary_encode()
-        ids = self._ids_of(numbered.dictionary.cast(pa.binary()).to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        first = np.cumsum(sizes) - sizes
+        ids, sizes = self._ids_of(numbered.dictionary)
         code = numbered.indices.to_numpy()
         here = sizes[code]
         upto = np.cumsum(here)
-        flat = np.frombuffer(b"".join(ids), "<u4")[np.arange(int(here.sum())) + np.repeat(first[code] - (upto - here), here)]
+        flat = _gathered(ids, (np.cumsum(sizes) - sizes)[code], here)
         bounds = np.concatenate([[0], np.concatenate([[0], upto])[ends_of_texts]])
         if end is not None:
             flat = np.insert(flat, bounds[1:], end)

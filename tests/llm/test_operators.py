@@ -541,6 +541,20 @@ def test_words_told_apart_by_their_ends(given, monkeypatch):
     assert encoder.encode_column(column.slice(0, 0)).to_pylist() == []
 
 
+def test_pieces_are_kept_once():
+    """The store has a word once, whatever its case and the marks after it; ids are the library's for all that looks alike."""
+    import pyarrow as pa
+
+    encoder = token_file.Encoder(open(token_file.default_tokenizer(), "rb").read())
+    assert encoder.encode_column(pa.array(["Word, word. WORD! word", "word?! (word word)"])).to_pylist() == [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in ("Word, word. WORD! word", "word?! (word word)")]
+    assert set(encoder.known) == {"", "word", ",", ".", "!", "?!", "(word", ")"}
+    parts = ["a", "B", "J\u030c", "j\u030c", "\u212a", "\u0130", "\u00d7", "\u00f7", "\u00c9", "\u00e9", "\u024f", "\u0250", "\u0301", "7", "\u0663", "'S", "'s", "'", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", ".", "-", "_", "\x00", "\x01", "\x1c", "\u00a0", "\u3000", "\u65e5", " ", "\n", "\U0001f600", "Abc", "\ufb01"]
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(24))) for _ in range(3000)]
+    expected = [np.array([*x.ids, 2], "<u4").tobytes() for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x for k in range(0, 3000, 250) for x in encoder.encode_column(pa.array(texts[k : k + 250]), 2).to_pylist()] == expected
+
+
 def test_token_file(odd, given, none, spark, tmp_path):
     from tokenizers import Tokenizer
 
